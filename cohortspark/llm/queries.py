@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import q02_pieces
+from cohortspark.llm import q01_licenses, q02_pieces, q06_secrets, q10_urls
 
-MODULES = (q02_pieces,)
+MODULES = (q01_licenses, q02_pieces, q06_secrets, q10_urls)
 
 
 def queries():
