@@ -64,4 +64,6 @@ def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """DuckDB SQL that may use surv, probes and expr."""
     ctes = f"surv AS ({text(SURV, True)}), probes AS ({text(PROBES, True)}), expr AS ({text(EXPR, True)})"
+    if "{views}" in sql:
+        return sql.replace("{views}", ctes)
     return f"WITH {ctes}, {sql.strip()[4:]}" if sql.strip().upper().startswith("WITH") else f"WITH {ctes} {sql}"
