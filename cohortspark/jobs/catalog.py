@@ -97,12 +97,11 @@ upper(regexp_replace(name, '[_-]', '', 'g')) AS key, regexp_replace(name, '_GPL.
 _q("ep14_dominant", lambda s, d: endpoints.dominant(catalog(s, d), 2),
    f"WITH {C}, g AS (SELECT type, family, token, count(*) AS cohorts FROM fl GROUP BY ALL HAVING count(*) >= 2) SELECT type, family, token, cohorts FROM (SELECT g.*, row_number() OVER (PARTITION BY type ORDER BY cohorts DESC, fr, token) AS r FROM g JOIN fams USING (family)) x WHERE r = 1")
 
-_SRC = F.when(F.length("accession") > 8, "GEO").otherwise("TCGA")
 R = C + ", rec AS (SELECT 'R' || lpad(CAST(row_number() OVER (ORDER BY accession, family) AS VARCHAR), 4, '0') AS record_id, accession, family, family || ' / ' || CASE WHEN length(accession) > 8 THEN 'GEO' ELSE 'TCGA' END AS stratum FROM gr)"
 
 
 def _rec(s, d):
-    return agreement.records(endpoints.semantics_grid(catalog(s, d)), _SRC).select("record_id", "accession", "family", "stratum")
+    return agreement.records(endpoints.semantics_grid(catalog(s, d)), F.when(F.length("accession") > 8, "GEO").otherwise("TCGA")).select("record_id", "accession", "family", "stratum")
 
 
 _q("ag1_records", _rec, f"WITH {R} SELECT * FROM rec")

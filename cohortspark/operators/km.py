@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortspark.functions.stats import chi2_sf, lausen_schumacher
 
@@ -18,7 +19,7 @@ Z975 = 1.959963984540054
 CANDIDATES = tuple(round(0.2 + 0.05 * k, 2) for k in range(13))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chisq_p(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom; null for null."""
     return x.map(lambda v: None if pd.isna(v) else chi2_sf(float(v), 1.0))
