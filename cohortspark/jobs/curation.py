@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical as fn
@@ -363,6 +366,26 @@ def _matrix(s, d):
     return probes(s, d).where("dataset = 'BUILDING' AND sample_id <= 60").groupBy(F.col("probe_id").cast("string").alias("ID_REF")).pivot("sample_id", [7, 13, 19, 22, 25, 31]).agg(F.max("value")).withColumn("31", F.lit("n/a"))
 
 
+def _series_files(s, d):
+    """Every cohort's expression as a series-matrix text file in the shared folder; the path of the folder."""
+    e = expr(s, d).select("dataset", "gene", F.col("sample_id").cast("string").alias("sample_id"), F.col("value").cast("string").alias("value"))
+    ids = e.groupBy("dataset").agg(F.sort_array(F.collect_set("sample_id")).alias("ids"))
+    rows = e.groupBy("dataset", "gene").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("m")).join(ids, "dataset")
+    line = F.concat_ws("\t", "gene", F.transform("ids", lambda i: F.coalesce(F.try_element_at("m", i), F.lit("null"))))
+    body = rows.groupBy("dataset", "ids").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat_ws("\n", F.concat(F.lit('!Series_title\t"'), "dataset", F.lit('"')), F.concat_ws("\t", F.lit("!Sample_geo_accession"), "ids"), F.lit("!series_matrix_table_begin"), F.concat_ws("\t", F.lit("ID_REF"), "ids"), "body", F.lit("!series_matrix_table_end"))
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/series-{uuid.uuid4().hex}"
+    body.select("dataset", text.alias("value")).write.partitionBy("dataset").text(path)
+    return path
+
+
+def _io4(s, d):
+    body = readers.series_matrix(s, _series_files(s, d))[2]
+    return body.select(F.regexp_extract("file", "dataset=([^/]+)", 1).alias("dataset"), "probe_id", "sample_id", "value")
+
+
+_q("io4_series_matrix", _io4, "WITH i AS (SELECT DISTINCT dataset, sample_id FROM expr), g AS (SELECT DISTINCT dataset, gene FROM expr) SELECT i.dataset, g.gene AS probe_id, CAST(i.sample_id AS VARCHAR) AS sample_id, value FROM i JOIN g ON g.dataset = i.dataset LEFT JOIN expr e ON e.dataset = i.dataset AND e.sample_id = i.sample_id AND e.gene = g.gene")
 _q("io1_matrix", lambda s, d: readers.melt(_matrix(s, d), "ID_REF").where("value IS NOT NULL"), "SELECT CAST(probe_id AS VARCHAR) AS probe_id, CAST(sample_id AS VARCHAR) AS sample_id, max(value) AS value FROM probes WHERE dataset = 'BUILDING' AND sample_id IN (7, 13, 19, 22, 25) GROUP BY ALL")
 _q("io2_survival", lambda s, d: r6(readers.survival_table(surv(s, d).select("sample_id", "time", "status")), "time"), "SELECT sample_id AS \"ID\", round(time, 6) AS time, status FROM surv")
 _q("io3_map", lambda s, d: readers.map_for(expression.explode_map(raw_map(s, d)), _genes(s, "Brand#11")).select("platform", "probe_id", "gene"), f"WITH {MAP}, {XM} SELECT * FROM xm WHERE gene = 'Brand#11'")

@@ -206,6 +206,17 @@ def _pv(s, d):
 
 for _m, _e in _ADJ.items():
     _q(f"mt5_adjust_{_m.lower()}", lambda s, d, m=_m: r6(meta.adjust(_pv(s, d), "p", m, ["dataset"]), "p", "p_adj"), f"WITH {_P} SELECT dataset, gene, round(p, 6) AS p, round(least(1.0, {_e}), 6) AS p_adj FROM rk")
+_q("mt5_adjust_hommel", lambda s, d: meta.adjust(_pv(s, d), "p", "hommel", ["dataset"]))
+
+
+def _classes(s, d):
+    x = surv(s, d).select("dataset").distinct()
+    return x.withColumn("token", F.when(F.col("dataset") < "C", "OS").otherwise("RFS")).withColumn("pooling_class", F.when(F.col("dataset") < "C", "Exact-equivalent").when(F.col("dataset") < "G", "Not-poolable").otherwise("Clinically-related"))
+
+
+for _mode, _ok in (("family", "'Exact-equivalent', 'Clinically-related'"), ("exact", "'Exact-equivalent'")):
+    _q(f"mt8_gate_{_mode}", lambda s, d, m=_mode: cox.two_stage(one_gene(s, d), _classes(s, d), m)[1].where("stage = 'endpoint class'"),
+       f"WITH c AS (SELECT DISTINCT dataset, CASE WHEN dataset < 'C' THEN 'Exact-equivalent' WHEN dataset < 'G' THEN 'Not-poolable' ELSE 'Clinically-related' END AS pc FROM surv) SELECT dataset, 'endpoint class' AS stage, 'pooling class ' || pc AS reason FROM c WHERE pc NOT IN ({_ok})")
 _q("mt6_panel", lambda s, d: cox.panel(merged(s, d))[0])
 _q("mt7_leave_one_out", lambda s, d: r6(meta.leave_one_out(peto(s, d), ["gene"]), *_POOL_ROUND),
    f"WITH {PETO}, lo AS (SELECT e.gene, e.dataset, e.b, e.se, x.dataset AS left_out FROM est e JOIN est x ON x.gene = e.gene AND x.dataset <> e.dataset), {_pool('lo', 'gene, left_out')} SELECT gene, left_out, {_POOL_OUT} FROM pooled")

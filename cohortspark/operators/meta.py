@@ -124,10 +124,12 @@ def pool_groups(df: DataFrame, keys: Sequence[str], method: str = "REML", pi: st
 
 
 def adjust(df: DataFrame, p: str = "p", method: str = "BH", family: Sequence[str] = ()) -> DataFrame:
-    """MT5: adds p_adj over the non-null p-values of each family: BH, BY, bonferroni, holm, hochberg or none.
+    """MT5: adds p_adj over the non-null p-values of each family: BH, BY, bonferroni, holm, hochberg, hommel or none.
 
     Without a family all rows are one; they are results (one row per test), not data.
     """
+    if method == "hommel":
+        return _hommel(df, p, list(family))
     some, none = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double"))
     by = list(family) or [F.lit(1)]
     up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
@@ -151,6 +153,21 @@ def adjust(df: DataFrame, p: str = "p", method: str = "BH", family: Sequence[str
     return ranked.withColumn("p_adj", F.least(F.lit(1.0), adj)).drop("_r", "_m").unionByName(none)
 
 
+def _hommel(df: DataFrame, p: str, family: list[str]) -> DataFrame:
+    """Hommel's method has no closed form over windows: one numpy call per family of tests."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        out = g.assign(p_adj=np.nan)
+        ok = g[p].notna().to_numpy()
+        if ok.any():
+            out.loc[ok, "p_adj"] = stats.hommel(g.loc[ok, p].to_numpy(float))
+        return out
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns) + ", p_adj double"
+    out = df.groupBy(*family).applyInPandas(one, schema)
+    return out.withColumn("p_adj", F.when(~F.isnan("p_adj"), F.col("p_adj")))
+
+
 def leave_one_out(df: DataFrame, keys: Sequence[str], method: str = "DL") -> DataFrame:
     """MT7: pooled estimate without each cohort in turn. A key has few cohorts, so the pairs within it are few."""
     out = df.select(*keys, F.col("dataset").alias("left_out"))
