@@ -222,31 +222,49 @@ def _streamed(df: DataFrame, keys: list[str], group, schema: str) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
-def shared_postings(texts: DataFrame) -> DataFrame:
-    """(token, node, size) of the prefix shingles that at least two texts have; size is their number of texts."""
-    posts = texts.select(F.explode("tokens").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node")
+#: Postings of one shingle that a task holds back at most; a shingle with more streams on in pieces.
+HELD = 1 << 20
 
-    def run(batches):
-        import pyarrow as pa
 
-        def put(t, n):
-            cut = np.flatnonzero(np.diff(t)) + 1
-            edges = np.concatenate([[0], cut, [len(t)]])
-            size = np.repeat(np.diff(edges), np.diff(edges))
-            ok = size >= 2
-            return pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok]), pa.array(size[ok].astype(np.int64))], ["token", "node", "size"])
+def _shared_runs(batches, held: int = HELD):
+    """Of postings sorted by token, those of tokens that come twice, with the number of each token's postings.
+
+    A token with more than ``held`` postings has a null number: its rows have left before all were seen.
+    """
+    import pyarrow as pa
+
+    def put(t, n, hot):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
+        size = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int64)
+        is_hot = t == hot if hot is not None else np.zeros(len(t), dtype=bool)
+        ok = (size >= 2) | is_hot
+        return pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok]), pa.array(size[ok], mask=is_hot[ok])], ["token", "node", "size"])
+
+    t = n = np.zeros(0, dtype=np.int64)
+    hot = None
+    for b in batches:
+        t, n = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([n, b.column(1).to_numpy()])
+        if not len(t):
+            continue
+        whole = int(np.searchsorted(t, t[-1]))  # the last token may go on
+        if whole:
+            yield put(t[:whole], n[:whole], hot)
+            t, n = t[whole:], n[whole:]
+        if len(t) > held:
+            hot = int(t[0])
+            yield put(t, n, hot)
+            t, n = t[:0], n[:0]
+    if len(t):
+        yield put(t, n, hot)
 
-        t = n = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            t, n = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([n, b.column(1).to_numpy()])
-            whole = int(np.searchsorted(t, t[-1])) if len(t) else 0  # the last token may go on
-            if whole:
-                yield put(t[:whole], n[:whole])
-                t, n = t[whole:], n[whole:]
-        if len(t):
-            yield put(t, n)
 
-    return posts.mapInArrow(run, "token long, node long, size long")
+def shared_postings(texts: DataFrame) -> DataFrame:
+    """(token, node, size) of the prefix shingles that at least two texts have; size is their number of texts."""
+    posts = texts.select(F.explode("tokens").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node")
+    kept = keep(posts.mapInArrow(_shared_runs, "token long, node long, size long"))
+    hot = kept.where("size IS NULL").drop("size")
+    counted = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token").select("token", "node", "size")
+    return kept.where("size IS NOT NULL").unionByName(counted)
 
 
 def _all_pairs(key, cols, out):
@@ -359,7 +377,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = keep(described(docs))
     texts = keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "matches", "bitmap", "tokens"))))
-    posts = keep(shared_postings(texts))
+    posts = shared_postings(texts)
     texts = texts.drop("tokens")
 
     # linking round: in each large group every text is tried against the one that a hash draws for the shingle

@@ -105,6 +105,22 @@ def test_block_pairs_cover_all(monkeypatch):
     assert want and got == want
 
 
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_frequent_shingles_stream_in_pieces(held):
+    import pyarrow as pa
+
+    g = np.random.default_rng(8)
+    token = np.sort(np.concatenate([np.repeat(7, 40), np.repeat(9, 5), np.repeat(12, 2), g.integers(100, 160, 50)])).astype(np.int64)
+    node = np.arange(len(token))
+    cuts = [0, 3, 10, 11, 30, 50, 60, len(token)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(token[a:b]), pa.array(node[a:b])], ["token", "node"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    got = {(r["token"], r["node"]): r["size"] for out in nd._shared_runs(iter(batches), held) for r in out.to_pylist()}
+    count = {t: int((token == t).sum()) for t in set(token.tolist())}
+    want = {(t, k) for t, k in zip(token.tolist(), node.tolist(), strict=True) if count[t] > 1}
+    assert want <= set(got) and all(count[t] > 1 or held == 1 for t, _ in got)
+    assert all(s == count[t] for (t, _), s in got.items() if s is not None) and (held < 1000 or None not in got.values())
+
+
 def test_fingerprint_estimates():
     g = np.random.default_rng(3)
     err = []
