@@ -25,7 +25,7 @@ UNK, BOS, EOS = 0, 1, 2
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _MARKS = "\n,.!?;:%&*$#|\"'()@/=-"
 #: Distinct chunks in each of the two generations that a task remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 def merge_all(chars: list[str], score: dict[str, float]) -> list[str]:
