@@ -6,15 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words for missing, events and censoring.
-MISSING = ("", "na", "n/a", "nan", "none", "null", "unknown", "unk", "not available", "not reported", "not applicable", "missing", "--", "-", ".", "?", "#n/a", "99 unk")
-EVENT = ("1", "dead", "deceased", "death", "died", "event", "yes", "y", "true", "recurrence", "relapse", "progression", "progressed", "metastasis")
-CENSORED = ("0", "alive", "living", "censored", "no", "n", "false", "no event", "disease free", "no recurrence", "no relapse")
+MISSING = (
+    "", "na", "n/a", "n.a.", "#na", "#n/a", "null", "nan", "-", "--", "—", "–", ".", "..", "?", "??", "unknown", "unk", "99 unk", "not available", "not reported",
+    "not specified", "not applicable", "missing", "none", "non-applicable", "[unknown]", "[discrepancy]", "[not available]", "<na>",
+)
+EVENT = ("dead", "deceased", "d", "yes", "y", "relapse", "relapsed", "metastasis", "1", "death", "event", "recurrence", "recurred", "dead of disease", "true", "t")
+CENSORED = ("alive", "live", "no", "a", "n", "0", "not relapsed", "survival", "censor", "censored", "no event", "no death", "no recurrence", "alive/no death", "false", "f")
+#: Grade words.
+GRADES = {
+    "G1": ("1", "I", "G1", "WELL", "WELL DIFFERENTIATED"),
+    "G2": ("2", "II", "G2", "MODERATELY", "MOD", "MODERATE", "MODERATELY DIFFERENTIATED", "LOW", "LOW GRADE", "LOW.GRADE"),
+    "G3": ("3", "III", "G3", "POORLY", "POOR", "POORLY DIFFERENTIATED", "HIGH", "HIGH GRADE", "HIGH.GRADE"),
+    "G4": ("4", "IV", "G4", "UNDIFFERENTIATED"),
+}
 
 
 def squeezed(c: Column) -> Column:
     """CL9: white space squeezed, missing words null."""
-    t = F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
-    return F.when(~F.lower(t).isin(*MISSING), t)
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(~F.lower(t).isin(*MISSING) & ~F.lower(t).rlike("^[# ]*n/?a[# ]*$"), t)
 
 
 def status(c: Column, invert: bool = False, na_censor: bool = False) -> Column:
@@ -33,10 +43,11 @@ def status_12(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """CL7: the first number in a text; decimal commas and spaces between thousands are read."""
-    t = F.regexp_replace(c, r"([0-9]) ([0-9][0-9][0-9])\b", "$1$2")
-    t = F.regexp_replace(t, r"([0-9]),([0-9])", "$1.$2")
-    return F.regexp_extract(t, r"(-?[0-9]+\.?[0-9]*)", 1).try_cast("double")
+    """CL7: the first number in a text. A decimal comma counts where the text is nothing else; spaces between thousands go."""
+    t = F.trim(c)
+    t = F.when(t.rlike("^[+-]?[0-9]+,[0-9]{1,2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
+    t = F.regexp_replace(t, r"(?<=[0-9])[ \u00a0](?=[0-9]{3}([^0-9]|$))", "")
+    return F.regexp_extract(t, r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", 0).try_cast("double")
 
 
 def years(value: Column, unit: Column | str, day: float = 365.25) -> Column:
@@ -57,60 +68,67 @@ def event_years(start: Column, event: Column, last: Column, state: Column) -> Co
 
 
 def age_mid(c: Column) -> Column:
-    """CL8: middle of an age bin, or the age."""
-    a, b = F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("double"), F.regexp_extract(c, r"^[0-9]+ *- *([0-9]+)", 1).try_cast("double")
-    return F.when(b.isNotNull(), (a + b) / 2).otherwise(a)
+    """CL8: middle of the leading whole number and the end of a bin; a text without a bin must be a number as a whole."""
+    t = F.trim(c)
+    low = F.coalesce(F.nullif(F.regexp_extract(t, r"^([0-9]+)", 1), F.lit("")), t).try_cast("double")
+    high = F.coalesce(F.nullif(F.regexp_extract(t, r"^[0-9]+-([0-9]+)$", 1), F.lit("")), t).try_cast("double")
+    return (low + high) / 2
 
 
 def stage(c: Column) -> Column:
     """CL10: 0, I, II, III or IV without sub-stage; TNM and descriptive texts are null."""
-    t = F.upper(F.regexp_replace(F.coalesce(squeezed(c), F.lit("")), r"(?i)^(stage|ajcc stage|figo stage) *", ""))
-    r = F.regexp_extract(t, r"^(0|IV|III|II|I|[1-4])([ABCS][0-9]*)?$", 1)
+    t = F.regexp_replace(F.upper(F.coalesce(squeezed(c), F.lit(""))), r"^STAGE\s*", "")
+    r = F.regexp_extract(t, r"^([0-4]|IV|III|II|I)[ABC]?$", 1)
     return F.when(r == "1", "I").when(r == "2", "II").when(r == "3", "III").when(r == "4", "IV").when(r != "", r)
 
 
 def tnm(c: Column, prefix: str) -> Column:
-    """CL11: T, N or M category without p/c prefix and a/b/c suffix; Tis and bare digits are read."""
-    t = F.lower(F.coalesce(squeezed(c), F.lit("")))
-    low = prefix.lower()
-    r = F.regexp_extract(t, rf"^[pc]?{low}?([0-4x]|is)[a-d]?[0-9]?$", 1)
-    return F.when(r == "is", F.lit(prefix + "is") if prefix == "T" else F.lit(None)).when(r == "x", prefix + "X").when(r != "", F.concat(F.lit(prefix), r))
+    """CL11: T, N or M category without p/c prefix and a/b/c suffix; Tis and bare values are read."""
+    t = F.upper(F.coalesce(squeezed(c), F.lit("")))
+    values = {"T": "[0-4X]", "N": "[0-3X]", "M": "[01X]"}[prefix]
+    named = F.regexp_extract(t, f"^[PC]?{prefix}({values}{'|IS' if prefix == 'T' else ''})[ABC]?$", 1)
+    r = F.when(named != "", named).otherwise(F.regexp_extract(t, f"^({values})$", 1))
+    return F.when(r == "IS", "Tis").when(r != "", F.concat(F.lit(prefix), r))
 
 
 def tnm_parts(c: Column) -> list[Column]:
     """CL12: T, N and M of a combined text, the first of each letter."""
-    out = []
-    for p in "TNM":
-        first = F.regexp_extract(F.upper(c), rf"({p}(IS|[0-4X])[A-D]?)", 1)
-        out.append(tnm(F.when(first != "", first), p).alias(p.lower() + "_part"))
-    return out
+    found = F.regexp_extract_all(F.upper(F.trim(c)), F.lit(r"[PC]?[TNM](?:IS|[0-9]+|X)[A-C]?(?=[\s/,;_-]|[TNM]|[PC]|$)"), F.lit(0))
+    first = lambda p: F.get(F.filter(found, lambda x: x.rlike(f"^[PC]?{p}")), 0)
+    return [tnm(first(p), p).alias(p.lower() + "_part") for p in "TNM"]
 
 
 def sex(c: Column) -> Column:
     """CL13."""
     t = F.lower(F.coalesce(squeezed(c), F.lit("")))
-    return F.when(t.isin("m", "male", "man", "men", "1"), "male").when(t.isin("f", "female", "woman", "women", "2"), "female")
+    return F.when(t.isin("male", "m", "man", "men"), "male").when(t.isin("female", "f", "woman", "women"), "female")
 
 
 def grade(c: Column) -> Column:
-    """CL13: G1 to G4 from digits, words or roman numbers; GX is null."""
-    t = F.lower(F.coalesce(squeezed(c), F.lit("")))
-    d = F.regexp_extract(t, "^(?:grade|g)? *([1-4])$", 1)
-    return (
-        F.when(d != "", F.concat(F.lit("G"), d)).when(t.rlike("^well|^low"), "G1").when(t.rlike("^moderate|^intermediate"), "G2").when(t.rlike("^poor|^high"), "G3").when(t.rlike("^undiff|^anaplastic"), "G4")
-    )
+    """CL13: G1 to G4 from digits, words or roman numbers; G0 to G9 and scores of 5 to 10 stay; others are null."""
+    t = F.upper(F.coalesce(squeezed(c), F.lit("")))
+    out = F.when(F.lit(False), F.lit(""))
+    for value, words in GRADES.items():
+        out = out.when(t.isin(*words), value)
+    return out.when(t.rlike("^(G[0-9]|[5-9]|10)$"), t)
 
 
 def flag(c: Column) -> Column:
-    """CL13: positive and negative words to P and N."""
-    t = F.lower(F.coalesce(squeezed(c), F.lit("")))
-    return F.when(t.rlike("^(p|pos|positive|\\+|1|yes)$"), "P").when(t.rlike("^(n|neg|negative|0|no)$"), "N")
+    """CL13: positive and negative words to 1 and 0, as text."""
+    t = F.upper(F.trim(c))
+    return F.when(t.isin("P", "POS", "POSITIVE", "+", "1"), "1").when(t.isin("N", "NEG", "NEGATIVE", "-", "0"), "0")
+
+
+def flag_in(c: Column) -> Column:
+    """CL13: texts that hold pos or neg to 1 and 0, as text."""
+    t = F.lower(c)
+    return F.when(t.contains("pos"), "1").when(t.contains("neg"), "0")
 
 
 def mutation(c: Column) -> Column:
-    """CL13: wild type or mutated."""
-    t = F.lower(F.coalesce(squeezed(c), F.lit("")))
-    return F.when(t.rlike("^(wt|wild|wildtype|wild type|none|no mutation)"), "WT").when(t.rlike("^(m|mut|mutant|mutated|yes|p\\.)"), "M")
+    """CL13: WT for wild type, M for any other text; blanks and NA are null."""
+    t = F.trim(c)
+    return F.when(t.isin("", "NA", "N/A") | t.isNull(), None).when(t.isin("WT", "wt"), "WT").otherwise("M")
 
 
 def first_filled(*cols: Column) -> Column:
@@ -120,24 +138,45 @@ def first_filled(*cols: Column) -> Column:
 
 #: Cancer types by title words, in order.
 CANCERS = (
-    ("breast", "BRCA"), ("lung squamous", "LUSC"), ("lung adeno", "LUAD"), ("lung|nsclc", "LUNG"), ("glioma|glioblastoma", "GLIOMA"), ("colon|colorectal|rectal", "CRC"), ("gastric|stomach", "STAD"),
-    ("ovarian|ovary", "OV"), ("hepatocellular|liver", "LIHC"), ("pancrea", "PAAD"), ("prostate", "PRAD"), ("bladder|urothelial", "BLCA"), ("kidney|renal", "KIRC"), ("melanoma", "SKCM"), ("leukemia|aml", "AML"), ("lymphoma", "LYMPHOMA"), ("myeloma", "MM"),
+    ("gliom|astrocyt|oligodendro|gbm|brain|medulloblast|meningioma|ependymom", "Glioma/Brain"),
+    ("breast|mammary|brca", "Breast"),
+    ("lung|pulmonary|nsclc|luad|lusc", "Lung"),
+    ("colorect|colon|rectal|rectum", "Colorectal"),
+    ("gastric|stomach|esophag|oesophag|barrett", "Gastric/Esophageal"),
+    ("hepatocell|liver|hcc|cholangiocarcin", "Liver"),
+    ("pancrea", "Pancreatic"),
+    ("leukemi|leukem|aml|cml|myelodysplas|myeloid", "Leukemia"),
+    ("lymphoma|myeloma|hodgkin|dlbcl|follicular lymph", "Lymphoma/Myeloma"),
+    ("melanoma|cutaneous", "Melanoma/Skin"),
+    ("renal|kidney|nephro|wilms", "Renal/Kidney"),
+    ("bladder|urothelial|transitional cell", "Bladder/Urothelial"),
+    ("ovarian|ovary", "Ovarian"),
+    ("endometri|uterine|uterus|cervix|cervical", "Endometrial/Cervical/Uterine"),
+    ("prostate", "Prostate"),
+    ("head and neck|oral|tongue|larynx|pharyn|hnscc", "Head and Neck"),
+    ("sarcoma|osteosarc|bone|ewing|liposarc", "Sarcoma/Bone"),
+    ("thyroid", "Thyroid"),
+    ("neuroblast|retinoblast|pheochrom|paragangliom|adrenocortical|mesothelio|testicular|germ cell|thymoma|gastroenteropancreatic|neuroendocrine", "Neuroendocrine/Other"),
 )
 
 
 def cancer_of(title: Column) -> Column:
-    """CL26: type from the first pattern that a title has."""
+    """CL26: type from the first pattern that a title has, else unknown."""
     t = F.lower(title)
     out = F.when(F.lit(False), F.lit(""))
     for pattern, kind in CANCERS:
         out = out.when(t.rlike(pattern), kind)
-    return out
+    return out.otherwise("unknown")
 
 
 #: Keys of survival columns, in order.
 KEY_TOKENS = (
-    ("overall|\\bos\\b|death|vital", "OS"), ("disease.?specific|\\bdss\\b|cancer.?specific", "DSS"), ("relapse|recurrence|\\brfs\\b", "RFS"), ("event.?free|\\befs\\b", "EFS"),
-    ("disease.?free|\\bdfs\\b", "DFS"), ("progression|\\bpfs\\b", "PFS"), ("metasta|\\bdmfs\\b", "MFS"), ("surviv|follow", "OS"),
+    ("(^|[^a-z])(dss|css|bcss)([^a-z]|$)|disease[ _-]?specific|disease[ _-]?related|cause[ _-]?specific", "DSS"),
+    ("(^|[^a-z])(dfs|dfi|efs)([^a-z]|$)|disease[ _-]?free", "DFS"),
+    ("(^|[^a-z])(rfs)([^a-z]|$)|recurrence[ _-]?free|relapse[ _-]?free|recurrence|relaps|recur", "RFS"),
+    ("(^|[^a-z])(pfs|pfi)([^a-z]|$)|progression[ _-]?free|progress", "PFS"),
+    ("(^|[^a-z])(mfs|drfs)([^a-z]|$)|metasta|distant[ _-]?recurrence", "MFS"),
+    ("(^|[^a-z])(os)([^a-z]|$)|overall[ _-]?survival|survival|surv|vital|death|dead|died|die|surtim|surind", "OS"),
 )
 
 

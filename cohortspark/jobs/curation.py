@@ -170,6 +170,7 @@ _TEXTS = {
     "status_raw": ("Dead", "alive", "non-recur", "recurrence", "1", "0", "no event", "Deceased", "N/A", "living", "no relapse", "progression"),
     "num_raw": ("55,7", "1 694", "2.349 years", "50-54", "abc", "-3", "27 months", "12", "60 - 69", "0", "3,5 y", "1 200,5"),
     "flag_raw": ("pos", "negative", "P", "n", "+", "yes", "no", "?", "Positive", "0", "1", "NA"),
+    "tnm_raw": ("pT3b", "cT1", "Tis", "2", "tx", "T4D", "N2b", "pN0", "M1a", "0", "4", "N4"),
     "mut_raw": ("WT", "mutant", "wild type", "p.V600E", "none", "M", "?", "mutated", "yes", "no mutation", "", "wt"),
 }
 
@@ -195,22 +196,27 @@ def _table(expr_of, name):
 
 # expected values by literal, written out by hand
 _STAGE = {"Stage IIIA": "'III'", "2b": "'II'", "IV": "'IV'", "stage i": "'I'", "III": "'III'", "0": "'0'", "Stage II": "'II'"}
-_SEX = {"Man": "'male'", "f": "'female'", "MALE": "'male'", "female": "'female'", "woman": "'female'", "1": "'male'", "2": "'female'", "M": "'male'", "men": "'male'"}
-_GRADE = {"well differentiated": "'G1'", "G2": "'G2'", "high grade": "'G3'", "3": "'G3'", "poor": "'G3'", "grade 4": "'G4'", "moderate": "'G2'", "low": "'G1'", "1": "'G1'", "anaplastic": "'G4'"}
+_SEX = {"Man": "'male'", "f": "'female'", "MALE": "'male'", "female": "'female'", "woman": "'female'", "M": "'male'", "men": "'male'"}
+_GRADE = {"well differentiated": "'G1'", "G2": "'G2'", "high grade": "'G3'", "3": "'G3'", "poor": "'G3'", "moderate": "'G2'", "low": "'G2'", "1": "'G1'"}
 _STATUS = {"Dead": "1", "alive": "0", "non-recur": "0", "recurrence": "1", "1": "1", "0": "0", "no event": "0", "Deceased": "1", "living": "0", "no relapse": "0", "progression": "1"}
-_NUM = {"55,7": "55.7", "1 694": "1694", "2.349 years": "2.349", "50-54": "50", "-3": "-3", "27 months": "27", "12": "12", "60 - 69": "60", "0": "0", "3,5 y": "3.5", "1 200,5": "1200.5"}
-_AGE = {"55,7": "55", "1 694": "1", "2.349 years": "2", "50-54": "52", "27 months": "27", "12": "12", "60 - 69": "64.5", "0": "0", "3,5 y": "3", "1 200,5": "1"}
-_FLAG = {"pos": "'P'", "negative": "'N'", "P": "'P'", "n": "'N'", "+": "'P'", "yes": "'P'", "no": "'N'", "Positive": "'P'", "0": "'N'", "1": "'P'"}
-_MUT = {"WT": "'WT'", "mutant": "'M'", "wild type": "'WT'", "p.V600E": "'M'", "M": "'M'", "mutated": "'M'", "yes": "'M'", "no mutation": "'WT'", "wt": "'WT'"}
+_NUM = {"55,7": "55.7", "1 694": "1694", "2.349 years": "2.349", "50-54": "50", "-3": "-3", "27 months": "27", "12": "12", "60 - 69": "60", "0": "0", "3,5 y": "3", "1 200,5": "1200"}
+_AGE = {"50-54": "52", "-3": "-3", "12": "12", "0": "0"}
+_FLAG = {"pos": "'1'", "negative": "'0'", "P": "'1'", "n": "'0'", "+": "'1'", "Positive": "'1'", "0": "'0'", "1": "'1'"}
+_MUT = {"WT": "'WT'", "mutant": "'M'", "wild type": "'M'", "p.V600E": "'M'", "none": "'M'", "M": "'M'", "?": "'M'", "mutated": "'M'", "yes": "'M'", "no mutation": "'M'", "wt": "'WT'"}
 _T = {"pT2 N0Mx": "'T2'", "T4N1M1": "'T4'", "pT1bN2M0": "'T1'"}
 _N = {"pT2 N0Mx": "'N0'", "T4N1M1": "'N1'", "pT1bN2M0": "'N2'"}
 _MM = {"pT2 N0Mx": "'MX'", "T4N1M1": "'M1'", "pT1bN2M0": "'M0'"}
+_TV = {"pT3b": "'T3'", "cT1": "'T1'", "Tis": "'Tis'", "2": "'T2'", "tx": "'TX'", "T4D": "NULL", "0": "'T0'", "4": "'T4'"}
+_NV = {"N2b": "'N2'", "pN0": "'N0'", "2": "'N2'", "0": "'N0'"}
+_MV = {"M1a": "'M1'", "0": "'M0'"}
 for _n, _f, _col, _tab, _kind in (
     ("cl4_status", fn.status, "status_raw", _STATUS, "INT"), ("cl7_number", fn.number, "num_raw", _NUM, "DOUBLE"), ("cl8_age_mid", fn.age_mid, "num_raw", _AGE, "DOUBLE"), ("cl10_stage", fn.stage, "stage_raw", _STAGE, "VARCHAR"),
     ("cl13_sex", fn.sex, "sex_raw", _SEX, "VARCHAR"), ("cl13_grade", fn.grade, "grade_raw", _GRADE, "VARCHAR"), ("cl13_flag", fn.flag, "flag_raw", _FLAG, "VARCHAR"), ("cl13_mutation", fn.mutation, "mut_raw", _MUT, "VARCHAR"),
 ):
     _q(_n, lambda s, d, f=_f, c=_col: dirty(s, d).select("sample_id", f(F.col(c)).alias("value")), f"WITH {D} SELECT sample_id, CAST({_table(_tab, _col)} AS {_kind}) AS value FROM dt")
 _q("cl12_tnm_parts", lambda s, d: dirty(s, d).select("sample_id", *fn.tnm_parts(F.col("stage_raw"))), f"WITH {D} SELECT sample_id, {_table(_T, 'stage_raw')} AS t_part, {_table(_N, 'stage_raw')} AS n_part, {_table(_MM, 'stage_raw')} AS m_part FROM dt")
+for _p, _vals in {"T": _TV, "N": _NV, "M": _MV}.items():
+    _q(f"cl11_{_p.lower()}", lambda s, d, p=_p: dirty(s, d).select("sample_id", fn.tnm(F.col("tnm_raw"), p).alias("value")), f"WITH {D} SELECT sample_id, {_table(_vals, 'tnm_raw')} AS value FROM dt")
 _q("cl9_missing", lambda s, d: dirty(s, d).select("sample_id", fn.squeezed(F.col("sex_raw")).alias("a"), fn.squeezed(F.col("flag_raw")).alias("b")), f"WITH {D} SELECT sample_id, CASE WHEN sex_raw NOT IN ('NA', '--') THEN sex_raw END AS a, CASE WHEN flag_raw NOT IN ('?', 'NA') THEN flag_raw END AS b FROM dt")
 _q("cl5_years", lambda s, d: r6(dirty(s, d).select("sample_id", fn.years(F.col("sample_id").cast("double") - 5, F.when(F.col("sample_id") % 2 == 0, "days").otherwise("months")).alias("y"), fn.years(F.col("sample_id").cast("double"), "day", 365.0).alias("z")), "y", "z"), f"WITH {D} SELECT sample_id, round(CASE WHEN sample_id % 2 = 0 THEN greatest(sample_id - 5, 0)::DOUBLE / 365.25::DOUBLE ELSE greatest(sample_id - 5, 0)::DOUBLE / 12 END, 6) AS y, round(sample_id::DOUBLE / 365, 6) AS z FROM dt")
 _q("cl6_date_months", lambda s, d: r6(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", fn.event_years(F.col("l_shipdate"), F.col("l_receiptdate"), F.col("l_commitdate"), (F.col("l_returnflag") == "R").cast("int")).alias("y")), "y") if "l_receiptdate" in s.read.parquet(f"{d}/lineitem.parquet").columns else r6(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fn.event_years(F.lit("1990-01-01"), F.col("o_orderdate"), F.lit("2000-01-01"), F.col("o_orderkey") % 2).alias("y")), "y"),
@@ -291,7 +297,7 @@ _q("cl23_screen", lambda s, d: clinical.screen_headers(_headers(s, d)).select("f
 _q("cl24_best_pairs", lambda s, d: clinical.best_pairs(clinical.screen_headers(_headers(s, d))), "SELECT dataset AS file, 'OS' AS token, 'overall survival months' AS time_key, 'vital status' AS event_key, count(*) AS n, sum(status)::BIGINT AS events, true AS best FROM surv GROUP BY dataset UNION ALL SELECT dataset, 'RFS', 'rfs time', 'relapse event', count(*), sum(cr_status)::BIGINT, false FROM surv WHERE sample_id % 6 = 0 AND cr_status < 2 GROUP BY dataset")
 _q("cl25_candidates", lambda s, d: clinical.candidates(catalog(s, d).select("accession", F.when(F.col("n") % 2 == 0, F.col("platform")).otherwise("GPL9").alias("platform"), F.col("n").alias("effective_n")), catalog(s, d).where("accession < 'NATION_2'"), 60), f"WITH {CATALOG_SQL}, f AS (SELECT accession, CASE WHEN n % 2 = 0 THEN platform ELSE 'GPL9' END AS platform, n AS effective_n FROM cat), k AS (SELECT accession, platform AS known FROM cat WHERE accession < 'NATION_2') SELECT accession, f.platform, effective_n, coalesce(known <> f.platform, false) AS platform_mismatch, CASE WHEN effective_n <= 60 THEN 'too few samples' WHEN known = f.platform THEN 'in catalog' END AS reason FROM f LEFT JOIN k USING (accession)")
 _TITLES = ("Breast cancer relapse", "Lung adenocarcinoma cohort", "Glioblastoma series", "Gene atlas", "Colorectal metastasis")
-_q("cl26_cancer", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", fn.cancer_of(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("type")), "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'BRCA' WHEN 1 THEN 'LUAD' WHEN 2 THEN 'GLIOMA' WHEN 4 THEN 'CRC' END AS type FROM part")
+_q("cl26_cancer", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", fn.cancer_of(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("type")), "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Breast' WHEN 1 THEN 'Lung' WHEN 4 THEN 'Colorectal' ELSE 'unknown' END AS type FROM part")
 
 
 def _studies(s, d):
@@ -386,6 +392,81 @@ def _io4(s, d):
 
 
 _q("io4_series_matrix", _io4, "WITH i AS (SELECT DISTINCT dataset, sample_id FROM expr), g AS (SELECT DISTINCT dataset, gene FROM expr) SELECT i.dataset, g.gene AS probe_id, CAST(i.sample_id AS VARCHAR) AS sample_id, value FROM i JOIN g ON g.dataset = i.dataset LEFT JOIN expr e ON e.dataset = i.dataset AND e.sample_id = i.sample_id AND e.gene = g.gene")
+
+def _lines(s, df, by="dataset"):
+    """Files of lines, one folder per value of a column: rows (by, r, line) are written in the order of r. Path of the folder."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.repartition(by).sortWithinPartitions(by, "r").select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
+    return path
+
+
+def _with_head(rows, heads, by="dataset"):
+    """Lines of rows (by, line) under fixed first lines."""
+    keys = rows.select(by).distinct()
+    parts = [keys.select(by, F.lit(f"{k:04d}").alias("r"), F.lit(h).alias("line")) for k, h in enumerate(heads)]
+    out = rows.select(by, F.concat(F.lit("5"), "line").alias("r"), "line")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def _part(s, d):
+    return s.read.parquet(f"{d}/part.parquet").withColumn("dataset", F.regexp_replace("p_brand", "#", "")).withColumn("id", F.col("p_partkey").cast("string"))
+
+
+def _joined(*cols):
+    return F.concat_ws("\t", *cols).alias("line")
+
+
+def _io5(s, d):
+    gene = F.when(F.col("p_size") % 5 == 0, "---").otherwise(F.concat(F.lit("g"), F.col("p_size").cast("string")))
+    rows = _part(s, d).select("dataset", _joined("id", "p_brand", gene, F.lit("x")))
+    last = rows.select("dataset").distinct().select("dataset", F.explode(F.array(F.struct(F.lit("8").alias("r"), F.lit("!platform_table_end").alias("line")), F.struct(F.lit("9").alias("r"), F.lit("9\ta\tb\tc").alias("line")))).alias("x")).select("dataset", "x.*")
+    return readers.platform_table(s, _lines(s, _with_head(rows, ["^PLATFORM", "0\t1\t2", "!platform_table_begin", "ID\tSymbol\tGENE\tENTREZ_GENE_ID"]).unionByName(last))).select("probe_id", "gene")
+
+
+def _io6(s, d):
+    got = readers.sdrf(s, _lines(s, _with_head(_part(s, d).select("dataset", _joined("id", "p_brand", F.lit("day"), F.lit("year"))), ["Source \tArray\tUnit\tUnit"])))
+    return got.select(F.col(readers.pick_column(got, ["^name", "^source"])).alias("id"), "Array", "Unit", "Unit__1")
+
+
+def _io7(s, d):
+    size = F.col("p_size").cast("string")
+    return readers.magetab(s, _lines(s, _with_head(_part(s, d).select("dataset", _joined("id", size, F.lit("P"), F.concat((F.col("p_size") + 2).cast("string"), F.lit(",0")), size)), ["Hyb\tA\tA\tA\tB", "Ref\tvalue\tcall\tvalue\tvalue"])), "value")
+
+
+def _io8(s, d):
+    p = _part(s, d)
+    rows = p.select("dataset", _joined("id", F.col("p_size").cast("string"), F.lit("n/a")))
+    twice = _with_head(rows, ["A\tB"]).unionByName(p.select("dataset", F.lit("6").alias("r"), _joined("id", F.lit("999"), F.lit("999"))))
+    return readers.unlabelled_matrix(s, _lines(s, twice))
+
+
+def _io9(s, d):
+    rows = _part(s, d).select("dataset", _joined("id", F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.when(F.col("p_size") % 3 == 0, " NA").otherwise(F.col("p_size").cast("string"))))
+    return readers.portal_clinical(s, _lines(s, _with_head(rows, ["#Identifier\tText\tNumber", "#STRING\tSTRING\tNUMBER", "PATIENT_ID\tBRAND\tAGE"]))).select("PATIENT_ID", "BRAND", "AGE")
+
+
+def _io10(s, d):
+    rows = _part(s, d).select("dataset", F.concat_ws(";", "id", F.concat(F.col("p_size").cast("string"), F.lit(",5")), F.lit("NA")).alias("line"))
+    return readers.decimal_comma(s, _lines(s, _with_head(rows, ["ID;S1;S2"]))).where("sample_id <> 'dataset'")
+
+
+def _io11(s, d):
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    readers.write_csv(dirty(s, d).select("sample_id", "dataset", fn.sex(F.col("sex_raw")).alias("sex")), path)
+    return s.read.csv(path, header=True, schema="sample_id long, dataset string, sex string")
+
+
+_q("io5_platform_table", _io5, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, CASE WHEN p_size % 5 <> 0 THEN 'g' || CAST(p_size AS VARCHAR) END AS gene FROM part")
+_q("io6_sdrf", _io6, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS \"Array\", 'day' AS \"Unit\", 'year' AS \"Unit__1\" FROM part")
+_q("io7_magetab", _io7, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['A', 'B']) AS sample_id, unnest([p_size + 1, p_size])::DOUBLE AS value FROM part")
+_q("io8_unlabelled", _io8, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['A', 'B']) AS sample_id, unnest([p_size, NULL])::DOUBLE AS value FROM part")
+_q("io9_portal", _io9, "SELECT CAST(p_partkey AS VARCHAR) AS \"PATIENT_ID\", p_brand AS \"BRAND\", CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS VARCHAR) END AS \"AGE\" FROM part")
+_q("io10_decimal_comma", _io10, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['S1', 'S2']) AS sample_id, unnest([p_size + 0.5::DOUBLE, NULL]) AS value FROM part")
+_q("io11_csv", _io11, f"WITH {D} SELECT CAST(sample_id AS BIGINT) AS sample_id, dataset, {_table(_SEX, 'sex_raw')} AS sex FROM dt")
 _q("io1_matrix", lambda s, d: readers.melt(_matrix(s, d), "ID_REF").where("value IS NOT NULL"), "SELECT CAST(probe_id AS VARCHAR) AS probe_id, CAST(sample_id AS VARCHAR) AS sample_id, max(value) AS value FROM probes WHERE dataset = 'BUILDING' AND sample_id IN (7, 13, 19, 22, 25) GROUP BY ALL")
 _q("io2_survival", lambda s, d: r6(readers.survival_table(surv(s, d).select("sample_id", "time", "status")), "time"), "SELECT sample_id AS \"ID\", round(time, 6) AS time, status FROM surv")
 _q("io3_map", lambda s, d: readers.map_for(expression.explode_map(raw_map(s, d)), _genes(s, "Brand#11")).select("platform", "probe_id", "gene"), f"WITH {MAP}, {XM} SELECT * FROM xm WHERE gene = 'Brand#11'")

@@ -157,6 +157,7 @@ def levels(s, d):
 _VERDICT = f"""lv AS ({_LEVELS}), l1 AS (SELECT dataset, variable, level, count(*) AS n, sum(status)::BIGINT AS events FROM lv GROUP BY ALL),
 l2 AS (SELECT *, count(*) OVER w AS levels, sum(n) OVER w AS total, max(n) OVER w AS top FROM l1 WINDOW w AS (PARTITION BY dataset, variable)),
 l3 AS (SELECT dataset, variable, level, n, events, CASE WHEN levels = 1 THEN 'constant' WHEN top::DOUBLE / total >= 0.95 THEN 'near-constant' WHEN n < 5 THEN 'fewer than 5 patients' WHEN events = 0 THEN 'no events' WHEN events = n THEN 'all events' END AS verdict FROM l2)"""
+_q("cx6_estimable", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.when(F.col("dataset") == "BUILDING", F.lit(1.0)).when(F.col("dataset") == "MACHINERY", F.col("status") * 1e6 + F.col("time")).otherwise(F.col("value")))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"))
 _q("cx7_covariate_screen", lambda s, d: cox.covariate_levels(levels(s, d), ["dataset"]).select("dataset", "variable", "level", "n", "events", "verdict"), f"WITH {_VERDICT} SELECT * FROM l3")
 _q("cx7_merged_levels", lambda s, d: cox.merge_levels(levels(s, d).where("variable = 'rare'").withColumn("level", F.when(F.col("sample_id") % 53 == 0, "odd").otherwise(F.when(F.col("sample_id") % 2 == 0, "even").otherwise("other half"))), ["dataset"], 12).groupBy("dataset", "variable", "level", "merged").agg(F.count(F.lit(1)).alias("n")),
    """WITH lv AS (SELECT dataset, 'rare' AS variable, status, CASE WHEN sample_id % 53 = 0 THEN 'odd' WHEN sample_id % 2 = 0 THEN 'even' ELSE 'other half' END AS level FROM surv),

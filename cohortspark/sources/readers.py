@@ -1,14 +1,17 @@
-"""Readers and writers (IO1-IO14). Text formats are read as lines with Spark; a file's lines stay together only where its format needs it."""
+"""Readers and writers (IO1-IO14). Text formats are read as lines, in blocks: a file need not fit in a task."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Candidate gene columns of a platform table, best first. Fixed values.
-GENE_COLUMNS = ("Entrez_Gene_ID", "ENTREZ_GENE_ID", "GENE", "Gene ID", "Gene_ID", "GeneID", "Gene Symbol", "GENE_SYMBOL", "Symbol", "ILMN_Gene")
+from cohortspark.functions.clinical import number
+
+#: Gene columns of a platform table, and texts that stand for no gene.
+GENE_COLUMNS = ("ENTREZ_GENE_ID", "Entrez_Gene_ID", "GENE_ID", "Gene ID", "GENE", "ENTREZID", "gene_id", "Entrez.Gene", "Entrez Gene ID", "Entrez.ID")
+NO_GENE = ("---", "", "NA")
 
 
 def melt(wide: DataFrame, id_column: str, probes: DataFrame | None = None) -> DataFrame:
@@ -30,63 +33,86 @@ def map_for(platform_map: DataFrame, genes: DataFrame) -> DataFrame:
     return platform_map.join(genes, "gene", "left_semi")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of text files: one file is one record (they are read whole to keep the order of lines)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return raw.where("line <> ''")
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, line of text files without blank lines; ``at`` rises along each file, whose blocks are read apart."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return raw.where("trim(line) <> ''")
+
+
+def _first_lines(lines: DataFrame, rank: int = 1) -> DataFrame:
+    """file, at, line of the first lines of each file, numbered from 1 as r: partial minima, no sort of whole files."""
+    top = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("x")).select("file", "x.at", "x.line", F.lit(1).alias("r"))
+    if rank == 1:
+        return top
+    rest = lines.join(top.select("file", F.col("at").alias("_at")), "file").where("at > _at").drop("_at")
+    return top.unionByName(_first_lines(rest).withColumn("r", F.lit(2)))
+
+
+def _between(lines: DataFrame, begin: str, end: str) -> DataFrame:
+    """The lines of each file after its first line that starts with ``begin``, up to its first later line that starts with ``end``."""
+    marks = lines.where(F.col("line").startswith(begin) | F.col("line").startswith(end)).groupBy("file").agg(
+        F.min(F.when(F.col("line").startswith(begin), F.col("at"))).alias("_from"), F.min(F.when(F.col("line").startswith(end), F.col("at"))).alias("_to")
+    )
+    return lines.join(marks, "file").where("at > _from AND (_to IS NULL OR at < _to)").drop("_from", "_to")
+
+
+def _rest(c: str = "c") -> Column:
+    """The cells of a line after the first."""
+    return F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
 
 
 def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """IO4: (file, key, value) of series lines, (file, sample_id, key, value) of sample lines, (file, probe_id, sample_id, value) of the body."""
-    lines = numbered_lines(spark, path)
-    cells = lines.withColumn("c", F.transform(F.split("line", "\t"), lambda x: F.regexp_replace(x, '^"|"$', "")))
+    """IO4: (file, key, value) of series lines, (file, sample_id, key, at, value) of sample lines, (file, probe_id, sample_id, value) of the body."""
+    split = lambda d: d.withColumn("c", F.transform(F.split("line", "\t"), lambda x: F.regexp_replace(x, '^"|"$', "")))
+    lines = ordered_lines(spark, path)
+    cells = split(lines)
     series = cells.where(F.col("line").startswith("!Series_")).select("file", F.regexp_replace(F.col("c")[0], "^!Series_", "").alias("key"), F.col("c")[1].alias("value"))
-    tagged = cells.where(F.col("line").startswith("!Sample_")).select("file", "line_no", F.regexp_replace(F.col("c")[0], "^!Sample_", "").alias("key"), F.posexplode(F.slice("c", 2, 100000)).alias("place", "value"))
+    tagged = cells.where(F.col("line").startswith("!Sample_")).select("file", "at", F.regexp_replace(F.col("c")[0], "^!Sample_", "").alias("key"), F.posexplode(_rest()).alias("place", "value"))
     ids = tagged.where("key = 'geo_accession'").select("file", "place", F.col("value").alias("sample_id"))
-    samples = tagged.where("key <> 'geo_accession'").join(ids, ["file", "place"]).select("file", "sample_id", "key", "line_no", "value")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    flag = F.when(F.col("line").startswith("!series_matrix_table_begin"), 1).when(F.col("line").startswith("!series_matrix_table_end"), -1).otherwise(0)
-    body = cells.withColumn("open", F.sum(flag).over(w)).where("open = 1 AND NOT startswith(line, '!')")
-    first = Window.partitionBy("file").orderBy("line_no")
-    body = body.withColumn("r", F.row_number().over(first))
-    head = body.where("r = 1").select("file", F.posexplode(F.slice("c", 2, 100000)).alias("place", "sample_id"))
-    rows = body.where("r > 1").select("file", F.col("c")[0].alias("probe_id"), F.posexplode(F.slice("c", 2, 100000)).alias("place", "value"))
+    samples = tagged.where("key <> 'geo_accession'").join(ids, ["file", "place"]).select("file", "sample_id", "key", "at", "value")
+    table = _between(lines, "!series_matrix_table_begin", "!series_matrix_table_end")
+    top = _first_lines(table)
+    head = split(top).select("file", F.posexplode(_rest()).alias("place", "sample_id"))
+    body = split(table.join(top.select("file", F.col("at").alias("_at")), "file").where("at > _at"))
+    rows = body.select("file", F.col("c")[0].alias("probe_id"), F.posexplode(_rest()).alias("place", "value"))
     return series, samples, rows.join(head, ["file", "place"]).select("file", "probe_id", "sample_id", F.col("value").try_cast("double").alias("value"))
 
 
 def platform_table(spark: SparkSession, path: str, candidates: Sequence[str] = GENE_COLUMNS) -> DataFrame:
-    """IO5: (file, probe_id, gene) from the platform table of SOFT files; the gene is the first filled candidate column."""
-    lines = numbered_lines(spark, path)
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    flag = F.when(F.col("line").startswith("!platform_table_begin"), 1).when(F.col("line").startswith("!platform_table_end"), -1).otherwise(0)
-    body = lines.withColumn("open", F.sum(flag).over(w)).where("open = 1 AND NOT startswith(line, '!')").withColumn("c", F.split("line", "\t"))
-    body = body.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
-    head = body.where("r = 1").select("file", F.posexplode("c").alias("place", "name"))
-    rank = F.coalesce(*[F.when(F.col("name") == n, F.lit(k)) for k, n in enumerate(candidates)])
-    cells = body.where("r > 1").select("file", F.col("c")[0].alias("probe_id"), F.posexplode("c").alias("place", "value")).join(head, ["file", "place"]).withColumn("rank", rank)
-    return cells.groupBy("file", "probe_id").agg(F.min_by("value", F.when(F.col("rank").isNotNull() & (F.trim("value") != ""), F.col("rank"))).alias("gene"))
+    """IO5: (file, probe_id, gene) from the platform table of SOFT files.
+
+    The gene column is the first of the header that is a candidate; a file without one has null genes. Rows without a
+    probe name are left out.
+    """
+    table = _between(ordered_lines(spark, path), "!platform_table_begin", "!platform_table_end")
+    top = _first_lines(table).withColumn("c", F.split("line", "\t"))
+    place = F.get(F.filter(F.transform("c", lambda x, i: F.when(x.isin(*candidates), i)), lambda x: x.isNotNull()), F.lit(0))
+    head = top.select("file", F.col("at").alias("_at"), place.alias("place"))
+    body = table.join(head, "file").where("at > _at").withColumn("c", F.split("line", "\t")).withColumn("gene", F.get("c", F.col("place")))
+    return body.where(~F.col("c")[0].isin("", "---")).select("file", F.col("c")[0].alias("probe_id"), F.when(~F.col("gene").isin(*NO_GENE), F.col("gene")).alias("gene"))
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """IO6: repeated column names get .1, .2 and so on."""
-    seen: dict[str, int] = {}
+    """IO6: repeated column names get __1, __2 and so on, past names that are there."""
+    there, used = set(names), set()
     out = []
     for n in names:
-        k = seen.get(n, 0)
-        seen[n] = k + 1
-        out.append(n if k == 0 else f"{n}.{k}")
+        name, k = n, 0
+        while name in used or (k and name in there):
+            k += 1
+            name = f"{n}__{k}"
+        used.add(name)
+        out.append(name)
     return out
 
 
 def sdrf(spark: SparkSession, path: str) -> DataFrame:
-    """IO6: tab-separated sample annotation with repeated column names made unique."""
-    raw = spark.read.csv(path, sep="\t", header=False)
-    head = spark.read.text(path).first()[0].split("\t")
-    first = [F.col(c) == h for c, h in zip(raw.columns, head, strict=True)]
-    cond = first[0]
-    for c in first[1:]:
-        cond = cond & c
-    return raw.where(~F.coalesce(cond, F.lit(False))).toDF(*unique_names(head))
+    """IO6: tab-separated sample annotation of one layout, all text, with trimmed column names made unique."""
+    lines = ordered_lines(spark, path)
+    top = _first_lines(lines)
+    names = [n.strip() for n in top.orderBy("file").first()["line"].split("\t")]
+    body = lines.join(top.select("file", F.col("at").alias("_at")), "file").where("at > _at").select(F.split("line", "\t").alias("c"))
+    return body.select(*[F.get("c", F.lit(k)).alias(n) for k, n in enumerate(unique_names(names))])
 
 
 def pick_column(df: DataFrame, patterns: Sequence[str]) -> str | None:
@@ -96,23 +122,36 @@ def pick_column(df: DataFrame, patterns: Sequence[str]) -> str | None:
     return next((c for p in patterns for c in df.columns if re.search(p, c, re.IGNORECASE)), None)
 
 
-def magetab(spark: SparkSession, path: str, value_column: str) -> DataFrame:
-    """IO7: (probe_id, sample_id, value) of a matrix with two header rows; repeated samples are averaged."""
-    c = numbered_lines(spark, path).withColumn("c", F.split("line", "\t"))
-    names = c.where("line_no = 0").select("file", F.posexplode("c").alias("place", "sample_id"))
-    kinds = c.where("line_no = 1").select("file", F.posexplode("c").alias("place", "kind"))
-    head = names.join(kinds, ["file", "place"]).where((F.col("place") > 0) & (F.col("kind") == value_column))
-    cells = c.where("line_no > 1").select("file", F.col("c")[0].alias("probe_id"), F.posexplode("c").alias("place", "value"))
-    return cells.join(head, ["file", "place"]).groupBy("probe_id", "sample_id").agg(F.avg(F.col("value").try_cast("double")).alias("value"))
+def magetab(spark: SparkSession, path: str, value_column: str | None = None) -> DataFrame:
+    """IO7: (probe_id, sample_id, value) of a matrix with two header rows: sample names and kinds of value.
+
+    Only columns of the given kind (all, if none is given); repeated samples are averaged over their numbers.
+    """
+    lines = ordered_lines(spark, path)
+    top = _first_lines(lines, 2).withColumn("c", F.split("line", "\t"))
+    names = top.where("r = 1").select("file", F.posexplode(_rest()).alias("place", "sample_id"))
+    kinds = top.where("r = 2").select("file", F.col("at").alias("_at"), F.posexplode(_rest()).alias("place", "kind"))
+    head = names.join(kinds.drop("_at"), ["file", "place"])
+    head = head if value_column is None else head.where(F.col("kind") == value_column)
+    body = lines.join(top.where("r = 2").select("file", F.col("at").alias("_at")), "file").where("at > _at").withColumn("c", F.split("line", "\t"))
+    cells = body.select("file", F.col("c")[0].alias("probe_id"), F.posexplode(_rest()).alias("place", "value"))
+    return cells.join(head, ["file", "place"]).groupBy("probe_id", "sample_id").agg(F.avg(number(F.col("value"))).alias("value"))
 
 
 def unlabelled_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """IO8: a matrix whose header lacks the id column; the first row of a repeated probe counts."""
-    c = numbered_lines(spark, path).withColumn("c", F.split("line", "\t"))
-    head = c.where("line_no = 0").select("file", F.posexplode("c").alias("place", "sample_id"))
-    w = Window.partitionBy("file", F.col("c")[0]).orderBy("line_no")
-    rows = c.where("line_no > 0").withColumn("r", F.row_number().over(w)).where("r = 1").select("file", F.col("c")[0].alias("probe_id"), F.posexplode(F.slice("c", 2, 100000)).alias("place", "value"))
-    return rows.join(head, ["file", "place"]).select("probe_id", "sample_id", F.col("value").try_cast("double").alias("value"))
+    """IO8: (probe_id, sample_id, value) of a matrix whose header may lack the id column; the first row of a repeated probe counts.
+
+    A file whose rows are neither as long as the header nor one longer gives no rows.
+    """
+    lines = ordered_lines(spark, path)
+    top = _first_lines(lines)
+    split = lambda d: d.withColumn("c", F.transform(F.split("line", "\t"), lambda x: F.regexp_replace(x, '^"|"$', "")))
+    body = split(lines.join(top.select("file", F.col("at").alias("_at"), F.size(F.split("line", "\t")).alias("wide")), "file").where("at > _at"))
+    first = body.groupBy("file", "wide", F.col("c")[0].alias("probe_id")).agg(F.min_by("c", "at").alias("c"))
+    cells = first.withColumn("ids", F.col("wide") - F.size("c") + 1).where("ids IN (0, 1)").select("file", "probe_id", "ids", F.posexplode(_rest()).alias("place", "value"))
+    head = split(top).select("file", F.posexplode("c").alias("at_head", "sample_id"))
+    both = cells.withColumn("at_head", F.col("place") + F.col("ids")).join(head, ["file", "at_head"])
+    return both.select("probe_id", "sample_id", number(F.col("value")).alias("value"))
 
 
 def portal_clinical(spark: SparkSession, path: str) -> DataFrame:
@@ -122,9 +161,9 @@ def portal_clinical(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decimal_comma(spark: SparkSession, path: str) -> DataFrame:
-    """IO10: semicolon-separated matrix with decimal commas, long."""
+    """IO10: semicolon-separated matrix with decimal commas, long; the first comma of a cell is its decimal point."""
     df = spark.read.csv(path, sep=";", header=True)
-    return melt(df.select(df.columns[0], *[F.regexp_replace(F.col(f"`{c}`"), ",", ".").alias(c) for c in df.columns[1:]]), df.columns[0])
+    return melt(df.select(df.columns[0], *[F.regexp_replace(F.col(f"`{c}`"), "^([^,]*),", "$1.").alias(c) for c in df.columns[1:]]), df.columns[0])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

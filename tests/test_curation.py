@@ -15,6 +15,14 @@ def test_clinical_text(spark):
     assert one(spark, fn.stage, ["Stage IIIA", "2b", "pT2 N0Mx", None]) == ["III", "II", None, None]
     assert one(spark, lambda c: fn.tnm(c, "T"), ["pT1b", "TIS", "2", ""]) == ["T1", "Tis", "T2", None]
     assert one(spark, lambda c: fn.tnm(c, "N"), ["N2b"]) == ["N2"]
+    assert one(spark, lambda c: fn.tnm(c, "N"), ["pN0", "N4", "3", "4"]) == ["N0", None, "N3", None]
+    assert one(spark, lambda c: fn.tnm_parts(c)[1], ["pT2 N0Mx", "T1", "pN2apT3"]) == ["N0", None, "N2"]
+    assert one(spark, fn.age_mid, ["50-54", "61", "55,7", "60 - 69", ""]) == [52.0, 61.0, None, None, None]
+    assert one(spark, fn.mutation, ["wt", "G12D", "NA", None]) == ["WT", "M", None, None]
+    assert one(spark, fn.flag, ["neg", "+", "-", "yes"]) == ["0", "1", "0", None]
+    assert one(spark, fn.flag_in, ["HER2 positive", "negative", "na"]) == ["1", "0", None]
+    assert one(spark, fn.grade, ["low", "G9", "7", "anaplastic"]) == ["G2", "G9", "7", None]
+    assert one(spark, fn.token_of_key, ["os.time", "DFI", "distant metastasis", "age"]) == ["OS", "DFS", "MFS", None]
     assert one(spark, fn.grade, ["well differentiated", "high grade", "GX"]) == ["G1", "G3", None]
     assert one(spark, fn.number, ["55,7", "1 694", "2.349 years"]) == [55.7, 1694.0, 2.349]
     assert one(spark, fn.status, ["non-recur", "recur", "Deceased", "--"]) == [0, 1, 1, None]
@@ -90,7 +98,7 @@ def test_text_formats(spark, tmp_path):
     assert {(r.probe_id, r.gene) for r in readers.platform_table(spark, str(tmp_path / "s.txt")).collect()} == {("p1", "7157"), ("p2", "EGFR")}
     (tmp_path / "sdrf.txt").write_text("Name\tUnit\tUnit\na\tx\ty\n")
     got = readers.sdrf(spark, str(tmp_path / "sdrf.txt"))
-    assert got.columns == ["Name", "Unit", "Unit.1"] and got.count() == 1 and readers.pick_column(got, ["zz", "unit"]) == "Unit"
+    assert got.columns == ["Name", "Unit", "Unit__1"] and got.count() == 1 and readers.pick_column(got, ["zz", "unit"]) == "Unit"
     (tmp_path / "mage.txt").write_text("Hyb\tA\tA\tA\nRef\tvalue\tcall\tvalue\np1\t1\tP\t3\n")
     assert [(r.sample_id, r.value) for r in readers.magetab(spark, str(tmp_path / "mage.txt"), "value").collect()] == [("A", 2.0)]
     (tmp_path / "u.tsv").write_text("A\tB\np1\t1\t2\np1\t9\t9\n")
