@@ -189,17 +189,67 @@ def token_of_key(key: Column) -> Column:
     return out
 
 
-def role_of(key: Column, value: Column) -> Column:
-    """CL23: time or event, by key words, else by value."""
+#: Keys that never hold survival, words of time and event keys, generic keys that may pair with any endpoint.
+EXCLUDED_KEY = (
+    "age|braf|margin|residual|menopause|race|ethnic|smok|hpv|histolog|diagnos|\\bdx\\b|pathologic|birth|surgery|operation|treat|therap|drug|dose|"
+    "batch|plate|scan|center|institut|country|gender|^sex|height|weight|stage|grade|site|tumor[ _-]?status|tissue|cell|culture|passage|protocol|keyword|date|"
+    "group|subgrp|cluster|class|subtype|response|responder|censor[ _-]?reason|sample[ _-]?id|record[ _-]?id|patient[ _-]?id|^id$|number|prior[ _-]?lines"
+)
+TIME_KEY = "time|month|year|day|follow"
+EVENT_KEY = "event|status|vital|death|dead|died|die|recur|relaps|progress|indicator|surv|outcome|censor|metasta"
+GENERIC_TIME = (
+    "surv|follow|vital|surtim|overall|disease|recur|relaps|progress|metasta|dfs|rfs|pfs|dss|(^|[^a-z])os([^a-z]|$)|^(time|months|years|days|follow[ _-]?up)(\\s*\\(.*\\))?$|"
+    "(^|[^a-z])(futime|ftime|months?|years?|days?|fu|last[ _-]?fu|follow[ _-]?up)([^a-z]|$)"
+)
+GENERIC_EVENT = "surv|vital|death|dead|die|recur|relaps|progress|event|censor|follow|^(status|event|indicator)$|(^|[^a-z])(fustat|stat|fu[ _-]?stat|dead|died)([^a-z]|$)"
+#: Texts for missing, no event, event; state and time in one text; longest text that is read as an event.
+NO_VALUE = "^(na|n/?a|unknown|not available|not applicable|no more data|none|null|nd|--?|-|\\?|not determined|undetermined|not done|missing|no data)$"
+NO_EVENT = (
+    "alive|^no\\b|^n$|^false|negative|free of|no evidence|not recur|not progress|did not|without|^0$|no relapse|no recurrence|no progression|no death|ned|tumor free|"
+    "^non[ _-]?(recur|relaps|progress|event)"
+)
+AN_EVENT = "dead|death|deceased|died|^yes|^y$|^true|positive|recur|relaps|progress|event|^1$|recurrence|metasta|decease"
+STATE_AND_TIME = (
+    "(alive|dead|deceased|died|no evidence of disease|ned|recurrence|relapse|recurred|relapsed|progression|progressed|metastasis|metastatic)[^0-9]{0,30}?"
+    "([0-9]+(?:\\.[0-9]+)?)\\s*(month|year|day|week)s?"
+)
+LONGEST_EVENT = 40
+
+
+def unquoted(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))
+
+
+def event_of(value: Column) -> Column:
+    """CL23: 1, 0 or null of a value of an event key; texts without an event come first, numbers must be 0 or 1."""
+    t = F.lower(unquoted(value))
+    n = t.try_cast("double")
+    return F.when((t == "") | t.rlike(NO_VALUE), None).when(t.rlike("^-?[0-9.]+$"), F.when(n.isin(0, 1), n)).when(t.rlike(NO_EVENT), 0.0).when(t.rlike(AN_EVENT), 1.0)
+
+
+def time_of(value: Column) -> Column:
+    """CL23: the first number of a value of a time key."""
+    return F.regexp_extract(unquoted(value), r"[-+]?[0-9]*\.?[0-9]+", 0).try_cast("double")
+
+
+def survival_values(key: Column, value: Column) -> list[Column]:
+    """CL23: what a key/value cell gives as time and as event.
+
+    Keys with only time words give times, with only event words events, others both if the value can be read so. A key of
+    no endpoint must be a generic one for the role; remarks in brackets do not count for that. Excluded keys give nothing.
+    """
     k = F.lower(key)
-    return (
-        F.when(k.rlike("time|month|day|year|week|duration|follow"), "time").when(k.rlike("status|event|censor|vital|dead|death|alive"), "event")
-        .when(status(value).isNotNull() & ~value.rlike("^[0-9.]+$"), "event").when(value.try_cast("double").isNotNull(), "time")
-    )
+    bare = F.regexp_replace(k, r"\([^)]*\)", " ")
+    timely, eventful, named = k.rlike(TIME_KEY), k.rlike(EVENT_KEY), token_of_key(key).isNotNull()
+    ok = ~k.rlike(EXCLUDED_KEY)
+    time = F.when(ok & (timely | ~eventful) & (named | bare.rlike(GENERIC_TIME)), time_of(value))
+    event = F.when(ok & (eventful | ~timely) & (named | bare.rlike(GENERIC_EVENT)) & (F.length(value) <= LONGEST_EVENT), event_of(value))
+    return [time.alias("time"), event.alias("event")]
 
 
 def combined(value: Column) -> list[Column]:
-    """CL23: state, time and unit of texts such as "Deceased after 27 months"."""
-    p = r"(?i)^ *(alive|deceased|dead|died|living)[a-z ]* ([0-9]+\.?[0-9]*) *(day|week|month|year)s?"
-    word, n, unit = (F.regexp_extract(value, p, k) for k in (1, 2, 3))
-    return [F.when(word != "", status(word)).alias("state"), F.when(n != "", n.try_cast("double")).alias("time"), F.when(unit != "", F.lower(unit)).alias("unit")]
+    """CL23: state, time, unit and endpoint of texts such as "Deceased after 27 months"."""
+    t = F.lower(unquoted(value))
+    word, n, unit = (F.regexp_extract(t, STATE_AND_TIME, k) for k in (1, 2, 3))
+    token = F.when(word == "", None).when(word.rlike("recur|relaps"), "RFS").when(word.rlike("progress"), "PFS").when(word.rlike("metasta"), "MFS").otherwise("OS")
+    return [F.when(word != "", F.when(word.rlike("alive|no evidence|ned"), 0).otherwise(1)).alias("state"), n.try_cast("double").alias("time"), F.nullif(unit, F.lit("")).alias("unit"), token.alias("token")]

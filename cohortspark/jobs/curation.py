@@ -293,7 +293,9 @@ def _headers(s, d):
     return v.select(F.col("dataset").alias("file"), "sample_id", F.explode(F.array(cell("overall survival months", F.round(F.col("time") * 12, 1)), cell("vital status", F.when(F.col("status") == 1, "dead").otherwise("alive")), cell("relapse event", F.when(F.col("sample_id") % 2 == 0, F.col("cr_status").cast("string"))), cell("rfs time", F.when(F.col("sample_id") % 3 == 0, F.round("cr_time", 2))), cell("drug response time", F.lit("3")), cell("colour", F.lit("red")))).alias("x")).select("file", "sample_id", "x.*").where("value IS NOT NULL")
 
 
-_q("cl23_screen", lambda s, d: clinical.screen_headers(_headers(s, d)).select("file", "sample_id", "key", "token", "role"), "SELECT dataset AS file, sample_id, unnest(['overall survival months', 'vital status', 'relapse event', 'rfs time']) AS key, unnest(['OS', 'OS', 'RFS', 'RFS']) AS token, unnest(['time', 'event', 'event', 'time']) AS role FROM surv WHERE sample_id % 6 = 0 UNION ALL SELECT dataset, sample_id, unnest(['overall survival months', 'vital status', 'relapse event']), unnest(['OS', 'OS', 'RFS']), unnest(['time', 'event', 'event']) FROM surv WHERE sample_id % 6 IN (2, 4) UNION ALL SELECT dataset, sample_id, unnest(['overall survival months', 'vital status', 'rfs time']), unnest(['OS', 'OS', 'RFS']), unnest(['time', 'event', 'time']) FROM surv WHERE sample_id % 6 = 3 UNION ALL SELECT dataset, sample_id, unnest(['overall survival months', 'vital status']), unnest(['OS', 'OS']), unnest(['time', 'event']) FROM surv WHERE sample_id % 6 IN (1, 5)")
+_q("cl23_screen", lambda s, d: clinical.screen_headers(_headers(s, d)).select("file", "sample_id", "key", "token", "role"),
+   """SELECT dataset AS file, sample_id, 'overall survival months' AS key, 'OS' AS token, 'time' AS role FROM surv UNION ALL SELECT dataset, sample_id, 'overall survival months', 'OS', 'event' FROM surv WHERE round(time * 12, 1) IN (0, 1)
+UNION ALL SELECT dataset, sample_id, 'vital status', 'OS', 'event' FROM surv UNION ALL SELECT dataset, sample_id, 'relapse event', 'RFS', 'event' FROM surv WHERE sample_id % 2 = 0 AND cr_status < 2 UNION ALL SELECT dataset, sample_id, 'rfs time', 'RFS', 'time' FROM surv WHERE sample_id % 3 = 0""")
 _q("cl24_best_pairs", lambda s, d: clinical.best_pairs(clinical.screen_headers(_headers(s, d))), "SELECT dataset AS file, 'OS' AS token, 'overall survival months' AS time_key, 'vital status' AS event_key, count(*) AS n, sum(status)::BIGINT AS events, true AS best FROM surv GROUP BY dataset UNION ALL SELECT dataset, 'RFS', 'rfs time', 'relapse event', count(*), sum(cr_status)::BIGINT, false FROM surv WHERE sample_id % 6 = 0 AND cr_status < 2 GROUP BY dataset")
 _q("cl25_candidates", lambda s, d: clinical.candidates(catalog(s, d).select("accession", F.when(F.col("n") % 2 == 0, F.col("platform")).otherwise("GPL9").alias("platform"), F.col("n").alias("effective_n")), catalog(s, d).where("accession < 'NATION_2'"), 60), f"WITH {CATALOG_SQL}, f AS (SELECT accession, CASE WHEN n % 2 = 0 THEN platform ELSE 'GPL9' END AS platform, n AS effective_n FROM cat), k AS (SELECT accession, platform AS known FROM cat WHERE accession < 'NATION_2') SELECT accession, f.platform, effective_n, coalesce(known <> f.platform, false) AS platform_mismatch, CASE WHEN effective_n <= 60 THEN 'too few samples' WHEN known = f.platform THEN 'in catalog' END AS reason FROM f LEFT JOIN k USING (accession)")
 _TITLES = ("Breast cancer relapse", "Lung adenocarcinoma cohort", "Glioblastoma series", "Gene atlas", "Colorectal metastasis")

@@ -68,7 +68,7 @@ def t_table(df: DataFrame) -> DataFrame:
 def domain_violations(df: DataFrame) -> DataFrame:
     """CL17: OK, or ISSUE with the rules broken, per dataset. Columns: time, status, stage, t, n, m, sex, grade, age."""
     rules = {
-        "age outside 0-120": ~F.col("age").between(0, 120), "grade": ~F.col("grade").isin("G1", "G2", "G3", "G4"), "m": ~F.col("m").isin("M0", "M1", "MX"), "n": ~F.col("n").isin("N0", "N1", "N2", "N3", "NX"),
+        "age outside 0-120": ~F.col("age").between(0, 120), "grade": ~F.col("grade").rlike("^(G[1-4]|[5-9]|10)$"), "m": ~F.col("m").isin("M0", "M1", "MX"), "n": ~F.col("n").isin("N0", "N1", "N2", "N3", "NX"),
         "sex": ~F.col("sex").isin("male", "female"), "stage": ~F.col("stage").isin("0", "I", "II", "III", "IV"), "status not 0/1": ~F.col("status").isin(0, 1), "t": ~F.col("t").isin("T0", "T1", "T2", "T3", "T4", "TX", "Tis"), "time negative": F.col("time") < 0,
     }
     g = df.groupBy("dataset").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
@@ -119,20 +119,36 @@ def match_samples(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def screen_headers(cells: DataFrame) -> DataFrame:
-    """CL23: file, sample_id, key, token, role, value of key/value cells that speak of survival; excluded keys go."""
-    k = F.col("key")
-    out = cells.where(~F.lower(k).rlike("treatment|therapy|drug|cell line|passage")).withColumn("token", fn.token_of_key(k)).where("token IS NOT NULL")
-    return out.withColumn("role", fn.role_of(k, F.col("value"))).where("role IS NOT NULL").select("file", "sample_id", "key", "token", "role", "value")
+    """CL23: file, sample_id, key, token, role, number of key/value cells that can be read as a time or an event.
+
+    A cell may be both. The token is null for generic keys. A text with state and time in one gives both roles under the
+    key value_text[token]. Cells: file, sample_id, key, value.
+    """
+    row = lambda key, token, role, number: F.struct(key.alias("key"), token.alias("token"), F.lit(role).alias("role"), number.cast("double").alias("number"))
+    k, v = F.col("key"), F.col("value")
+    time, event = fn.survival_values(k, v)
+    state, both, _, token = fn.combined(v)
+    name = F.concat(F.lit("value_text["), token, F.lit("]"))
+    found = F.array(row(k, fn.token_of_key(k), "time", time), row(k, fn.token_of_key(k), "event", event), row(name, token, "time", both), row(name, token, "event", state))
+    return cells.select("file", "sample_id", F.explode(found).alias("x")).select("file", "sample_id", "x.*").where("number IS NOT NULL")
 
 
 def best_pairs(screened: DataFrame) -> DataFrame:
-    """CL24: per file and token the time and event keys most samples have both of; then the best token of each file."""
-    t = screened.where("role = 'time'").where(fn.number(F.col("value")).isNotNull()).select("file", "token", "sample_id", F.col("key").alias("time_key"))
-    e = screened.where("role = 'event'").withColumn("s", fn.status(F.col("value"))).where("s IS NOT NULL").select("file", "token", "sample_id", F.col("key").alias("event_key"), "s")
-    g = t.join(e, ["file", "token", "sample_id"]).groupBy("file", "token", "time_key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("events"))
-    w = Window.partitionBy("file", "token").orderBy(F.desc("n"), "time_key", "event_key")
+    """CL24: per file and token the time and event keys most samples have both of; then the best token of each file.
+
+    Generic keys pair with every token of their file, and give way to the token's own where numbers of samples are equal;
+    then come names. A key with only zeros and ones is no time. Of repeated cells of a sample the least counts.
+    """
+    one = screened.groupBy("file", "token", "role", "key", "sample_id").agg(F.min("number").alias("x"))
+    tokens = screened.where("token IS NOT NULL").select("file", F.col("token").alias("t")).distinct()
+    bags = one.join(tokens, "file").where("token IS NULL OR token = t").select("file", F.col("t").alias("token"), "role", "key", "sample_id", "x", F.col("token").isNull().cast("int").alias("generic"))
+    keys = bags.where("role = 'time'").groupBy("file", "token", "key").agg(F.max((~F.col("x").isin(0, 1)).cast("int")).alias("timely")).where("timely = 1").select("file", "token", "key")
+    t = bags.where("role = 'time'").join(keys, ["file", "token", "key"], "left_semi").select("file", "token", "sample_id", F.col("key").alias("time_key"), F.col("generic").alias("g1"))
+    e = bags.where("role = 'event'").select("file", "token", "sample_id", F.col("key").alias("event_key"), F.col("generic").alias("g2"), F.col("x").cast("int").alias("s"))
+    g = t.join(e, ["file", "token", "sample_id"]).groupBy("file", "token", "time_key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("events"), F.max(F.col("g1") + F.col("g2")).alias("generic"))
+    w = Window.partitionBy("file", "token").orderBy(F.desc("n"), "generic", "time_key", "event_key")
     v = Window.partitionBy("file").orderBy(F.desc("n"), F.desc("events"), "token")
-    return g.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("best", F.row_number().over(v) == 1).drop("r")
+    return g.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("best", F.row_number().over(v) == 1).drop("r", "generic")
 
 
 def candidates(found: DataFrame, catalog: DataFrame, least: int = 50) -> DataFrame:

@@ -28,7 +28,15 @@ def test_clinical_text(spark):
     assert one(spark, fn.status, ["non-recur", "recur", "Deceased", "--"]) == [0, 1, 1, None]
     assert one(spark, fn.squeezed, ["99 UNK", "#N/A", "--", " a  b "]) == [None, None, None, "a b"]
     df = spark.createDataFrame([("Deceased after 27 months",)], "v string")
-    assert df.select(*fn.combined(F.col("v"))).first() == (1, 27.0, "month")
+    assert df.select(*fn.combined(F.col("v"))).first() == (1, 27.0, "month", "OS")
+    assert one(spark, fn.event_of, ["no recurrence", "Relapse", "2", "1", "nd", ""]) == [0.0, 1.0, None, 1.0, None, None]
+    cells = [("f", s, k, v) for s, k, v in [(1, "futime", "12"), (1, "os status", "dead"), (2, "futime", "9.5"), (2, "os status", "0"), (2, "os months", "9"), (1, "tumor stage", "1"), (2, "note", "relapsed at 3 months")]]
+    got = clinical.screen_headers(spark.createDataFrame(cells, "file string, sample_id int, key string, value string"))
+    assert {(r.sample_id, r.key, r.token, r.role, r.number) for r in got.collect()} == {
+        (1, "futime", None, "time", 12.0), (1, "os status", "OS", "event", 1.0), (2, "futime", None, "time", 9.5), (2, "os status", "OS", "event", 0.0), (2, "os months", "OS", "time", 9.0),
+        (2, "value_text[RFS]", "RFS", "time", 3.0), (2, "value_text[RFS]", "RFS", "event", 1.0),
+    }
+    assert {(r.token, r.time_key, r.event_key, r.n, r.events, r.best) for r in clinical.best_pairs(got).collect()} == {("OS", "futime", "os status", 2, 1, True), ("RFS", "value_text[RFS]", "value_text[RFS]", 1, 1, False)}
 
 
 def test_signature():
@@ -95,7 +103,7 @@ def test_text_formats(spark, tmp_path):
     assert {(r.sample_id, r.value) for r in samples.collect()} == {("G1", "age: 3"), ("G2", "age: 4")}
     assert {(r.probe_id, r.sample_id, r.value) for r in body.collect()} == {("p1", "G1", 1.5), ("p1", "G2", None), ("p2", "G1", 2.0), ("p2", "G2", 3.0)}
     (tmp_path / "s.txt").write_text("^PLATFORM\n!platform_table_begin\nID\tSymbol\tENTREZ_GENE_ID\np1\tTP53\t7157\np2\tEGFR\t\n!platform_table_end\n")
-    assert {(r.probe_id, r.gene) for r in readers.platform_table(spark, str(tmp_path / "s.txt")).collect()} == {("p1", "7157"), ("p2", "EGFR")}
+    assert {(r.probe_id, r.gene) for r in readers.platform_table(spark, str(tmp_path / "s.txt")).collect()} == {("p1", "7157"), ("p2", None)}
     (tmp_path / "sdrf.txt").write_text("Name\tUnit\tUnit\na\tx\ty\n")
     got = readers.sdrf(spark, str(tmp_path / "sdrf.txt"))
     assert got.columns == ["Name", "Unit", "Unit__1"] and got.count() == 1 and readers.pick_column(got, ["zz", "unit"]) == "Unit"
