@@ -4,12 +4,14 @@ The items (in units of at most UNIT words) form an inverted index of impacts, ea
 own text, so a passage that holds a unit scores 1 and one threshold fits all. Units are sorted so that alike ones share
 blocks; each term has its greatest impact per block. For all passages of a batch at once, the sums of these bounds rule
 out most (passage, block) pairs; the rest go through WAND within the block. What reaches the threshold is verified:
-shared five-word sequences of the question and shared words of the answer.
+shared five-word sequences of the question and shared words of the answer, of the whole item and around the passage, as
+far as the item reaches. An item of fewer than GRAM words names no passage: it is found where it is all of a document.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._graph import keep
 
 #: Words of an index unit, of a passage and between passages: each unit lies whole in some passage.
 UNIT, PASSAGE, STEP = 64, 128, 64
@@ -45,9 +48,42 @@ def question_answer(words_by_sentence: list[list[str]]) -> tuple[list[str], list
     return whole[:-n] or whole, whole[-n:]
 
 
+def sentences_of(text: str | None) -> list[list[str]]:
+    """Words of every sentence that has any."""
+    return [s for s in map(words_of, re.split(r"(?<=[.!?])\s+|\n", text or "")) if s]
+
+
+def unit_starts(n: int) -> list[int]:
+    """First words of the units of an item of n words: all are of UNIT words, the last one overlaps; a shorter item is one."""
+    starts = list(range(0, max(1, n - UNIT + 1), UNIT))
+    return starts if starts[-1] + UNIT >= n else [*starts, n - UNIT]
+
+
+class Stats(NamedTuple):
+    """Of the units of a whole benchmark: their number, mean length, and the number of units with each word (of a shard's)."""
+
+    n: int
+    mean: float
+    df: Mapping[str, int]
+
+
+def stats_of(units: Iterable[list[str]]) -> Stats:
+    n = total = 0
+    df: dict[str, int] = {}
+    for words in units:
+        n, total = n + 1, total + len(words)
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    return Stats(n, total / n if n else 1, df)
+
+
 class Unit(NamedTuple):
     item: int
     words: list[str]
+    #: Words of the item before and after the unit.
+    before: int
+    after: int
+    #: Of the whole item.
     #: Sequences of the question, and their length: a short question is one sequence.
     question: set
     gram: int
@@ -57,28 +93,29 @@ class Unit(NamedTuple):
 class Index:
     """Impacts by term and block, for one shard of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        units = []
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
+        units: list[Unit] = []
+        #: Words of an item that is too short for a passage -> items.
+        self.short: dict[tuple[str, ...], set[int]] = {}
         for item, text in items:
-            sentences = [s for s in map(words_of, re.split(r"(?<=[.!?])\s+|\n", text or "")) if s]
+            sentences = sentences_of(text)
             if not sentences:
                 continue
             whole = [w for s in sentences for w in s]
-            for start in range(0, len(whole), UNIT):
+            if len(whole) < GRAM:
+                self.short.setdefault(tuple(whole), set()).add(item)
+                continue
+            q, a = question_answer(sentences)
+            gram = min(GRAM, len(q))
+            question, answer = grams(q, gram), set(a)
+            for start in unit_starts(len(whole)):
                 words = whole[start : start + UNIT]
-                q, a = question_answer(sentences) if len(whole) <= UNIT else question_answer([words])
-                gram = min(GRAM, len(q))
-                units.append(Unit(item, words, grams(q, gram), gram, set(a)))
-        n = len(units)
-        df: dict[str, int] = {}
-        for u in units:
-            for w in set(u.words):
-                df[w] = df.get(w, 0) + 1
+                units.append(Unit(item, words, start, len(whole) - start - len(words), question, gram, answer))
+        n, mean, df = stats or stats_of(u.words for u in units)
         units.sort(key=lambda u: (sorted(set(u.words), key=lambda w: (-df[w], w))[:3], u.item))
         self.units = units
         self.vocab = {w: i for i, w in enumerate(sorted(df))}
-        self.blocks = -(-n // BLOCK)
-        mean = sum(len(u.words) for u in units) / n if n else 1
+        self.blocks = -(-len(units) // BLOCK)
         self.bound = np.zeros((len(df) + 1, self.blocks), dtype=np.float32)
         #: (block, term) -> [(place of the unit in the block, impact)]
         self.posts: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -162,36 +199,72 @@ class Index:
 
     def search(self, texts: list[list[str]], threshold: float) -> list[dict[int, tuple[float, float, float]]]:
         """For each text: item -> best (score, question share, answer share) of its verified passages."""
-        found: list[dict] = [{} for _ in texts]
+        found: list[dict] = [{i: (1.0, 1.0, 1.0) for i in self.short.get(tuple(t), ())} if len(t) < GRAM else {} for t in texts]
+        if not self.units:
+            return found
         own, first, bound = self.bounds([self.ids(t) for t in texts])
         for r in np.flatnonzero((bound >= threshold - 1e-6).any(axis=1)).tolist():
             text, a = texts[own[r]], int(first[r])
             words = text[a : a + PASSAGE]
             seen = set(words)
             terms = sorted(self.vocab[w] for w in seen if w in self.vocab)
-            near: dict[int, set] = {}
+            near: dict[tuple[int, int, int], tuple[set, set]] = {}
             for block in np.flatnonzero(bound[r] >= threshold - 1e-6).tolist():
                 for k, score in self.wand(terms, block, threshold):
                     u = self.units[k]
-                    if u.gram not in near:
-                        near[u.gram] = grams(words, u.gram)
-                    q, w = len(u.question & near[u.gram]) / len(u.question), len(u.answer & seen) / len(u.answer)
+                    around = u.gram, u.before, u.after
+                    if around not in near:
+                        reach = text[max(0, a - u.before) : a + PASSAGE + u.after]
+                        near[around] = grams(reach, u.gram), set(reach)
+                    sequences, there = near[around]
+                    q, w = len(u.question & sequences) / len(u.question), len(u.answer & there) / len(u.answer)
                     if q >= QUESTION_SHARE and w >= ANSWER_SHARE:
                         found[own[r]][u.item] = max(found[own[r]].get(u.item, (0.0, 0.0, 0.0)), (min(score, 1.0), q, w))
         return found
 
 
 def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS):
-    """An index for each shard of items with an id and text; of repeated ids every text counts."""
+    """An index for each shard of items with an id and text; of repeated ids every text counts.
+
+    Words are weighed over all units of the benchmark and all texts of an id share a shard, so results do not depend on
+    the number of shards.
+    """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     shards = max(1, -(-items.count() // shard_items))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    if shards > 1:
+        items = keep(items)
+        units = keep(map_batches(items, _unit_words, "shard long, words array<string>, length long"))
+        total = units.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+        used = units.select("shard", F.explode("words").alias("word"))
+        df = keep(used.groupBy("word").agg(F.count(F.lit(1)).alias("units")))
     for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        index = Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
-        if index.units:
+        part = items.where(F.col("shard") == k)
+        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        stats = None
+        if shards > 1:
+            own = df.join(used.where(F.col("shard") == k), "word", "left_semi")
+            stats = Stats(total["n"], total["mean"] or 1, {r["word"]: r["units"] for r in own.collect()})
+        index = Index(rows, stats)
+        if index.units or index.short:
             yield index
 
 
+def _unit_words():
+    def work(cols):
+        out = {"shard": [], "words": [], "length": []}
+        for shard, text in zip(cols["shard"], cols["text"], strict=True):
+            whole = [w for s in sentences_of(text) for w in s]
+            for start in unit_starts(len(whole)) if len(whole) >= GRAM else ():
+                words = whole[start : start + UNIT]
+                out["shard"].append(shard)
+                out["words"].append(sorted(set(words)))
+                out["length"].append(len(words))
+        return out
+
+    return work
+
+
 def _matcher(spark, index: Index, threshold: float):
     shared = spark.sparkContext.broadcast(index)
     return lambda texts: shared.value.search([words_of(t) for t in texts], threshold)

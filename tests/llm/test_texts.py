@@ -133,6 +133,32 @@ def test_leaks(spark, docs, odd):
     assert {r.doc_id for r in leaks.leaks(holds, two).collect()} == {1, None}
 
 
+def test_leaks_of_long_and_short_items(spark):
+    """Each item leaks as a whole: not by a word that a cut leaves over, and a short one only where it is the document."""
+    words = [f"word{i}" for i in range(66)]
+    items = [(n, " ".join(words[: n - 1] + [f"end{n}"])) for n in (65, 66)] + [(1, "energy"), (2, "solar energy")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    half = " ".join(f"part{i}" for i in range(200))
+    bench = bench.unionByName(spark.createDataFrame([(200, half)], "item_id long, text string"))
+    docs = [(1, "they met at end65 with solar power and energy"), (2, "word64 end66"), (3, f"so {items[0][1]} it"), (4, f"so {items[1][1]} it"), (5, "Solar energy!"), (6, "energy"), (7, " ".join(half.split()[:64])), (8, f"so {half} it")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, bench).collect()}
+    assert {d for d, _ in got} == {3, 4, 5, 6, 8} and {(3, 65), (4, 66), (5, 2), (6, 1), (8, 200)} <= got
+    assert {r.doc_id for r in leaks.without_leaks(docs, bench).collect()} == {1, 2, 7}
+
+
+def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    # of each item but its first word and one in five of the others, so that scores depend on the weights of words
+    docs = bench.selectExpr("item_id AS doc_id", "array_join(filter(split(text, ' '), (w, i) -> i > 0 AND i % 20 > 3), ' ') AS text")
+    bench = bench.unionByName(bench.limit(5).selectExpr("item_id", "concat(text, ' and ', text, ' or ', text) AS text"))
+    rows = lambda: sorted((r.doc_id, r.item_id, *(round(x, 6) for x in r[2:])) for r in leaks.leaks(docs, bench).collect())
+    one, whole = rows(), leaks.indexes
+    assert any(r[2] < 1 for r in one)
+    monkeypatch.setattr(leaks, "indexes", lambda b: whole(b, 12))
+    assert rows() == one
+
+
 def test_wand_equals_full_scores(spark):
     g = random.Random(2)
     words = [f"w{i}" for i in range(60)]
