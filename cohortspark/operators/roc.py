@@ -30,19 +30,46 @@ def km_at(time: np.ndarray, status: np.ndarray, horizon: float) -> float:
     return float(np.prod(1 - d[keep] / n[first][keep]))
 
 
+#: Cells (cut by event time) of the risk tables held at once.
+CELLS = 1 << 20
+
+
+def km_above(time, status, x, cuts, horizon) -> tuple[np.ndarray, np.ndarray]:
+    """Share of samples above each of falling cuts, and their Kaplan-Meier survival at the horizon (1 without any).
+
+    Deaths and samples at risk are sums per cut and distinct event time, carried from cut to cut.
+    """
+    order = np.argsort(-x, kind="stable")
+    t, s = time[order], status[order]
+    size = (~np.isnan(x)).sum() - np.searchsorted(np.sort(x[~np.isnan(x)]), cuts, side="right")
+    event = np.unique(time[(time <= horizon) & (status != 0)])
+    wide = len(event) + 1
+    #: A sample is at risk at so many event times.
+    until = np.searchsorted(event, t, side="right")
+    dies = (s != 0) & (t <= horizon)
+    risk, dead = np.zeros(wide), np.zeros(wide)
+    surv = np.ones(len(cuts))
+    step, done = max(1, CELLS // wide), 0
+    for k in range(0, len(cuts), step):
+        ends = size[k : k + step]
+        rows = np.arange(done, ends[-1])
+        done = int(ends[-1])
+        at = np.searchsorted(ends, rows, side="right") * wide
+        new = np.bincount(at + until[rows], minlength=len(ends) * wide).reshape(len(ends), wide)
+        n = risk + new[:, ::-1].cumsum(axis=1)[:, ::-1].cumsum(axis=0)
+        fell = rows[dies[rows]]
+        d = dead + np.bincount(at[dies[rows]] + until[fell], weights=s[fell], minlength=len(ends) * wide).reshape(len(ends), wide).cumsum(axis=0)
+        surv[k : k + step] = np.prod(1 - d[:, 1:] / np.maximum(n[:, 1:], 1), axis=1)
+        risk, dead = n[-1], d[-1]
+    return size / len(x), surv
+
+
 def roc_km(time, status, x, horizon) -> tuple[np.ndarray, np.ndarray, float]:
     """False and true positive shares over the cuts from the greatest down, and the area, by Kaplan-Meier estimates."""
     s = km_at(time, status, horizon)
-    tp, fp = [0.0], [0.0]
-    for c in np.unique(x)[::-1]:
-        above = x > c
-        share = above.mean()
-        sc = km_at(time[above], status[above], horizon) if above.any() else 1.0
-        tp.append((1 - sc) * share / (1 - s))
-        fp.append(sc * share / s)
-    tp.append(1.0)
-    fp.append(1.0)
-    t, f = np.array(tp), np.array(fp)
+    share, sc = km_above(time, status, x, np.unique(x)[::-1], horizon)
+    t = np.concatenate([[0.0], (1 - sc) * share / (1 - s), [1.0]])
+    f = np.concatenate([[0.0], sc * share / s, [1.0]])
     return f, t, float(((t[1:] + t[:-1]) / 2 * np.diff(f)).sum())
 
 

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
+
 from cohortspark.functions import cox_kernel as k
 from cohortspark.operators import cox, km, roc
 from cohortspark.sources.adapters import expr, surv
@@ -91,6 +93,38 @@ def test_roc_of_a_perfect_marker():
     assert b > 0.95
 
 
+def test_curves_of_every_gene(spark):
+    got = {(r.dataset, r.gene): (r.points, r.auc) for r in entry.queries()["rc3_many_genes"](spark, SF).collect()}
+    m = surv(spark, SF).join(expr(spark, SF), ["dataset", "sample_id"])
+    want = {(r.dataset, r.gene) for r in roc.counts_at(m, ["dataset", "gene"], 2.0).where("refusal IS NULL").collect()}
+    assert set(got) == want and len({g for _, g in want}) > len({g for _, g in want if g.startswith("Brand#1")})
+    rows = m.toPandas()
+    for key in sorted(want):
+        g = rows[(rows["dataset"] == key[0]) & (rows["gene"] == key[1])]
+        t, s, x = (g[c].to_numpy(float) for c in ("time", "status", "value"))
+        whole, tp, fp = roc.km_at(t, s, 2.0), [0.0], [0.0]
+        for c in np.unique(x)[::-1]:
+            above = x > c
+            one = roc.km_at(t[above], s[above], 2.0) if above.any() else 1.0
+            tp.append((1 - one) * above.mean() / (1 - whole))
+            fp.append(one * above.mean() / whole)
+        tp, fp = np.array([*tp, 1.0]), np.array([*fp, 1.0])
+        assert got[key] == (len(tp), pytest.approx(((tp[1:] + tp[:-1]) / 2 * np.diff(fp)).sum(), abs=1e-9))
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_survival_above_cuts(monkeypatch, cells):
+    monkeypatch.setattr(roc, "CELLS", cells)
+    g = np.random.default_rng(3)
+    t, s, x = g.integers(1, 30, 80).astype(float), g.integers(0, 2, 80).astype(float), g.integers(0, 40, 80).astype(float)
+    x[::9] = np.nan
+    cuts = np.unique(x)[::-1]
+    share, sc = roc.km_above(t, s, x, cuts, 20.0)
+    for c, a, b in zip(cuts, share, sc, strict=True):
+        above = x > c
+        assert a == above.mean() and b == pytest.approx(roc.km_at(t[above], s[above], 20.0) if above.any() else 1.0)
+
+
 def test_one_sided_split_is_excluded(spark):
     rows = [("A", i, float(i), 1, 1.0 if i < 70 else 0.0) for i in range(100)]
     df = km.split(spark.createDataFrame(rows, "dataset string, sample_id int, time double, status int, value double"), ["dataset"])
