@@ -26,17 +26,19 @@ def screen(df: DataFrame, gene: str = "gene", buckets: int = 8, scale: bool = Tr
     """Univariable fits of every gene in every cohort (CX3, CX4, the first stage of MT6): dataset, gene, n, events, estimate, reason.
 
     Rows: dataset, sample_id, gene, time, status, value. Only complete rows count; ``joint`` keeps the samples complete for
-    all genes of the bucket's cohort. With ``scale`` a marker has mean 0 and sample deviation 1 within its cohort. Genes
+    all genes that the rows have for the cohort. With ``scale`` a marker has mean 0 and sample deviation 1 within its cohort. Genes
     of a cohort are hashed into buckets; a bucket is one task's matrix of samples by genes, fitted in one batch. Failures
     stay as rows with null estimates and a reason.
     """
     ok = df.where(F.col("time").isNotNull() & (F.col("time") >= 0) & F.col("status").isin(0, 1) & F.col("value").isNotNull() & ~F.isnan("value"))
+    if joint:
+        listed = df.where(F.col(gene).isNotNull()).groupBy("dataset").agg(F.countDistinct(gene).alias("_listed"))
+        whole = ok.groupBy("dataset", "sample_id").agg(F.countDistinct(gene).alias("_genes")).join(listed, "dataset").where("_genes = _listed")
+        ok = ok.join(whole, ["dataset", "sample_id"], "left_semi")
     keyed = ok.withColumn("_bucket", F.pmod(F.xxhash64(gene), F.lit(buckets)))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         wide = g.pivot_table(index="sample_id", columns=gene, values="value", aggfunc="max")
-        if joint:
-            wide = wide.dropna()
         who = g.drop_duplicates("sample_id").set_index("sample_id").loc[wide.index]
         t, s = who["time"].to_numpy(float), who["status"].to_numpy(float)
         x = wide.to_numpy(float)
@@ -57,7 +59,13 @@ def screen(df: DataFrame, gene: str = "gene", buckets: int = 8, scale: bool = Tr
             rows.append([g["dataset"].iloc[0], name, *_row(fit.beta[j] if fit else 0, fit.se[j] if fit else 0, n[j], events[j], why)])
         return pd.DataFrame(rows, columns=["dataset", "gene", *(c.split()[0] for c in FIT_SCHEMA.split(", "))])
 
-    return keyed.select("dataset", "_bucket", "sample_id", gene, "time", "status", "value").groupBy("dataset", "_bucket").applyInPandas(one, "dataset string, gene string, " + FIT_SCHEMA)
+    fits = keyed.select("dataset", "_bucket", "sample_id", gene, "time", "status", "value").groupBy("dataset", "_bucket").applyInPandas(one, "dataset string, gene string, " + FIT_SCHEMA)
+    if not joint:
+        return fits
+    # genes of a cohort without a complete sample
+    none = df.where(F.col(gene).isNotNull()).select("dataset", F.col(gene).alias("gene")).distinct().join(whole.select("dataset").distinct(), "dataset", "left_anti")
+    null = [F.lit(None).cast("double").alias(c) for c in ("b", "se", "hr", "lower", "upper", "p")]
+    return fits.unionByName(none.select("dataset", "gene", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("events"), *null, F.lit(f"fewer than {min_n} complete samples").alias("reason")))
 
 
 def panel(df: DataFrame, method: str = "REML", pi: str = "t", fdr: str = "BH", **how) -> tuple[DataFrame, DataFrame]:

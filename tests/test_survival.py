@@ -34,6 +34,28 @@ def test_batch_fit_equals_single_fit(ties):
     assert many.beta[0] > 0.5
 
 
+def test_joint_screen_is_complete_over_all_genes(spark):
+    t, s, _ = cohort(120)
+    g = np.random.default_rng(4)
+    x = np.round(g.normal(size=(120, 9)), 3)
+    x[g.random(x.shape) < 0.05] = np.nan
+    cells = lambda d, skip: [(d, i, f"g{j}", float(t[i]), int(s[i]), None if skip(i, j) or np.isnan(x[i, j]) else float(x[i, j])) for i in range(120) for j in range(9)]
+    rows = cells("A", lambda i, j: False) + cells("none", lambda i, j: i % 9 == j)
+    df = spark.createDataFrame(rows, "dataset string, sample_id int, gene string, time double, status int, value double")
+    df = df.where("value IS NOT NULL OR sample_id % 2 = 0")
+    whole = np.isfinite(x).all(axis=1)
+    z = (x[whole] - x[whole].mean(axis=0)) / x[whole].std(axis=0, ddof=1)
+    fit = k.fit_many(t[whole], s[whole], z)
+    for buckets in (1, 8):
+        got = {(r.dataset, r.gene): r for r in cox.screen(df, joint=True, buckets=buckets).collect()}
+        assert len(got) == 18
+        for j in range(9):
+            r = got["A", f"g{j}"]
+            assert (r.n, r.events) == (whole.sum(), s[whole].sum()) and r.b == pytest.approx(fit.beta[j], abs=1e-8) and r.se == pytest.approx(fit.se[j], abs=1e-8)
+            r = got["none", f"g{j}"]
+            assert (r.n, r.b, r.reason) == (0, None, "fewer than 10 complete samples")
+
+
 def test_missing_values_weigh_nothing():
     t, s, x = cohort()
     y = x.copy()
