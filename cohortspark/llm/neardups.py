@@ -148,7 +148,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null for a text without words), n, matches, bitmap, tokens of every row of the documents."""
+    """doc_id, print (a hash of the text), node (null for a text without words), n, matches, bitmap, tokens of every row of the documents."""
     level = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def make():
@@ -163,11 +163,11 @@ def described(docs: DataFrame) -> DataFrame:
 
         def work(cols):
             rows = [one(t) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"]} | {n: [r[k] for r in rows] for k, n in enumerate(("node", "n", "matches", "bitmap", "tokens"))}
+            return {"doc_id": cols["doc_id"], "print": cols["print"]} | {n: [r[k] for r in rows] for k, n in enumerate(("node", "n", "matches", "bitmap", "tokens"))}
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, node long, n long, matches int, bitmap binary, tokens array<long>")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("print")), make, "doc_id long, print long, node long, n long, matches int, bitmap binary, tokens array<long>")
 
 
 def _streamed(df: DataFrame, keys: list[str], group, schema: str) -> DataFrame:
@@ -375,8 +375,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component is its own id. Texts with equal sets are one; null ids belong to their text's component and are never its
     name unless it has no other. Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
+    rows, named = _components(docs)
+    least = named.groupBy("top").agg(F.min("rep").alias("component"))
+    of_node = named.join(least, "top").select("node", "component")
+    return rows.select("doc_id", "node", "n").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """One row of each component: of its least id (rows without an id come last), then of the least hash of the text.
+
+    Of rows with one id and one text, one stays. Texts without words link with nothing: one row for each id and text. Rows
+    are named by id and a 64-bit hash of the text; copies of a chosen row are put down to one by a minimum of its columns.
+    """
+    rows, named = _components(docs)
+    copies = rows.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("node").isNull()).alias("blank"))
+    best = named.groupBy("top").agg(F.min("best").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.print").alias("hash"))
+    chosen = best.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("print"))).select("id", "hash", "copies")
+    chosen = keep(chosen.unionByName(copies.where("blank").select(F.col("doc_id").alias("id"), F.col("print").alias("hash"), "copies")))
+    there = docs.withColumn("_print", F.xxhash64("text"))
+    of = lambda c: there.join(c.select("id", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_print") == F.col("hash")), "left_semi")
+    single = of(chosen.where("copies = 1")).select(*docs.columns)
+    repeated = of(chosen.where("copies > 1")).groupBy("doc_id", "_print").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return single.unionByName(repeated)
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described rows, with a hash of their text; and for every node its least id (rep), best row and component (top)."""
     rows = keep(described(docs))
-    texts = keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "matches", "bitmap", "tokens"))))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("best")
+    texts = keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), best, *(F.first(c).alias(c) for c in ("n", "matches", "bitmap", "tokens"))))
     posts = shared_postings(texts)
     texts = texts.drop("tokens")
 
@@ -407,8 +434,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = label.select("node", "label")
     mapped = second.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     over = components(mapped.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
-    named = texts.select("node", "rep").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").withColumn("top", F.coalesce("top", "label"))
-    least = named.groupBy("top").agg(F.min("rep").alias("component"))
-    of_node = named.join(least, "top").select("node", "component")
-    return rows.select("doc_id", "node", "n").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    named = texts.select("node", "rep", "best").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, named.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").withColumn("top", F.coalesce("top", "label"))

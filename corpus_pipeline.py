@@ -6,11 +6,10 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortspark.llm._graph import keep
 from cohortspark.llm.leaks import without_leaks
-from cohortspark.llm.neardups import near_duplicates
+from cohortspark.llm.neardups import one_each
 from cohortspark.llm.pieces import encode_decode
 from cohortspark.llm.quality import score, train
 from cohortspark.llm.secrets import redact
@@ -24,10 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the least id. Rows without an id stay."""
-    named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component of near-duplicates: one with the least id; repeated rows and rows without an id count."""
+    return one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,6 +153,18 @@ def test_edited_texts(spark, rows_per_range):
     assert fp.with_neighbours(odd, 1).count() == 4 and fp.with_neighbours(odd.limit(0)).count() == 0 and fp.with_neighbours(odd.limit(1)).first().near_next == 1.0
 
 
+def test_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(1, a, 10), (1, a, 9), (2, a, 8), (None, a, 7), (3, b, 6), (3, a + " end", 5), (None, c, 4), (None, c, 3), (None, c + " end", 2), (4, d, 1), (5, None, 0), (5, None, 0), (6, "", 0), (7, "", 0), (None, None, 0), (None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicate(spark, docs, SF).collect()]
+    worded = [r for r in got if r[1]]
+    assert len(worded) == 4 and {(1, a, 9), (3, b, 6), (4, d, 1)} < set(worded)
+    assert [r for r in worded if r[0] is None and r[1].startswith("c0 ")]
+    assert sorted(map(str, (r for r in got if not r[1]))) == sorted(map(str, [(5, None, 0), (6, "", 0), (7, "", 0), (None, None, 0)]))
+    assert corpus_pipeline.near_duplicate(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_stages(spark):
     from cohortspark.llm import leaks, pieces
     from cohortspark.llm.tables import model_path
