@@ -9,7 +9,7 @@ import numpy as np
 
 from cohortspark.functions.stats import chi2_sf
 
-MAX_STEPS, TOLERANCE = 20, 1e-9
+MAX_STEPS, TOLERANCE = 20, 1e-12
 #: A fit beyond these is not estimable.
 MAX_BETA, MAX_SE = 20.0, 10.0
 

@@ -128,11 +128,23 @@ _q("ag4_rate", lambda s, d: agreement.adjudication_rate(_ratings(s, d)).withColu
 def _audit(s, d):
     rows = surv(s, d)
     led = km.pool_ledger(rows.withColumn("value", F.col("balance")).withColumn("high", (F.col("balance") > 0).cast("int")), 300)
-    return audit.run_audit(rows, led, "r1")
-
-
-_q("au1_audit", _audit, "WITH c AS (SELECT count(DISTINCT dataset) AS a, count(*) AS b, sum(status) AS e FROM surv) SELECT 'r1' AS run_id, unnest(['datasets', 'rows', 'events']) AS field, unnest([CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(e AS VARCHAR)]) AS value FROM c UNION ALL SELECT 'r1', 'excluded:' || dataset, 'fewer than 10 complete rows' FROM surv GROUP BY dataset HAVING count(*) < 300")
-_q("au2_content_hash", lambda s, d: audit.content_hash(surv(s, d)))
+    used = rows.join(led.where("reason IS NULL").select("dataset"), "dataset", "left_semi").where("sample_id % 10 <> 0")
+    n = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    ends = n.select("dataset", F.lit("OS").alias("family"), F.when(F.col("dataset") < "G", "OS").otherwise("DSS").alias("token"), F.lit("direct").alias("token_role"), F.when(F.col("dataset") < "G", "Exact-equivalent").otherwise("Clinically-related").alias("pooling_class"))
+    gone = used.groupBy("dataset", "nation").agg(F.count(F.lit(1)).alias("k")).select("dataset", F.concat(F.lit("nation "), F.lpad(F.col("nation").cast("string"), 2, "0")).alias("variable"), F.lit("level merged").alias("reason"))
+    return audit.run_audit(used, "r1", {"analysis": "pooled curve", "marker": "balance", "fitted_covariates": ["balance", "nation"], "cut_rule": "above 0"}, led, n, ends, dropped_covariates=gone)
+
+
+_AUDIT = """WITH n AS (SELECT dataset, count(*) AS n FROM surv GROUP BY dataset), u AS (SELECT * FROM surv WHERE sample_id % 10 <> 0 AND dataset IN (SELECT dataset FROM n WHERE n >= 300)), k AS (SELECT dataset, count(*) AS used FROM u GROUP BY dataset),
+t AS (SELECT dataset, CASE WHEN dataset < 'G' THEN 'OS' ELSE 'DSS' END AS token, CASE WHEN dataset < 'G' THEN 'Exact-equivalent' ELSE 'Clinically-related' END AS pc FROM k),
+x AS (SELECT 'cohorts' AS field, dataset AS v FROM k UNION SELECT 'endpoint_family', 'OS' FROM k UNION SELECT 'resolved_tokens_per_cohort', dataset || '=' || token FROM t UNION SELECT 'token_role', 'direct' FROM t UNION SELECT 'pooling_classes_pooled', pc FROM t
+  UNION SELECT 'excluded_cohorts', dataset || ': fewer than 10 complete rows' FROM n WHERE n < 300 UNION SELECT 'rows_dropped', dataset || ': ' || CAST(n - coalesce(used, 0) AS VARCHAR) FROM n LEFT JOIN k USING (dataset) WHERE n > coalesce(used, 0) UNION SELECT 'covariates_dropped', dataset || ' nation ' || lpad(CAST(nation AS VARCHAR), 2, '0') || ': level merged' FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY v) AS r, count(*) OVER (PARTITION BY field) AS c FROM x), y AS (SELECT field, string_agg(v, ' | ' ORDER BY r) FILTER (WHERE r <= 6) || CASE WHEN max(c) > 6 THEN ' | ... (+' || CAST(max(c) - 6 AS VARCHAR) || ' more)' ELSE '' END AS value FROM r GROUP BY field),
+f(field) AS (VALUES ('cohorts'), ('endpoint_family'), ('resolved_tokens_per_cohort'), ('token_role'), ('pooling_classes_pooled'), ('excluded_cohorts'), ('rows_dropped'), ('overlap_dropped'), ('covariates_dropped')),
+s AS (SELECT count(DISTINCT dataset) AS a, count(*) AS b, coalesce(sum(status), 0) AS e, (SELECT sum(n) FROM n) AS i FROM u)
+SELECT 'r1' AS run_id, field, coalesce(value, 'none') AS value FROM f LEFT JOIN y USING (field) UNION ALL SELECT 'r1', unnest(['n_cohorts', 'n_input', 'n_analyzed', 'n_excluded', 'events', 'analysis', 'marker', 'fitted_covariates', 'cut_rule']), unnest([CAST(a AS VARCHAR), CAST(i AS VARCHAR), CAST(b AS VARCHAR), CAST(i - b AS VARCHAR), CAST(e AS VARCHAR), 'pooled curve', 'balance', 'balance, nation', 'above 0']) FROM s"""
+_q("au1_audit", _audit, _AUDIT)
+_q("au2_content_hash", lambda s, d: audit.content_hash(surv(s, d).select("dataset", "sample_id", F.round(F.col("time") * 1e6).cast("long").alias("time"), "status", "nation")), "SELECT dataset, count(*) AS \"rows\", CAST(sum(('0x' || substr(md5(concat_ws(chr(31), dataset, nation, sample_id, status, CAST(round(time * 1e6) AS BIGINT))), 1, 15))::BIGINT) AS VARCHAR) AS hash FROM surv GROUP BY dataset")
 
 
 def queries():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from cohortspark.jobs.survival import merged, r6
 from cohortspark.operators import clinical, cohorts, cox, endpoints, expression
 from cohortspark.sources import readers
 from cohortspark.sources.adapters import expr, probes, surv, with_views
+from cohortspark.sources.shared import shared_dir
 
 Q: dict = {}
 
@@ -93,11 +93,11 @@ _q("ex12_survey", lambda s, d: r6(expression.survey(probes(s, d)), *_SVR), f"WIT
 
 def _three(s, d):
     """Probes on their own scale, on a log scale, and shifted below zero, as three datasets."""
-    p = probes(s, d).where("dataset = 'BUILDING'")
+    p = probes(s, d).withColumn("dataset", F.lit("RAW"))
     return p.unionByName(p.withColumn("dataset", F.lit("LOG")).withColumn("value", F.log2(F.col("value") + 1))).unionByName(p.withColumn("dataset", F.lit("NEG")).withColumn("value", F.col("value") - 40000))
 
 
-_TH = "th AS (SELECT dataset, sample_id, probe_id, value FROM probes WHERE dataset = 'BUILDING' UNION ALL SELECT 'LOG', sample_id, probe_id, log2(value + 1) FROM probes WHERE dataset = 'BUILDING' UNION ALL SELECT 'NEG', sample_id, probe_id, value - 40000 FROM probes WHERE dataset = 'BUILDING')"
+_TH = "th AS (SELECT 'RAW' AS dataset, sample_id, probe_id, value FROM probes UNION ALL SELECT 'LOG', sample_id, probe_id, log2(value + 1) FROM probes UNION ALL SELECT 'NEG', sample_id, probe_id, value - 40000 FROM probes)"
 _VD = """vd AS (SELECT *, CASE WHEN mn < 0 THEN 'D1' WHEN med > 0 AND mx / med <= 50 THEN 'D2' WHEN med <= 0 AND mx <= 25 THEN 'D3' ELSE 'votes' END AS rule, (mx <= 25)::INT + (p99 <= 20)::INT + (med <= 16)::INT + (q75 - q25 <= 8)::INT AS votes FROM
 (SELECT dataset, min(value) AS mn, max(value) AS mx, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.99) AS p99 FROM th GROUP BY dataset) x), vv AS (SELECT *, CASE WHEN rule <> 'votes' OR votes >= 3 THEN 'already_log' ELSE 'needs_log2' END AS verdict FROM vd)"""
 _q("ex13_verdict", lambda s, d: expression.verdict(expression.survey(_three(s, d))).select("dataset", "rule", "votes", "verdict"), f"WITH {_TH}, {_VD} SELECT dataset, rule, votes, verdict FROM vv")
@@ -145,8 +145,25 @@ def _old_new(s, d):
 
 
 _q("ex18_extend_map", lambda s, d: expression.extend_map(*_old_new(s, d)), f"WITH {MAP}, {XM} SELECT * FROM xm WHERE probe_id % 3 <> 0 UNION ALL SELECT platform, probe_id, 'N' || gene FROM xm WHERE probe_id % 6 = 0")
-_q("ex19_coverage", lambda s, d: r6(expression.coverage(raw_map(s, d), raw_map(s, d).where("probe_id % 5 <> 0").select("platform", "probe_id")), "share"), f"""WITH {MAP}, {XM}, x AS (SELECT platform, count(*) AS pairs FROM xm GROUP BY platform), m AS (SELECT platform, count(DISTINCT probe_id) AS probes, count(DISTINCT CASE WHEN gene <> '---' THEN probe_id END) AS annotated, count(DISTINCT CASE WHEN probe_id % 5 <> 0 THEN probe_id END) AS joinable FROM mp GROUP BY platform)
-SELECT platform, probes, annotated, joinable, pairs, round(annotated::DOUBLE / probes, 6) AS share, CASE WHEN annotated::DOUBLE / probes >= 0.8 AND joinable > 0 THEN 'ok' WHEN annotated::DOUBLE / probes >= 0.5 AND joinable > 0 THEN 'usable-with-caveat' ELSE 'insufficient' END AS policy FROM m JOIN x USING (platform)""")
+
+
+def _maps(s, d):
+    """Local maps of four platforms, annotated to different degrees; mirrored maps; expression row ids; platforms asked for."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    k, z = F.col("p_partkey") % 4, F.col("p_size")
+    blank = F.when(k == 0, z % 7 == 0).when(k == 1, z % 2 == 0).when(k == 2, F.lit(False)).otherwise(z % 3 != 0)
+    gene = F.when(blank, "---").when(k == 2, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" /// "), "p_type"))
+    m = p.select(F.concat(F.lit("P"), k.cast("string")).alias("platform"), F.col("p_partkey").alias("probe_id"), gene.alias("gene"))
+    mirror = m.where("platform <> 'P1' AND (platform <> 'P0' OR probe_id % 5 <> 0)").unionByName(m.where("platform = 'P2'").withColumn("platform", F.lit("P8")))
+    ids = m.where("platform <> 'P2'").select("platform", F.when(F.col("platform") == "P1", -F.col("probe_id")).otherwise(F.col("probe_id")).alias("probe_id"))
+    return m, ids, mirror, s.createDataFrame([(f"P{x}",) for x in (0, 1, 2, 3, 8, 9)], "platform string")
+
+
+_q("ex19_coverage", lambda s, d: expression.coverage(*_maps(s, d)), """WITH m AS (SELECT 'P' || CAST(p_partkey % 4 AS VARCHAR) AS platform, p_partkey AS probe_id, CASE WHEN CASE p_partkey % 4 WHEN 0 THEN p_size % 7 = 0 WHEN 1 THEN p_size % 2 = 0 WHEN 2 THEN false ELSE p_size % 3 <> 0 END THEN 0 ELSE 1 END AS named FROM part),
+l AS (SELECT platform, count(*) AS probes, sum(named)::BIGINT AS annotated FROM m GROUP BY platform), r AS (SELECT platform, sum(named)::BIGINT AS mirror_annotated FROM (SELECT * FROM m WHERE platform <> 'P1' AND (platform <> 'P0' OR probe_id % 5 <> 0) UNION ALL SELECT 'P8', probe_id, named FROM m WHERE platform = 'P2') x GROUP BY platform),
+a(platform) AS (VALUES ('P0'), ('P1'), ('P2'), ('P3'), ('P8'), ('P9')), j AS (SELECT a.platform, probes, annotated, round(100.0::DOUBLE * annotated / probes, 2) AS pct, CASE a.platform WHEN 'P2' THEN 'collapsed' WHEN 'P8' THEN NULL WHEN 'P9' THEN NULL ELSE 'expanded' END AS representation, CASE a.platform WHEN 'P0' THEN true WHEN 'P3' THEN true WHEN 'P1' THEN false END AS joins, mirror_annotated FROM a LEFT JOIN l USING (platform) LEFT JOIN r USING (platform)),
+k AS (SELECT *, CASE WHEN mirror_annotated IS NULL THEN NULL WHEN annotated = mirror_annotated THEN 'none' WHEN mirror_annotated > annotated THEN 'mirror_newer' ELSE 'local_newer' END AS divergence, nullif(concat_ws('; ', CASE WHEN probes IS NULL THEN 'no local map' END, CASE WHEN mirror_annotated IS NULL THEN 'not in the mirror' END, CASE WHEN joins = false THEN 'no row id in the map' END, CASE WHEN pct < 60 THEN 'only ' || printf('%.2f', pct) || ' % annotated' END), '') AS gaps FROM j)
+SELECT *, CASE WHEN probes IS NULL OR pct < 40 OR joins = false THEN 'insufficient-annotation' WHEN pct < 90 OR divergence <> 'none' OR gaps IS NOT NULL THEN 'usable-with-caveat' ELSE 'ok' END AS policy FROM k""")
 _q("ex20_compare_maps", lambda s, d: expression.compare_maps(expression.explode_map(raw_map(s, d)), _old_new(s, d)[0]), f"WITH {MAP}, {XM} SELECT platform, count(*) AS left_pairs, count(*) FILTER (WHERE probe_id % 3 <> 0) AS right_pairs, count(*) FILTER (WHERE probe_id % 3 = 0) AS only_left, 0::BIGINT AS only_right, CASE WHEN count(*) FILTER (WHERE probe_id % 3 = 0) = 0 THEN 'same' ELSE 'differs' END AS verdict FROM xm GROUP BY platform")
 _q("ex21_qc_row", lambda s, d: r6(expression.qc_row(probes(s, d), surv(s, d)), "first_time", "last_time"), "SELECT * FROM (SELECT dataset, count(DISTINCT sample_id) AS samples, count(DISTINCT probe_id) AS probes, count(DISTINCT gene) AS genes FROM probes GROUP BY dataset) a JOIN (SELECT dataset, count(*) AS endpoint_rows, sum(status)::BIGINT AS events, round(min(time), 6) AS first_time, round(max(time), 6) AS last_time FROM surv GROUP BY dataset) b USING (dataset)")
 
@@ -242,7 +259,7 @@ def _clean(s, d):
 
 _q("cl15_change_log", lambda s, d: clinical.change_log(dirty(s, d), _clean(s, d), ["stage_raw", "sex_raw"]), f"WITH {D}, c AS (SELECT dataset, 'stage_raw' AS \"column\", stage_raw AS old, {_table(_STAGE, 'stage_raw')} AS new FROM dt UNION ALL SELECT dataset, 'sex_raw', sex_raw, {_table(_SEX, 'sex_raw')} FROM dt) SELECT dataset, \"column\", sum(CASE WHEN old IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing_before, sum(CASE WHEN new IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing_after, sum(CASE WHEN old IS DISTINCT FROM new THEN 1 ELSE 0 END)::BIGINT AS changed FROM c GROUP BY ALL")
 _q("cl15_unmapped", lambda s, d: clinical.unmapped(dirty(s, d), "stage_raw", fn.stage(F.col("stage_raw"))), f"WITH {D} SELECT stage_raw AS value, count(*) AS n FROM dt WHERE {_table(_STAGE, 'stage_raw')} IS NULL AND stage_raw IS NOT NULL GROUP BY ALL")
-_q("cl16_t_table", lambda s, d: clinical.t_table(dirty(s, d).select("dataset", fn.tnm_parts(F.col("stage_raw"))[0].alias("t"))), f"WITH {D}, t AS (SELECT dataset, {_table(_T, 'stage_raw')} AS t FROM dt), g AS (SELECT dataset, sum(CASE WHEN t = 'T1' THEN 1 ELSE 0 END)::BIGINT AS t1, sum(CASE WHEN t = 'T2' THEN 1 ELSE 0 END)::BIGINT AS t2, sum(CASE WHEN t = 'T3' THEN 1 ELSE 0 END)::BIGINT AS t3, sum(CASE WHEN t = 'T4' THEN 1 ELSE 0 END)::BIGINT AS t4 FROM t GROUP BY dataset) SELECT *, CASE WHEN (t1 >= 5)::INT + (t2 >= 5)::INT + (t3 >= 5)::INT + (t4 >= 5)::INT >= 3 THEN 'use as factor' WHEN (t1 >= 5)::INT + (t2 >= 5)::INT + (t3 >= 5)::INT + (t4 >= 5)::INT = 2 THEN 'merge to two groups' ELSE 'do not use' END AS advice FROM g")
+_q("cl16_t_table", lambda s, d: clinical.t_table(dirty(s, d).select("dataset", fn.tnm_parts(F.col("stage_raw"))[0].alias("t"), F.when(F.col("dataset") < "Brand#3", fn.stage(F.col("stage_raw"))).alias("stage"))), f"WITH {D}, t AS (SELECT dataset, {_table(_T, 'stage_raw')} AS t, CASE WHEN dataset < 'Brand#3' THEN {_table(_STAGE, 'stage_raw')} END AS stage FROM dt) SELECT dataset, count(*) AS n, count(stage) AS stage_filled, " + ", ".join(f"count(CASE WHEN t = '{x}' THEN 1 END) AS \"{x}\"" for x in clinical.T_LEVELS) + ", count(*) - count(t) AS no_t, CASE WHEN count(stage) > 0 THEN 'stage first, T for sensitivity' ELSE 'T only' END AS advice FROM t GROUP BY dataset")
 
 
 def _domain(s, d):
@@ -306,7 +323,12 @@ def _studies(s, d):
     return catalog(s, d).select("accession", F.substring("type", 1, 4).alias("series"), F.concat(F.lit("Study "), F.upper(F.substring("accession", -1, 1)), F.lit("!")).alias("title"), "n")
 
 
-_q("cl27_admitted", lambda s, d: clinical.admitted(_studies(s, d)), f"WITH {CATALOG_SQL}, x AS (SELECT accession, substr(type, 1, 4) AS series, right(accession, 1) AS t, n FROM cat), y AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, accession) AS a, row_number() OVER (PARTITION BY series ORDER BY n DESC, accession) AS b FROM x) SELECT accession, series, n, a = 1 AND b = 1 AS admitted, nullif(concat_ws('; ', CASE WHEN a > 1 THEN 'same title as a larger cohort' END, CASE WHEN b > 1 THEN 'another platform of the series' END), '') AS reason FROM y")
+def _super(s, d):
+    """Every tenth-sized cohort stands for a super-series of two others' series."""
+    return catalog(s, d).where("n % 10 = 0").select("accession", F.explode(F.array(F.lit("ASIA"), F.lit("NONE"))).alias("part"))
+
+
+_q("cl27_admitted", lambda s, d: clinical.admitted(_studies(s, d), _super(s, d)), f"WITH {CATALOG_SQL}, x AS (SELECT accession, substr(type, 1, 4) AS series, right(accession, 1) AS t, n FROM cat), y AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, accession) AS a, row_number() OVER (PARTITION BY series ORDER BY n DESC, accession) AS b, n % 10 = 0 AND (SELECT max(n) FROM x z WHERE z.series = 'ASIA') > 50 AS c FROM x) SELECT accession, series, n, a = 1 AND b = 1 AND NOT c AS admitted, nullif(concat_ws('; ', CASE WHEN a > 1 THEN 'same title as a larger cohort' END, CASE WHEN b > 1 THEN 'another platform of the series' END, CASE WHEN c THEN 'super-series of listed series' END), '') AS reason FROM y")
 
 
 def _restore(s, d):
@@ -326,78 +348,166 @@ _q("jn4_complete", lambda s, d: cohorts.complete_cases(surv(s, d).withColumn("ag
 
 
 def _titles(s, d):
-    return probes(s, d).where("probe_id <= 200").select(F.lpad(F.col("probe_id").cast("string"), 6, "0").alias("accession"), F.col("sample_id").cast("string").alias("title"))
+    return probes(s, d).select(F.lpad(F.col("probe_id").cast("string"), 8, "0").alias("accession"), F.col("sample_id").cast("string").alias("title"))
 
 
 def _pairs(s, d):
-    """Cohort pairs sharing many patients: as many as fit a hundredth of what a cohort of the scale has."""
-    return cohorts.shared_pairs(_titles(s, d), 4)[0]
+    return cohorts.shared_pairs(_titles(s, d))
 
 
-_TT = "tt AS (SELECT DISTINCT lpad(CAST(probe_id AS VARCHAR), 6, '0') AS accession, sample_id AS title FROM probes WHERE probe_id <= 200), pr AS (SELECT a.accession AS a, b.accession AS b, count(*) AS shared FROM tt a JOIN tt b ON a.title = b.title AND a.accession < b.accession GROUP BY ALL HAVING count(*) >= 4)"
+_TT = "tt AS (SELECT DISTINCT lpad(CAST(probe_id AS VARCHAR), 8, '0') AS accession, sample_id AS title FROM probes), pr AS (SELECT a.accession AS a, b.accession AS b, count(*) AS shared FROM tt a JOIN tt b ON a.title = b.title AND a.accession < b.accession GROUP BY ALL HAVING count(*) >= 5)"
 _CC = "ed AS (SELECT a AS x, b AS y FROM pr UNION SELECT b, a FROM pr), rc(x, y) AS (SELECT x, x FROM ed UNION SELECT rc.x, ed.y FROM rc JOIN ed ON ed.x = rc.y), gp AS (SELECT x AS accession, min(y) AS root FROM rc GROUP BY x)"
 _q("ov1_shared_pairs", _pairs, f"WITH {_TT} SELECT * FROM pr")
 _q("ov2_series_pairs", lambda s, d: cohorts.series_pairs(catalog(s, d).select(F.col("type").alias("base"), "accession", "n")), f"WITH {CATALOG_SQL} SELECT x.accession AS a, y.accession AS b, least(x.n, y.n) AS shared FROM cat x JOIN cat y ON x.type = y.type AND x.accession < y.accession")
-_q("ov3_register", lambda s, d: cohorts.register([("title", _pairs(s, d)), ("seed", _pairs(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(99).cast("long").alias("shared")).unionByName(s.createDataFrame([("zz", "aa", 5)], "a string, b string, shared long")))], s.createDataFrame([("000002", "000001")], "a string, b string")), f"WITH {_TT} SELECT a, b, shared, 'title' AS basis FROM pr WHERE NOT (a = '000001' AND b = '000002') UNION ALL SELECT 'aa', 'zz', 5, 'seed'")
+_q("ov3_register", lambda s, d: cohorts.register([("title", _pairs(s, d)), ("seed", _pairs(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(99).cast("long").alias("shared")).unionByName(s.createDataFrame([("zz", "aa", 5)], "a string, b string, shared long")))], _pairs(s, d).where("shared % 2 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))), f"WITH {_TT} SELECT a, b, shared, 'title' AS basis FROM pr WHERE shared % 2 <> 0 UNION ALL SELECT 'aa', 'zz', 5, 'seed'")
 _q("ov4_groups", lambda s, d: cohorts.group_labels(cohorts.overlap_groups(_pairs(s, d))), f"WITH RECURSIVE {{views}}, {_TT}, {_CC} SELECT accession, root, root || '(+' || CAST(count(*) OVER (PARTITION BY root) - 1 AS VARCHAR) || ')' AS label FROM gp")
-_q("ov5_pairs_inside", lambda s, d: cohorts.pairs_inside(_pairs(s, d), _titles(s, d).where("accession < '000100'")).select("a", "b", "shared"), f"WITH {_TT} SELECT * FROM pr WHERE a < '000100' AND b < '000100'")
+_q("ov5_pairs_inside", lambda s, d: cohorts.pairs_inside(_pairs(s, d), _selected(s, d).where("n IS NOT NULL")).select("a", "b", "shared"), f"WITH {_TT} SELECT * FROM pr WHERE a::INT % 5 <> 0 AND b::INT % 5 <> 0")
 
 
 def _selected(s, d):
     return _titles(s, d).groupBy("accession").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("accession") % 5 != 0, F.col("n")))
 
 
-_SEL = "se AS (SELECT lpad(CAST(probe_id AS VARCHAR), 6, '0') AS accession, CASE WHEN probe_id % 5 <> 0 THEN count(*) END AS n FROM probes WHERE probe_id <= 200 GROUP BY probe_id)"
-_q("ov6_policy", lambda s, d: cohorts.overlap_policy(_selected(s, d), cohorts.overlap_groups(_pairs(s, d))), f"WITH RECURSIVE {{views}}, {_TT}, {_CC}, {_SEL}, j AS (SELECT accession, n, coalesce(root, accession) AS root FROM se LEFT JOIN gp USING (accession)), r AS (SELECT *, row_number() OVER w AS r, first_value(accession) OVER w AS winner FROM j WINDOW w AS (PARTITION BY root ORDER BY n DESC NULLS LAST, accession)) SELECT accession, n, r = 1 AS kept, CASE WHEN r > 1 THEN winner END AS dropped_for FROM r")
+_SEL = "se AS (SELECT lpad(CAST(probe_id AS VARCHAR), 8, '0') AS accession, CASE WHEN probe_id % 5 <> 0 THEN count(*) END AS n FROM probes GROUP BY probe_id)"
+_POLICY = f"{_TT}, {_CC}, {_SEL}, j AS (SELECT accession, n, coalesce(root, accession) AS root FROM se LEFT JOIN gp USING (accession)), r AS (SELECT *, row_number() OVER w AS r, first_value(accession) OVER w AS winner, first_value(n) OVER w AS most, count(*) OVER (PARTITION BY root) AS members FROM j WINDOW w AS (PARTITION BY root ORDER BY n DESC NULLS LAST, accession))"
+_q("ov6_policy", lambda s, d: cohorts.overlap_policy(_selected(s, d), cohorts.overlap_groups(_pairs(s, d)), _pairs(s, d)), f"WITH RECURSIVE {{views}}, {_POLICY} SELECT accession, r.n, root, members, r = 1 AS kept, CASE WHEN r > 1 THEN winner END AS dropped_for, CASE WHEN r > 1 THEN shared END AS shared_patients, CASE WHEN r > 1 THEN 'shares patients with ' || winner || ': ' || coalesce(CAST(most AS VARCHAR), 'unknown') || ' samples against ' || coalesce(CAST(r.n AS VARCHAR), 'unknown') END AS reason FROM r LEFT JOIN pr ON pr.a = least(accession, winner) AND pr.b = greatest(accession, winner)")
+_q("ov6_warned", lambda s, d: cohorts.overlap_policy(_selected(s, d), cohorts.overlap_groups(_pairs(s, d)), _pairs(s, d), "warn"), f"WITH RECURSIVE {{views}}, {_POLICY} SELECT accession, n, root, members, true AS kept, CAST(NULL AS VARCHAR) AS dropped_for, CAST(NULL AS BIGINT) AS shared_patients, CASE WHEN members > 1 THEN 'other selected cohorts share its patients' END AS reason FROM r")
 _q("ov7_hit_twice", lambda s, d: cohorts.groups_hit_twice(_selected(s, d), cohorts.overlap_groups(_pairs(s, d))), f"WITH RECURSIVE {{views}}, {_TT}, {_CC}, {_SEL} SELECT root, count(*) AS n, string_agg(accession, ', ' ORDER BY accession) AS cohorts, 'shares patients: ' || string_agg(accession, ', ' ORDER BY accession) AS note FROM se JOIN gp USING (accession) GROUP BY root HAVING count(*) > 1")
-_SZ = "sz AS (SELECT u.dataset, count(*) AS n_surv, count(e.sample_id) AS n, coalesce(sum(CASE WHEN e.sample_id IS NOT NULL THEN status END), 0)::BIGINT AS n_events FROM (SELECT * FROM surv WHERE time > 0) u LEFT JOIN (SELECT DISTINCT dataset, sample_id FROM expr) e ON e.dataset = u.dataset AND e.sample_id = u.sample_id GROUP BY u.dataset), ne AS (SELECT dataset, count(DISTINCT sample_id) AS n_expr FROM expr GROUP BY dataset)"
-_q("ct1_sizes", lambda s, d: cohorts.sizes(surv(s, d), expr(s, d)), f"WITH {_SZ} SELECT dataset, n_surv, n_expr, n, n_events FROM sz JOIN ne USING (dataset)")
-_q("ct2_changes", lambda s, d: cohorts.size_changes(surv(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), cohorts.sizes(surv(s, d), expr(s, d)).where("dataset <> 'MACHINERY'")), f"WITH {_SZ}, o AS (SELECT dataset, count(*) AS old_n FROM surv GROUP BY dataset) SELECT dataset, old_n, CASE WHEN dataset <> 'MACHINERY' THEN n END AS new_n, CASE WHEN dataset = 'MACHINERY' THEN 'would become null' WHEN old_n = n THEN 'same' WHEN old_n < n THEN 'grows' ELSE 'shrinks' END AS change FROM o JOIN sz USING (dataset)")
-_q("ct3_lost", lambda s, d: cohorts.lost_samples(surv(s, d), expr(s, d).where("sample_id % 10 <> 0 OR dataset = 'BUILDING'")), "WITH l AS (SELECT dataset, sample_id, row_number() OVER (PARTITION BY dataset ORDER BY sample_id) AS r FROM surv WHERE (dataset, sample_id) NOT IN (SELECT dataset, sample_id FROM expr WHERE sample_id % 10 <> 0 OR dataset = 'BUILDING')), g AS (SELECT dataset, count(*) AS lost, string_agg(CASE WHEN r <= 8 THEN CAST(sample_id AS VARCHAR) END, ', ' ORDER BY sample_id) AS ids FROM l GROUP BY dataset), t AS (SELECT dataset, count(DISTINCT sample_id) AS \"all\" FROM surv GROUP BY dataset) SELECT dataset, \"all\", coalesce(lost, 0) AS lost, ids, CASE WHEN coalesce(lost, 0) = 0 THEN 'complete' WHEN lost::DOUBLE / \"all\" <= 0.1 THEN 'minor loss' ELSE 'review' END AS gate FROM t LEFT JOIN g USING (dataset)")
+# a catalog with a guarded row, one without expression, one without a primary endpoint and one without any table
+FAMS = ["OS", "DFS"]
+_NAME = "CASE dataset WHEN 'MACHINERY' THEN 'TCGA-MACHINERY' ELSE dataset END"
+
+
+def _named(df):
+    return df.withColumn("dataset", F.expr(_NAME))
+
+
+def _long(s, d):
+    """Survival rows by token, with holes."""
+    v = surv(s, d)
+    os = v.select("dataset", "sample_id", F.lit("OS").alias("token"), "time", F.when(F.col("sample_id") % 9 != 0, F.col("status")).alias("status"))
+    rfs = v.where("dataset <> 'MACHINERY'").select("dataset", "sample_id", F.lit("RFS").alias("token"), F.when(F.col("sample_id") % 11 != 0, F.col("cr_time")).alias("time"), (F.col("cr_status") > 0).cast("int").alias("status"))
+    return _named(os.unionByName(rfs))
+
+
+def _expressed(s, d):
+    return _named(expr(s, d).where("sample_id % 10 <> 0 AND dataset <> 'HOUSEHOLD'"))
+
+
+def _cohort_rows(s, d):
+    n = surv(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda c: F.col("dataset") == c
+    c = n.select("dataset", "n", F.when(one("BUILDING"), "DFS").when(~one("FURNITURE"), "OS").alias("primary"), F.when(~one("FURNITURE"), "OS").alias("ep_os"), F.when(~one("MACHINERY"), "RFS").alias("ep_dfs"))
+    return _named(c).unionByName(s.createDataFrame([("GHOST", 4, "OS", "OS", None)], "dataset string, n long, primary string, ep_os string, ep_dfs string"))
+
+
+_LT = f"lt AS (SELECT {_NAME} AS dataset, sample_id, 'OS' AS token, time, CASE WHEN sample_id % 9 <> 0 THEN status END AS status FROM surv UNION ALL SELECT dataset, sample_id, 'RFS', CASE WHEN sample_id % 11 <> 0 THEN cr_time END, CASE WHEN cr_status > 0 THEN 1 ELSE 0 END FROM surv WHERE dataset <> 'MACHINERY'), xs AS (SELECT DISTINCT {_NAME} AS dataset, sample_id FROM expr WHERE sample_id % 10 <> 0 AND dataset <> 'HOUSEHOLD')"
+_CT = f"ct AS (SELECT {_NAME} AS dataset, count(*) AS n, CASE dataset WHEN 'BUILDING' THEN 'DFS' WHEN 'FURNITURE' THEN NULL ELSE 'OS' END AS \"primary\", CASE WHEN dataset <> 'FURNITURE' THEN 'OS' END AS ep_os, CASE WHEN dataset <> 'MACHINERY' THEN 'RFS' END AS ep_dfs FROM surv GROUP BY surv.dataset UNION ALL SELECT 'GHOST', 4, 'OS', 'OS', NULL)"
+_SZ = f"""{_LT}, {_CT}, us AS (SELECT lt.*, lt.dataset LIKE 'TCGA-%' OR x.sample_id IS NOT NULL AS used FROM lt LEFT JOIN xs x ON x.dataset = lt.dataset AND x.sample_id = lt.sample_id WHERE time IS NOT NULL AND status IS NOT NULL),
+fm AS (SELECT ct.dataset, count(CASE WHEN used AND token = ep_os THEN 1 END) AS n_os, count(CASE WHEN used AND token = ep_dfs THEN 1 END) AS n_dfs, count(CASE WHEN used AND token = CASE "primary" WHEN 'OS' THEN ep_os ELSE ep_dfs END THEN 1 END) AS np, count(CASE WHEN used AND status = 1 AND token = CASE "primary" WHEN 'OS' THEN ep_os WHEN 'DFS' THEN ep_dfs END THEN 1 END) AS ne FROM ct LEFT JOIN us USING (dataset) GROUP BY ct.dataset),
+nv AS (SELECT dataset, count(DISTINCT sample_id) AS n_surv FROM lt GROUP BY dataset), nx AS (SELECT dataset, count(*) AS n_expr FROM xs GROUP BY dataset),
+sj AS (SELECT ct.dataset, ct.n AS old, "primary", n_surv, CASE WHEN ct.dataset NOT LIKE 'TCGA-%' THEN n_expr END AS n_expr, n_os, n_dfs, np, ne, n_surv IS NOT NULL AND (ct.dataset LIKE 'TCGA-%' OR n_expr IS NOT NULL) AND "primary" IS NOT NULL AS ok FROM ct LEFT JOIN nv USING (dataset) LEFT JOIN nx USING (dataset) LEFT JOIN fm USING (dataset)),
+sz AS (SELECT dataset, n_surv, n_expr, CASE WHEN ok THEN n_os ELSE 0 END AS n_os, CASE WHEN ok THEN n_dfs ELSE 0 END AS n_dfs, CASE WHEN dataset LIKE 'TCGA-%' THEN old WHEN ok AND np > 0 THEN np END AS n, CASE WHEN ok THEN ne END AS n_events, CASE WHEN n_surv IS NULL THEN 'no survival table' WHEN dataset NOT LIKE 'TCGA-%' AND n_expr IS NULL THEN 'no expression table' WHEN "primary" IS NULL THEN 'no primary endpoint' END AS note FROM sj)"""
+
+
+def _sizes(s, d):
+    return cohorts.sizes(_cohort_rows(s, d), _long(s, d), _expressed(s, d), FAMS)
+
+
+_q("ct1_sizes", _sizes, f"WITH {_SZ} SELECT * FROM sz")
+_q("ct2_changes", lambda s, d: cohorts.size_changes(_cohort_rows(s, d).where("dataset <> 'GHOST'"), _sizes(s, d)), f"WITH {_SZ}, o AS (SELECT dataset, n AS old_n FROM ct WHERE dataset <> 'GHOST') SELECT dataset, old_n, n AS new_n, CASE WHEN n IS NULL THEN 'would become null' WHEN old_n IS NULL THEN 'new' WHEN old_n = n THEN 'same' WHEN old_n < n THEN 'grows' ELSE 'shrinks' END AS change FROM sz LEFT JOIN o USING (dataset)")
+
+
+def _lost(s, d):
+    c = _cohort_rows(s, d).withColumn("n", F.when(F.col("dataset") == "BUILDING", 40).when(F.col("dataset") == "GHOST", 4).otherwise(F.col("n")))
+    return cohorts.lost_samples(c.withColumn("primary", F.expr("CASE WHEN primary = 'DFS' THEN 'RFS' WHEN dataset = 'FURNITURE' THEN 'XYZ' ELSE primary END")), _long(s, d), _expressed(s, d))
+
+
+_q("ct3_lost", _lost, f"""WITH {_LT}, {_CT}, c AS (SELECT dataset, CASE dataset WHEN 'BUILDING' THEN 40 WHEN 'GHOST' THEN 4 ELSE n END AS n, CASE dataset WHEN 'BUILDING' THEN 'RFS' WHEN 'FURNITURE' THEN 'XYZ' ELSE "primary" END AS tok FROM ct),
+l AS (SELECT lt.dataset, sample_id, row_number() OVER (PARTITION BY lt.dataset ORDER BY sample_id) AS r FROM lt JOIN c ON c.dataset = lt.dataset AND c.tok = lt.token WHERE time IS NOT NULL AND status IS NOT NULL AND (lt.dataset, sample_id) NOT IN (SELECT dataset, sample_id FROM xs)), g AS (SELECT dataset, count(*) AS lost, string_agg(CAST(sample_id AS VARCHAR), ', ' ORDER BY r) FILTER (WHERE r <= 8) AS ids FROM l GROUP BY dataset),
+k AS (SELECT c.*, lost, ids, c.dataset IN (SELECT dataset FROM lt) AS has_t, (c.dataset, c.tok) IN (SELECT DISTINCT dataset, token FROM lt) AS has_p, c.dataset IN (SELECT dataset FROM xs) AS has_e FROM c LEFT JOIN g USING (dataset))
+SELECT dataset, n, CASE WHEN has_p AND has_e THEN coalesce(lost, 0) END AS dropped, CASE WHEN NOT has_t THEN 'no survival table' WHEN NOT has_p THEN 'primary token ' || tok || ' has no status and time' WHEN NOT has_e THEN 'no expression table' WHEN lost IS NULL THEN 'none' ELSE CAST(lost AS VARCHAR) || ' without expression: ' || ids END AS reason, CASE WHEN n < 51 THEN '>=30' ELSE '>50' END AS gate, CASE WHEN n < 30 THEN 'author-decision' ELSE 'gate' END AS decision FROM k""")
 _q("ct4_work_plan", lambda s, d: cohorts.work_plan(catalog(s, d).select("accession"), catalog(s, d).where("n % 2 = 0"), catalog(s, d).where("n % 3 = 0"), catalog(s, d).where("n % 5 = 0")), f"WITH {CATALOG_SQL} SELECT accession, n % 2 = 0 AS db, n % 3 = 0 AS local, n % 5 = 0 AS out, CASE WHEN n % 5 = 0 THEN 'EXCLUDED' WHEN n % 2 = 0 THEN 'DONE-DB' WHEN n % 3 = 0 THEN 'DONE-LOCAL' ELSE 'TODO' END AS plan FROM cat")
 
 
 def _consistency(s, d):
-    v, e = surv(s, d), expr(s, d)
-    cat = cohorts.sizes(v, e).where("dataset <> 'MACHINERY'").select(F.col("dataset").alias("accession"), (F.col("n") + F.when(F.col("dataset") == "BUILDING", 1).otherwise(0)).alias("n")).unionByName(s.createDataFrame([("GHOST", 4)], "accession string, n long"))
-    grid = cat.where("accession <> 'FURNITURE'").select("accession", F.explode(F.array(F.lit("OS"), F.lit("DFS"))).alias("family"))
-    return cohorts.consistency(cat, v, e, grid, ["OS", "DFS"])
+    """The catalog above with its true counts, then faults of every kind."""
+    v, e = _long(s, d), _expressed(s, d)
+    c = _cohort_rows(s, d)
+    good = c.drop("n").join(cohorts.sizes(c, v, e, FAMS).drop("note"), "dataset").withColumn("platform", F.when(F.col("dataset") == "BUILDING", "GPL9").otherwise("GPL1")).withColumn("survival_types", F.when(F.col("dataset") != "HOUSEHOLD", "OS,RFS"))
+    b = F.col("dataset") == "BUILDING"
+    bad = good.withColumn("n", F.when(b, 1_000_000).otherwise(F.col("n"))).withColumn("n_dfs", F.when(b, F.col("n_dfs") - 1).when(F.col("dataset") == "TCGA-MACHINERY", 7).otherwise(F.col("n_dfs")))
+    odd = good.where("dataset = 'GHOST'").withColumns({"dataset": F.lit("ODD-GPL5"), "ep_os": F.lit(None).cast("string"), "primary": F.lit(None).cast("string")})
+    cat = bad.where("dataset <> 'HOUSEHOLD'").unionByName(odd).unionByName(bad.where("dataset = 'GHOST'"))
+    v = v.withColumn("status", F.when((F.col("dataset") == "AUTOMOBILE") & (F.col("token") == "RFS"), F.col("status") + 1).when((F.col("dataset") == "FURNITURE") & (F.col("token") == "OS"), None).otherwise(F.col("status")))
+    grid = c.where("dataset <> 'FURNITURE'").select("dataset", F.explode(F.array(F.lit("OS"), F.lit("DFS"))).alias("family")).withColumn("pooling_class", F.when(F.col("dataset") == "GHOST", "Maybe").otherwise("Unknown"))
+    return cohorts.consistency(cat, v, e, grid, FAMS, s.createDataFrame([("GPL1",)], "platform string"))
+
+
+_EXPECTED = {
+    ("error", "repeated accession"): ("1", "'GHOST'"), ("error", "dash before the platform in an accession"): ("1", "'ODD-GPL5'"), ("error", "endpoint columns empty though annotated or with a survival table"): ("1", "'ODD-GPL5 (survival types OS,RFS)'"),
+    ("error", "annotated without expression table"): ("3", "'GHOST, ODD-GPL5'"), ("error", "annotated without survival table"): ("3", "'GHOST, ODD-GPL5'"), ("error", "expression table without platform table"): ("1", "'BUILDING (platform GPL9)'"),
+    ("warn", "table without catalog row"): ("1", "'HOUSEHOLD'"), ("error", "status not 0/1"): ("1", "'AUTOMOBILE.RFS'"),
+    ("error", "count differs from the tables"): ("2", "'BUILDING n 1000000!=' || CAST(z.n AS VARCHAR) || ', BUILDING n_dfs ' || CAST(z.n_dfs - 1 AS VARCHAR) || '!=' || CAST(z.n_dfs AS VARCHAR)"),
+    ("error", "N above its tables"): ("1", "'BUILDING'"), ("error", "no sample in both tables"): ("0", "''"), ("warn", "status column empty"): ("1", "'FURNITURE.OS'"), ("warn", "primary endpoint without events"): ("0", "''"),
+    ("info", "expression but no N"): ("1", "'FURNITURE'"), ("error", "token without time and status"): ("0", "''"), ("error", "count of a family that is not registered"): ("0", "''"), ("error", "cell missing in the grid"): ("4", "'FURNITURE/DFS, FURNITURE/OS, ODD-GPL5/DFS, ODD-GPL5/OS'"),
+    ("error", "grid cell without cohort"): ("2", "'HOUSEHOLD/DFS, HOUSEHOLD/OS'"), ("error", "repeated grid cell"): ("0", "''"), ("error", "pooling class blank or unknown"): ("2", "'GHOST/DFS, GHOST/OS'"), ("info", "no endpoint annotation"): ("0", "''"),
+}
+_q("ct5_consistency", _consistency, f"WITH {_SZ}, z AS (SELECT n, n_dfs FROM sz WHERE dataset = 'BUILDING') " + " UNION ALL ".join(f"SELECT '{lv}' AS level, '{c}' AS \"check\", {n}::BIGINT AS n, {text} AS detail FROM z" for (lv, c), (n, text) in _EXPECTED.items()))
+
 
+def _sweep(s, d):
+    """Of one gene: a cohort without expression, one without survival, one without a shared sample, one with constant values."""
+    v = surv(s, d).where("dataset <> 'FURNITURE'")
+    e = expr(s, d).where("gene = 'Brand#11' AND dataset <> 'HOUSEHOLD'").withColumn("sample_id", F.when(F.col("dataset") == "BUILDING", -F.col("sample_id")).otherwise(F.col("sample_id"))).withColumn("value", F.when(F.col("dataset") == "MACHINERY", 1.0).otherwise(F.col("value")))
+    cat = surv(s, d).select("dataset").distinct().unionByName(s.createDataFrame([("GHOST",)], "dataset string"))
+    return cohorts.sweep(cat, v, e, cox.screen(v.join(e, ["dataset", "sample_id"])))
 
-_q("ct5_consistency", _consistency, "SELECT unnest(['ERROR', 'ERROR', 'WARNING', 'WARNING', 'ERROR', 'ERROR', 'ERROR', 'ERROR']) AS level, unnest(['repeated accession', 'survival table missing', 'orphan survival table', 'orphan expression table', 'status not 0/1', 'N differs', 'grid gap', 'grid row without cohort']) AS \"check\", unnest([0, 1, count(DISTINCT dataset) FILTER (WHERE dataset = 'MACHINERY'), count(DISTINCT dataset) FILTER (WHERE dataset = 'MACHINERY'), 0, 1, 2, 0]) AS n FROM surv")
-_q("ct6_sweep", lambda s, d: cohorts.sweep(surv(s, d).select(F.col("dataset").alias("accession")).distinct(), cox.screen(merged(s, d).where(F.col("gene") == "Brand#11"))))
+
+_q("ct6_sweep", _sweep, """WITH k AS (SELECT s.dataset, count(DISTINCT s.sample_id) AS sv, count(DISTINCT e.sample_id) AS ex, sum(CASE WHEN e.sample_id IS NOT NULL THEN status END)::BIGINT AS ev FROM surv s LEFT JOIN (SELECT * FROM expr WHERE gene = 'Brand#11') e ON e.dataset = s.dataset AND e.sample_id = s.sample_id GROUP BY s.dataset)
+SELECT dataset, CASE dataset WHEN 'HOUSEHOLD' THEN 'surv-only' WHEN 'FURNITURE' THEN 'expr-only' ELSE 'full' END AS type, CASE dataset WHEN 'FURNITURE' THEN 'FAIL' WHEN 'BUILDING' THEN 'FAIL' WHEN 'MACHINERY' THEN 'WARN' ELSE 'OK' END AS status, CASE dataset WHEN 'HOUSEHOLD' THEN sv ELSE ex END AS samples, CASE WHEN dataset <> 'HOUSEHOLD' THEN 1 END::BIGINT AS genes, CASE WHEN dataset IN ('AUTOMOBILE', 'MACHINERY') THEN ev END AS events,
+CASE dataset WHEN 'HOUSEHOLD' THEN 'survival only' WHEN 'FURNITURE' THEN 'no survival table to merge' WHEN 'BUILDING' THEN 'no sample in both tables' WHEN 'MACHINERY' THEN 'cox rows=0' ELSE 'cox rows=1' END AS detail FROM k UNION ALL SELECT 'GHOST', 'not-in-db', 'SKIP', NULL, NULL, NULL, 'no table'""")
 
 # --- readers on tables ------------------------------------------------------------------------------------------
 
 
 def _matrix(s, d):
-    return probes(s, d).where("dataset = 'BUILDING' AND sample_id <= 60").groupBy(F.col("probe_id").cast("string").alias("ID_REF")).pivot("sample_id", [7, 13, 19, 22, 25, 31]).agg(F.max("value")).withColumn("31", F.lit("n/a"))
+    """Probes by samples of all cohorts: a patient's place in its block of 40 is the sample, so the matrix has 40 columns and one of text."""
+    x = probes(s, d).select(F.concat_ws("_", "dataset", "probe_id").alias("ID_REF"), F.expr("concat('S', pmod(sample_id, 40))").alias("place"), "value")
+    wide = x.groupBy("ID_REF").pivot("place", [f"S{k}" for k in range(40)]).agg(F.max("value"))
+    return wide.withColumn("S99", F.lit("n/a"))
 
 
 def _series_files(s, d):
-    """Every cohort's expression as a series-matrix text file in the shared folder; the path of the folder."""
+    """Every cohort's expression as a series-matrix text in the shared folder, in files that each hold a part of the genes; the folder.
+
+    A cohort's lines are dealt by gene, so no task and no value holds a whole matrix; each file has its own head.
+    """
     e = expr(s, d).select("dataset", "gene", F.col("sample_id").cast("string").alias("sample_id"), F.col("value").cast("string").alias("value"))
     ids = e.groupBy("dataset").agg(F.sort_array(F.collect_set("sample_id")).alias("ids"))
     rows = e.groupBy("dataset", "gene").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("m")).join(ids, "dataset")
     line = F.concat_ws("\t", "gene", F.transform("ids", lambda i: F.coalesce(F.try_element_at("m", i), F.lit("null"))))
-    body = rows.groupBy("dataset", "ids").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
-    text = F.concat_ws("\n", F.concat(F.lit('!Series_title\t"'), "dataset", F.lit('"')), F.concat_ws("\t", F.lit("!Sample_geo_accession"), "ids"), F.lit("!series_matrix_table_begin"), F.concat_ws("\t", F.lit("ID_REF"), "ids"), "body", F.lit("!series_matrix_table_end"))
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/series-{uuid.uuid4().hex}"
-    body.select("dataset", text.alias("value")).write.partitionBy("dataset").text(path)
+    part = F.pmod(F.xxhash64("gene"), F.lit(4)).cast("int")
+    body = rows.select("dataset", part.alias("part"), F.concat(F.lit("5"), "gene").alias("r"), line.alias("line"))
+    head = F.array(F.concat(F.lit('!Series_title\t"'), "dataset", F.lit('"')), F.concat_ws("\t", F.lit("!Sample_geo_accession"), "ids"), F.lit("!series_matrix_table_begin"), F.concat_ws("\t", F.lit("ID_REF"), "ids"), F.lit("!series_matrix_table_end"))
+    places = ids.select("dataset", F.posexplode(head).alias("k", "line")).select("dataset", F.element_at(F.array(*map(F.lit, "12346")), F.col("k") + 1).alias("r"), "line")
+    heads = body.select("dataset", "part").distinct().join(places, "dataset").select("dataset", "part", "r", "line")
+    path = f"{shared_dir(s).rstrip('/')}/series-{uuid.uuid4().hex}"
+    both = body.unionByName(heads).repartition("dataset", "part").sortWithinPartitions("dataset", "part", "r")
+    both.select("dataset", "part", F.col("line").alias("value")).write.partitionBy("dataset", "part").text(path)
     return path
 
 
 def _io4(s, d):
     body = readers.series_matrix(s, _series_files(s, d))[2]
-    return body.select(F.regexp_extract("file", "dataset=([^/]+)", 1).alias("dataset"), "probe_id", "sample_id", "value")
+    return _from_file(body)
 
 
 _q("io4_series_matrix", _io4, "WITH i AS (SELECT DISTINCT dataset, sample_id FROM expr), g AS (SELECT DISTINCT dataset, gene FROM expr) SELECT i.dataset, g.gene AS probe_id, CAST(i.sample_id AS VARCHAR) AS sample_id, value FROM i JOIN g ON g.dataset = i.dataset LEFT JOIN expr e ON e.dataset = i.dataset AND e.sample_id = i.sample_id AND e.gene = g.gene")
 
 def _lines(s, df, by="dataset"):
     """Files of lines, one folder per value of a column: rows (by, r, line) are written in the order of r. Path of the folder."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    base = shared_dir(s)
     path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
     df.repartition(by).sortWithinPartitions(by, "r").select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
     return path
@@ -428,21 +538,31 @@ def _io5(s, d):
     return readers.platform_table(s, _lines(s, _with_head(rows, ["^PLATFORM", "0\t1\t2", "!platform_table_begin", "ID\tSymbol\tGENE\tENTREZ_GENE_ID"]).unionByName(last))).select("probe_id", "gene")
 
 
+def _from_file(df):
+    """The dataset that a file was written for, in place of its path."""
+    return df.withColumn("dataset", F.regexp_extract("file", "dataset=([^/]+)", 1)).drop("file")
+
+
 def _io6(s, d):
-    got = readers.sdrf(s, _lines(s, _with_head(_part(s, d).select("dataset", _joined("id", "p_brand", F.lit("day"), F.lit("year"))), ["Source \tArray\tUnit\tUnit"])))
-    return got.select(F.col(readers.pick_column(got, ["^name", "^source"])).alias("id"), "Array", "Unit", "Unit__1")
+    """Cohorts of two layouts: with and without an array column, in another order."""
+    p = _part(s, d)
+    one = _with_head(p.where("dataset < 'Brand3'").select("dataset", _joined("id", "p_brand", F.lit("day"), F.lit("year"))), ["Source \tArray\tUnit\tUnit"])
+    two = _with_head(p.where("dataset >= 'Brand3'").select("dataset", _joined(F.lit("week"), "id")), ["Unit\tSource"])
+    got = _from_file(readers.sdrf(s, _lines(s, one.unionByName(two))))
+    return got.select("dataset", F.col(readers.pick_column(got, ["^name", "^source"])).alias("id"), "Array", "Unit", "Unit__1")
 
 
 def _io7(s, d):
     size = F.col("p_size").cast("string")
-    return readers.magetab(s, _lines(s, _with_head(_part(s, d).select("dataset", _joined("id", size, F.lit("P"), F.concat((F.col("p_size") + 2).cast("string"), F.lit(",0")), size)), ["Hyb\tA\tA\tA\tB", "Ref\tvalue\tcall\tvalue\tvalue"])), "value")
+    rows = _part(s, d).select("dataset", _joined("p_type", size, F.lit("P"), F.concat((F.col("p_size") + 2).cast("string"), F.lit(",0")), size))
+    return r6(_from_file(readers.magetab(s, _lines(s, _with_head(rows, ["Hyb\tA\tA\tA\tB", "Ref\tvalue\tcall\tvalue\tvalue"])), "value")), "value")
 
 
 def _io8(s, d):
     p = _part(s, d)
     rows = p.select("dataset", _joined("id", F.col("p_size").cast("string"), F.lit("n/a")))
     twice = _with_head(rows, ["A\tB"]).unionByName(p.select("dataset", F.lit("6").alias("r"), _joined("id", F.lit("999"), F.lit("999"))))
-    return readers.unlabelled_matrix(s, _lines(s, twice))
+    return _from_file(readers.unlabelled_matrix(s, _lines(s, twice)))
 
 
 def _io9(s, d):
@@ -456,20 +576,20 @@ def _io10(s, d):
 
 
 def _io11(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    base = shared_dir(s)
     path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
     readers.write_csv(dirty(s, d).select("sample_id", "dataset", fn.sex(F.col("sex_raw")).alias("sex")), path)
     return s.read.csv(path, header=True, schema="sample_id long, dataset string, sex string")
 
 
 _q("io5_platform_table", _io5, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, CASE WHEN p_size % 5 <> 0 THEN 'g' || CAST(p_size AS VARCHAR) END AS gene FROM part")
-_q("io6_sdrf", _io6, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS \"Array\", 'day' AS \"Unit\", 'year' AS \"Unit__1\" FROM part")
-_q("io7_magetab", _io7, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['A', 'B']) AS sample_id, unnest([p_size + 1, p_size])::DOUBLE AS value FROM part")
-_q("io8_unlabelled", _io8, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['A', 'B']) AS sample_id, unnest([p_size, NULL])::DOUBLE AS value FROM part")
+_q("io6_sdrf", _io6, "SELECT replace(p_brand, '#', '') AS dataset, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_brand < 'Brand#3' THEN p_brand END AS \"Array\", CASE WHEN p_brand < 'Brand#3' THEN 'day' ELSE 'week' END AS \"Unit\", CASE WHEN p_brand < 'Brand#3' THEN 'year' END AS \"Unit__1\" FROM part")
+_q("io7_magetab", _io7, "SELECT dataset, probe_id, unnest(['A', 'B']) AS sample_id, unnest([round(a, 6), round(b, 6)]) AS value FROM (SELECT replace(p_brand, '#', '') AS dataset, p_type AS probe_id, avg(p_size + 1)::DOUBLE AS a, avg(p_size)::DOUBLE AS b FROM part GROUP BY ALL) x")
+_q("io8_unlabelled", _io8, "SELECT replace(p_brand, '#', '') AS dataset, CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['A', 'B']) AS sample_id, unnest([p_size, NULL])::DOUBLE AS value FROM part")
 _q("io9_portal", _io9, "SELECT CAST(p_partkey AS VARCHAR) AS \"PATIENT_ID\", p_brand AS \"BRAND\", CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS VARCHAR) END AS \"AGE\" FROM part")
 _q("io10_decimal_comma", _io10, "SELECT CAST(p_partkey AS VARCHAR) AS probe_id, unnest(['S1', 'S2']) AS sample_id, unnest([p_size + 0.5::DOUBLE, NULL]) AS value FROM part")
 _q("io11_csv", _io11, f"WITH {D} SELECT CAST(sample_id AS BIGINT) AS sample_id, dataset, {_table(_SEX, 'sex_raw')} AS sex FROM dt")
-_q("io1_matrix", lambda s, d: readers.melt(_matrix(s, d), "ID_REF").where("value IS NOT NULL"), "SELECT CAST(probe_id AS VARCHAR) AS probe_id, CAST(sample_id AS VARCHAR) AS sample_id, max(value) AS value FROM probes WHERE dataset = 'BUILDING' AND sample_id IN (7, 13, 19, 22, 25) GROUP BY ALL")
+_q("io1_matrix", lambda s, d: readers.melt(_matrix(s, d), "ID_REF").where("value IS NOT NULL"), "SELECT concat_ws('_', dataset, probe_id) AS probe_id, 'S' || CAST(sample_id % 40 AS VARCHAR) AS sample_id, max(value) AS value FROM probes GROUP BY ALL")
 _q("io2_survival", lambda s, d: r6(readers.survival_table(surv(s, d).select("sample_id", "time", "status")), "time"), "SELECT sample_id AS \"ID\", round(time, 6) AS time, status FROM surv")
 _q("io3_map", lambda s, d: readers.map_for(expression.explode_map(raw_map(s, d)), _genes(s, "Brand#11")).select("platform", "probe_id", "gene"), f"WITH {MAP}, {XM} SELECT * FROM xm WHERE gene = 'Brand#11'")
 _q("io12_gate", lambda s, d: readers.load_gate(catalog(s, d).select("accession", F.col("n").alias("n_expr")), catalog(s, d).where("n % 3 = 0"), ["NATION_1"], 60), f"WITH {CATALOG_SQL} SELECT accession, n AS n_expr, CASE WHEN n % 3 = 0 THEN 'kept' WHEN n <= 60 AND accession <> 'NATION_1' THEN 'skipped: small' ELSE 'loaded' END AS action FROM cat")

@@ -80,6 +80,69 @@ _POOL_OUT = "k, round(log_hr, 6) AS log_hr, round(pse, 6) AS se, round(hr, 6) AS
 _POOL_ROUND = ("log_hr", "se", "hr", "lower", "upper", "q", "i2", "tau2")
 
 
+#: Two-sided normal p-value of z: one minus Simpson's rule over the density, 400 intervals.
+_P2 = "CASE WHEN abs({z}) > 9 THEN 0.0 ELSE 1 - sqrt(2 / pi()) * abs({z}) / 1200 * list_sum(list_transform(range(0, 401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * power(abs({z}) * i / 400, 2)))) END"
+
+
+def _fits(src, keys="dataset, gene", steps=8, scale=True, x="value"):
+    """Univariable Cox fits (Efron ties) of a CTE as ``fits``: Newton steps one after another, on standardised values."""
+    by = f"PARTITION BY {keys}"
+    out = f"""
+f0 AS (SELECT {keys}, time, status, {x}::DOUBLE AS v FROM {src} WHERE {x} IS NOT NULL AND time >= 0 AND status IN (0, 1)),
+f1 AS (SELECT {keys}, count(*) AS n, sum(status)::BIGINT AS events, avg(v) AS mean, stddev_samp(v) AS sd FROM f0 GROUP BY {keys}),
+f2 AS (SELECT *, CASE WHEN n < 10 THEN 'fewer than 10 complete samples' WHEN events < 5 THEN 'fewer than 5 events' WHEN events = n THEN 'no censored sample' WHEN NOT (sd > 1e-12 * greatest(1, abs(mean))) THEN 'constant marker' END AS reason FROM f1),
+f3 AS (SELECT {keys}, time, status, (v - mean) / sd AS z FROM f0 JOIN f2 USING ({keys}) WHERE reason IS NULL),
+b0 AS (SELECT {keys}, 0.0::DOUBLE AS b, NULL::DOUBLE AS info FROM f3 GROUP BY {keys})"""
+    for k in range(steps):
+        out += f""",
+s{k} AS (SELECT {keys}, time, sum(status)::BIGINT AS d, sum(status * z) AS sz, sum(exp(b * z)) AS r0, sum(z * exp(b * z)) AS r1, sum(z * z * exp(b * z)) AS r2, sum(status * exp(b * z)) AS t0, sum(status * z * exp(b * z)) AS t1, sum(status * z * z * exp(b * z)) AS t2 FROM f3 JOIN b{k} USING ({keys}) GROUP BY {keys}, time),
+w{k} AS (SELECT {keys}, d, sz, t0, t1, t2, sum(r0) OVER w AS s0, sum(r1) OVER w AS s1, sum(r2) OVER w AS s2 FROM s{k} WINDOW w AS ({by} ORDER BY time DESC)),
+e{k} AS (SELECT {keys}, sz / d AS own, s0 - l / d::DOUBLE * t0 AS a0, s1 - l / d::DOUBLE * t1 AS a1, s2 - l / d::DOUBLE * t2 AS a2 FROM (SELECT *, unnest(range(d)) AS l FROM w{k} WHERE d > 0) x),
+u{k} AS (SELECT {keys}, sum(own - a1 / a0) AS u, sum(a2 / a0 - (a1 / a0) * (a1 / a0)) AS i FROM e{k} GROUP BY {keys}),
+b{k + 1} AS (SELECT {keys}, b + u / i AS b, i AS info FROM b{k} JOIN u{k} USING ({keys}))"""
+    unit = "" if scale else " / sd"
+    return out + f""",
+f4 AS (SELECT {keys}, n, events, b{unit} AS b, 1 / sqrt(info){unit} AS se, reason FROM f2 LEFT JOIN b{steps} USING ({keys})),
+fits AS (SELECT {keys}, n, events, round(b, 6) AS b, round(se, 6) AS se, round(exp(b), 6) AS hr, round(exp(b - 1.96 * se), 6) AS lower, round(exp(b + 1.96 * se), 6) AS upper, round({_P2.format(z='(b / se)')}, 6) AS p, reason, b AS b_full, se AS se_full FROM f4)"""
+
+
+_FIT = ("b", "se", "hr", "lower", "upper", "p")
+
+
+def _remls(src):
+    """``remls``: the root of the REML equation per gene of estimates (b, se), by bisection over lists of a gene's estimates."""
+    gap = lambda t: f"list_sum(list_transform(range(1, k + 1), lambda i: (power(bs[i] - list_sum(list_transform(range(1, k + 1), lambda j: bs[j] / (vs[j] + {t}))) / list_sum(list_transform(vs, lambda v: 1 / (v + {t}))), 2) - vs[i]) / power(vs[i] + {t}, 2))) / list_sum(list_transform(vs, lambda v: 1 / power(v + {t}, 2))) + 1 / list_sum(list_transform(vs, lambda v: 1 / (v + {t}))) - {t}"
+    return f"""
+q0 AS (SELECT gene, count(*)::BIGINT AS k, list(b ORDER BY dataset) AS bs, list(se * se ORDER BY dataset) AS vs, greatest(1, 4 * var_pop(b)) AS top FROM {src} WHERE b IS NOT NULL AND se > 0 GROUP BY gene),
+q1(gene, k, bs, vs, low, high, step) AS (SELECT gene, k, bs, vs, 0.0::DOUBLE, CASE WHEN k < 2 OR {gap('0.0')} <= 0 THEN 0.0 ELSE top END::DOUBLE, 0 FROM q0
+  UNION ALL SELECT gene, k, bs, vs, CASE WHEN {gap('((low + high) / 2)')} > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN {gap('((low + high) / 2)')} > 0 THEN high ELSE (low + high) / 2 END, step + 1 FROM q1 WHERE step < 60),
+remls AS (SELECT gene, k, (low + high) / 2 AS tau2 FROM q1 WHERE step = 60)"""
+
+
+#: Two-sided p-value of t, and quantile at 0.975, for the degrees of freedom of five cohorts (4 and 3).
+_T4 = "(1 - abs({t}) / sqrt(4 + {t} * {t}) * (1 + 2 / (4 + {t} * {t})))"
+_Q4, _Q3 = "2.7764451051977987", "3.182446305284263"
+
+
+def _meta(src, hk=False):
+    """``pools``: REML pooling per gene over five cohorts, all columns of the pooled table."""
+    half = f"{_Q4} * sqrt(tau2 + err * err)" if hk else f"{_Q3} * sqrt(tau2 + err * err)"
+    err = "sqrt(num / ((k - 1) * swr))" if hk else "1 / sqrt(swr)"
+    crit, p = (_Q4, _T4.format(t="(mu / err)")) if hk else ("1.96", _P2.format(z="(mu / err)"))
+    alt = [f"round(exp(mu {o} {_Q3} * sqrt(tau2 + 1 / swr)), 6)" if hk else "NULL::DOUBLE" for o in "-+"]
+    return f"""{_remls(src)},
+m1 AS (SELECT e.gene, r.k, tau2, sum(1 / (se * se)) AS sw, sum(b / (se * se)) AS swb, sum(1 / (se * se + tau2)) AS swr, sum(b / (se * se + tau2)) AS swrb, sum(b / se) AS zsum FROM {src} e JOIN remls r USING (gene) WHERE b IS NOT NULL AND se > 0 GROUP BY ALL),
+m2 AS (SELECT m1.*, zsum / sqrt(k) AS zs, swrb / swr AS mu, q, num FROM m1 JOIN (SELECT e.gene, sum(power(b - swb / sw, 2) / (se * se)) AS q, sum(power(b - swrb / swr, 2) / (se * se + tau2)) AS num FROM {src} e JOIN m1 USING (gene) WHERE b IS NOT NULL AND se > 0 GROUP BY e.gene) y USING (gene)),
+m3 AS (SELECT *, {err} AS err FROM m2),
+pools AS (SELECT gene, k, round(mu, 6) AS log_hr, round(err, 6) AS se, round(exp(mu), 6) AS hr, round(exp(mu - {crit} * err), 6) AS lower, round(exp(mu + {crit} * err), 6) AS upper, round({p}, 6) AS p, round(q, 6) AS q, (k - 1)::DOUBLE AS df,
+  round(exp(-q / 2) * (1 + q / 2), 6) AS p_het, round(CASE WHEN q > 0 THEN greatest(0.0, (q - k + 1) / q) ELSE 0.0 END, 6) AS i2, round(tau2, 6) AS tau2, round(exp(mu - {half}), 6) AS pi_lower, round(exp(mu + {half}), 6) AS pi_upper, {alt[0]} AS pi_alt_lower, {alt[1]} AS pi_alt_upper,
+  round(zs, 6) AS z_stouffer, round({_P2.format(z='zs')}, 6) AS p_stouffer, {p} AS p_full FROM m3)"""
+
+
+_META = "gene, k, log_hr, se, hr, lower, upper, p, q, df, p_het, i2, tau2, pi_lower, pi_upper, pi_alt_lower, pi_alt_upper, z_stouffer, p_stouffer"
+_META_ROUND = [c for c in meta.POOL_COLUMNS if c not in ("k", "df")]
+
+
 def peto(spark, d):
     """One-step estimates per gene and cohort from the median split: (O-E)/V and 1/sqrt(V)."""
     lr = km.logrank(km.split(merged(spark, d), K), K, p=False).where("var_high > 0")
@@ -139,8 +202,27 @@ _q("rc2_auc_nne", lambda s, d: roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"))
 _q("rc3_many_genes", lambda s, d: roc.auc(merged(s, d), K, 2.0))
 _q("cx1_univariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"], joint=False))
 _q("cx2_multivariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"]))
-_q("cx3_screen_joint", lambda s, d: meta.adjust(cox.screen(merged(s, d), joint=True), "p", family=["dataset"]))
-_q("cx4_across_cohorts", lambda s, d: meta.adjust(cox.screen(one_gene(s, d), scale=False)))
+_JOINT = "jn AS (SELECT dataset, sample_id, count(DISTINCT gene) AS have FROM {m} WHERE value IS NOT NULL GROUP BY ALL), jl AS (SELECT dataset, count(DISTINCT gene) AS listed FROM {m} GROUP BY dataset), jk AS (SELECT dataset, sample_id FROM jn JOIN jl USING (dataset) WHERE have = listed), j AS (SELECT {m}.* FROM {m} JOIN jk USING (dataset, sample_id)), ja AS (SELECT DISTINCT dataset, gene FROM {m})"
+_BH = "p_adj AS (SELECT dataset, gene, least(1.0, min(p_full * mm / r) OVER (PARTITION BY {part} ORDER BY r DESC)) AS p_adj FROM (SELECT dataset, gene, {p} AS p_full, row_number() OVER (PARTITION BY {part} ORDER BY {p}) AS r, count(*) OVER (PARTITION BY {part}) AS mm FROM fits WHERE reason IS NULL) x)"
+_PF = _P2.format(z="(b_full / se_full)")
+
+
+def _joint_sql(m):
+    return f"{_JOINT.format(m=m)}, {_fits('j')}, {_BH.format(part='dataset', p=_PF)} SELECT ja.dataset, ja.gene, coalesce(n, 0)::BIGINT AS n, coalesce(events, 0)::BIGINT AS events, b, se, hr, lower, upper, p, round(p_adj, 6) AS p_adj, CASE WHEN n IS NULL THEN 'fewer than 10 complete samples' ELSE reason END AS reason FROM ja LEFT JOIN fits USING (dataset, gene) LEFT JOIN p_adj USING (dataset, gene)"
+
+
+def _makers(s, d):
+    """A small panel with holes: the greatest value per sample and maker (the first digit of a brand)."""
+    m = merged(s, d).withColumn("gene", F.substring("gene", 1, 7)).groupBy("dataset", "sample_id", "gene", "time", "status").agg(F.max("value").alias("value"))
+    return m.withColumn("value", F.when(F.pmod(F.col("sample_id"), F.lit(7)) != F.substring("gene", 7, 1).cast("int"), F.col("value")))
+
+
+_MAKERS = M + ", mk AS (SELECT dataset, sample_id, gene, time, status, CASE WHEN sample_id % 7 <> CAST(right(gene, 1) AS INT) THEN value END AS value FROM (SELECT dataset, sample_id, substr(gene, 1, 7) AS gene, time, status, max(value) AS value FROM m GROUP BY ALL) x)"
+_q("cx3_screen_joint", lambda s, d: r6(meta.adjust(cox.screen(merged(s, d), joint=True), "p", family=["dataset"]), *_FIT, "p_adj"), f"WITH {M}, {_joint_sql('m')}")
+_q("cx3_small_panel", lambda s, d: r6(meta.adjust(cox.screen(_makers(s, d), joint=True), "p", family=["dataset"]), *_FIT, "p_adj"), f"WITH {_MAKERS}, {_joint_sql('mk')}")
+_q("cx3_screen", lambda s, d: r6(cox.screen(merged(s, d)), *_FIT), f"WITH {M}, {_fits('m')} SELECT * EXCLUDE (b_full, se_full) FROM fits")
+_q("cx4_across_cohorts", lambda s, d: r6(meta.adjust(cox.screen(one_gene(s, d).withColumn("value", F.col("value") / F.lit(10000.0)), scale=False)), *_FIT, "p_adj"),
+   f"WITH {ONE}, o2 AS (SELECT * REPLACE (value / 10000.0::DOUBLE AS value) FROM o), {_fits('o2', scale=False)}, {_BH.format(part='1', p=_PF)} SELECT fits.* EXCLUDE (b_full, se_full), round(p_adj, 6) AS p_adj FROM fits LEFT JOIN p_adj USING (dataset, gene)")
 _q("cx5_screen_adjust", lambda s, d: cox.screen_adjust(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"], threshold=0.5))
 _LEVELS = "SELECT dataset, sample_id, status, 'nation' AS variable, CASE WHEN nation % 5 = 4 THEN 'N4' ELSE 'N' || CAST(nation % 3 AS VARCHAR) END AS level FROM surv UNION ALL SELECT dataset, sample_id, status, 'rare' AS variable, CASE WHEN sample_id % 97 = 0 THEN 'rare' ELSE 'usual' END AS level FROM surv"
 
@@ -157,7 +239,9 @@ def levels(s, d):
 _VERDICT = f"""lv AS ({_LEVELS}), l1 AS (SELECT dataset, variable, level, count(*) AS n, sum(status)::BIGINT AS events FROM lv GROUP BY ALL),
 l2 AS (SELECT *, count(*) OVER w AS levels, sum(n) OVER w AS total, max(n) OVER w AS top FROM l1 WINDOW w AS (PARTITION BY dataset, variable)),
 l3 AS (SELECT dataset, variable, level, n, events, CASE WHEN levels = 1 THEN 'constant' WHEN top::DOUBLE / total >= 0.95 THEN 'near-constant' WHEN n < 5 THEN 'fewer than 5 patients' WHEN events = 0 THEN 'no events' WHEN events = n THEN 'all events' END AS verdict FROM l2)"""
-_q("cx6_estimable", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.when(F.col("dataset") == "BUILDING", F.lit(1.0)).when(F.col("dataset") == "MACHINERY", F.col("status") * 1e6 + F.col("time")).otherwise(F.col("value")))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"))
+_q("cx6_estimable", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.when(F.col("dataset") == "BUILDING", F.lit(1.0)).otherwise(F.col("value"))).withColumn("status", F.when(F.col("dataset") == "MACHINERY", 1).when((F.col("dataset") == "FURNITURE") & (F.col("sample_id") % 100 != 1), 0).otherwise(F.col("status")))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"),
+   f"WITH {ONE}, o2 AS (SELECT dataset, gene, time, CASE WHEN dataset = 'MACHINERY' THEN 1 WHEN dataset = 'FURNITURE' AND sample_id % 100 <> 1 THEN 0 ELSE status END AS status, CASE WHEN dataset = 'BUILDING' THEN 1.0 ELSE value END AS value FROM o), {_fits('o2', steps=1)} SELECT dataset, gene, n, events, reason IS NULL AS ok, reason FROM fits")
+_q("cx6_separated", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.col("status") * 1e6 + F.col("time"))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"))
 _q("cx7_covariate_screen", lambda s, d: cox.covariate_levels(levels(s, d), ["dataset"]).select("dataset", "variable", "level", "n", "events", "verdict"), f"WITH {_VERDICT} SELECT * FROM l3")
 _q("cx7_merged_levels", lambda s, d: cox.merge_levels(levels(s, d).where("variable = 'rare'").withColumn("level", F.when(F.col("sample_id") % 53 == 0, "odd").otherwise(F.when(F.col("sample_id") % 2 == 0, "even").otherwise("other half"))), ["dataset"], 12).groupBy("dataset", "variable", "level", "merged").agg(F.count(F.lit(1)).alias("n")),
    """WITH lv AS (SELECT dataset, 'rare' AS variable, status, CASE WHEN sample_id % 53 = 0 THEN 'odd' WHEN sample_id % 2 = 0 THEN 'even' ELSE 'other half' END AS level FROM surv),
@@ -174,21 +258,42 @@ def cr(s, d):
     return surv(s, d).select("dataset", "sample_id", F.col("cr_time").alias("time"), F.col("cr_status").alias("status"), "balance", "nation")
 
 
-_CR = """r AS (SELECT dataset, cr_time AS time, cr_status AS status, balance FROM surv), r1 AS (SELECT dataset, time, sum(CASE WHEN status <> 0 THEN 1 ELSE 0 END) AS d, count(*) AS m, sum(CASE WHEN status = 1 THEN 1 ELSE 0 END) AS d1, sum(CASE WHEN status = 2 THEN 1 ELSE 0 END) AS d2 FROM r GROUP BY dataset, time),
-r2 AS (SELECT *, sum(m) OVER (PARTITION BY dataset ORDER BY time DESC)::BIGINT AS n FROM r1), r3 AS (SELECT *, exp(coalesce(sum(CASE WHEN d < n THEN ln(1 - d::DOUBLE / n) END) OVER (PARTITION BY dataset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS sb FROM r2),
-r4 AS (SELECT dataset, time, n, sb, unnest([1, 2]) AS cause, unnest([d1, d2]) AS dk FROM r3), cif AS (SELECT dataset, cause, time, n AS n_risk, dk::BIGINT AS n_event, sum(sb * dk / n) OVER (PARTITION BY dataset, cause ORDER BY time) AS cif FROM r4)"""
-_q("cr1_incidence", lambda s, d: r6(competing.cumulative_incidence(cr(s, d), ["dataset"], [1, 2]), "time", "cif"), f"WITH {_CR} SELECT dataset, cause, round(time, 6) AS time, n_risk, n_event, round(cif, 6) AS cif FROM cif")
-_q("cr1_incidence_at", lambda s, d: r6(competing.cif_at(competing.cumulative_incidence(cr(s, d), ["dataset"], [1, 2]), ["dataset"], [0.5, 1, 2]), "cif"),
-   f"WITH {_CR}, a AS (SELECT cif.*, horizon FROM cif CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS horizon)) SELECT dataset, cause, horizon, round(coalesce(arg_max(cif, time) FILTER (WHERE time <= horizon), 0), 6) AS cif FROM a GROUP BY dataset, cause, horizon HAVING horizon <= max(time)")
+def _cr(src, keys):
+    return f"""r1 AS (SELECT {keys}, time, sum(CASE WHEN status <> 0 THEN 1 ELSE 0 END) AS d, count(*) AS m, sum(CASE WHEN status = 1 THEN 1 ELSE 0 END) AS d1, sum(CASE WHEN status = 2 THEN 1 ELSE 0 END) AS d2 FROM {src} GROUP BY {keys}, time),
+r2 AS (SELECT *, sum(m) OVER (PARTITION BY {keys} ORDER BY time DESC)::BIGINT AS n FROM r1), r3 AS (SELECT *, exp(coalesce(sum(CASE WHEN d < n THEN ln(1 - d::DOUBLE / n) END) OVER (PARTITION BY {keys} ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS sb FROM r2),
+r4 AS (SELECT {keys}, time, n, d, sb, unnest([1, 2]) AS cause, unnest([d1, d2]) AS dk FROM r3), r5 AS (SELECT *, sum(sb * dk / n) OVER (PARTITION BY {keys}, cause ORDER BY time) AS cif FROM r4),
+r6 AS (SELECT u.*, t.time AS reached, t.cif AS c FROM r5 t JOIN r5 u USING ({keys}, cause) WHERE u.time <= t.time),
+r7 AS (SELECT {keys}, cause, reached AS time, sqrt(greatest(0, sum(power(c - cif, 2) * CASE WHEN d < n THEN d / (n::DOUBLE * (n - d)) ELSE 0 END + power(sb, 2) * dk * (n - dk) / power(n, 3) - 2 * sb * (c - cif) * dk / power(n, 2)))) AS se FROM r6 GROUP BY {keys}, cause, reached),
+cif AS (SELECT {keys}, cause, time, n AS n_risk, dk::BIGINT AS n_event, cif, se, CASE WHEN cif > 0 THEN cif * exp(-{competing.Z} * se / cif) END AS lower, CASE WHEN cif > 0 THEN least(1.0, cif * exp({competing.Z} * se / cif)) END AS upper FROM r5 JOIN r7 USING ({keys}, cause, time))"""
+
+
+_RAW = "r AS (SELECT dataset, cr_time AS time, cr_status AS status, balance FROM surv)"
+_CIF = ("cif", "se", "lower", "upper")
+_CIF_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _CIF)
+_q("cr1_incidence", lambda s, d: r6(competing.cumulative_incidence(cr(s, d), ["dataset"], [1, 2]), "time", *_CIF), f"WITH {_RAW}, {_cr('r', 'dataset')} SELECT dataset, cause, round(time, 6) AS time, n_risk, n_event, {_CIF_SQL} FROM cif")
+_q("cr1_incidence_at", lambda s, d: r6(competing.cif_at(competing.cumulative_incidence(cr(s, d), ["dataset"], [1, 2]), ["dataset"], [0.5, 1, 2]), *_CIF),
+   f"WITH {_RAW}, {_cr('r', 'dataset')}, a AS (SELECT cif.*, horizon FROM cif CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS horizon)) SELECT dataset, cause, horizon, coalesce(arg_min(n_risk, time) FILTER (WHERE time >= horizon), 0)::BIGINT AS n_risk, round(coalesce(arg_max(cif, time) FILTER (WHERE time <= horizon), 0), 6) AS cif, round(coalesce(arg_max(se, time) FILTER (WHERE time <= horizon), 0), 6) AS se, round(arg_max(lower, time) FILTER (WHERE time <= horizon), 6) AS lower, round(arg_max(upper, time) FILTER (WHERE time <= horizon), 6) AS upper FROM a GROUP BY dataset, cause, horizon HAVING horizon <= max(time)")
+
+
+def _grouped_incidence(s, d):
+    """Curves by tertile of the balance, read at the default times of the cohort, past the end of a curve as well."""
+    x = competing.group_by_cuts(cr(s, d), ["dataset"], "balance", [1 / 3, 2 / 3])
+    return competing.cif_at(competing.cumulative_incidence(x, ["dataset", "group"], [1, 2]), ["dataset", "group"], competing.event_times(x, ["dataset"]), extend=True)
+
+
+_q("cr1_grouped", lambda s, d: r6(_grouped_incidence(s, d), "horizon", *_CIF),
+   f"""WITH {_RAW}, tq AS (SELECT dataset, quantile_cont(balance, [{1 / 3}, {2 / 3}]) AS qs FROM r GROUP BY dataset), rg AS (SELECT dataset, time, status, 'Q' || CAST(1 + (balance >= qs[1])::INT + (balance >= qs[2])::INT AS VARCHAR) AS "group" FROM r JOIN tq USING (dataset)), {_cr('rg', 'dataset, "group"')},
+tt AS (SELECT DISTINCT dataset, unnest(quantile_cont(time, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS horizon FROM r WHERE status <> 0 GROUP BY dataset), a AS (SELECT cif.*, horizon FROM cif JOIN tt USING (dataset) WHERE horizon > 0)
+SELECT dataset, "group", cause, round(horizon, 6) AS horizon, coalesce(arg_min(n_risk, time) FILTER (WHERE time >= horizon), 0)::BIGINT AS n_risk, round(coalesce(arg_max(cif, time) FILTER (WHERE time <= horizon), 0), 6) AS cif, round(coalesce(arg_max(se, time) FILTER (WHERE time <= horizon), 0), 6) AS se, round(arg_max(lower, time) FILTER (WHERE time <= horizon), 6) AS lower, round(arg_max(upper, time) FILTER (WHERE time <= horizon), 6) AS upper FROM a GROUP BY dataset, "group", cause, horizon""")
 _q("cr2_group_cuts", lambda s, d: competing.group_by_cuts(cr(s, d), ["dataset"], "balance", [0.25, 0.5, 0.75]).groupBy("dataset", "group").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") == 1).cast("int")).alias("events")),
    "WITH q AS (SELECT dataset, quantile_cont(balance, [0.25, 0.5, 0.75]) AS qs, count(DISTINCT balance) AS levels FROM surv GROUP BY dataset) SELECT s.dataset, CASE WHEN levels > 20 THEN 'Q' || CAST(1 + (balance >= qs[1])::INT + (balance >= qs[2])::INT + (balance >= qs[3])::INT AS VARCHAR) ELSE CAST(balance AS VARCHAR) END AS \"group\", count(*) AS n, sum(CASE WHEN cr_status = 1 THEN 1 ELSE 0 END)::BIGINT AS events FROM surv s JOIN q ON q.dataset = s.dataset GROUP BY ALL")
 _q("cr3_cause_specific", lambda s, d: competing.cause_specific(cr(s, d), ["dataset"], 1, ["balance"]))
 _q("cr4_fine_gray", lambda s, d: competing.fine_gray(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]))
-_q("mt1_two_stage", lambda s, d: cox.two_stage(one_gene(s, d))[0])
+_q("mt1_two_stage", lambda s, d: r6(cox.two_stage(one_gene(s, d))[0], *_FIT), f"WITH {ONE}, {_fits('o')} SELECT * EXCLUDE (b_full, se_full) FROM fits WHERE reason IS NULL")
 _q("mt2_pool_dl", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"]), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene')} SELECT gene, {_POOL_OUT} FROM pooled")
 _q("mt2_pool_fe", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"], "FE"), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene', dl=False)} SELECT gene, {_POOL_OUT} FROM pooled")
-_q("mt2_pool_reml", lambda s, d: meta.pool_groups(peto(s, d), ["gene"]))
-_q("mt3_pool_hk", lambda s, d: meta.pool_groups(peto(s, d), ["gene"], "HK", "hk"))
+_q("mt2_pool_reml", lambda s, d: r6(meta.pool_groups(peto(s, d), ["gene"]), *_META_ROUND), f"WITH RECURSIVE {{views}}, {PETO}, {_meta('est')} SELECT {_META} FROM pools")
+_q("mt3_pool_hk", lambda s, d: r6(meta.pool_groups(peto(s, d), ["gene"], "HK", "hk"), *_META_ROUND), f"WITH RECURSIVE {{views}}, {PETO}, {_meta('est', hk=True)} SELECT {_META} FROM pools")
 _q("mt4_stouffer", lambda s, d: r6(peto(s, d).groupBy("gene").agg((F.sum(F.col("b") / F.col("se")) / F.sqrt(F.count(F.lit(1)))).alias("z_stouffer"), F.count(F.lit(1)).alias("k")), "z_stouffer"),
    f"WITH {PETO} SELECT gene, round(sum(b / se) / sqrt(count(*)), 6) AS z_stouffer, count(*) AS k FROM est GROUP BY gene")
 # multiplicity on a p-like column that both engines compute exactly: 1 / (1 + chi-square)
@@ -218,7 +323,10 @@ def _classes(s, d):
 for _mode, _ok in (("family", "'Exact-equivalent', 'Clinically-related'"), ("exact", "'Exact-equivalent'")):
     _q(f"mt8_gate_{_mode}", lambda s, d, m=_mode: cox.two_stage(one_gene(s, d), _classes(s, d), m)[1].where("stage = 'endpoint class'"),
        f"WITH c AS (SELECT DISTINCT dataset, CASE WHEN dataset < 'C' THEN 'Exact-equivalent' WHEN dataset < 'G' THEN 'Not-poolable' ELSE 'Clinically-related' END AS pc FROM surv) SELECT dataset, 'endpoint class' AS stage, 'pooling class ' || pc AS reason FROM c WHERE pc NOT IN ({_ok})")
-_q("mt6_panel", lambda s, d: cox.panel(merged(s, d))[0])
+_q("mt6_panel", lambda s, d: r6(cox.panel(merged(s, d))[0], *_META_ROUND, "fdr"),
+   f"""WITH RECURSIVE {{views}}, {M}, {_fits('m')}, fe AS (SELECT dataset, gene, b_full AS b, se_full AS se FROM fits WHERE reason IS NULL), {_meta('fe')}, fc AS (SELECT gene, count(*) AS cohorts, count(reason)::BIGINT AS n_failed FROM fits GROUP BY gene),
+fd AS (SELECT gene, least(1.0, min(p_full * mm / r) OVER (ORDER BY r DESC)) AS fdr FROM (SELECT gene, p_full, row_number() OVER (ORDER BY p_full) AS r, count(*) OVER () AS mm FROM pools) x)
+SELECT fc.gene, cohorts, n_failed, {_META.removeprefix('gene, ')}, round(fdr, 6) AS fdr FROM fc JOIN pools USING (gene) JOIN fd USING (gene)""")
 _q("mt7_leave_one_out", lambda s, d: r6(meta.leave_one_out(peto(s, d), ["gene"]), *_POOL_ROUND),
    f"WITH {PETO}, lo AS (SELECT e.gene, e.dataset, e.b, e.se, x.dataset AS left_out FROM est e JOIN est x ON x.gene = e.gene AND x.dataset <> e.dataset), {_pool('lo', 'gene, left_out')} SELECT gene, left_out, {_POOL_OUT} FROM pooled")
 _q("mt9_concordance", lambda s, d: meta.concordance(peto(s, d), ["gene"]).select("gene", "k", "same"),

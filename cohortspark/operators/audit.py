@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a table that its line of the audit spells out; the others are counted.
+SPELLED = 6
+
+
+def _line(rows: DataFrame, field: str, text: Column, none: str = "none") -> DataFrame:
+    """One field whose value spells the first rows in order and counts the rest."""
+    g = rows.select(text.alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k")).agg(F.array_sort(F.collect_list("x")).alias("all"))
+    more = F.size("all") - SPELLED
+    value = F.concat(F.array_join(F.slice("all", 1, SPELLED), " | "), F.when(more > 0, F.concat(F.lit(" | ... (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    return g.select(F.lit(field).alias("field"), F.when(F.size("all") > 0, value).otherwise(none).alias("value"))
 
-def run_audit(rows: DataFrame, ledger: DataFrame, run_id: str) -> DataFrame:
-    """AU1: run_id, field, value: datasets, rows, events of what was analysed, and excluded datasets with reasons."""
-    counts = rows.agg(F.countDistinct("dataset").alias("datasets"), F.count(F.lit(1)).alias("rows"), F.sum("status").alias("events"))
-    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in counts.columns])).alias("x")).select("x.*")
-    out = ledger.where("reason IS NOT NULL").select(F.concat(F.lit("excluded:"), "dataset").alias("field"), F.col("reason").alias("value"))
-    return long.unionByName(out).select(F.lit(run_id).alias("run_id"), "field", "value")
+
+def run_audit(
+    rows: DataFrame, run_id: str, said: Mapping[str, object], ledger: DataFrame, n_input: DataFrame, endpoints: DataFrame,
+    overlap: DataFrame | None = None, dropped_covariates: DataFrame | None = None,
+) -> DataFrame:
+    """AU1: run_id, field, value of one analysis, always with the same fields.
+
+    rows: what was analysed (dataset, status). said: plain fields (analysis, marker, estimator, cut rule, ...). ledger:
+    dataset, reason of exclusions (null: used). n_input: dataset, n before any loss. endpoints: dataset, family, token,
+    token_role, pooling_class. overlap: accession, dropped_for, reason of the overlap policy. dropped_covariates: dataset, variable,
+    reason. Tables are one per cohort; each becomes a line that spells its first rows.
+    """
+    sums = rows.agg(F.countDistinct("dataset").alias("n_cohorts"), F.count(F.lit(1)).alias("n_analyzed"), F.coalesce(F.sum("status"), F.lit(0)).alias("events"))
+    given = n_input.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_input"))
+    one = sums.crossJoin(F.broadcast(given)).withColumn("n_excluded", F.col("n_input") - F.col("n_analyzed"))  # one row each
+    names = ["n_cohorts", "n_input", "n_analyzed", "n_excluded", "events"]
+    spell = {k: ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v) for k, v in said.items()}
+    plain = [F.struct(F.lit(k).alias("field"), F.lit(v).alias("value")) for k, v in spell.items()]
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in names], *plain)).alias("x")).select("x.*")
+    left = n_input.join(rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("_used")), "dataset", "left").withColumn("lost", F.col("n") - F.coalesce("_used", F.lit(0))).where("lost > 0")
+    used = endpoints.join(rows.select("dataset").distinct(), "dataset", "left_semi")
+    lines = [
+        _line(rows.select("dataset").distinct(), "cohorts", F.col("dataset")),
+        _line(used, "endpoint_family", F.col("family")), _line(used, "resolved_tokens_per_cohort", F.concat("dataset", F.lit("="), "token")),
+        _line(used, "token_role", F.col("token_role")), _line(used, "pooling_classes_pooled", F.col("pooling_class")),
+        _line(ledger.where("reason IS NOT NULL"), "excluded_cohorts", F.concat("dataset", F.lit(": "), "reason")),
+        _line(left, "rows_dropped", F.concat("dataset", F.lit(": "), F.col("lost").cast("string"))),
+        _line(rows.limit(0).select("dataset") if overlap is None else overlap.where("dropped_for IS NOT NULL").select(F.col("accession").alias("dataset"), "reason"), "overlap_dropped", F.col("dataset") if overlap is None else F.concat("dataset", F.lit(": "), "reason")),
+        _line(rows.limit(0).select("dataset") if dropped_covariates is None else dropped_covariates, "covariates_dropped", F.col("dataset") if dropped_covariates is None else F.concat("dataset", F.lit(" "), "variable", F.lit(": "), "reason")),
+    ]
+    for line in lines:
+        out = out.unionByName(line)
+    return out.select(F.lit(run_id).alias("run_id"), "field", "value")
 
 
 def content_hash(rows: DataFrame) -> DataFrame:
-    """AU2: number of rows and an order-free hash of them per dataset."""
-    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*[c for c in rows.columns])).alias("hash"))
+    """AU2: number of rows and an order-free hash of them per dataset: the sum of the first 60 bits of each row's MD5.
+
+    A row is its columns in the order of their names, as text, joined by the unit separator; nulls are empty.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(rows.columns)])
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum(part).cast("string").alias("hash"))

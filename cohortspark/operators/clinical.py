@@ -57,12 +57,18 @@ def unmapped(before: DataFrame, raw: str, rule: Column) -> DataFrame:
     return before.where(F.col(raw).isNotNull() & rule.isNull()).groupBy(F.col(raw).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Levels of a normalised T column.
+T_LEVELS = ("T0", "T1", "T2", "T3", "T4", "Tis", "TX")
+
+
 def t_table(df: DataFrame) -> DataFrame:
-    """CL16: counts of T categories per dataset and advice on their use."""
-    levels = ["T1", "T2", "T3", "T4"]
-    g = df.groupBy("dataset").agg(*[F.sum((F.col("t") == lv).cast("int")).alias(lv.lower()) for lv in levels])
-    used = sum(((F.col(lv.lower()) >= 5).cast("int") for lv in levels[1:]), (F.col("t1") >= 5).cast("int"))
-    return g.withColumn("advice", F.when(used >= 3, "use as factor").when(used == 2, "merge to two groups").otherwise("do not use"))
+    """CL16: per dataset its rows, filled stages, rows of each T level and without T, and how to use T.
+
+    Where any stage is filled, stage leads and T is for sensitivity; else T itself is the covariate. Columns: t, stage.
+    """
+    counts = [F.sum(F.coalesce((F.col("t") == lv).cast("int"), F.lit(0))).alias(lv) for lv in T_LEVELS]
+    g = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("stage").alias("stage_filled"), *counts, F.sum(F.col("t").isNull().cast("int")).alias("no_t"))
+    return g.withColumn("advice", F.when(F.col("stage_filled") > 0, "stage first, T for sensitivity").otherwise("T only"))
 
 
 def domain_violations(df: DataFrame) -> DataFrame:
@@ -158,13 +164,21 @@ def candidates(found: DataFrame, catalog: DataFrame, least: int = 50) -> DataFra
     return out.withColumn("platform_mismatch", F.coalesce(F.col("known") != F.col("platform"), F.lit(False))).withColumn("reason", why).drop("known").orderBy(F.desc("effective_n"))
 
 
-def admitted(df: DataFrame) -> DataFrame:
-    """CL27: largest cohort of each normalised title, then one platform per series; the reasons of the others."""
+def admitted(df: DataFrame, series_parts: DataFrame | None = None, least: int = 50) -> DataFrame:
+    """CL27: largest cohort of each normalised title, one platform per series, no super-series whose parts are there; reasons of the others.
+
+    df: accession, series, title, n. series_parts: accession of a super-series, part (a series). A super-series is covered
+    when a cohort with more than ``least`` samples belongs to one of its parts.
+    """
     title = F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
     by_title = Window.partitionBy("norm").orderBy(F.desc("n"), "accession")
     by_series = Window.partitionBy("series").orderBy(F.desc("n"), "accession")
-    d = df.withColumn("norm", title).withColumn("a", F.row_number().over(by_title)).withColumn("b", F.row_number().over(by_series))
-    why = F.concat_ws("; ", F.when(F.col("a") > 1, "same title as a larger cohort"), F.when(F.col("b") > 1, "another platform of the series"))
+    d = df.withColumn("norm", title).withColumn("a", F.row_number().over(by_title)).withColumn("b", F.row_number().over(by_series)).withColumn("c", F.lit(False))
+    if series_parts is not None:
+        large = df.where(F.col("n") > least).select(F.col("series").alias("part")).distinct()
+        covered = series_parts.join(large, "part", "left_semi").select("accession", F.lit(True).alias("_covered")).distinct()
+        d = d.join(covered, "accession", "left").withColumn("c", F.coalesce("_covered", F.lit(False)))
+    why = F.concat_ws("; ", F.when(F.col("a") > 1, "same title as a larger cohort"), F.when(F.col("b") > 1, "another platform of the series"), F.when(F.col("c"), "super-series of listed series"))
     return d.select("accession", "series", "n", (why == "").alias("admitted"), F.when(why != "", why).alias("reason"))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.sources.shared import shared_dir
+
 
 def survival_problems(surv: DataFrame) -> DataFrame:
     """JN1: (dataset, problem, n): negative times, status outside 0/1, repeated samples."""
@@ -54,16 +56,22 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Da
     return df.where(ok), df.groupBy("dataset").agg(F.sum(ok.cast("int")).alias("used"), F.sum((~ok).cast("int")).alias("dropped"))
 
 
-def shared_pairs(titles: DataFrame, least: int = 5, common: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """OV1: (a, b, shared) cohorts with so many titles in common; second, titles that more than ``common`` cohorts use.
+def shared_pairs(titles: DataFrame, least: int = 5) -> DataFrame:
+    """OV1: (a, b, shared) cohorts with at least so many titles in common. titles: accession, title; blank titles are none.
 
-    A title that so many cohorts use names nobody ("1", "2"); it is reported, not paired. titles: accession, title.
+    Every cohort's titles stand from rare to frequent. Two cohorts that share ``least`` titles share one among the first
+    size - least + 1 of each, so only those make candidates; whole lists are compared after. A title that very many cohorts
+    use ("1", "2") stands last and makes candidates only of cohorts that have hardly any other.
     """
     t = titles.select("accession", "title").where("trim(title) <> ''").distinct()
-    df = t.groupBy("title").agg(F.count(F.lit(1)).alias("cohorts"))
-    usual = t.join(df.where((F.col("cohorts") > 1) & (F.col("cohorts") <= common)), "title")
-    pairs = usual.select("title", F.col("accession").alias("a")).join(usual.select("title", F.col("accession").alias("b")), "title").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= least), df.where(F.col("cohorts") > common)
+    frequent = t.groupBy("title").agg(F.count(F.lit(1)).alias("_cohorts"))
+    order = Window.partitionBy("accession").orderBy("_cohorts", "title")
+    ranked = t.join(frequent, "title").withColumn("_place", F.row_number().over(order)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("accession")))
+    first = ranked.where((F.col("_place") <= F.col("_size") - least + 1) & (F.col("_cohorts") > 1)).select("accession", "title")
+    tried = first.withColumnRenamed("accession", "a").join(first.withColumnRenamed("accession", "b"), "title").where("a < b").select("a", "b").distinct()
+    left = tried.join(t.select(F.col("accession").alias("a"), "title"), "a")
+    both = left.join(t.select(F.col("accession").alias("b"), "title"), ["b", "title"])
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def series_pairs(catalog: DataFrame) -> DataFrame:
@@ -90,11 +98,7 @@ def overlap_groups(pairs: DataFrame) -> DataFrame:
     table in the shared checkpoint folder.
     """
     spark = pairs.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
+    base = shared_dir(spark)
 
     def keep(df):
         path = f"{base.rstrip('/')}/groups-{uuid.uuid4().hex}"
@@ -124,12 +128,31 @@ def pairs_inside(pairs: DataFrame, selected: DataFrame) -> DataFrame:
     return pairs.join(s.withColumnRenamed("accession", "a"), "a", "left_semi").join(s.withColumnRenamed("accession", "b"), "b", "left_semi")
 
 
-def overlap_policy(selected: DataFrame, groups: DataFrame) -> DataFrame:
-    """OV6 (dedupe): the largest cohort of each group is kept (ties by accession, null sizes last); the rest name it."""
-    g = selected.join(groups, "accession", "left").withColumn("root", F.coalesce("root", "accession"))
+def overlap_policy(selected: DataFrame, groups: DataFrame, pairs: DataFrame, mode: str = "dedupe") -> DataFrame:
+    """OV6: what becomes of each selected cohort (accession, n) whose patients others share.
+
+    ``dedupe`` keeps the largest selected cohort of each group (ties by accession, null sizes last); the rest name it, with
+    the patients shared with it (null if the two are linked through others only) and the reason. ``warn`` keeps all, with
+    the note; ``refuse`` raises when any pair is selected whole (at most 20 are named).
+    """
+    if mode not in ("warn", "refuse", "dedupe"):
+        raise ValueError("mode is warn, refuse or dedupe")
+    if mode == "refuse":
+        bad = pairs_inside(pairs, selected).orderBy("a", "b").take(20)
+        if bad:
+            raise ValueError("selected cohorts share patients: " + ", ".join(f"{r['a']} and {r['b']} ({r['shared']})" for r in bad))
+    g = selected.select("accession", "n").join(groups.select("accession", "root"), "accession", "left").withColumn("root", F.coalesce("root", "accession"))
     w = Window.partitionBy("root").orderBy(F.desc_nulls_last("n"), "accession")
-    out = g.withColumn("r", F.row_number().over(w)).withColumn("winner", F.first("accession").over(w))
-    return out.select("accession", "n", (F.col("r") == 1).alias("kept"), F.when(F.col("r") > 1, F.col("winner")).alias("dropped_for"))
+    out = g.withColumn("r", F.row_number().over(w)).withColumn("_winner", F.first("accession").over(w)).withColumn("_most", F.first("n").over(w)).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("root")))
+    both = pairs.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("shared").alias("shared_patients"))
+    out = out.join(both, (F.least("accession", "_winner") == F.col("_x")) & (F.greatest("accession", "_winner") == F.col("_y")), "left")
+    size = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    loses = F.col("r") > 1
+    why = F.concat(F.lit("shares patients with "), "_winner", F.lit(": "), size("_most"), F.lit(" samples against "), size("n"))
+    out = out.select("accession", "n", "root", "members", (~loses).alias("kept"), F.when(loses, F.col("_winner")).alias("dropped_for"), F.when(loses, F.col("shared_patients")).alias("shared_patients"), F.when(loses, why).alias("reason"))
+    if mode == "dedupe":
+        return out
+    return out.select("accession", "n", "root", "members", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("dropped_for"), F.lit(None).cast("long").alias("shared_patients"), F.when(F.col("members") > 1, "other selected cohorts share its patients").alias("reason"))
 
 
 def groups_hit_twice(selected: DataFrame, groups: DataFrame) -> DataFrame:
@@ -138,13 +161,34 @@ def groups_hit_twice(selected: DataFrame, groups: DataFrame) -> DataFrame:
     return g.where("n > 1").withColumn("note", F.concat(F.lit("shares patients: "), "cohorts"))
 
 
-def sizes(surv: DataFrame, expr: DataFrame) -> DataFrame:
-    """CT1: per dataset n_surv (usable), n_expr, N (both) and events among N."""
-    u = surv.where("status IN (0, 1) AND time > 0").select("dataset", "sample_id", "status").distinct()
-    e = expr.select("dataset", "sample_id", F.lit(1).alias("e")).distinct()
-    j = u.withColumn("s", F.lit(1)).join(e, ["dataset", "sample_id"], "full_outer")
-    both = F.col("s").isNotNull() & F.col("e").isNotNull()
-    return j.groupBy("dataset").agg(F.count("s").alias("n_surv"), F.count("e").alias("n_expr"), F.sum(both.cast("int")).alias("n"), F.sum(F.when(both, F.col("status")).otherwise(0)).alias("n_events"))
+def _usable(surv: DataFrame) -> DataFrame:
+    """Distinct samples whose time and status are both there, per token."""
+    return surv.where("time IS NOT NULL AND status IS NOT NULL").groupBy("dataset", "token", "sample_id").agg(F.max("status").alias("status"))
+
+
+def sizes(catalog: DataFrame, surv: DataFrame, expr: DataFrame, families: Sequence[str], guarded: str = "TCGA-") -> DataFrame:
+    """CT1: per catalog row n_surv, n_expr, n_<family>, N and events of the primary endpoint, and a note.
+
+    catalog: dataset, n (the old one), primary (a family), ep_<family> (token or null). surv is long by token: dataset,
+    sample_id, token, time, status. A sample counts for a family where it has expression and both time and status of the
+    family's token. N is that of the primary family; null without expression or sample. Rows of guarded accessions have no
+    expression table by design: n_expr stays null, the old N stays, and every survival row counts as expressed.
+    """
+    e = expr.select("dataset", "sample_id").distinct()
+    n_expr = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_expr"))
+    rows = surv.select("dataset", "sample_id").distinct().groupBy("dataset").agg(F.count(F.lit(1)).alias("n_surv"))
+    tokens = catalog.select("dataset", "primary", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"ep_{f.lower()}").alias("token")) for f in families])).alias("x")).select("dataset", "primary", "x.*").where("token IS NOT NULL")
+    free = F.col("dataset").startswith(guarded)
+    used = _usable(surv).join(tokens, ["dataset", "token"]).join(e.withColumn("_e", F.lit(True)), ["dataset", "sample_id"], "left").where(free | F.col("_e"))
+    lead = F.col("family") == F.col("primary")
+    counts = [F.sum((F.col("family") == f).cast("int")).alias(f"n_{f.lower()}") for f in families]
+    g = used.groupBy("dataset").agg(*counts, F.sum(lead.cast("int")).alias("_n"), F.sum(F.when(lead, (F.col("status") == 1).cast("int"))).alias("n_events"))
+    out = catalog.select("dataset", F.col("n").alias("_old"), "primary").join(rows, "dataset", "left").join(n_expr, "dataset", "left").join(g, "dataset", "left")
+    there = F.col("n_surv").isNotNull() & (free | F.col("n_expr").isNotNull()) & F.col("primary").isNotNull()
+    note = F.when(F.col("n_surv").isNull(), "no survival table").when(~free & F.col("n_expr").isNull(), "no expression table").when(F.col("primary").isNull(), "no primary endpoint")
+    fams = [F.when(there, F.coalesce(f"n_{f.lower()}", F.lit(0))).otherwise(0).alias(f"n_{f.lower()}") for f in families]
+    n = F.when(free, F.col("_old")).when(there & (F.col("_n") > 0), F.col("_n"))
+    return out.select("dataset", "n_surv", F.when(~free, F.col("n_expr")).alias("n_expr"), *fams, n.alias("n"), F.when(there, F.col("n_events")).alias("n_events"), note.alias("note"))
 
 
 def size_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -153,14 +197,27 @@ def size_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.withColumn("change", F.when(F.col("new_n").isNull(), "would become null").when(F.col("old_n").isNull(), "new").when(F.col("old_n") == F.col("new_n"), "same").when(F.col("old_n") < F.col("new_n"), "grows").otherwise("shrinks"))
 
 
-def lost_samples(surv: DataFrame, expr: DataFrame, named: int = 8) -> DataFrame:
-    """CT3: survival rows without expression per dataset, their first ids, and the gate."""
-    lost = surv.select("dataset", "sample_id").distinct().join(expr.select("dataset", "sample_id").distinct(), ["dataset", "sample_id"], "left_anti")
-    w = Window.partitionBy("dataset").orderBy("sample_id")
-    first = lost.withColumn("r", F.row_number().over(w))
-    g = first.groupBy("dataset").agg(F.count(F.lit(1)).alias("lost"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= named, F.col("sample_id")))), ", ").alias("ids"))
-    total = surv.groupBy("dataset").agg(F.countDistinct("sample_id").alias("all"))
-    return total.join(g, "dataset", "left").fillna(0, ["lost"]).withColumn("gate", F.when(F.col("lost") == 0, "complete").when(F.col("lost").cast("double") / F.col("all") <= 0.1, "minor loss").otherwise("review"))
+def lost_samples(catalog: DataFrame, surv: DataFrame, expr: DataFrame, named: int = 8) -> DataFrame:
+    """CT3: per catalog row (dataset, n, primary) the survival rows with a usable primary endpoint that have no expression.
+
+    ``reason`` names the first ids, or says why nothing could be compared. The gate of small cohorts (N < 51) is >=30, of
+    the others >50; below 30 the author decides. surv is long by token.
+    """
+    own = surv.join(catalog.select("dataset", F.col("primary").alias("token")), ["dataset", "token"])
+    pair = own.select("dataset").distinct().withColumn("_pair", F.lit(True))
+    table = surv.select("dataset").distinct().withColumn("_table", F.lit(True))
+    e = expr.select("dataset", "sample_id").distinct()
+    lost = _usable(own).select("dataset", "sample_id").distinct().join(e, ["dataset", "sample_id"], "left_anti")
+    first = lost.withColumn("r", F.row_number().over(Window.partitionBy("dataset").orderBy("sample_id")))
+    g = first.groupBy("dataset").agg(F.count(F.lit(1)).alias("_lost"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= named, F.struct("r", F.col("sample_id").cast("string").alias("id"))))), lambda x: x["id"]), ", ").alias("_ids"))
+    out = catalog.select("dataset", "n", "primary").join(table, "dataset", "left").join(pair, "dataset", "left").join(e.select("dataset").distinct().withColumn("_expr", F.lit(True)), "dataset", "left").join(g, "dataset", "left")
+    dropped = F.when(F.col("_pair") & F.col("_expr"), F.coalesce("_lost", F.lit(0)))
+    why = (
+        F.when(F.col("_table").isNull(), "no survival table").when(F.col("_pair").isNull(), F.concat(F.lit("primary token "), F.coalesce("primary", F.lit("NA")), F.lit(" has no status and time"))).when(F.col("_expr").isNull(), "no expression table")
+        .when(dropped == 0, "none").otherwise(F.concat(dropped.cast("string"), F.lit(" without expression: "), "_ids"))
+    )
+    small = F.coalesce(F.col("n") < 51, F.lit(False))
+    return out.select("dataset", "n", dropped.alias("dropped"), why.alias("reason"), F.when(small, ">=30").otherwise(">50").alias("gate"), F.when(F.coalesce(F.col("n") < 30, F.lit(False)), "author-decision").otherwise("gate").alias("decision"))
 
 
 def work_plan(wanted: DataFrame, in_db: DataFrame, local: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -170,28 +227,85 @@ def work_plan(wanted: DataFrame, in_db: DataFrame, local: DataFrame, excluded: D
     return j.withColumn("plan", F.when(F.col("out"), "EXCLUDED").when(F.col("db"), "DONE-DB").when(F.col("local"), "DONE-LOCAL").otherwise("TODO"))
 
 
-def consistency(catalog: DataFrame, surv: DataFrame, expr: DataFrame, grid: DataFrame, families: Sequence[str]) -> DataFrame:
-    """CT5: (level, check, n) of broken rules: repeated accessions, missing and orphan tables, bad status, wrong N, grid gaps."""
-    acc = catalog.select(F.col("accession").alias("dataset"))
-    full = catalog.select("accession", F.explode(F.array(*map(F.lit, families))).alias("family"))
+#: Pooling classes of the semantics table.
+POOLING_CLASSES = ("Exact-equivalent", "Clinically-related", "Not-poolable", "Unknown", "Absent")
+
+
+def consistency(catalog: DataFrame, surv: DataFrame, expr: DataFrame, grid: DataFrame, families: Sequence[str], platforms: DataFrame, guarded: str = "TCGA-", named: int = 10) -> DataFrame:
+    """CT5: (level, check, n, detail): what is broken in the catalog, its tables and the semantics grid; detail names the first.
+
+    catalog: dataset, platform, survival_types, primary, ep_<family>, n, n_expr, n_surv, n_events, n_<family>. surv is long
+    by token; grid: dataset, family, pooling_class; platforms: platform (tables that are there). Guarded accessions have no
+    tables of their own. Counts are recomputed by ``sizes`` and compared one by one.
+    """
+    acc = catalog.select("dataset")
+    own = catalog.where(~F.col("dataset").startswith(guarded))
+    eps = [F.col(f"ep_{f.lower()}") for f in families]
+    noted = F.coalesce(F.trim("survival_types") != "", F.lit(False))
+    there = lambda d: d.select("dataset").distinct()
+    said = F.concat("dataset", F.lit(" (survival types "), F.coalesce("survival_types", F.lit("NA")), F.lit(")"))
+    now = sizes(catalog, surv, expr, families, guarded)
+    counted = ["n", "n_events", "n_surv", "n_expr", *(f"n_{f.lower()}" for f in families)]
+    pairs = own.select("dataset", *[F.col(c).cast("long").alias(f"_{c}") for c in counted]).join(now, "dataset")
+    wrong = pairs.select("dataset", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("said"), F.col(c).cast("long").alias("found")) for c in counted])).alias("x")).select("dataset", "x.*").where("said IS NOT NULL AND NOT (said <=> found)")
+    full = catalog.select("dataset", F.explode(F.array(*map(F.lit, families))).alias("family")).distinct()
+    cell = F.concat("dataset", F.lit("/"), "family")
+    used = _usable(surv)
+    name = F.col("dataset")
     checks = [
-        ("ERROR", "repeated accession", catalog.groupBy("accession").count().where("count > 1")),
-        ("ERROR", "survival table missing", acc.join(surv.select("dataset").distinct(), "dataset", "left_anti")),
-        ("WARNING", "orphan survival table", surv.select("dataset").distinct().join(acc, "dataset", "left_anti")),
-        ("WARNING", "orphan expression table", expr.select("dataset").distinct().join(acc, "dataset", "left_anti")),
-        ("ERROR", "status not 0/1", surv.where("status NOT IN (0, 1)")),
-        ("ERROR", "N differs", sizes(surv, expr).join(catalog.select(F.col("accession").alias("dataset"), F.col("n").alias("said")), "dataset").where("NOT n <=> said")),
-        ("ERROR", "grid gap", full.join(grid, ["accession", "family"], "left_anti")),
-        ("ERROR", "grid row without cohort", grid.join(full, ["accession", "family"], "left_anti")),
+        ("error", "repeated accession", catalog.groupBy("dataset").count().where("count > 1").select("dataset"), name),
+        ("error", "dash before the platform in an accession", catalog.where(F.col("dataset").contains("-GPL")), name),
+        ("error", "endpoint columns empty though annotated or with a survival table", catalog.join(there(surv).withColumn("_s", F.lit(True)), "dataset", "left").where(F.coalesce(*eps, "primary").isNull() & (noted | F.col("_s").isNotNull())), said),
+        ("error", "annotated without expression table", own.where(noted).join(there(expr), "dataset", "left_anti"), name),
+        ("error", "annotated without survival table", own.where(noted).join(there(surv), "dataset", "left_anti"), name),
+        ("error", "expression table without platform table", own.join(there(expr), "dataset", "left_semi").join(platforms.select("platform").distinct(), "platform", "left_anti"), F.concat("dataset", F.lit(" (platform "), F.coalesce("platform", F.lit("NA")), F.lit(")"))),
+        ("warn", "table without catalog row", there(expr).union(there(surv)).distinct().join(acc, "dataset", "left_anti"), name),
+        ("error", "status not 0/1", surv.where("status NOT IN (0, 1)").select("dataset", "token").distinct(), F.concat("dataset", F.lit("."), "token")),
+        ("error", "count differs from the tables", wrong, F.concat_ws(" ", "dataset", "column", F.concat(F.col("said").cast("string"), F.lit("!="), F.coalesce(F.col("found").cast("string"), F.lit("NA"))))),
+        ("error", "N above its tables", own.join(now.select("dataset", F.col("n_expr").alias("_e"), F.col("n_surv").alias("_v")), "dataset").where("n > _e OR n > _v"), name),
+        ("error", "no sample in both tables", there(own.join(there(surv), "dataset", "left_semi").join(there(expr), "dataset", "left_semi")).join(there(surv.join(expr.select("dataset", "sample_id").distinct(), ["dataset", "sample_id"], "left_semi")), "dataset", "left_anti"), name),
+        ("warn", "status column empty", surv.groupBy("dataset", "token").agg(F.count("status").alias("_n")).where("_n = 0"), F.concat("dataset", F.lit("."), "token")),
+        ("warn", "primary endpoint without events", own.where("n IS NOT NULL AND n_events = 0"), name),
+        ("info", "expression but no N", own.join(there(expr), "dataset", "left_semi").where("n IS NULL"), name),
+        ("error", "token without time and status", tokens_of(own, families).join(there(surv), "dataset", "left_semi").join(used.select("dataset", "token").distinct(), ["dataset", "token"], "left_anti"), F.concat("dataset", F.lit(" "), "token")),
+        ("error", "count of a family that is not registered", own.select("dataset", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.when(F.col(f"ep_{f.lower()}").isNull(), F.col(f"n_{f.lower()}")).alias("k")) for f in families])).alias("x")).select("dataset", "x.*").where("k <> 0"), cell),
+        ("error", "cell missing in the grid", full.join(grid, ["dataset", "family"], "left_anti"), cell),
+        ("error", "grid cell without cohort", grid.join(full, ["dataset", "family"], "left_anti"), cell),
+        ("error", "repeated grid cell", grid.groupBy("dataset", "family").count().where("count > 1"), cell),
+        ("error", "pooling class blank or unknown", grid.where(~F.coalesce(F.trim("pooling_class"), F.lit("")).isin(*POOLING_CLASSES)), cell),
+        ("info", "no endpoint annotation", catalog.where(~noted), name),
     ]
     out = None
-    for level, name, rows in checks:
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), F.lit(name).alias("check"), "n")
+    for level, check, rows, what in checks:
+        kept = rows.select(what.alias("what"))
+        one = kept.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("what")), 1, named), ", ").alias("detail")).select(F.lit(level).alias("level"), F.lit(check).alias("check"), "n", "detail")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def sweep(catalog: DataFrame, fits: DataFrame) -> DataFrame:
-    """CT6: OK, WARN, FAIL or SKIP for every cohort, from its univariable fit."""
-    j = catalog.select(F.col("accession").alias("dataset")).join(fits.select("dataset", "n", "b", "reason"), "dataset", "left")
-    return j.select("dataset", F.when(F.col("n").isNull(), "SKIP").when(F.col("reason").isNull(), "OK").when(F.col("reason").startswith("fewer") | (F.col("reason") == "constant marker"), "WARN").otherwise("FAIL").alias("status"), F.coalesce("reason", F.when(F.col("n").isNull(), "no merged rows")).alias("detail"))
+def tokens_of(catalog: DataFrame, families: Sequence[str]) -> DataFrame:
+    """(dataset, family, token) of the registered endpoints."""
+    return catalog.select("dataset", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"ep_{f.lower()}").alias("token")) for f in families])).alias("x")).select("dataset", "x.*").where("token IS NOT NULL")
+
+
+def sweep(catalog: DataFrame, surv: DataFrame, expr: DataFrame, fits: DataFrame) -> DataFrame:
+    """CT6: what a run over one cohort after the other would give: type, status, samples, genes, events, detail.
+
+    expr has the rows of the genes asked for; fits: dataset, gene, reason of the univariable models. SKIP: no table.
+    FAIL: a step without result (no gene, no shared sample). WARN: no model. Survival alone is OK.
+    """
+    e = expr.groupBy("dataset").agg(F.countDistinct("sample_id").alias("samples"), F.countDistinct("gene").alias("genes"))
+    s = surv.groupBy("dataset").agg(F.countDistinct("sample_id").alias("_s"))
+    both = surv.join(expr.select("dataset", "sample_id").distinct(), ["dataset", "sample_id"], "left_semi")
+    m = both.groupBy("dataset").agg(F.count(F.when(F.col("time").isNotNull() & F.col("status").isNotNull(), 1)).alias("_m"), F.coalesce(F.sum((F.col("status") == 1).cast("int")), F.lit(0)).alias("events"))
+    f = fits.groupBy("dataset").agg(F.sum(F.col("reason").isNull().cast("int")).alias("_f"))
+    j = catalog.select("dataset").distinct().join(e, "dataset", "left").join(s, "dataset", "left").join(m, "dataset", "left").join(f, "dataset", "left")
+    has_e, has_s = F.col("samples").isNotNull(), F.col("_s").isNotNull()
+    kind = F.when(has_e & has_s, "full").when(has_e, "expr-only").when(has_s, "surv-only").otherwise("not-in-db")
+    models = F.coalesce("_f", F.lit(0))
+    status = F.when(~has_e & ~has_s, "SKIP").when(~has_e, "OK").when(~has_s | F.col("_m").isNull() | (F.col("_m") == 0), "FAIL").when(models > 0, "OK").otherwise("WARN")
+    detail = (
+        F.when(~has_e & ~has_s, "no table").when(~has_e, "survival only").when(~has_s, "no survival table to merge").when(F.col("_m").isNull(), "no sample in both tables").when(F.col("_m") == 0, "no endpoint in the merged rows")
+        .otherwise(F.concat(F.lit("cox rows="), models.cast("string"), F.when(F.col("events") == 0, " [0 events]").otherwise("")))
+    )
+    return j.select("dataset", kind.alias("type"), status.alias("status"), F.coalesce(F.col("samples"), F.col("_s")).alias("samples"), "genes", F.when(has_e & has_s, F.col("events")).alias("events"), detail.alias("detail"))

@@ -16,28 +16,57 @@ from cohortspark.operators.cox import cox
 Z = 1.959963984540054
 
 
-def cumulative_incidence(df: DataFrame, keys: Sequence[str], causes: Sequence[int]) -> DataFrame:
-    """CR1: Aalen-Johansen curve per key and cause: time, n_risk, n_event, cif."""
+def cumulative_incidence(df: DataFrame, keys: Sequence[str], causes: Sequence[int], z: float = Z) -> DataFrame:
+    """CR1: Aalen-Johansen curve per key (a cohort, a group) and cause: time, n_risk, n_event, cif, se, lower, upper.
+
+    The variance is that of the infinitesimal jackknife, as sums over distinct times; the interval is on the log scale, at
+    most 1, and null where the estimate is 0.
+    """
+    keys = list(keys)
     codes = [F.sum((F.col("status") == c).cast("int")).alias(f"d{c}") for c in causes]
     g = df.groupBy(*keys, "time").agg(F.sum((F.col("status") != 0).cast("int")).alias("d"), F.count(F.lit(1)).alias("m"), *codes)
     down = Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     prior = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("n", F.sum("m").over(down).cast("double"))
-    g = g.withColumn("s_before", F.exp(F.coalesce(F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n")))).over(prior), F.lit(0.0))))
-    long = g.select(*keys, "time", "n", "s_before", F.explode(F.array(*[F.struct(F.lit(c).alias("cause"), F.col(f"d{c}").alias("dk")) for c in causes])).alias("k")).select(*keys, "time", "n", "s_before", "k.*")
+    g = g.withColumn("s", F.exp(F.coalesce(F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n")))).over(prior), F.lit(0.0))))
+    long = g.select(*keys, "time", "n", "s", "d", F.explode(F.array(*[F.struct(F.lit(c).alias("cause"), F.col(f"d{c}").alias("dk")) for c in causes])).alias("k")).select(*keys, "time", "n", "s", "d", "k.*")
     by = Window.partitionBy(*keys, "cause").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    del upto
-    return long.select(*keys, "cause", "time", F.col("n").cast("long").alias("n_risk"), F.col("dk").alias("n_event"), F.sum(F.col("s_before") * F.col("dk") / F.col("n")).over(by).alias("cif"))
-
-
-def cif_at(curves: DataFrame, keys: Sequence[str], times: Sequence[float]) -> DataFrame:
-    """CR1 at given times: step lookup, 0 before the first time, no row past the last."""
+    x = long.withColumn("cif", F.sum(F.col("s") * F.col("dk") / F.col("n")).over(by))
+    # a time u adds (cif(t) - cif(u))^2 g + h - 2 (cif(t) - cif(u)) j to the variance at t
+    left = F.when(F.col("d") < F.col("n"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0)
+    x = x.withColumn("g", left).withColumn("j", F.col("s") * F.col("dk") / F.col("n") ** 2).withColumn("h", F.col("s") ** 2 * F.col("dk") * (F.col("n") - F.col("dk")) / F.col("n") ** 3)
+    total = lambda e: F.sum(e).over(by)
+    cif = F.col("cif")
+    var = cif**2 * total(F.col("g")) - 2 * cif * total(F.col("g") * cif) + total(F.col("g") * cif**2) + total(F.col("h")) - 2 * (cif * total(F.col("j")) - total(F.col("j") * cif))
+    x = x.withColumn("se", F.sqrt(F.greatest(var, F.lit(0.0))))
+    half = F.when(cif > 0, F.col("se") / cif * z)
+    return x.select(*keys, "cause", "time", F.col("n").cast("long").alias("n_risk"), F.col("dk").alias("n_event"), "cif", "se", (cif * F.exp(-half)).alias("lower"), F.when(half.isNotNull(), F.least(cif * F.exp(half), F.lit(1.0))).alias("upper"))
+
+
+def event_times(df: DataFrame, keys: Sequence[str], probs: Sequence[float] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """CR1: the times at which curves are read by default: distinct positive quantiles of the event times per key."""
+    keys = list(keys)
+    q = df.where("status <> 0").groupBy(*keys).agg(F.percentile("time", F.array(*map(F.lit, probs))).alias("q"))
+    return q.select(*keys, F.explode(F.array_distinct("q")).alias("horizon")).where("horizon > 0")
+
+
+def cif_at(curves: DataFrame, keys: Sequence[str], times: Sequence[float] | DataFrame, extend: bool = False) -> DataFrame:
+    """CR1 at given times, or at those of a table (some of the keys, horizon): step lookup, 0 before the first time.
+
+    Past the last time of a curve there is no row or, with ``extend``, the last value with nobody at risk. n_risk counts
+    who is there just before the time.
+    """
     by = [*keys, "cause"]
-    long = curves.withColumn("horizon", F.explode(F.array(*[F.lit(float(t)) for t in times])))
-    hit = F.col("time") <= F.col("horizon")
-    g = long.groupBy(*by, "horizon").agg(F.max("time").alias("last"), F.coalesce(F.max_by("cif", F.when(hit, F.col("time"))), F.lit(0.0)).alias("cif"))
-    return g.where(F.col("horizon") <= F.col("last")).drop("last")
+    if isinstance(times, DataFrame):
+        long = curves.join(times, [c for c in times.columns if c != "horizon"])
+    else:
+        long = curves.withColumn("horizon", F.explode(F.array(*[F.lit(float(t)) for t in times])))
+    hit = F.when(F.col("time") <= F.col("horizon"), F.col("time"))
+    ahead = F.when(F.col("time") >= F.col("horizon"), F.col("time"))
+    step = [F.max_by(c, hit).alias(c) for c in ("se", "lower", "upper")]
+    g = long.groupBy(*by, "horizon").agg(F.max("time").alias("last"), F.coalesce(F.min_by("n_risk", ahead), F.lit(0)).alias("n_risk"), F.coalesce(F.max_by("cif", hit), F.lit(0.0)).alias("cif"), *step)
+    g = g.withColumn("se", F.coalesce("se", F.lit(0.0)))
+    return (g if extend else g.where(F.col("horizon") <= F.col("last"))).drop("last")
 
 
 def group_by_cuts(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], max_levels: int = 20) -> DataFrame:

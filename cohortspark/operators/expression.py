@@ -156,13 +156,35 @@ def extend_map(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.join(old.select("platform", "probe_id").distinct(), ["platform", "probe_id"], "left_anti"))
 
 
-def coverage(raw_map: DataFrame, expr_ids: DataFrame) -> DataFrame:
-    """EX19: per platform probes, annotated ones, ids that expression rows have, pairs after expansion, and the policy."""
-    m = raw_map.groupBy("platform").agg(F.countDistinct("probe_id").alias("probes"), F.countDistinct(F.when(~F.coalesce(F.trim("gene"), F.lit("")).isin("", "---"), F.col("probe_id"))).alias("annotated"))
-    j = raw_map.join(expr_ids, ["platform", "probe_id"], "left_semi").groupBy("platform").agg(F.countDistinct("probe_id").alias("joinable"))
-    x = explode_map(raw_map).groupBy("platform").agg(F.count(F.lit(1)).alias("pairs"))
-    out = m.join(j, "platform", "left").join(x, "platform", "left").fillna(0, ["joinable", "pairs"]).withColumn("share", F.col("annotated").cast("double") / F.col("probes"))
-    return out.withColumn("policy", F.when((F.col("share") >= 0.8) & (F.col("joinable") > 0), "ok").when((F.col("share") >= 0.5) & (F.col("joinable") > 0), "usable-with-caveat").otherwise("insufficient"))
+def coverage(raw_map: DataFrame, expr_ids: DataFrame, mirror: DataFrame, platforms: DataFrame) -> DataFrame:
+    """EX19: per platform the probes and annotated probes of its local and mirrored map, what is wrong, and the policy.
+
+    raw_map and mirror: platform, probe_id, gene (several joined by " /// "); expr_ids: platform, probe_id of a cohort's
+    expression rows; platforms: those asked for. pct is the annotated share in per cent. The map is expanded if a cell holds
+    several genes, else collapsed. insufficient-annotation: no map, no annotated probe, below 40 %, or no row id in common
+    with the expression; usable-with-caveat: below 90 %, a mirror that differs, or any gap; else ok.
+    """
+    named = ~F.coalesce(F.trim("gene"), F.lit("")).isin("", "---", "NA")
+    count = lambda d, a, b: d.groupBy("platform").agg(F.countDistinct("probe_id").alias(a), F.countDistinct(F.when(named, F.col("probe_id"))).alias(b))
+    several = raw_map.groupBy("platform").agg(F.max((named & F.col("gene").contains(" /// ")).cast("int")).alias("_several"))
+    ids = expr_ids.select("platform", "probe_id").distinct()
+    asked = ids.groupBy("platform").agg(F.count(F.lit(1)).alias("row_ids"))
+    met = ids.join(raw_map.select("platform", "probe_id").distinct(), ["platform", "probe_id"], "left_semi").groupBy("platform").agg(F.count(F.lit(1)).alias("_met"))
+    out = platforms.select("platform").distinct()
+    for part in (count(raw_map, "probes", "annotated"), several, asked, met, count(mirror, "mirror_probes", "mirror_annotated")):
+        out = out.join(part, "platform", "left")
+    out = out.withColumn("pct", F.round(100 * F.col("annotated") / F.col("probes"), 2)).withColumn("representation", F.when(F.col("_several") == 1, "expanded").when(F.col("probes").isNotNull(), "collapsed"))
+    out = out.withColumn("joins", F.when(F.col("probes").isNotNull() & F.col("row_ids").isNotNull(), F.coalesce("_met", F.lit(0)) > 0))
+    apart = F.when(F.col("mirror_probes").isNull(), None).when(F.col("annotated").isNull(), "local_newer").when(F.col("annotated") == F.col("mirror_annotated"), "none").when(F.col("mirror_annotated") > F.col("annotated"), "mirror_newer").otherwise("local_newer")
+    gaps = F.concat_ws(
+        "; ", F.when(F.col("probes").isNull(), "no local map"), F.when(F.col("mirror_probes").isNull(), "not in the mirror"), F.when(F.col("annotated") == 0, "no annotated probe"),
+        F.when(~F.col("joins"), "no row id in the map"), F.when(F.col("pct") < 60, F.concat(F.lit("only "), F.format_string("%.2f", "pct"), F.lit(" % annotated"))),
+    )
+    out = out.withColumn("divergence", apart).withColumn("gaps", gaps)
+    poor = F.col("probes").isNull() | (F.col("annotated") == 0) | (F.col("pct") < 40) | (F.col("joins") == F.lit(False))
+    some = (F.col("pct") < 90) | (F.col("divergence") != "none") | (F.col("gaps") != "")
+    policy = F.when(F.coalesce(poor, F.lit(False)), "insufficient-annotation").when(F.coalesce(some, F.lit(False)), "usable-with-caveat").otherwise("ok")
+    return out.select("platform", "probes", "annotated", "pct", "representation", "joins", "mirror_annotated", "divergence", F.nullif("gaps", F.lit("")).alias("gaps"), policy.alias("policy"))
 
 
 def compare_maps(a: DataFrame, b: DataFrame) -> DataFrame:

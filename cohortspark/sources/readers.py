@@ -107,12 +107,19 @@ def unique_names(names: Sequence[str]) -> list[str]:
 
 
 def sdrf(spark: SparkSession, path: str) -> DataFrame:
-    """IO6: tab-separated sample annotation of one layout, all text, with trimmed column names made unique."""
+    """IO6: tab-separated sample annotation, all text, with trimmed column names made unique; ``file`` names the source.
+
+    Each file is read by its own header. Files of one header are read together; columns that a file lacks are null.
+    """
     lines = ordered_lines(spark, path)
-    top = _first_lines(lines)
-    names = [n.strip() for n in top.orderBy("file").first()["line"].split("\t")]
-    body = lines.join(top.select("file", F.col("at").alias("_at")), "file").where("at > _at").select(F.split("line", "\t").alias("c"))
-    return body.select(*[F.get("c", F.lit(k)).alias(n) for k, n in enumerate(unique_names(names))])
+    top = _first_lines(lines).select("file", F.col("at").alias("_at"), F.col("line").alias("_head"))
+    body = lines.join(top, "file").where("at > _at").select("file", "_head", F.split("line", "\t").alias("c"))
+    out = None
+    for row in top.groupBy("_head").agg(F.min("file").alias("file")).orderBy("file").collect():  # one for each layout
+        names = unique_names([n.strip() for n in row["_head"].split("\t")])
+        part = body.where(F.col("_head") == row["_head"]).select(F.col("file").alias("file"), *[F.get("c", F.lit(k)).alias("file__1" if n == "file" else n) for k, n in enumerate(names)])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], "file string") if out is None else out
 
 
 def pick_column(df: DataFrame, patterns: Sequence[str]) -> str | None:
@@ -123,9 +130,9 @@ def pick_column(df: DataFrame, patterns: Sequence[str]) -> str | None:
 
 
 def magetab(spark: SparkSession, path: str, value_column: str | None = None) -> DataFrame:
-    """IO7: (probe_id, sample_id, value) of a matrix with two header rows: sample names and kinds of value.
+    """IO7: (file, probe_id, sample_id, value) of matrices with two header rows: sample names and kinds of value.
 
-    Only columns of the given kind (all, if none is given); repeated samples are averaged over their numbers.
+    Only columns of the given kind (all, if none is given); repeated samples of a file are averaged over their numbers.
     """
     lines = ordered_lines(spark, path)
     top = _first_lines(lines, 2).withColumn("c", F.split("line", "\t"))
@@ -135,11 +142,11 @@ def magetab(spark: SparkSession, path: str, value_column: str | None = None) ->
     head = head if value_column is None else head.where(F.col("kind") == value_column)
     body = lines.join(top.where("r = 2").select("file", F.col("at").alias("_at")), "file").where("at > _at").withColumn("c", F.split("line", "\t"))
     cells = body.select("file", F.col("c")[0].alias("probe_id"), F.posexplode(_rest()).alias("place", "value"))
-    return cells.join(head, ["file", "place"]).groupBy("probe_id", "sample_id").agg(F.avg(number(F.col("value"))).alias("value"))
+    return cells.join(head, ["file", "place"]).groupBy("file", "probe_id", "sample_id").agg(F.avg(number(F.col("value"))).alias("value"))
 
 
 def unlabelled_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """IO8: (probe_id, sample_id, value) of a matrix whose header may lack the id column; the first row of a repeated probe counts.
+    """IO8: (file, probe_id, sample_id, value) of matrices whose header may lack the id column; the first row of a probe that a file repeats counts.
 
     A file whose rows are neither as long as the header nor one longer gives no rows.
     """
@@ -151,7 +158,7 @@ def unlabelled_matrix(spark: SparkSession, path: str) -> DataFrame:
     cells = first.withColumn("ids", F.col("wide") - F.size("c") + 1).where("ids IN (0, 1)").select("file", "probe_id", "ids", F.posexplode(_rest()).alias("place", "value"))
     head = split(top).select("file", F.posexplode("c").alias("at_head", "sample_id"))
     both = cells.withColumn("at_head", F.col("place") + F.col("ids")).join(head, ["file", "at_head"])
-    return both.select("probe_id", "sample_id", number(F.col("value")).alias("value"))
+    return both.select("file", "probe_id", "sample_id", number(F.col("value")).alias("value"))
 
 
 def portal_clinical(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,12 +70,40 @@ def test_hamilton_allocation(spark):
 
 
 def test_overlap_groups_and_policy(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "a string, b string")
+    pairs = spark.createDataFrame([("a", "b", 7), ("b", "c", 6), ("x", "y", 5)], "a string, b string, shared long")
     groups = cohorts.overlap_groups(pairs)
     assert {r.accession: r.root for r in groups.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
     sel = spark.createDataFrame([("a", 5), ("b", 9), ("c", 9), ("y", None), ("q", 1)], "accession string, n int")
-    kept = {r.accession for r in cohorts.overlap_policy(sel, groups).where("kept").collect()}
-    assert kept == {"b", "y", "q"}
+    got = {r.accession: r for r in cohorts.overlap_policy(sel, groups, pairs).collect()}
+    assert {a for a, r in got.items() if r.kept} == {"b", "y", "q"}
+    assert (got["a"].dropped_for, got["a"].shared_patients, got["a"].members) == ("b", 7, 3) and "9 samples against 5" in got["a"].reason and got["b"].reason is None
+    far = {r.accession: r for r in cohorts.overlap_policy(sel.where("accession <> 'b'"), groups, pairs).collect()}
+    assert (far["a"].dropped_for, far["a"].shared_patients) == ("c", None)
+    warned = {r.accession: r for r in cohorts.overlap_policy(sel, groups, pairs, "warn").collect()}
+    assert all(r.kept for r in warned.values()) and {a for a, r in warned.items() if r.reason} == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="a and b"):
+        cohorts.overlap_policy(sel, groups, pairs, "refuse")
+    assert cohorts.overlap_policy(sel.where("accession IN ('a', 'y', 'q')"), groups, pairs, "refuse").count() == 3
+    with pytest.raises(ValueError, match="mode"):
+        cohorts.overlap_policy(sel, groups, pairs, "drop")
+
+
+def test_shared_pairs_with_a_title_of_5000_cohorts(spark):
+    from itertools import combinations
+
+    g = random.Random(1)
+    small = [(f"s{k}", f"t{g.randrange(40)}") for k in range(30) for _ in range(25)] + [("s1", " "), ("s2", None)]
+    wide = spark.range(5000).selectExpr("concat('w', id) AS accession", "explode(array('1', 'everybody', concat('p', id), concat('q', id), concat('r', id), concat('s', id div 2))) AS title")
+    own = spark.createDataFrame([*small, *((a, "1") for a, _ in small)], "accession string, title string")
+    sets = {}
+    for a, t in [*small, *((a, "1") for a, _ in small)]:
+        if t and t.strip():
+            sets.setdefault(a, set()).add(t)
+    for least in (3, 5):
+        got = {(r.a, r.b): r.shared for r in cohorts.shared_pairs(own.unionByName(wide), least).where("a LIKE 's%' AND b LIKE 's%'").collect()}
+        assert got == {(a, b): n for a, b in combinations(sorted(sets), 2) if (n := len(sets[a] & sets[b])) >= least}
+    assert cohorts.shared_pairs(wide, 5).count() == 0
+    assert {(r.a, r.b) for r in cohorts.shared_pairs(wide, 3).limit(3).collect()} <= {(f"w{k}", f"w{k + 1}") for k in range(0, 5000, 2)} | {(f"w{k + 1}", f"w{k}") for k in range(0, 5000, 2)}
 
 
 def test_invalid_survival_stops(spark):
@@ -106,7 +136,15 @@ def test_text_formats(spark, tmp_path):
     assert {(r.probe_id, r.gene) for r in readers.platform_table(spark, str(tmp_path / "s.txt")).collect()} == {("p1", "7157"), ("p2", None)}
     (tmp_path / "sdrf.txt").write_text("Name\tUnit\tUnit\na\tx\ty\n")
     got = readers.sdrf(spark, str(tmp_path / "sdrf.txt"))
-    assert got.columns == ["Name", "Unit", "Unit__1"] and got.count() == 1 and readers.pick_column(got, ["zz", "unit"]) == "Unit"
+    assert got.columns == ["file", "Name", "Unit", "Unit__1"] and got.count() == 1 and readers.pick_column(got, ["zz", "unit"]) == "Unit"
+    (tmp_path / "sdrfs").mkdir()
+    (tmp_path / "sdrfs/1.txt").write_text("Name\tUnit\na\tx\nb\ty\n")
+    (tmp_path / "sdrfs/2.txt").write_text("Unit\tArray\tName\nz\tq\tc\n")
+    assert {(r.Name, r.Unit, r.Array) for r in readers.sdrf(spark, str(tmp_path / "sdrfs")).collect()} == {("a", "x", None), ("b", "y", None), ("c", "z", "q")}
+    (tmp_path / "mages").mkdir()
+    for k in (1, 2):
+        (tmp_path / f"mages/{k}.txt").write_text(f"Hyb\tA\nRef\tvalue\np1\t{k}\n")
+    assert {(r.file[-5:], r.value) for r in readers.magetab(spark, str(tmp_path / "mages"), "value").collect()} == {("1.txt", 1.0), ("2.txt", 2.0)}
     (tmp_path / "mage.txt").write_text("Hyb\tA\tA\tA\nRef\tvalue\tcall\tvalue\np1\t1\tP\t3\n")
     assert [(r.sample_id, r.value) for r in readers.magetab(spark, str(tmp_path / "mage.txt"), "value").collect()] == [("A", 2.0)]
     (tmp_path / "u.tsv").write_text("A\tB\np1\t1\t2\np1\t9\t9\n")

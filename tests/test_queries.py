@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-HEADLINE = ["km2_curve", "km5_stratified", "km8_best_cut", "km11_landmark", "cr1_incidence", "mt2_pool_dl", "mt5_adjust_bh", "mt7_leave_one_out", "ep5_family_columns", "ep11_semantics_grid", "ex12_survey", "ex23_batch", "cl15_change_log", "cl24_best_pairs", "ov4_groups", "ct1_sizes", "ct5_consistency", "ag3_kappa"]
+HEADLINE = ["km2_curve", "km5_stratified", "km8_best_cut", "km11_landmark", "cr1_incidence", "mt2_pool_dl", "mt5_adjust_bh", "mt7_leave_one_out", "ep5_family_columns", "ep11_semantics_grid", "ex12_survey", "ex23_batch", "cl15_change_log", "cl24_best_pairs", "ov4_groups", "ct1_sizes", "ct3_lost", "ct5_consistency", "ct6_sweep", "cx3_small_panel", "mt1_two_stage", "ex19_coverage", "au1_audit", "au2_content_hash", "ag3_kappa"]
 
 
 def norm(v):

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 from cohortspark.functions import cox_kernel as k
-from cohortspark.operators import cox, km, roc
+from cohortspark.operators import competing, cox, km, roc
 from cohortspark.sources.adapters import expr, surv
 
 SF = "/root/testdata/sf0.01"
@@ -151,3 +151,35 @@ def test_one_sided_split_is_excluded(spark):
     rows = [("A", i, float(i), 1, 1.0 if i < 70 else 0.0) for i in range(100)]
     df = km.split(spark.createDataFrame(rows, "dataset string, sample_id int, time double, status int, value double"), ["dataset"])
     assert km.pool_ledger(df).first().reason == "one-sided split"
+
+
+def incidence(time, status, cause, weight, at):
+    """Weighted Aalen-Johansen estimate at a time."""
+    s, total = 1.0, 0.0
+    for u in np.unique(time[time <= at]):
+        n = weight[time >= u].sum()
+        here = time == u
+        total += s * weight[here & (status == cause)].sum() / n
+        s *= 1 - weight[here & (status != 0)].sum() / n
+    return total
+
+
+def test_incidence_errors_are_those_of_the_infinitesimal_jackknife(spark):
+    g = np.random.default_rng(8)
+    time, status, group = np.round(g.exponential(2, 60), 1) + 0.1, g.choice([0, 1, 2], 60, p=[0.4, 0.35, 0.25]), g.choice(["a", "b"], 60)
+    df = spark.createDataFrame([(str(c), float(t), int(x)) for c, t, x in zip(group, time, status, strict=True)], "group string, time double, status int")
+    curves = competing.cumulative_incidence(df, ["group"], [1, 2])
+    for r in curves.collect():
+        own = group == r["group"]
+        t, x = time[own], status[own]
+        one = np.ones(own.sum())
+        assert r.cif == pytest.approx(incidence(t, x, r.cause, one, r.time), abs=1e-9)
+        grad = [(incidence(t, x, r.cause, one + 1e-5 * e, r.time) - incidence(t, x, r.cause, one - 1e-5 * e, r.time)) / 2e-5 for e in np.eye(len(one))]
+        assert r.se == pytest.approx(np.sqrt(np.sum(np.square(grad))), abs=1e-6)
+        assert (r.lower is None) == (r.cif == 0) and (r.cif == 0 or r.lower <= r.cif <= r.upper <= 1)
+    times = competing.event_times(df, [])
+    assert [round(x.horizon, 9) for x in times.orderBy("horizon").collect()] == sorted({round(float(q), 9) for q in np.quantile(time[status != 0], np.arange(0.2, 0.95, 0.1))})
+    late = competing.cif_at(curves, ["group"], [1e6], extend=True)
+    last = {(r["group"], r.cause): r.cif for r in curves.orderBy("time").collect()}
+    assert {(r["group"], r.cause): r.cif for r in late.collect()} == last and all(r.n_risk == 0 for r in late.collect())
+    assert competing.cif_at(curves, ["group"], [1e6]).count() == 0
