@@ -11,12 +11,15 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._arrow import map_arrow
 from cohortspark.llm._sample import drawn
-from cohortspark.llm._words import WordHashes, mix, shingles, words_of
+from cohortspark.llm._words import mix, shingle_sets, slices
 
 BINS, BITS = 128, 8
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
@@ -66,14 +69,19 @@ def likeness_of(a: str, b: str) -> float:
     return likeness(*(np.frombuffer(bytes.fromhex(x), dtype=np.uint8) if x else None for x in (a, b)))
 
 
+def marks(texts: pa.Array) -> list[np.ndarray | None]:
+    """The sketch of every text."""
+    flat, ends = shingle_sets(texts)
+    return [sketch(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every text (null: empty); repeated rows and null ids stay. Row-local."""
 
-    def make():
-        known = WordHashes()
-        return lambda cols: {"doc_id": cols["doc_id"], "fingerprint": [packed(sketch(shingles(known.of(words_of(t))))) for t in cols["text"]]}
+    def run(b):
+        return {"doc_id": b.column("doc_id"), "fingerprint": [packed(m) for m in marks(b.column("text"))]}
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, fingerprint string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fingerprint string", by_text="text")
 
 
 def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -88,64 +96,60 @@ def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     quantiles of a drawn sample and only set the balance. Each range also gets the first row of the range after it, so
     the text is shuffled once and a task holds one row besides the current batch.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, min(base.count() // range_rows, MOST_RANGES))
     ids = drawn(base.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", 20 * parts).toPandas()["doc_id"].sort_values().to_numpy()
     cuts = np.unique(ids[[len(ids) * i // parts for i in range(1, parts)]]) if len(ids) else ids
     last = len(cuts)
 
+    order = [F.col("doc_id").isNull(), F.desc("doc_id"), "hash", "text"]
     @F.pandas_udf("int")
     def number(x: pd.Series) -> pd.Series:
         """Ranges in descending order of ids; null ids belong to the last one."""
         at = last - np.searchsorted(cuts, x.fillna(0).to_numpy(dtype=np.int64), side="right")
         return pd.Series(np.where(x.isna(), last, at).astype(np.int32))
 
-    order = [F.col("doc_id").isNull(), F.desc("doc_id"), "hash", "text"]
     ranged = base.withColumn("range", number("doc_id")).withColumn("hash", F.xxhash64("text"))
     # the first row of each range that has rows follows the range before; the very first follows the last
-    key = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("id"), "hash")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), "hash")
     firsts = ranged.groupBy("range").agg(F.min(key).alias("k")).select("range", "k.id", "k.hash").orderBy("range").collect()
     halo = [(firsts[i - 1]["range"], r["range"], r["id"], r["hash"]) for i, r in enumerate(firsts)]
     targets = F.broadcast(docs.sparkSession.createDataFrame(halo, "target int, range int, id long, hash long"))
     first = (
-        ranged.join(targets, ["range", "hash"]).where((-F.col("doc_id")).eqNullSafe(F.col("id")))
+        ranged.join(targets, ["range", "hash"]).where(F.bitwise_not("doc_id").eqNullSafe(F.col("id")))
         .groupBy("target").agg(F.min("text").alias("text"))
         .select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("target").alias("range"), F.xxhash64("text").alias("hash"), F.lit(True).alias("tail"))
     )
     both = ranged.withColumn("tail", F.lit(False)).unionByName(first).repartition("range").sortWithinPartitions("range", "tail", *order)
 
-    def make():
-        known = WordHashes()
-        held: list = []  # the row that waits for its next one: (range, doc_id, text, its sketch)
-
-        def of(text):
-            return sketch(shingles(known.of(words_of(text))))
-
-        def work(cols):
-            out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-            for at, i, text, tail in zip(cols["range"], cols["doc_id"], cols["text"], cols["tail"], strict=True):
-                mark = of(text)
-                if held and held[0][0] == at:
-                    _, j, before, own = held.pop()
-                    n = len(before)
-                    k = n // 3
-                    edited = before[: n - k] + text[:k]
-                    new = of(edited)
-                    out["doc_id"].append(j)
-                    out["n_chars"].append(n)
-                    out["edited_sha256"].append(hashlib.sha256(edited.encode()).hexdigest())
-                    out["fingerprint"].append(packed(own))
-                    out["edited_fingerprint"].append(packed(new))
-                    out["near_edited"].append(likeness(own, new))
-                    out["near_next"].append(likeness(own, mark))
-                held.clear()
-                if not tail:
-                    held.append((at, i, text, mark))
-            return out
-
-        return work
-
-    return map_batches(both.select("range", "doc_id", "text", "tail"), make, _SCHEMA)
+    kind = _parse_datatype_string(_SCHEMA)
+
+    def run(batches):
+        fields = to_arrow_schema(kind)
+        held = None  # the row that waits for its next one: (range, doc_id, text, its sketch)
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                b = batch.slice(part.start, part.stop - part.start)
+                done, held = paired(held, list(zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "text")), marks(b.column("text")), strict=True)), b.column("tail").to_pylist())
+                if done:
+                    new = marks(pa.array([x[2] for x in done]))
+                    out = [[i, n, hashlib.sha256(e.encode()).hexdigest(), packed(own), packed(m), likeness(own, m), likeness(own, after)] for (i, n, e, own, after), m in zip(done, new, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for f, c in zip(fields, zip(*out, strict=True), strict=True)], schema=fields)
+
+    return both.select("range", "doc_id", "text", "tail").mapInArrow(run, kind)
+
+
+def paired(held, rows, tails):
+    """(id, length, edited text, own sketch, next one's sketch) of the rows whose next row is there, and the row that waits."""
+    done = []
+    for row, tail in zip(rows, tails, strict=True):
+        at, _, text, mark = row
+        if held is not None and held[0] == at:
+            _, i, before, own = held
+            k = len(before) // 3
+            done.append((i, len(before), before[: len(before) - k] + text[:k], own, mark))
+        held = None if tail else row
+    return done, held
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -6,9 +6,10 @@ least ceil(0.75 n) of a text's n shingles, so the prefixes of n - ceil(0.75 n) +
 least m. Each text takes the m (1 to MOST_MATCHES) with the least estimated cost of candidates: a longer prefix that must
 show more shared shingles, min(m) of the two, before the pair is verified on the whole sets.
 
-Only components are asked for, so links inside what is already one component are not looked for: texts of large groups
-are first linked to one member drawn per shingle, and the exact round then takes the pairs of different components only.
-In large groups, parity bitmaps of the sets bound the overlap and rule pairs out before they become rows.
+Only components are asked for, so links inside what is already one component are not looked for. Rounds first try the
+texts of each large group (texts that share a prefix shingle) against one drawn member; the exact round then takes all
+pairs of different components. There a large group is compared block by block inside tasks, by parity bitmaps of the sets,
+and a pair leaves once: from the first large group that holds both, with the number of groups that do.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import hashlib
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._arrow import map_arrow
 from cohortspark.llm._graph import components, keep
-from cohortspark.llm._words import WordHashes, mix, shingles, words_of
+from cohortspark.llm._words import mix, shingle_sets, slices
 
 #: Similarity limit in hundredths.
 LIMIT = 75
@@ -31,12 +33,19 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: Bins of the count sketch (fixed size, broadcast as one byte each), and ranges of bins that tasks sum.
 SKETCH_BITS, RANGES = 21, 64
-#: Groups of texts at a shingle above this size get the linking round and the bitmap test; blocks of such a group.
+#: Postings of a shingle whose bin has this level are dealt to two tasks, of the next level to four, and so on.
+SPLIT_LEVEL = 10
+#: Groups of texts at a shingle above this size are linked by rounds first, then compared in blocks of so many texts; the
+#: pairs of smaller groups are rows, which up to about this size are fewer bytes than what a block needs of each text.
 LARGE, BLOCK = 8, 1024
+#: Another linking round follows one in which at least one of so many tried pairs linked (no effect on results).
+WORTH_A_ROUND = 4
+#: Number of shared prefix shingles of a pair that was drawn, not counted.
+UNCOUNTED = 1 << 30
 #: Bits of a parity bitmap: four for each shingle within these bounds.
 LEAST_BITS, MOST_BITS = 256, 4096
-#: Bits of the filter that keeps most texts out of the verification.
-FILTER_BITS = 24
+#: Least and most bits of the filter that keeps most texts out of a verification; eight for each wanted text between.
+FILTER_BITS = (1 << 20, 1 << 27)
 _BINS = 1 << SKETCH_BITS
 
 
@@ -44,9 +53,9 @@ def linked(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= LIMIT * (a + b - shared)
 
 
-def node_of(s: np.ndarray) -> int:
-    """64-bit name of a set of shingles."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray) -> bytes:
+    """128-bit name of a set of shingles."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -66,17 +75,28 @@ def folded(b: np.ndarray, words: int) -> np.ndarray:
 
 def may_link(na: int, a: bytes, nb: int, b: bytes) -> bool:
     """False only if sizes or bitmaps show that the sets cannot link."""
-    if 100 * min(na, nb) < LIMIT * max(na, nb):
-        return False
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    w = min(len(x), len(y))
-    apart = int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum())
-    return linked((na + nb - apart) // 2, na, nb)
+    return bool(may_link_all(np.array([na]), [a], np.array([nb]), [b])[0])
+
+
+def may_link_all(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """The same for many pairs: those with bitmaps of two given sizes at once."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    apart = np.zeros(len(a), dtype=np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == x) & (lb == y))
+        whole = lambda maps, size: np.frombuffer(b"".join(maps[k] for k in at), dtype=np.uint64).reshape(len(at), size // 8)  # noqa: E731, B023
+        apart[at] = np.bitwise_count(folded(whole(a, x), min(x, y) // 8) ^ folded(whole(b, y), min(x, y) // 8)).sum(axis=1, dtype=np.int64)
+    total = na + nb
+    shared = (total - apart) // 2
+    return (100 * np.minimum(na, nb) >= LIMIT * np.maximum(na, nb)) & (100 * shared >= LIMIT * (total - shared))
 
 
 class Prefix(NamedTuple):
     matches: int
     tokens: np.ndarray
+    levels: np.ndarray
+    #: Place of the last shingle of the prefix in the global order.
+    last: int
 
 
 def prefix_of(s: np.ndarray, level: np.ndarray) -> Prefix:
@@ -90,7 +110,8 @@ def prefix_of(s: np.ndarray, level: np.ndarray) -> Prefix:
     cost = np.exp2(rank[order[: first + most - 1]].astype(float)).cumsum()
     total = [cost[first - 1 + k] * (1 + VERIFY_COST / (k + 1)) for k in range(most)]
     m = int(np.argmin(total)) + 1
-    return Prefix(m, s[order[: first + m - 1]])
+    taken = order[: first + m - 1]
+    return Prefix(m, s[taken], rank[taken], (int(rank[taken[-1]]) << 58) | int(mix(s[taken[-1:]])[0] >> np.uint64(6)))
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
@@ -100,34 +121,18 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """
     width = _BINS // RANGES
 
-    def count():
-        known = WordHashes()
-
-        def work(cols):
-            total = np.zeros(_BINS, dtype=np.int64)
-            for t in cols["text"]:
-                at = (shingles(known.of(words_of(t))) & np.uint64(_BINS - 1)).astype(np.int64)
-                np.add.at(total, at, 1)
-            return total
-
-        return work
-
     def counted(batches):
-        import pyarrow as pa
-
-        work = count()
         total = np.zeros(_BINS, dtype=np.int64)
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                total += work({"text": b.slice(start, 2000).column(0).to_pylist()})
+            for part in slices(b.column(0)):
+                hashes, _ = shingle_sets(b.column(0)[part])
+                np.add.at(total, (hashes & np.uint64(_BINS - 1)).astype(np.int64), 1)
         if total.any():
             small = np.minimum(total, 2**31 - 1).astype(np.uint32).reshape(RANGES, width)
             # bytes of equal weight together: the high ones are nearly all 0 and pack well
             yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([r.view(np.uint8).reshape(-1, 4).T.tobytes() for r in small], pa.binary())], ["range", "counts"])
 
     def summed(batches):
-        import pyarrow as pa
-
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for r, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -148,151 +153,157 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, print (a hash of the text), node (null for a text without words), n, matches, bitmap, tokens of every row of the documents."""
-    level = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    """doc_id, print (a hash of the text), node (null for a text without words), n, matches, bitmap and prefix of every row.
 
-    def make():
-        known = WordHashes()
+    The prefix is in two parts: tokens, and split_tokens with the number of tasks that share the postings of each; last is the
+    place of its end in the global order.
+    """
+    level = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
-        def one(text):
-            s = shingles(known.of(words_of(text)))
-            if not len(s):
-                return None, 0, 0, None, []
+    def run(b):
+        flat, ends = shingle_sets(b.column("text"))
+        node, n, matches, last, maps, tokens, split, parts = [], np.diff(ends), [], [], [], [], [], []
+        for x, y in zip(ends[:-1], ends[1:], strict=True):
+            if x == y:
+                for column, v in zip((node, matches, last, maps, tokens, split, parts), (None, 0, 0, None, [], [], []), strict=True):
+                    column.append(v)
+                continue
+            s = flat[x:y]
             p = prefix_of(s, level.value)
-            return node_of(s), len(s), p.matches, bitmap(s), p.tokens.view(np.int64)
+            hot = p.levels >= SPLIT_LEVEL
+            node.append(node_of(s))
+            matches.append(p.matches)
+            last.append(p.last)
+            maps.append(bitmap(s))
+            tokens.append(p.tokens[~hot].view(np.int64))
+            split.append(p.tokens[hot].view(np.int64))
+            parts.append(1 << (p.levels[hot].astype(np.int32) - SPLIT_LEVEL + 1))
+        return {"doc_id": b.column("doc_id"), "print": b.column("print"), "node": node, "n": n, "matches": matches, "last": last, "bitmap": maps, "tokens": tokens, "split_tokens": split, "parts": parts}
 
-        def work(cols):
-            rows = [one(t) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "print": cols["print"]} | {n: [r[k] for r in rows] for k, n in enumerate(("node", "n", "matches", "bitmap", "tokens"))}
+    kind = "doc_id long, print long, node binary, n long, matches int, last long, bitmap binary, tokens array<long>, split_tokens array<long>, parts array<int>"
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")), run, kind, by_text="text")
 
-        return work
 
-    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("print")), make, "doc_id long, print long, node long, n long, matches int, bitmap binary, tokens array<long>")
+def _shared_runs(batches):
+    """Of postings sorted by token, those of tokens that come twice, with the number of each token's postings.
+
+    A token has few postings here: its bin of the sketch is at most 2^SPLIT_LEVEL above the mean.
+    """
+
+    def put(t, n):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
+        size = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int64)
+        ok = size >= 2
+        return pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok]), pa.array(size[ok])], ["token", "id", "size"])
+
+    t = n = np.zeros(0, dtype=np.int64)
+    for b in batches:
+        t, n = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([n, b.column(1).to_numpy()])
+        cut = int(np.searchsorted(t, t[-1])) if len(t) else 0  # the last token may go on
+        if cut:
+            yield put(t[:cut], n[:cut])
+            t, n = t[cut:], n[cut:]
+    if len(t):
+        yield put(t, n)
+
+
+def shared_postings(texts: DataFrame) -> DataFrame:
+    """(token, part, parts, id, size) of the prefix shingles that at least two texts have; size is their number of texts.
+
+    Frequent shingles are dealt over parts by the text, so that no task gets all postings of one.
+    """
+    posts = texts.select(F.explode("tokens").alias("token"), "id").repartition("token").sortWithinPartitions("token", "id")
+    kept = keep(posts.mapInArrow(_shared_runs, "token long, id long, size long"))
+    split = texts.where(F.size("split_tokens") > 0).select("id", F.explode(F.arrays_zip(F.col("split_tokens").alias("token"), F.col("parts").alias("parts"))).alias("s"))
+    split = split.select("s.token", F.pmod(F.xxhash64("id"), F.col("s.parts")).cast("int").alias("part"), "s.parts", "id")
+    sizes = split.groupBy("token", "parts").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+    counted = split.drop("parts").join(_by_part(sizes), ["token", "part"]).select("token", "part", "parts", "id", "size")
+    return kept.select("token", F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", "size").unionByName(keep(counted))
+
+
+def _by_part(groups: DataFrame) -> DataFrame:
+    """Rows with token and parts, once for each part: postings meet them without all of a token in one task."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _small_pairs(batches):
+    """Pairs (a < b) of the texts of each token, from postings sorted by token and text; groups have at most LARGE texts."""
+    token = ids = np.zeros(0, dtype=np.int64)
+
+    def put(t, i):
+        a, b = [], []
+        for k in range(1, LARGE):
+            same = np.flatnonzero(t[k:] == t[:-k])
+            a.append(i[same])
+            b.append(i[same + k])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    for batch in batches:
+        token, ids = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((token, ids)))
+        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+        if cut:
+            yield put(token[:cut], ids[:cut])
+            token, ids = token[cut:], ids[cut:]
+    if len(token):
+        yield put(token, ids)
 
 
 def _streamed(df: DataFrame, keys: list[str], group, schema: str) -> DataFrame:
     """Apply group(key, columns) to the rows of each key; rows come sorted, one group is in memory at a time."""
     names = df.columns
     df = df.repartition(*keys).sortWithinPartitions(*keys)
+    outs = [f.split()[0] for f in schema.split(", ")]
 
-    def make():
+    def run(batches):
         held: list[dict] = []
 
-        def flush(out):
+        def flush():
             cols = {n: [x for part in held for x in part[n]] for n in names}
-            group(tuple(cols[k][0] for k in keys), cols, out)
             held.clear()
+            got = group(tuple(cols[k][0] for k in keys), cols)
+            if len(got[outs[0]]):
+                yield pa.RecordBatch.from_arrays([pa.array(got[n], pa.int64()) for n in outs], outs)
 
-        def work(cols, last=False):
-            out: dict[str, list] = {f.split()[0]: [] for f in schema.split(", ")}
-            if last:
-                if held:
-                    flush(out)
-                return out
-            n = len(cols[names[0]])
+        for b in batches:
+            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             ids = list(zip(*(cols[k] for k in keys), strict=True))
             start = 0
-            for i in range(1, n + 1):
-                if i == n or ids[i] != ids[start]:
+            for i in range(1, len(ids) + 1):
+                if i == len(ids) or ids[i] != ids[start]:
                     if held and tuple(held[-1][k][-1] for k in keys) != ids[start]:
-                        flush(out)
+                        yield from flush()
                     held.append({c: cols[c][start:i] for c in names})
                     start = i
-            return out
+        if held:
+            yield from flush()
 
-        return work
+    return df.mapInArrow(run, schema)
 
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(schema)
+def _block_pairs(key, cols):
+    """Pairs of different components across two blocks (or within one) of a large group that bitmaps leave.
 
-    def run(batches):
-        fields = to_arrow_schema(kind)
-        work = make()
-        for b in batches:
-            out = work({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            if out[fields[0].name]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
-        out = work({}, last=True)
-        if out[fields[0].name]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
-
-    return df.mapInArrow(run, kind)
-
-
-#: Postings of one shingle that a task holds back at most; a shingle with more streams on in pieces.
-HELD = 1 << 20
-
-
-def _shared_runs(batches, held: int = HELD):
-    """Of postings sorted by token, those of tokens that come twice, with the number of each token's postings.
-
-    A token with more than ``held`` postings has a null number: its rows have left before all were seen.
+    A pair comes from the first large group that holds both of its texts only, with the number of those groups.
     """
-    import pyarrow as pa
-
-    def put(t, n, hot):
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
-        size = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int64)
-        is_hot = t == hot if hot is not None else np.zeros(len(t), dtype=bool)
-        ok = (size >= 2) | is_hot
-        return pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(n[ok]), pa.array(size[ok], mask=is_hot[ok])], ["token", "node", "size"])
-
-    t = n = np.zeros(0, dtype=np.int64)
-    hot = None
-    for b in batches:
-        t, n = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([n, b.column(1).to_numpy()])
-        if not len(t):
-            continue
-        whole = int(np.searchsorted(t, t[-1]))  # the last token may go on
-        if whole:
-            yield put(t[:whole], n[:whole], hot)
-            t, n = t[whole:], n[whole:]
-        if len(t) > held:
-            hot = int(t[0])
-            yield put(t, n, hot)
-            t, n = t[:0], n[:0]
-    if len(t):
-        yield put(t, n, hot)
-
-
-def shared_postings(texts: DataFrame) -> DataFrame:
-    """(token, node, size) of the prefix shingles that at least two texts have; size is their number of texts."""
-    posts = texts.select(F.explode("tokens").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node")
-    kept = keep(posts.mapInArrow(_shared_runs, "token long, node long, size long"))
-    hot = kept.where("size IS NULL").drop("size")
-    counted = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token").select("token", "node", "size")
-    return kept.where("size IS NOT NULL").unionByName(counted)
-
-
-def _all_pairs(key, cols, out):
-    """Pairs of different components of a small group."""
-    nodes, labels = cols["node"], cols["label"]
-    for i in range(len(nodes)):
-        for j in range(i):
-            if labels[i] != labels[j]:
-                out["a"].append(min(nodes[i], nodes[j]))
-                out["b"].append(max(nodes[i], nodes[j]))
-
-
-def _block_pairs(key, cols, out):
-    """Pairs of different components across two blocks (or within one) of a large group that bitmaps leave."""
-    _, low, high = key
+    token, low, high = key
     n = np.array(cols["n"])
     order = np.argsort(n, kind="stable")
     n = n[order]
-    node, label, block = (np.array(cols[c])[order] for c in ("node", "label", "block"))
+    ids, label, block = (np.array(cols[c])[order] for c in ("id", "label", "block"))
+    groups = [np.array(cols["groups"][i]) for i in order]  # ascending
+    leads = np.array([g[0] for g in groups])
     raw = [np.frombuffer(cols["bitmap"][i], dtype=np.uint64) for i in order]
     words = np.array([len(r) for r in raw])
     level = {w: np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw]) for w in set(words.tolist())}
+    out = {"a": [], "b": [], "seen": []}
     for i in range(len(n)):
         end = int(np.searchsorted(n, n[i] * 100 // LIMIT, side="right"))
         at = np.arange(i + 1, end)
         at = at[label[at] != label[i]]
         if low != high:
             at = at[block[at] != block[i]]
+        if leads[i] != token:  # the same first group, before this one
+            at = at[leads[at] != leads[i]]
         if not len(at):
             continue
         m = level[int(words[i])]
@@ -300,72 +311,73 @@ def _block_pairs(key, cols, out):
         total = n[at] + n[i]
         shared = (total - apart) // 2
         for j in at[100 * shared >= LIMIT * (total - shared)].tolist():
-            out["a"].append(int(min(node[i], node[j])))
-            out["b"].append(int(max(node[i], node[j])))
+            both = np.intersect1d(groups[i], groups[j], assume_unique=True)
+            if both[0] == token:
+                out["a"].append(min(ids[i], ids[j]))
+                out["b"].append(max(ids[i], ids[j]))
+                out["seen"].append(len(both))
+    return out
 
 
-def _passing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of counted pairs that shared enough prefix shingles and that sizes and bitmaps do not rule out."""
-    side = lambda s: texts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("matches").alias(f"m{s}"), F.col("bitmap").alias(f"t{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("seen >= least(ma, mb) AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
+def _passing(pairs: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(a, b) of pairs of different components that sizes, bitmaps and the number of shared prefix shingles (seen) do not rule out.
 
-    def make():
-        def work(cols):
-            ok = [k for k, x in enumerate(zip(cols["na"], cols["ta"], cols["nb"], cols["tb"], strict=True)) if may_link(*x)]
-            return {c: [cols[c][k] for k in ok] for c in ("a", "b")}
+    All shingles that the prefix which ends first shares with the other text are in the other's prefix: the two share at
+    most ``seen`` and what stands after that prefix.
+    """
+    side = lambda s: texts.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "matches", "last", "behind", "label")))
+    maps = lambda s: whole.select(F.col("id").alias(s), F.col("bitmap").alias(f"map_{s}"))
+    left = F.expr("CASE WHEN last_a < last_b THEN behind_a WHEN last_a > last_b THEN behind_b ELSE greatest(behind_a, behind_b) END")
+    fits = (F.col("seen") >= F.least("matches_a", "matches_b")) & ((100 + LIMIT) * (F.col("seen") + left) >= LIMIT * (F.col("n_a") + F.col("n_b")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= LIMIT * F.greatest("n_a", "n_b")))
+    both = both.select("a", "b", "n_a", "n_b").join(maps("a"), "a").join(maps("b"), "b")
 
-        return work
+    def run(b):
+        ok = pa.array(may_link_all(b.column("n_a").to_numpy(), b.column("map_a").to_pylist(), b.column("n_b").to_numpy(), b.column("map_b").to_pylist()))
+        return {"a": b.column("a").filter(ok), "b": b.column("b").filter(ok)}
 
-    return map_batches(both.select("a", "b", "na", "ta", "nb", "tb"), make, "a long, b long")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "map_a", "map_b"), run, "a long, b long", by_text="map_a")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, on the whole sets of their texts.
 
-    Texts come from the documents: a filter of fixed size over the ids of the wanted ones keeps most rows out, the rest
-    are named again and joined by name.
+    Texts come from the documents: a bit filter over the ids of the wanted ones keeps most rows out, the rest are named
+    again and joined by name.
     """
-    wanted = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts.select("node", "rep"), "node"))
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
-    marks = wanted.select((place / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    filled = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
-    for r in marks:
-        filled[r["w"]] = r["bits"]
+    wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(texts.select("id", "node", "rep"), "id"))
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    marks = wanted.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(rep), {bits}), 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    filled = np.zeros(bits // 64, dtype=np.int64)
+    got = marks.toArrow()
+    filled[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
-    def make():
-        known = WordHashes()
+    def named(b):
+        flat, ends = shingle_sets(b.column("text"))
+        full = np.flatnonzero(np.diff(ends))
+        return {"node": [node_of(flat[ends[k] : ends[k + 1]]) for k in full], "text": b.column("text").take(pa.array(full))}
 
-        def work(cols):
-            at = np.array(cols["place"], dtype=np.int64)
-            hit = np.flatnonzero((shared.value[at // 64] >> (at % 64)) & 1)
-            got = [(node_of(s), t) for t in (cols["text"][k] for k in hit) if len(s := shingles(known.of(words_of(t))))]
-            return {"node": [x for x, _ in got], "text": [x for _, x in got]}
+    def hit(b):
+        at = b.column("place").to_numpy()
+        return b.filter(pa.array(((shared.value[at // 64] >> (at % 64)) & 1).astype(bool)))
 
-        return work
+    there = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("place"))
+    found = map_arrow(there, named, "node binary, text string", by_text="text", first=hit)
+    found = found.join(wanted.select("node", "id"), "node").groupBy("node", "id").agg(F.first("text").alias("text"))
+    both = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
-    there = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("place"))
-    found = map_batches(there, make, "node long, text string").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    def compare(b):
+        (x, xe), (y, ye) = shingle_sets(b.column("ta")), shingle_sets(b.column("tb"))
+        ok = []
+        for k in range(b.num_rows):
+            s, t = x[xe[k] : xe[k + 1]], y[ye[k] : ye[k + 1]]
+            ok.append(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
+        ok = pa.array(ok, pa.bool_())
+        return {"a": b.column("a").filter(ok), "b": b.column("b").filter(ok)}
 
-    def compare():
-        known = WordHashes()
-        last: list = [None, None]
-
-        def work(cols):
-            out = {"a": [], "b": []}
-            for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"], strict=True):
-                if last[0] != a:
-                    last[:] = a, shingles(known.of(words_of(ta)))
-                x, y = last[1], shingles(known.of(words_of(tb)))
-                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
-
-        return work
-
-    return map_batches(both.select("a", "b", "ta", "tb"), compare, "a long, b long")
+    return map_arrow(both.select("a", "b", "ta", "tb"), compare, "a long, b long", by_text="ta")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -376,8 +388,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     name unless it has no other. Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
     rows, named = _components(docs)
-    least = named.groupBy("top").agg(F.min("rep").alias("component"))
-    of_node = named.join(least, "top").select("node", "component")
+    least = named.groupBy("label").agg(F.min("rep").alias("component"))
+    of_node = named.join(least, "label").select("node", "component")
     return rows.select("doc_id", "node", "n").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -389,7 +401,7 @@ def one_each(docs: DataFrame) -> DataFrame:
     """
     rows, named = _components(docs)
     copies = rows.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("node").isNull()).alias("blank"))
-    best = named.groupBy("top").agg(F.min("best").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.print").alias("hash"))
+    best = named.groupBy("label").agg(F.min("best").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.print").alias("hash"))
     chosen = best.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("print"))).select("id", "hash", "copies")
     chosen = keep(chosen.unionByName(copies.where("blank").select(F.col("doc_id").alias("id"), F.col("print").alias("hash"), "copies")))
     there = docs.withColumn("_print", F.xxhash64("text"))
@@ -399,40 +411,59 @@ def one_each(docs: DataFrame) -> DataFrame:
     return single.unionByName(repeated)
 
 
+def _relabelled(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """The texts with the labels that new links (a, b) give their components."""
+    of = lambda s: texts.select(F.col("id").alias(s), F.col("label").alias(f"l{s}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    over = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return texts.join(over, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+
+
+def _mixed(large: DataFrame, texts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Labelled postings of the large groups, and those groups that hold several components, with a member drawn by hash."""
+    labelled = large.join(texts.select("id", "label"), "id")
+    draw = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("k")
+    groups = labelled.groupBy("token", "parts").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), draw).where("lo <> hi")
+    return labelled, groups.select("token", "parts", F.col("k.id").alias("pivot"), F.col("k.label").alias("of"))
+
+
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The described rows, with a hash of their text; and for every node its least id (rep), best row and component (top)."""
+    """The described rows, and for every set (node) its least id (rep), best row and the label of its component."""
     rows = keep(described(docs))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("best")
-    texts = keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), best, *(F.first(c).alias(c) for c in ("n", "matches", "bitmap", "tokens"))))
-    posts = shared_postings(texts)
-    texts = texts.drop("tokens")
-
-    # linking round: in each large group every text is tried against the one that a hash draws for the shingle
-    large = posts.where(F.col("size") > LARGE)
-    drawn = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node")).alias("k")).select("token", F.col("k.node").alias("a"))
-    stars = large.join(drawn, "token").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
-    first = keep(verified(keep(_passing(stars.withColumn("seen", F.lit(MOST_MATCHES)), texts)), texts, docs))
-    label = components(first)
-
-    # exact round: all pairs of different components
-    labelled = keep(posts.join(label, "node", "left").select("token", "node", "size", F.coalesce("label", "node").alias("label")))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    labelled = labelled.join(mixed, "token", "left_semi")
-    small = _streamed(labelled.where(F.col("size") <= LARGE).select("token", "node", "label"), ["token"], _all_pairs, "a long, b long")
+    whole = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), best, *(F.first(c).alias(c) for c in ("n", "matches", "last", "bitmap", "tokens", "split_tokens", "parts")))
+    whole = keep(whole.withColumn("id", F.monotonically_increasing_id()))  # written at once: the number stays
+    posts = shared_postings(whole)
+    behind = (F.col("n") - F.size("tokens") - F.size("split_tokens")).alias("behind")
+    texts = whole.select("id", "node", "rep", "n", "matches", "last", behind, F.col("id").alias("label"))
+    large = keep(posts.where(F.col("size") > LARGE))
+
+    # linking rounds: in each large group of several components, all are tried against a drawn member
+    turn = 0
+    while True:
+        labelled, groups = _mixed(large, texts, turn)
+        tried = labelled.join(_by_part(groups).drop("parts"), ["token", "part"]).where("label <> of")
+        stars = keep(tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.lit(UNCOUNTED).alias("seen")).distinct())
+        links = keep(verified(keep(_passing(stars, texts, whole)), texts, docs))
+        texts = keep(_relabelled(texts, links))
+        if links.count() * WORTH_A_ROUND < max(1, stars.count()):
+            break
+        turn += 1
+
+    # exact round: all pairs of different components, from small and from large groups
+    alike = posts.where(F.col("size") <= LARGE).select("token", "id").repartition("token").sortWithinPartitions("token", "id")
+    small = alike.mapInArrow(_small_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"))
+    labelled, groups = _mixed(large, texts, turn)
+    labelled = keep(labelled.join(_by_part(groups).select("token", "part"), ["token", "part"], "left_semi"))
+    lists = labelled.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("groups"))  # at most a prefix
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     wide = (
-        labelled.where(F.col("size") > LARGE).join(texts.select("node", "n", "bitmap"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        labelled.join(whole.select("id", "n", "bitmap").join(lists, "id"), "id")
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "n", "bitmap", "block")
+        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "n", "bitmap", "block", "groups")
     )
-    broad = _streamed(wide, ["token", "low", "high"], _block_pairs, "a long, b long")
-    counted = small.unionByName(broad).groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"))
-    second = keep(verified(keep(_passing(counted, texts)), texts, docs))
-
-    # components of components
-    of = label.select("node", "label")
-    mapped = second.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    over = components(mapped.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
-    named = texts.select("node", "rep", "best").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return rows, named.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").withColumn("top", F.coalesce("top", "label"))
+    broad = _streamed(wide, ["token", "low", "high"], _block_pairs, "a long, b long, seen long")
+    counted = small.unionByName(broad).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
+    second = keep(verified(keep(_passing(counted, texts, whole)), texts, docs))
+    return rows, whole.select("id", "node", "rep", "best").join(_relabelled(texts.select("id", "label"), second), "id")

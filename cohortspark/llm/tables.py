@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,14 +13,3 @@ def model_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own; in a session without one (tests), a new temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not at:
-        at = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(at)
-    return at

@@ -2,18 +2,24 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from cohortspark.llm import fingerprints as fp
 from cohortspark.llm import neardups as nd
-from cohortspark.llm._words import WordHashes, shingles, words_of
+from cohortspark.llm._words import mix, shingle_sets, slices
 
 SF = "/root/testdata/sf0.001"
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def exact_components(rows):
     """Component names by comparing all pairs on string shingles."""
     sets = []
@@ -69,6 +75,22 @@ def test_components_on_documents(spark):
     compare(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
 
 
+def test_components_of_a_large_group(spark, monkeypatch):
+    """Near copies, most of which link with some others only, in groups of several blocks; frequent shingles are split."""
+    monkeypatch.setattr(nd, "LARGE", 8)
+    monkeypatch.setattr(nd, "BLOCK", 40)
+    monkeypatch.setattr(nd, "SPLIT_LEVEL", 4)
+    g = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(260):
+        w = list(base)
+        for _ in range(g.randrange(7)):
+            w[g.randrange(len(w))] = f"e{g.randrange(10**6)}"
+        rows.append((k, " ".join(w[g.randrange(12) :])))
+    compare(spark, rows)
+
+
 def test_no_documents(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -84,41 +106,45 @@ def test_bitmaps_and_prefixes_lose_no_link():
         if nd.linked(len(np.intersect1d(a, b)), len(a), len(b)):
             assert nd.may_link(len(a), nd.bitmap(a), len(b), nd.bitmap(b))
             p, q = nd.prefix_of(a, level), nd.prefix_of(b, level)
-            assert len(np.intersect1d(p.tokens, q.tokens)) >= min(p.matches, q.matches)
+            seen = len(np.intersect1d(p.tokens, q.tokens))
+            assert seen >= min(p.matches, q.matches)
+            first, whole = (p, a) if p.last < q.last else (q, b)
+            assert seen + len(whole) - len(first.tokens) >= len(np.intersect1d(a, b))
 
 
-def test_block_pairs_cover_all(monkeypatch):
+def test_block_pairs_leave_once():
     g = np.random.default_rng(6)
     base = g.integers(0, 2**63, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 180 - int(g.integers(0, 30))], g.integers(0, 2**63, int(g.integers(0, 30))).astype(np.uint64)])) for _ in range(60)]
-    want = {(j, i) for i in range(60) for j in range(i) if nd.may_link(len(sets[i]), nd.bitmap(sets[i]), len(sets[j]), nd.bitmap(sets[j]))}
+    groups = [sorted(g.choice(9, int(g.integers(1, 6)), replace=False).tolist()) for _ in sets]
+    label = [i // 2 for i in range(60)]
+    ok = lambda i, j: label[i] != label[j] and nd.may_link(len(sets[i]), nd.bitmap(sets[i]), len(sets[j]), nd.bitmap(sets[j]))
+    want = {(j, i): len(set(groups[i]) & set(groups[j])) for i in range(60) for j in range(i) if ok(i, j) and set(groups[i]) & set(groups[j])}
     block = [i % 3 for i in range(60)]
-    got = set()
-    for low in range(3):
-        for high in range(low, 3):
-            at = [i for i in range(60) if block[i] in (low, high)]
-            out = {"a": [], "b": []}
-            nd._block_pairs((0, low, high), {"n": [len(sets[i]) for i in at], "node": at, "label": at, "block": [block[i] for i in at], "bitmap": [nd.bitmap(sets[i]) for i in at]}, out)
-            pairs = list(zip(out["a"], out["b"], strict=True))
-            assert not got & set(pairs)
-            got |= set(pairs)
+    got = {}
+    for token in range(9):
+        for low in range(3):
+            for high in range(low, 3):
+                at = [i for i in range(60) if block[i] in (low, high) and token in groups[i]]
+                if at:
+                    out = nd._block_pairs((token, low, high), {"n": [len(sets[i]) for i in at], "id": at, "label": [label[i] for i in at], "block": [block[i] for i in at], "bitmap": [nd.bitmap(sets[i]) for i in at], "groups": [groups[i] for i in at]})
+                    for a, b, n in zip(out["a"], out["b"], out["seen"], strict=True):
+                        assert (a, b) not in got
+                        got[a, b] = n
     assert want and got == want
 
 
-@pytest.mark.parametrize("held", [1, 3, 1000])
-def test_frequent_shingles_stream_in_pieces(held):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("piece", [1, 3, 1000])
+def test_postings_in_pieces(piece):
     g = np.random.default_rng(8)
     token = np.sort(np.concatenate([np.repeat(7, 40), np.repeat(9, 5), np.repeat(12, 2), g.integers(100, 160, 50)])).astype(np.int64)
-    node = np.arange(len(token))
-    cuts = [0, 3, 10, 11, 30, 50, 60, len(token)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(token[a:b]), pa.array(node[a:b])], ["token", "node"]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    got = {(r["token"], r["node"]): r["size"] for out in nd._shared_runs(iter(batches), held) for r in out.to_pylist()}
+    ids = np.arange(len(token))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + piece]) for x in (token, ids)], ["token", "id"]) for a in range(0, len(token), piece)]
+    got = {(r["token"], r["id"]): r["size"] for out in nd._shared_runs(iter(batches)) for r in out.to_pylist()}
     count = {t: int((token == t).sum()) for t in set(token.tolist())}
-    want = {(t, k) for t, k in zip(token.tolist(), node.tolist(), strict=True) if count[t] > 1}
-    assert want <= set(got) and all(count[t] > 1 or held == 1 for t, _ in got)
-    assert all(s == count[t] for (t, _), s in got.items() if s is not None) and (held < 1000 or None not in got.values())
+    assert got == {(t, k): count[t] for t, k in zip(token.tolist(), ids.tolist(), strict=True) if count[t] > 1}
+    small = [(r["a"], r["b"]) for out in nd._small_pairs(pa.RecordBatch.from_arrays([pa.array(x[a : a + piece]) for x in (token[40:], ids[40:])], ["token", "id"]) for a in range(0, len(token) - 40, piece)) for r in out.to_pylist()]
+    assert sorted(small) == [(i, j) for i in range(40, len(token)) for j in range(i + 1, len(token)) if token[i] == token[j]]
 
 
 def test_fingerprint_estimates():
@@ -133,14 +159,44 @@ def test_fingerprint_estimates():
     assert fp.likeness_of(fp.packed(fp.sketch(a)), fp.packed(fp.sketch(a))) == 1 and fp.likeness(None, None) == 1 and fp.likeness(None, fp.sketch(a)) == 0
 
 
+def slow_sketch(text):
+    """Bins and densification one by one, over the shingle hashes of the text."""
+    flat, _ = shingle_sets(pa.array([text]))
+    if not len(flat):
+        return None
+    number = lambda x: int(mix(np.array([x % 2**64], dtype=np.uint64))[0])
+    least = {}
+    for h in map(number, flat.tolist()):
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    out = []
+    for b in range(128):
+        source, attempt = b, 0
+        while source not in least:
+            source = number(b * 0x9E3779B97F4A7C15 + attempt * 7919 + 1) % 128 if attempt < 64 else number(b + (attempt << 20)) % 128
+            attempt += 1
+        out.append(number(least[source]) & 255)
+    return np.array(out, dtype=np.uint8)
+
+
+def test_shingles_are_those_of_the_words():
+    texts = [None, "", " \n", "a", "A  b", "a b c d", "a b c d e", " x" * 9 + "\t", "é\u00a0É \x0bfoo\x1cbar baz Q q q q q", "w " * 3000, "tail"]
+    flat, ends = shingle_sets(pa.array(texts))
+    got = [set(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(t)) else set() for t in texts]
+    assert [len(s) for s in got] == [len(s) for s in sets] == np.diff(ends).tolist()
+    assert all((len(a & b) > 0) == (len(x & y) > 0) for a, x in zip(got, sets, strict=True) for b, y in zip(got, sets, strict=True))
+    alone, _ = shingle_sets(pa.array(texts)[7:9])
+    assert set(alone.tolist()) == got[7] | got[8]
+    assert [(s.start, s.stop) for s in slices(pa.array(["x" * (9 << 20), "y", None]))] == [(0, 1), (1, 3)]
+
+
 @pytest.mark.parametrize("rows_per_range", [3, 10_000])
 def test_edited_texts(spark, rows_per_range):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] + [(5000, None), (5001, "é😀" * 7)]
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, range int")
     got = {r.doc_id: r for r in fp.with_neighbours(df, rows_per_range).collect()}
     order = sorted(((d, t or "") for d, t in docs), reverse=True)
-    known = WordHashes()
-    mark = lambda t: fp.sketch(shingles(known.of(words_of(t))))
+    mark = lambda t: slow_sketch(t)
     for k, (d, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         cut = len(t) // 3
