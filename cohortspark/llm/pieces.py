@@ -4,7 +4,8 @@ Method: every prefix of a chunk of text has exactly one last token in its BPE en
 each prefix: the vocabulary automaton lists the pieces that end at a position, and the one whose predecessor's last
 token is compatible with it (BPE keeps the two apart when they stand together) is the entry. Ids are then read
 backwards from the end of the chunk. A chunk is a run of spaces and the word after it, up to a mark that no piece
-has after a letter; no piece holds a space after another character either, so merges never cross chunks. Equal chunks are encoded once per task (bounded memory).
+has after a letter; no piece holds a space after another character either, so merges never cross chunks. Equal
+short chunks are encoded once per task (bounded memory).
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._memory import BOUND, Remembered
 
 SPACE = "▁"
 UNK, BOS, EOS = 0, 1, 2
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: Pairs of pieces whose compatibility is remembered, some 100 bytes each.
+MOST_PAIRS = 500_000
 _MARKS = "\n,.!?;:%&*$#|\"'()@/=-"
-#: Distinct chunks in each of the two generations that a task remembers.
-CACHE_CHUNKS = 250_000
 
 
 def merge_all(chars: list[str], score: dict[str, float]) -> list[str]:
@@ -129,7 +131,7 @@ class Pieces:
                 bar_b, b = sb, cb[0]
             else:
                 bar_a, a = sa, ca[1]
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) > MOST_PAIRS:
             self._pairs.clear()
         self._pairs[left, right] = ok
         return ok
@@ -251,30 +253,17 @@ def load(path: str) -> Pieces:
         return Pieces(f.read())
 
 
-class _Known(dict):
-    """Ids by chunk; what is missing comes from the older generation or is computed."""
-
-    def __init__(self, pieces: Pieces, older: dict):
-        self.pieces, self.older = pieces, older
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self[chunk] = self.older.get(chunk) or self.pieces.chunk_ids(chunk)
-        return ids
-
-
 class Encoder:
-    """Encodes whole texts, with the ids of chunks remembered up to a bound."""
+    """Encodes whole texts, with the ids of short chunks remembered up to a bound of memory."""
 
-    def __init__(self, pieces: Pieces, chunks: int = CACHE_CHUNKS):
-        self.p, self.most, self.known = pieces, chunks, _Known(pieces, {})
+    def __init__(self, pieces: Pieces, bound: int = BOUND):
+        self.p, self.known = pieces, Remembered(pieces.chunk_ids, lambda ids: 8 * len(ids), bound)
 
     def ids(self, text: str | None, eos: bool = True) -> list[int]:
         if not text:
             return [EOS] if eos else []
         body = (SPACE if self.p.dummy else "") + text.replace(" ", SPACE)
         out = list(chain.from_iterable(map(self.known.__getitem__, self.p.chunks(body))))
-        if len(self.known) > self.most:  # the older generation goes; what is still in use comes back from this one
-            self.known = _Known(self.p, dict(self.known))
         if eos:
             out.append(EOS)
         return out
