@@ -1,34 +1,48 @@
 """Benchmark decontamination: passages of every document against a BM25 index of the test items.
 
 The items (in units of at most UNIT words) form an inverted index of impacts, each divided by the unit's score for its
-own text, so a passage that holds a unit scores 1 and one threshold fits all. Units are sorted so that alike ones share
-blocks; each term has its greatest impact per block. For all passages of a batch at once, the sums of these bounds rule
-out most (passage, block) pairs; the rest go through WAND within the block. What reaches the threshold is verified:
-shared five-word sequences of the question and shared words of the answer, of the whole item and around the passage, as
-far as the item reaches. An item of fewer than GRAM words names no passage: it is found where it is all of a document.
+own text, so a passage that holds a unit scores 1 and one threshold fits all. Posting lists are in unit order, in blocks
+with their greatest impact. Every passage is a query: the cursors of its terms stand in unit order, greatest impacts of
+whole lists name the pivot, the greatest impacts of the blocks there decide whether it is scored or skipped together with
+all that follows up to the end of a block. Units are sorted so that alike ones are neighbours, and a first table of
+greatest impacts by (term, one of at most RANGES ranges of units) leaves for each passage the ranges to walk; its sums are
+taken for all passages of a slice at once, a range at a time. What reaches the threshold is verified: shared five-word
+sequences of the question and shared words of the answer, of the whole item and around the passage, as far as the item
+reaches. An item of fewer than GRAM words names no passage: it is found where it is all of a document.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
 from cohortspark.llm._graph import keep
+from cohortspark.llm._words import slices
 
 #: Words of an index unit, of a passage and between passages: each unit lies whole in some passage.
 UNIT, PASSAGE, STEP = 64, 128, 64
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6
-BLOCK, GRAM = 4, 5
+#: Postings in a block, and words of a sequence.
+BLOCK, GRAM = 8, 5
 K1, B = 1.2, 0.75
-#: Items in an index; more are searched index by index, so what is broadcast stays bounded.
-SHARD_ITEMS = 2_000
+#: Ranges of units in the first table.
+RANGES = 64
+#: Items in an index (some 20 KB a hundred), so what is broadcast stays bounded; a larger benchmark takes a scan for each.
+SHARD_ITEMS = 100_000
+#: Words that are searched at once: bounds the memory of a task, besides a single text.
+SLICE_WORDS = 500_000
+#: Allowance for sums in another order.
+_EPS = 1e-9
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -91,7 +105,7 @@ class Unit(NamedTuple):
 
 
 class Index:
-    """Impacts by term and block, for one shard of items."""
+    """Posting lists in unit order with block maxima, for one shard of items."""
 
     def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
         units: list[Unit] = []
@@ -114,36 +128,54 @@ class Index:
         n, mean, df = stats or stats_of(u.words for u in units)
         units.sort(key=lambda u: (sorted(set(u.words), key=lambda w: (-df[w], w))[:3], u.item))
         self.units = units
-        self.vocab = {w: i for i, w in enumerate(sorted(df))}
-        self.blocks = -(-len(units) // BLOCK)
-        self.bound = np.zeros((len(df) + 1, self.blocks), dtype=np.float32)
-        #: (block, term) -> [(place of the unit in the block, impact)]
-        self.posts: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.vocab = {w: i for i, w in enumerate(sorted({w for u in units for w in u.words}))}
+        self.per_range = max(1, -(-len(units) // RANGES))
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         for k, u in enumerate(units):
             count: dict[str, int] = {}
             for w in u.words:
                 count[w] = count.get(w, 0) + 1
-            impact = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(u.words) / mean)) for w, c in count.items()}
+            impact = {w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(u.words) / mean))) for w, c in count.items()}
             own = sum(impact.values())
             for w, x in impact.items():
-                t, block = self.vocab[w], k // BLOCK
-                self.posts.setdefault((block, t), []).append((k % BLOCK, float(x / own)))
-                self.bound[t, block] = max(self.bound[t, block], x / own)
+                lists[self.vocab[w]].append((k, x / own))
+        #: Of each term: its postings, its blocks (last unit and greatest impact), and its greatest impact.
+        self.first, self.block_first = array("q", [0]), array("q", [0])
+        self.unit, self.impact = array("i"), array("d")
+        self.block_last, self.block_max = array("i"), array("d")
+        self.most = array("d")
+        ranges = -(-len(units) // self.per_range)
+        self.bound = np.zeros((len(self.vocab) + 1, ranges))
+        for t, posts in enumerate(lists):
+            for k, x in posts:
+                self.unit.append(k)
+                self.impact.append(x)
+                self.bound[t, k // self.per_range] = max(self.bound[t, k // self.per_range], x)
+            for at in range(0, len(posts), BLOCK):
+                part = posts[at : at + BLOCK]
+                self.block_last.append(part[-1][0])
+                self.block_max.append(max(x for _, x in part))
+            self.first.append(len(self.unit))
+            self.block_first.append(len(self.block_last))
+            self.most.append(max(x for _, x in posts))
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Term numbers; words outside the index get the last one, whose bounds are 0."""
         get, none = self.vocab.get, len(self.vocab)
         return np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
 
-    def bounds(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the passages of a batch: text, first word, and the bound of each block (distinct terms count once)."""
+    def live(self, texts: list[np.ndarray], threshold: float) -> dict[tuple[int, int], list[int]]:
+        """(text, first word) of the passages that may reach the threshold -> ranges of units where they may.
+
+        Distinct terms of a passage count once. One range is summed at a time, so memory follows the words alone.
+        """
         none = len(self.vocab)
         lengths = np.array([len(t) for t in texts])
         # texts stand apart by more than a passage, at multiples of the step
         room = (-(-(lengths + PASSAGE) // STEP)) * STEP
-        start = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        start = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64)
         total = int(room.sum()) // STEP
-        term = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        term = np.concatenate(texts)
         place = np.repeat(start, lengths) + np.arange(len(term)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
         used = term != none
         term, place = term[used], place[used]
@@ -156,45 +188,65 @@ class Index:
         low, high = np.maximum(low, 0), place // STEP
         ok = low <= high
         term, low, high = term[ok], low[ok], high[ok]
-        out = np.empty((total + 1, self.blocks))
-        for b in range(self.blocks):
-            w = self.bound[term, b]
-            out[:, b] = np.bincount(low, weights=w, minlength=total + 1) - np.bincount(high + 1, weights=w, minlength=total + 1)[: total + 1]
-        out = out.cumsum(axis=0)[:-1]
         own = np.repeat(np.arange(len(texts)), room // STEP)
-        first = np.arange(total) * STEP - start[own] if total else np.zeros(0, np.int64)
-        real = first < lengths[own] if total else np.zeros(0, bool)
-        return own[real], first[real], out[real]
+        first = np.arange(total) * STEP - start[own]
+        real = first < lengths[own]
+        out: dict[tuple[int, int], list[int]] = {}
+        for r in range(self.bound.shape[1]):
+            w = self.bound[term, r]
+            sums = (np.bincount(low, weights=w, minlength=total + 1) - np.bincount(high + 1, weights=w, minlength=total + 1)[: total + 1]).cumsum()[:-1]
+            for k in np.flatnonzero((sums >= threshold - 1e-6) & real).tolist():
+                out.setdefault((int(own[k]), int(first[k])), []).append(r)
+        return out
 
-    def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """(unit, score) of the block's units that reach the threshold, by pivots over sorted postings."""
-        lists = [[self.posts[block, t], 0, float(self.bound[t, block])] for t in terms if (block, t) in self.posts]
+    def retrieve(self, terms: list[int], low: int, high: int, threshold: float) -> list[tuple[int, float]]:
+        """(unit, score) of the units from low to below high that reach the threshold, by block-max WAND."""
+        unit, first, most = self.unit, self.first, self.most
+        cursors = []  # [unit, place in the postings, term], of lists that have not ended
+        for t in terms:
+            at = bisect_left(unit, low, first[t], first[t + 1])
+            if at < first[t + 1] and unit[at] < high:
+                cursors.append([unit[at], at, t])
         found = []
-        while lists:
-            lists.sort(key=lambda x: x[0][x[1]][0])
+
+        def forward(moved, target):
+            for c in moved:
+                if c[0] < target:
+                    end = first[c[2] + 1]
+                    c[1] = bisect_left(unit, target, c[1], end)
+                    c[0] = unit[c[1]] if c[1] < end else high
+
+        while cursors:
+            cursors.sort()
+            while cursors and cursors[-1][0] >= high:
+                cursors.pop()
             total, pivot = 0.0, -1
-            for k, x in enumerate(lists):
-                total += x[2]
-                if total >= threshold:
+            for k, c in enumerate(cursors):
+                total += most[c[2]]
+                if total >= threshold - _EPS:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            at = lists[pivot][0][lists[pivot][1]][0]
-            if lists[0][0][lists[0][1]][0] == at:
-                score = 0.0
-                for x in lists:
-                    if x[0][x[1]][0] != at:
-                        break
-                    score += x[0][x[1]][1]
-                    x[1] += 1
-                if score >= threshold:
-                    found.append((block * BLOCK + at, score))
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            bound, edge = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else high
+            for c in cursors[: pivot + 1]:
+                end = self.block_first[c[2] + 1]
+                k = bisect_left(self.block_last, at, self.block_first[c[2]], end)
+                if k < end:
+                    bound += self.block_max[k]
+                    edge = min(edge, self.block_last[k] + 1)
+            if bound < threshold - _EPS:
+                forward(cursors[: pivot + 1], max(edge, at + 1))
+            elif cursors[0][0] < at:
+                forward(cursors[: pivot + 1], at)
             else:
-                for x in lists[:pivot]:
-                    while x[1] < len(x[0]) and x[0][x[1]][0] < at:
-                        x[1] += 1
-            lists = [x for x in lists if x[1] < len(x[0])]
+                score = sum(self.impact[k] for _, k in sorted((c[2], c[1]) for c in cursors[: pivot + 1]))
+                if score >= threshold - _EPS:
+                    found.append((at, score))
+                forward(cursors[: pivot + 1], at + 1)
         return found
 
     def search(self, texts: list[list[str]], threshold: float) -> list[dict[int, tuple[float, float, float]]]:
@@ -202,26 +254,34 @@ class Index:
         found: list[dict] = [{i: (1.0, 1.0, 1.0) for i in self.short.get(tuple(t), ())} if len(t) < GRAM else {} for t in texts]
         if not self.units:
             return found
-        own, first, bound = self.bounds([self.ids(t) for t in texts])
-        for r in np.flatnonzero((bound >= threshold - 1e-6).any(axis=1)).tolist():
-            text, a = texts[own[r]], int(first[r])
-            words = text[a : a + PASSAGE]
-            seen = set(words)
-            terms = sorted(self.vocab[w] for w in seen if w in self.vocab)
-            near: dict[tuple[int, int, int], tuple[set, set]] = {}
-            for block in np.flatnonzero(bound[r] >= threshold - 1e-6).tolist():
-                for k, score in self.wand(terms, block, threshold):
-                    u = self.units[k]
-                    around = u.gram, u.before, u.after
-                    if around not in near:
-                        reach = text[max(0, a - u.before) : a + PASSAGE + u.after]
-                        near[around] = grams(reach, u.gram), set(reach)
-                    sequences, there = near[around]
-                    q, w = len(u.question & sequences) / len(u.question), len(u.answer & there) / len(u.answer)
-                    if q >= QUESTION_SHARE and w >= ANSWER_SHARE:
-                        found[own[r]][u.item] = max(found[own[r]].get(u.item, (0.0, 0.0, 0.0)), (min(score, 1.0), q, w))
+        start = 0
+        while start < len(texts):
+            stop, words = start + 1, len(texts[start])
+            while stop < len(texts) and words + len(texts[stop]) <= SLICE_WORDS:
+                words += len(texts[stop])
+                stop += 1
+            for (k, a), ranges in self.live([self.ids(t) for t in texts[start:stop]], threshold).items():
+                for item, hit in self._verified(texts[start + k], a, ranges, threshold):
+                    found[start + k][item] = max(found[start + k].get(item, (0.0, 0.0, 0.0)), hit)
+            start = stop
         return found
 
+    def _verified(self, text: list[str], a: int, ranges: list[int], threshold: float):
+        words = text[a : a + PASSAGE]
+        terms = sorted(self.vocab[w] for w in set(words) if w in self.vocab)
+        near: dict[tuple[int, int, int], tuple[set, set]] = {}
+        for r in ranges:
+            for k, score in self.retrieve(terms, r * self.per_range, min((r + 1) * self.per_range, len(self.units)), threshold):
+                u = self.units[k]
+                around = u.gram, u.before, u.after
+                if around not in near:
+                    reach = text[max(0, a - u.before) : a + PASSAGE + u.after]
+                    near[around] = grams(reach, u.gram), set(reach)
+                sequences, there = near[around]
+                q, w = len(u.question & sequences) / len(u.question), len(u.answer & there) / len(u.answer)
+                if q >= QUESTION_SHARE and w >= ANSWER_SHARE:
+                    yield u.item, (min(score, 1.0), q, w)
+
 
 def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS):
     """An index for each shard of items with an id and text; of repeated ids every text counts.
@@ -293,16 +353,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item; same columns, rows in place."""
+    """The documents that hold no test item; same columns, whatever their names and types, rows in place."""
     for index in indexes(benchmark):
         match = _matcher(docs.sparkSession, index, threshold)
 
-        def make(match=match):
-            def work(cols):
-                keep = [k for k, hit in enumerate(match(cols["text"])) if not hit]
-                return {n: [v[k] for k in keep] for n, v in cols.items()}
-
-            return work
+        def run(batches, match=match):
+            for b in batches:
+                for part in slices(b.column("text")):
+                    piece = b.slice(part.start, part.stop - part.start)
+                    clean = pa.array([not hit for hit in match(piece.column("text").to_pylist())], pa.bool_())
+                    yield piece.filter(clean)
 
-        docs = map_batches(docs, make, docs._jdf.schema().toDDL())
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
