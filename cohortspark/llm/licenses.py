@@ -1,18 +1,21 @@
 """License scan: template markup compiled to token automata, and places of fixed phrases.
 
 A template is text with ``<<beginOptional>>...<<endOptional>>`` (may be missing, nests) and ``<<var;match=".+">>``
-(replaceable: one to MAX_VAR words; ``.*`` also none). Its words, as the scan itself cuts them, become an automaton over
-words. A text is accepted where, from some word on, all mandatory words follow exactly, in order.
+(replaceable: one or more words; ``.*`` also none). Its words, as the scan itself cuts them, become an automaton over
+words. A text is accepted where, from some word on, all mandatory words follow exactly, in order. One pass over the text
+follows all starts at once; where several meet in a state, the latest one is kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
 from cohortspark.llm._arrow import map_batches
+from cohortspark.llm.license_texts import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = (
@@ -21,24 +24,6 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Most words that a replaceable region takes.
-MAX_VAR = 24
-_VAR = '<<var;match=".+">>'
-_COPY = f"<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> {_VAR}<<endOptional>> "
-#: Template text by label. Public notices and licence texts.
-TEMPLATES = {
-    "mit-notice": "<<beginOptional>>released<<endOptional>> under the MIT License",
-    "apache-2.0": "licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\"); you may not use this file except in compliance with the License<<endOptional>>",
-    "gpl-3.0": "<<beginOptional>>this work is<<endOptional>> licensed under the GNU General Public License,<<beginOptional>> either<<endOptional>> version 3",
-    "gpl-2.0": "<<beginOptional>>this work is<<endOptional>> licensed under the GNU General Public License,<<beginOptional>> either<<endOptional>> version 2",
-    "cc-by-4.0": "licensed under<<beginOptional>> a<<endOptional>> CC BY 4.0",
-    "cc-by-nc-4.0": "licensed under<<beginOptional>> a<<endOptional>> CC BY-NC 4.0",
-    "cc-by-sa-4.0": "licensed under<<beginOptional>> a<<endOptional>> CC BY-SA 4.0",
-    "gpl-or-later": 'is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version <<var;match=".+">> of the License or at your option any later version',
-    "mit": _COPY + 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
-    "isc": _COPY + "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd": _COPY + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 _MARKUP = re.compile(r"<<(beginOptional|endOptional|var;match=\"(\.[+*])\")>>")
 
@@ -76,13 +61,16 @@ def parse(template: str) -> list:
 class Automaton:
     """States 0..n-1; word edges, any-word edges and empty edges."""
 
-    def __init__(self, template: str, max_var: int = MAX_VAR):
+    def __init__(self, template: str, max_var: int | None = None):
         self.word: list[dict[bytes, int]] = [{}]
         self.any: list[int | None] = [None]
         self.empty: list[list[int]] = [[]]
         self.end = self._add(parse(template), 0, max_var)
-        self.begin = self._close({0})
+        self.after = [self._close({s}) for s in range(len(self.word))]
+        self.begin = self.after[0]
         self.first = {w for s in self.begin for w in self.word[s]}
+        #: Words that every accepted text has.
+        self.needs = {x for x in parse(template) if isinstance(x, bytes)}
         self.open = any(self.any[s] is not None for s in self.begin)
 
     def _state(self) -> int:
@@ -91,7 +79,7 @@ class Automaton:
         self.empty.append([])
         return len(self.word) - 1
 
-    def _add(self, parts: list, at: int, max_var: int) -> int:
+    def _add(self, parts: list, at: int, max_var: int | None) -> int:
         for x in parts:
             if isinstance(x, bytes):
                 nxt = self._state()
@@ -100,6 +88,14 @@ class Automaton:
                 entry, nxt = self._state(), self._state()
                 self.empty[at] += [entry, nxt]
                 self.empty[self._add(x[1], entry, max_var)].append(nxt)
+            elif max_var is None:
+                loop, nxt = self._state(), self._state()
+                if x[1]:
+                    self.any[at] = loop
+                else:
+                    self.empty[at].append(loop)
+                self.any[loop] = loop
+                self.empty[loop].append(nxt)
             else:
                 nxt, here = self._state(), at
                 for k in range(max_var + 1):
@@ -120,56 +116,73 @@ class Automaton:
                     todo.append(s)
         return frozenset(seen)
 
-    def accepts_at(self, words: Sequence[bytes], start: int) -> int | None:
-        """Word after the shortest accepted stretch from start, or None."""
-        states = self.begin
-        for i in range(start, len(words)):
-            w = words[i]
-            nxt = {t for s in states if (t := self.word[s].get(w)) is not None} | {t for s in states if (t := self.any[s]) is not None}
-            if not nxt:
-                return None
-            states = self._close(nxt)
-            if self.end in states:
-                return i + 1
-        return None
-
-
-def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
+    def find(self, words: Sequence[bytes], starts: Sequence[int]) -> list[tuple[int, int]]:
+        """(first word, word after) of the accepted stretches that begin at one of the starts (ascending).
+
+        Of the stretches with one end, that of the latest start counts; of those with one start, the shortest.
+        """
+        found: dict[int, int] = {}
+        active: dict[int, int] = {}
+        word, free, after, end = self.word, self.any, self.after, self.end
+        todo = iter(starts)
+        nxt = next(todo, None)
+        i = nxt
+        while i is not None and i < len(words):
+            if i == nxt:
+                active.update(dict.fromkeys(self.begin, i))
+                nxt = next(todo, None)
+            w, new = words[i], {}
+            for s, a in active.items():
+                for t in (word[s].get(w), free[s]):
+                    if t is not None:
+                        for u in after[t]:
+                            if new.get(u, -1) < a:
+                                new[u] = a
+            active = new
+            i += 1
+            if end in active:
+                found.setdefault(active[end], i)
+            if not active:
+                i = nxt
+        return sorted(found.items())
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES, max_var: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     n_base counts all places where a phrase's words stand consecutively, first_word and last_word are the smallest and
     largest start of one (null without any). labels also holds the templates accepted anywhere; matches lists each as
-    "label:first word:end". score is 1 with an accepted template, 0.5 with phrases alone, else 0. Null text counts as
+    "label:first word:end". A replaceable region takes any number of words unless max_var bounds it. score is 1 with an accepted template, 0.5 with phrases alone, else 0. Null text counts as
     empty; repeated rows and null ids stay; other columns are ignored. Row-local, no shuffle.
     """
     templates = dict(TEMPLATES if templates is None else templates)
     listed = [(words_of(p), label) for p, label in phrases]
 
     def make():
-        autos = [(label, Automaton(t)) for label, t in templates.items()]
-        by_first: dict[bytes, list] = {}
-        for label, a in autos:
-            for w in a.first:
-                by_first.setdefault(w, []).append((label, a))
-        always = [(label, a) for label, a in autos if a.open]
+        autos = [(label, Automaton(t, max_var)) for label, t in templates.items()]
+        firsts = frozenset().union(*(a.first for _, a in autos))
         heads: dict[bytes, list] = {}
         for p, label in listed:
             heads.setdefault(p[0], []).append((p, label))
-        watched = frozenset(heads) | frozenset(by_first)
+        watched = frozenset(heads) | firsts
 
         def one(text):
             words = words_of(text)
-            base, base_labels, found = [], set(), {}
-            for i in range(len(words)) if always else [i for i, w in enumerate(words) if w in watched]:
-                w = words[i]
-                for p, label in heads.get(w, ()):
-                    if words[i : i + len(p)] == p:
-                        base.append(i)
-                        base_labels.add(label)
-                for label, a in [*by_first.get(w, ()), *always]:
-                    end = a.accepts_at(words, i)
-                    if end is not None:
-                        found.setdefault(label, []).append(f"{label}:{i}:{end}")
+            base, base_labels, found, there = [], set(), {}, None
+            seen: dict[bytes, list[int]] = {}
+            for i, w in enumerate(words):
+                if w in watched:
+                    seen.setdefault(w, []).append(i)
+                    for p, label in heads.get(w, ()):
+                        if words[i : i + len(p)] == p:
+                            base.append(i)
+                            base_labels.add(label)
+            for label, a in autos:
+                starts = range(len(words)) if a.open else sorted(chain.from_iterable(seen.get(w, ()) for w in a.first))
+                if starts and a.needs <= (there := there if there is not None else set(words)):
+                    got = a.find(words, starts)
+                    if got:
+                        found[label] = [f"{label}:{x}:{y}" for x, y in got]
             return (
                 len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)),
                 ",".join(sorted(base_labels | set(found))), 1.0 if found else 0.5 if base else 0.0, [m for k in sorted(found) for m in found[k]],

@@ -1,6 +1,6 @@
 """Query op1: licence phrases and templates in every document."""
 
-from cohortspark.llm.licenses import MAX_VAR, PHRASES, TEMPLATES, parse, scan
+from cohortspark.llm.licenses import PHRASES, TEMPLATES, parse, scan
 from cohortspark.llm.tables import table
 
 NAME = "op1_license_scan"
@@ -12,7 +12,7 @@ def query(spark, sf_dir):
 
 def _pattern(parts):
     """A regular expression over words, each followed by one space."""
-    return "".join(x.decode() + " " if isinstance(x, bytes) else f"(?:{_pattern(x[1])})?" if x[0] == "optional" else f"(?:[^ ]+ ){{{x[1]},{MAX_VAR}}}" for x in parts)
+    return "".join(x.decode() + " " if isinstance(x, bytes) else f"(?:{_pattern(x[1])})?" if x[0] == "optional" else f"(?:[^ ]+ ){{{x[1]},}}" for x in parts)
 
 
 _HITS = ", ".join(f"CASE WHEN regexp_matches(line, ' {_pattern(parse(t))}') THEN '{label}' END" for label, t in TEMPLATES.items())
