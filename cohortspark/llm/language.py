@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._memory import LONGEST_KEY, Remembered
 from cohortspark.llm._sample import drawn, remainder
 
 MODULUS, HELD = 3, 1
@@ -30,7 +31,8 @@ MOST_BITS = 31
 MARGIN = 0.2
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+").findall
-_CACHE = 300_000
+#: Words whose sums a task remembers.
+MOST_WORDS = 200_000
 
 
 def grams_of(word: str) -> list[int]:
@@ -103,17 +105,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     sample = drawn(known, "doc_id", rows)
 
     def make():
-        cache: dict[str, list[int]] = {}
+        known = Remembered(grams_of, lambda g: 40 * len(g))
 
         def grams(text):
             out: list[int] = []
             for w in _WORD(text.lower()):
-                g = cache.get(w)
-                if g is None:
-                    g = cache[w] = grams_of(w)
-                out += g
-            if len(cache) > _CACHE:
-                cache.clear()
+                out += known[w]
             return np.unique(np.array(out, dtype=np.int32), return_counts=True)
 
         def work(cols):
@@ -144,16 +141,21 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         def vectors(words: list[str]) -> np.ndarray:
             """Sum over the words of n-gram weights, and the number of n-grams."""
             nonlocal table
-            if len(ids) > _CACHE:
+            if len(ids) > MOST_WORDS:
                 ids.clear()
+            long = False
             for w in set(words).difference(ids):
                 k = ids[w] = len(ids)
+                long |= len(w) > LONGEST_KEY
                 if k >= len(table):
                     table = np.concatenate([table, np.zeros_like(table)])
                 g = grams_of(w)
                 table[k, :-1] = model.weight[g].sum(axis=0) if g else 0
                 table[k, -1] = len(g)
-            return table[np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
+            total = table[np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
+            if long:  # text without spaces: nothing to remember
+                ids.clear()
+            return total
 
         def work(cols):
             n = len(cols["doc_id"])

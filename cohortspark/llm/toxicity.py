@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
+from cohortspark.llm._memory import Remembered
 from cohortspark.llm._sample import drawn, labelled, remainder
 
 MODULUS, HELD = 4, 2
@@ -31,7 +32,6 @@ LEAST_Z = 2.5, 5.0
 RIDGE = 2e-3
 CUT = 0.3
 _WORD = re.compile(r"[^\W_]+").findall
-_CACHE = 300_000
 #: Tasks that count features of the sample; each sends two arrays of SPACE counts.
 _COUNTERS = 8
 
@@ -71,18 +71,10 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: f
     return w, float(b)
 
 
-def _word_cache(make_value):
-    cache: dict = {}
-
-    def get(text):
-        if len(cache) > _CACHE:
-            cache.clear()
-        words = set(_WORD(text.lower()))
-        for w in words.difference(cache):
-            cache[w] = make_value(w)
-        return set().union(*map(cache.__getitem__, words))
-
-    return get
+def _features(make_value):
+    """The distinct features of a text, from those of its words."""
+    known = Remembered(make_value, lambda features: 40 * len(features))
+    return lambda text: set().union(*map(known.__getitem__, set(_WORD(text.lower()))))
 
 
 def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
@@ -101,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
 
     def count():
         def work(cols):
-            get = _word_cache(features_of)
+            get = _features(features_of)
             sums = np.zeros((2, SPACE), dtype=np.int32)
             for text, label in zip(cols["text"], cols["label"], strict=True):
                 sums[label, list(get(text or ""))] += 1
@@ -128,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
 
     def pick():
         place = {int(f): k for k, f in enumerate(chosen)}
-        get = _word_cache(lambda w: [place[f] for f in features_of(w) if f in place])
+        get = _features(lambda w: [place[f] for f in features_of(w) if f in place])
         return lambda cols: {"label": cols["label"], "doc_id": cols["doc_id"], "at": [sorted(get(t or "")) for t in cols["text"]]}
 
     got = map_batches(sample, pick, "doc_id long, label int, at array<int>").toPandas().sort_values(["label", "doc_id"])
@@ -150,7 +142,7 @@ def score(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
 
     def make():
         weight = dict(zip(model.features.tolist(), model.weight.tolist(), strict=True)) if model else {}
-        get = _word_cache(lambda w: [f for f in features_of(w) if f in weight])
+        get = _features(lambda w: [f for f in features_of(w) if f in weight])
 
         def work(cols):
             raw = np.array([model.bias + sum(weight[f] for f in sorted(get(t or ""))) for t in cols["text"]]) if model else np.full(len(cols["text"]), -np.inf)
