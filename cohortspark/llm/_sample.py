@@ -13,12 +13,16 @@ def remainder(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
-def drawn(df: DataFrame, doc_id: str, rows: int) -> DataFrame:
-    """About ``rows`` rows at most, drawn by a hash of the id: the same ones in every run and for every partitioning."""
+def drawn(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, drawn by a hash of the whole row: the same ones in every run and for every partitioning.
+
+    Equal rows of a larger table are drawn together and put down to one, so one id with very many rows, alike or not,
+    makes the sample no larger.
+    """
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(_SPACE)) < F.lit(int(_SPACE * rows / n)))
+    return df.where(F.pmod(F.xxhash64(*df.columns, F.lit(17)), F.lit(_SPACE)) < F.lit(int(_SPACE * rows / n))).dropDuplicates()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int, held: int) -> DataFrame:
@@ -28,5 +32,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus:
     texts the greatest. The ids are so few that they are broadcast; documents are read once.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held))
-    ids = drawn(ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "doc_id", rows)
+    ids = drawn(ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), rows)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))

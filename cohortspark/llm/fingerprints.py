@@ -8,6 +8,7 @@ BITS bits are stored; likeness corrects the share of equal entries for chance ag
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -92,24 +93,23 @@ def with_neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     null ids come last; an only document is its own next one. Null text counts as empty. An empty table gives an empty
     result.
 
-    Ids are cut into ranges of about ``range_rows`` rows (at most MOST_RANGES, so that the cuts stay small); cuts are
-    quantiles of a drawn sample and only set the balance. Each range also gets the first row of the range after it, so
-    the text is shuffled once and a task holds one row besides the current batch.
+    The order is cut into ranges of about ``range_rows`` rows (at most MOST_RANGES, so that the cuts stay small); cuts are
+    quantiles of a drawn sample and only set the balance. Different texts of one id, or without one, may fall into several
+    ranges. Each range also gets the first row of the range after it, so the text is shuffled once and a task holds one row
+    besides the current batch. Other columns are ignored; every id from the least to the greatest long is allowed.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     parts = max(1, min(base.count() // range_rows, MOST_RANGES))
-    ids = drawn(base.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", 20 * parts).toPandas()["doc_id"].sort_values().to_numpy()
-    cuts = np.unique(ids[[len(ids) * i // parts for i in range(1, parts)]]) if len(ids) else ids
-    last = len(cuts)
+    place = [F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), "hash"]
+    some = sorted(drawn(base.select(*place), 20 * parts).toPandas().itertuples(index=False, name=None)) if parts > 1 else []
+    cuts = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
 
-    order = [F.col("doc_id").isNull(), F.desc("doc_id"), "hash", "text"]
     @F.pandas_udf("int")
-    def number(x: pd.Series) -> pd.Series:
-        """Ranges in descending order of ids; null ids belong to the last one."""
-        at = last - np.searchsorted(cuts, x.fillna(0).to_numpy(dtype=np.int64), side="right")
-        return pd.Series(np.where(x.isna(), last, at).astype(np.int32))
+    def number(none: pd.Series, down: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, k) for k in zip(none.tolist(), down.tolist(), h.tolist(), strict=True)], dtype=np.int32)
 
-    ranged = base.withColumn("range", number("doc_id")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("doc_id").isNull(), F.desc("doc_id"), "hash", "text"]
+    ranged = base.withColumn("range", number(*place))
     # the first row of each range that has rows follows the range before; the very first follows the last
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), "hash")
     firsts = ranged.groupBy("range").agg(F.min(key).alias("k")).select("range", "k.id", "k.hash").orderBy("range").collect()

@@ -102,7 +102,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], steps: int
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """The model from a bounded sample of rows with a language outside the held-out ones; None without any such row."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != HELD))
-    sample = drawn(known, "doc_id", rows)
+    sample = drawn(known, rows)
 
     def make():
         known = Remembered(grams_of, lambda g: 40 * len(g))

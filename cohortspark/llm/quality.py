@@ -10,10 +10,13 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
 from cohortspark.llm._sample import labelled, remainder
+from cohortspark.llm._words import slices
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "upper", "lower", "digit", "space", "high", "hash_marks", "pipe", "exclaim",
@@ -120,24 +123,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return fit(x, got["label"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, model: Trees, cut: float = CUT, keep: bool = False) -> DataFrame:
-    """Score of every document's whole text: doc_id, held_out, score, predicted; with ``keep`` all input columns first.
+def _judge(model: Trees, texts: list[str | None]) -> np.ndarray:
+    return model.predict(np.array([stats_of(t) for t in texts], dtype=float).reshape(-1, len(STATS)))
 
-    Null text scores like empty text; a null id is not held out; repeated rows stay; an empty table gives an empty
-    result. Row-local, no shuffle. With ``keep``, an input column named like an output column is replaced.
+
+def score(docs: DataFrame, model: Trees, cut: float = CUT) -> DataFrame:
+    """Score of every document's whole text: doc_id, held_out, score, predicted.
+
+    Null text scores like empty text; a null id is not held out; repeated rows stay; other columns are ignored; an empty
+    table gives an empty result. Row-local, no shuffle.
     """
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")] if keep else ["doc_id", "text"]
-    rows = docs.select(*names)
 
     def make():
         def work(cols):
-            p = model.predict(np.array([stats_of(t) for t in cols["text"]], dtype=float).reshape(-1, len(STATS)))
-            return {c: cols[c] for c in cols} | {"score": p.tolist(), "predicted": (p >= cut).astype(int).tolist()}
+            p = _judge(model, cols["text"])
+            return {"doc_id": cols["doc_id"], "score": p.tolist(), "predicted": (p >= cut).astype(int).tolist()}
 
         return work
 
-    kept = names if keep else ["doc_id"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    from pyspark.sql import functions as F
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, score double, predicted int").withColumn("held_out", F.coalesce(remainder("doc_id", MODULUS) == HELD, F.lit(False)))
+
+
+def accepted(docs: DataFrame, model: Trees, cut: float = CUT) -> DataFrame:
+    """The documents whose text scores at least ``cut``: all their columns as they are, whatever these are called."""
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b.column("text")):
+                piece = b.slice(part.start, part.stop - part.start)
+                yield piece.filter(pa.array(_judge(model, piece.column("text").to_pylist()) >= cut))
 
-    return map_batches(rows, make, schema + ", score double, predicted int").withColumn("held_out", F.coalesce(remainder("doc_id", MODULUS) == HELD, F.lit(False)))
+    return docs.mapInArrow(run, docs.schema)

@@ -20,8 +20,8 @@ from cohortspark.llm._memory import Remembered
 from cohortspark.llm._sample import drawn, labelled, remainder
 
 MODULUS, HELD = 4, 2
-#: At most about so many confirmed toxic and unlabelled rows are fitted.
-POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
+#: At most about so many confirmed toxic and unlabelled rows are fitted, and clean ones read for the class prior.
+POSITIVE_ROWS, UNLABELLED_ROWS, CLEAN_ROWS = 4_000, 8_000, 2_000
 #: Hash space of features, and how many of them the model uses.
 SPACE, CHOSEN = 1 << 20, 768
 #: Share of the greatest possible log lift (that of the class prior) that a chosen feature shows at least.
@@ -77,26 +77,46 @@ def _features(make_value):
     return lambda text: set().union(*map(known.__getitem__, set(_WORD(text.lower()))))
 
 
-def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
+def unlabelled_prior(x: np.ndarray, kind: np.ndarray, start: float) -> float:
+    """Share of toxic texts among the unlabelled ones (kind 0), by adjusted counting.
+
+    A model of half the toxic rows (kind 1) is read on the other half, on clean rows (kind -1) and on the unlabelled ones:
+    the share it flags there, less what it flags of clean rows, over what it finds of toxic rows beyond that. ``start`` is the prior of
+    that model, and the answer where it tells nothing apart.
+    """
+    toxic = np.flatnonzero(kind == 1)
+    if len(toxic) < 4 or not (kind == -1).any():
+        return start
+    w, b = nnpu(x[toxic[::2]], x[kind == 0], start, steps=100)
+    flagged = x @ w + b >= 0
+    found, false, share = flagged[toxic[1::2]].mean(), flagged[kind == -1].mean(), flagged[kind == 0].mean()
+    return float(np.clip((share - false) / (found - false), 0.001, 0.9)) if found - false > 0.2 else start
+
+
+def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
     """The model from confirmed toxic rows and unlabelled documents outside the held-out remainder; None without toxic rows.
 
-    The class prior is the share of toxic rows among the labelled ones. Unlabelled rows are drawn from all documents.
+    The class prior starts as the share of toxic rows among the labelled ones and is then estimated for the unlabelled
+    rows, which are drawn from all documents. Of several labels of an id the largest counts.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & (remainder("doc_id", MODULUS) != HELD))
     prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not prior:
         return None
     prior = float(np.clip(prior, 0.001, 0.9))
-    pos = labelled(docs, usable.where("toxic = 1"), "toxic", positive_rows, MODULUS, HELD)
-    unl = drawn(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (remainder("doc_id", MODULUS) != HELD)), "doc_id", unlabelled_rows)
-    sample = pos.unionByName(unl.select("doc_id", F.lit(0).alias("label"), "text")).repartition(_COUNTERS).checkpoint()
+    of = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    pos = labelled(docs, of.where("toxic = 1"), "toxic", positive_rows, MODULUS, HELD)
+    clean = labelled(docs, of.where("toxic = 0"), "toxic", clean_rows, MODULUS, HELD).withColumn("label", F.lit(-1))
+    unl = drawn(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (remainder("doc_id", MODULUS) != HELD)), unlabelled_rows)
+    sample = pos.unionByName(clean).unionByName(unl.select("doc_id", F.lit(0).alias("label"), "text")).repartition(_COUNTERS).checkpoint()
 
     def count():
         def work(cols):
             get = _features(features_of)
             sums = np.zeros((2, SPACE), dtype=np.int32)
             for text, label in zip(cols["text"], cols["label"], strict=True):
-                sums[label, list(get(text or ""))] += 1
+                if label >= 0:
+                    sums[label, list(get(text or ""))] += 1
             at = np.flatnonzero(sums.any(axis=0))
             return {"at": [at.astype(np.int32).tobytes()], "n": [sums[:, at].tobytes()]}
 
@@ -123,12 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
         get = _features(lambda w: [place[f] for f in features_of(w) if f in place])
         return lambda cols: {"label": cols["label"], "doc_id": cols["doc_id"], "at": [sorted(get(t or "")) for t in cols["text"]]}
 
-    got = map_batches(sample, pick, "doc_id long, label int, at array<int>").toPandas().sort_values(["label", "doc_id"])
+    got = map_batches(sample, pick, "doc_id long, label int, at array<int>").toPandas()
+    got["spelled"] = got["at"].map(lambda at: tuple(at))
+    got = got.sort_values(["label", "doc_id", "spelled"])
     x = np.zeros((len(got), len(chosen)), dtype=np.float32)
     for i, at in enumerate(got["at"]):
         x[i, np.asarray(at, dtype=int)] = 1
-    is_pos = got["label"].to_numpy() == 1
-    w, b = nnpu(x[is_pos], x[~is_pos], prior)
+    kind = got["label"].to_numpy()
+    w, b = nnpu(x[kind == 1], x[kind == 0], unlabelled_prior(x, kind, prior))
     used = np.flatnonzero(w)
     return Model(chosen[used], w[used], b)
 

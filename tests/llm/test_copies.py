@@ -127,7 +127,8 @@ def test_block_pairs_leave_once():
             for high in range(low, 3):
                 at = [i for i in range(60) if block[i] in (low, high) and token in groups[i]]
                 if at:
-                    out = nd._block_pairs((token, low, high), {"n": [len(sets[i]) for i in at], "id": at, "label": [label[i] for i in at], "block": [block[i] for i in at], "bitmap": [nd.bitmap(sets[i]) for i in at], "groups": [groups[i] for i in at]})
+                    rows = pa.table({"n": [len(sets[i]) for i in at], "id": at, "label": [label[i] for i in at], "block": [block[i] for i in at], "bitmap": [nd.bitmap(sets[i]) for i in at], "groups": [groups[i] for i in at]})
+                    out = nd._block_pairs((token, low, high), rows)
                     for a, b, n in zip(out["a"], out["b"], out["seen"], strict=True):
                         assert (a, b) not in got
                         got[a, b] = n
@@ -187,7 +188,11 @@ def test_shingles_are_those_of_the_words():
     assert all((len(a & b) > 0) == (len(x & y) > 0) for a, x in zip(got, sets, strict=True) for b, y in zip(got, sets, strict=True))
     alone, _ = shingle_sets(pa.array(texts)[7:9])
     assert set(alone.tolist()) == got[7] | got[8]
-    assert [(s.start, s.stop) for s in slices(pa.array(["x" * (9 << 20), "y", None]))] == [(0, 1), (1, 3)]
+    assert [(s.start, s.stop) for s in slices(pa.array(["x" * (5 << 20), "y", None]))] == [(0, 1), (1, 3)]
+
+
+def hash_order(spark, df):
+    return [r.text for r in df.selectExpr("text", "xxhash64(text) AS h").orderBy("h").collect()]
 
 
 @pytest.mark.parametrize("rows_per_range", [3, 10_000])
@@ -205,6 +210,15 @@ def test_edited_texts(spark, rows_per_range):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == fp.packed(mark(t)) and r.near_edited == fp.likeness(mark(t), mark(edited)) and r.near_next == fp.likeness(mark(t), mark(nxt))
     assert len(got) == len(docs)
+    least, most = -(2**63), 2**63 - 1
+    ends = spark.createDataFrame([(least, "a b c d e f g"), (most, "h i j k l m"), (None, "n o p q"), (0, None)], "doc_id long, text string")
+    assert {r.doc_id: r.edited_sha256 for r in fp.with_neighbours(ends, 1).collect()}[most] == hashlib.sha256(b"h i j k ").hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in fp.with_neighbours(ends, 1).collect()}[least] == hashlib.sha256(b"a b c d en o ").hexdigest()
+    hot = spark.createDataFrame([(7, f"t{i} " * 9) for i in range(300)] + [(None, f"n{i} " * 9) for i in range(300)], "doc_id long, text string")
+    rows = fp.with_neighbours(hot, 20).collect()
+    nxt = hash_order(spark, hot.where("doc_id = 7")) + hash_order(spark, hot.where("doc_id IS NULL"))
+    want = {hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[(k + 1) % len(nxt)][: len(t) // 3]).encode()).hexdigest() for k, t in enumerate(nxt)}
+    assert len(rows) == 600 and {r.edited_sha256 for r in rows} == want
     odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (1, "c")], "doc_id long, text string")
     assert fp.with_neighbours(odd, 1).count() == 4 and fp.with_neighbours(odd.limit(0)).count() == 0 and fp.with_neighbours(odd.limit(1)).first().near_next == 1.0
 
