@@ -11,15 +11,14 @@ from cohortspark.llm._graph import keep
 from cohortspark.llm.leaks import without_leaks
 from cohortspark.llm.neardups import one_each
 from cohortspark.llm.pieces import encode_decode
-from cohortspark.llm.quality import score, train
+from cohortspark.llm.quality import accepted, train
 from cohortspark.llm.secrets import redact
 from cohortspark.llm.tables import model_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels of these documents, does not reject."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=True).where("predicted = 1").select(*docs.columns)
+    return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
