@@ -109,6 +109,27 @@ fits AS (SELECT {keys}, n, events, round(b, 6) AS b, round(se, 6) AS se, round(e
 _FIT = ("b", "se", "hr", "lower", "upper", "p")
 
 
+def _two_fits(src, x, y, steps=9):
+    """Cox model of two covariates per dataset (Efron ties), on standardised values, one row per covariate."""
+    by = "PARTITION BY dataset"
+    terms = {"0": "1", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
+    out = f"""
+g0 AS (SELECT dataset, time, status, {x} AS v, {y} AS u FROM {src}), g1 AS (SELECT dataset, count(*) AS n, sum(status)::BIGINT AS events, avg(v) AS mv, stddev_samp(v) AS sv, avg(u) AS mu, stddev_samp(u) AS su FROM g0 GROUP BY dataset),
+g2 AS (SELECT dataset, time, status, (v - mv) / sv AS x, (u - mu) / su AS y FROM g0 JOIN g1 USING (dataset)), b0 AS (SELECT dataset, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, NULL::DOUBLE AS vp, NULL::DOUBLE AS vq FROM g1)"""
+    for k in range(steps):
+        r, t = (", ".join(f"sum({w}{e} * exp(p * x + q * y)) AS {c}{i}" for i, e in terms.items()) for c, w in (("r", ""), ("t", "status * ")))
+        over = ", ".join(f"t{i}, sum(r{i}) OVER w AS s{i}" for i in terms)
+        at = ", ".join(f"s{i} - l / d::DOUBLE * t{i} AS a{i}" for i in terms)
+        out += f""",
+h{k} AS (SELECT dataset, time, sum(status)::BIGINT AS d, sum(status * x) AS ex, sum(status * y) AS ey, {r}, {t} FROM g2 JOIN b{k} USING (dataset) GROUP BY dataset, time), i{k} AS (SELECT dataset, d, ex, ey, {over} FROM h{k} WINDOW w AS ({by} ORDER BY time DESC)),
+j{k} AS (SELECT dataset, ex / d AS ox, ey / d AS oy, {at} FROM (SELECT *, unnest(range(d)) AS l FROM i{k} WHERE d > 0) z),
+k{k} AS (SELECT dataset, sum(ox - ax / a0) AS ux, sum(oy - ay / a0) AS uy, sum(axx / a0 - power(ax / a0, 2)) AS ixx, sum(axy / a0 - ax * ay / a0 / a0) AS ixy, sum(ayy / a0 - power(ay / a0, 2)) AS iyy FROM j{k} GROUP BY dataset),
+b{k + 1} AS (SELECT dataset, p + (iyy * ux - ixy * uy) / (ixx * iyy - ixy * ixy) AS p, q + (ixx * uy - ixy * ux) / (ixx * iyy - ixy * ixy) AS q, iyy / (ixx * iyy - ixy * ixy) AS vp, ixx / (ixx * iyy - ixy * ixy) AS vq FROM b{k} JOIN k{k} USING (dataset))"""
+    return out + f""",
+z AS (SELECT dataset, unnest(['value', 'balance']) AS variable, n, events, unnest([p / sv, q / su]) AS b, unnest([sqrt(vp) / sv, sqrt(vq) / su]) AS se FROM b{steps} JOIN g1 USING (dataset))
+SELECT dataset, variable, '' AS level, n, events, round(b, 6) AS b, round(se, 6) AS se, round(exp(b), 6) AS hr, round(exp(b - 1.96 * se), 6) AS lower, round(exp(b + 1.96 * se), 6) AS upper, round({_P2.format(z='(b / se)')}, 6) AS p, CAST(NULL AS VARCHAR) AS reason FROM z"""
+
+
 def _remls(src):
     """``remls``: the root of the REML equation per gene of estimates (b, se), by bisection over lists of a gene's estimates."""
     gap = lambda t: f"list_sum(list_transform(range(1, k + 1), lambda i: (power(bs[i] - list_sum(list_transform(range(1, k + 1), lambda j: bs[j] / (vs[j] + {t}))) / list_sum(list_transform(vs, lambda v: 1 / (v + {t}))), 2) - vs[i]) / power(vs[i] + {t}, 2))) / list_sum(list_transform(vs, lambda v: 1 / power(v + {t}, 2))) + 1 / list_sum(list_transform(vs, lambda v: 1 / (v + {t}))) - {t}"
@@ -143,6 +164,10 @@ _META = "gene, k, log_hr, se, hr, lower, upper, p, q, df, p_het, i2, tau2, pi_lo
 _META_ROUND = [c for c in meta.POOL_COLUMNS if c not in ("k", "df")]
 
 
+def _scaled(s, d):
+    return one_gene(s, d).withColumn("value", F.col("value") / F.lit(10000.0)).withColumn("balance", F.col("balance") / F.lit(1000.0))
+
+
 def peto(spark, d):
     """One-step estimates per gene and cohort from the median split: (O-E)/V and 1/sqrt(V)."""
     lr = km.logrank(km.split(merged(spark, d), K), K, p=False).where("var_high > 0")
@@ -197,10 +222,39 @@ _q("km11_landmark", lambda s, d: r6(meta.pool_sums(km.landmark_estimates(km.spli
    f"WITH {ONE}, {_split('o')}, {_curve('g', 'dataset, high')}, {_at('dataset, high', (1, 3))}, est AS (SELECT dataset, high, horizon, ln(-ln(surv)) AS b, se / (surv * abs(ln(surv))) AS se FROM steps WHERE surv > 0 AND surv < 1 AND se > 0), {_pool('est', 'high, horizon')} SELECT high, horizon, {_POOL_OUT}, round(exp(-exp(log_hr)), 6) AS surv FROM pooled")
 _q("rc1_counts", lambda s, d: roc.counts_at(merged(s, d), K, 2.0),
    f"WITH {M} SELECT dataset, gene, count(*) AS n, sum(CASE WHEN time <= 2 AND status = 1 THEN 1 ELSE 0 END)::BIGINT AS cases, sum(CASE WHEN time > 2 THEN 1 ELSE 0 END)::BIGINT AS controls, sum(CASE WHEN time <= 2 AND status = 0 THEN 1 ELSE 0 END)::BIGINT AS censored, CASE WHEN max(time) < 2 THEN 'horizon beyond follow-up' WHEN sum(CASE WHEN time <= 2 AND status = 1 THEN 1 ELSE 0 END) = 0 THEN 'no case' WHEN sum(CASE WHEN time > 2 THEN 1 ELSE 0 END) = 0 THEN 'no control' END AS refusal FROM m GROUP BY dataset, gene")
-_q("rc1_auc_km", lambda s, d: roc.auc(one_gene(s, d), ["dataset"], 2.0))
-_q("rc2_auc_nne", lambda s, d: roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"))
-_q("rc3_many_genes", lambda s, d: roc.auc(merged(s, d), K, 2.0))
+
+
+def _km_to(src, keys, name, h=2.0):
+    """``name``: Kaplan-Meier survival at the horizon of the rows of each key."""
+    return f"""{name}1 AS (SELECT {keys}, time, sum(status) AS d, count(*) AS m FROM {src} GROUP BY {keys}, time), {name}2 AS (SELECT *, sum(m) OVER (PARTITION BY {keys} ORDER BY time DESC)::DOUBLE AS n FROM {name}1),
+{name} AS (SELECT {keys}, CASE WHEN count(CASE WHEN time <= {h} AND d = n THEN 1 END) > 0 THEN 0.0 ELSE exp(coalesce(sum(CASE WHEN time <= {h} AND d < n THEN ln(1 - d / n) END), 0)) END AS s FROM {name}2 GROUP BY {keys})"""
+
+
+def _area(points, keys):
+    """Area under (f, t) points of ``cut`` from the greatest down, with (0, 0) before and (1, 1) after them."""
+    return f"""pt AS (SELECT {keys}, f, t, row_number() OVER (PARTITION BY {keys} ORDER BY cut DESC) AS r FROM {points} UNION ALL SELECT DISTINCT {keys}, 0.0, 0.0, 0 FROM {points} UNION ALL SELECT DISTINCT {keys}, 1.0, 1.0, 1000000000 FROM {points}),
+ar AS (SELECT {keys}, (t + lag(t) OVER w) / 2 * (f - lag(f) OVER w) AS a FROM pt WINDOW w AS (PARTITION BY {keys} ORDER BY r)) SELECT {keys}, count(*) AS points, round(sum(a), 6) AS auc FROM ar GROUP BY {keys}"""
+
+
+def _auc_km(src, keys):
+    on = " AND ".join(f"x.{k} = c.{k}" for k in keys.split(", "))
+    return f"""uk AS (SELECT {keys} FROM {src} GROUP BY {keys} HAVING max(time) >= 2 AND count(CASE WHEN time <= 2 AND status = 1 THEN 1 END) > 0 AND count(CASE WHEN time > 2 THEN 1 END) > 0), us AS (SELECT * FROM {src} JOIN uk USING ({keys})),
+ct AS (SELECT DISTINCT {keys}, value AS cut FROM us), ab AS (SELECT c.*, x.time, x.status FROM ct c JOIN us x ON {on} AND x.value > c.cut), {_km_to('ab', keys + ', cut', 'sc')}, {_km_to('us', keys, 'sa')},
+nn AS (SELECT {keys}, count(*)::DOUBLE AS n FROM us GROUP BY {keys}), sh AS (SELECT {keys}, cut, count(*) AS above FROM ab GROUP BY {keys}, cut),
+po AS (SELECT ct.*, coalesce(sc.s, 1) * coalesce(above, 0) / n / sa.s AS f, (1 - coalesce(sc.s, 1)) * coalesce(above, 0) / n / (1 - sa.s) AS t FROM ct JOIN nn USING ({keys}) JOIN sa USING ({keys}) LEFT JOIN sh USING ({keys}, cut) LEFT JOIN sc USING ({keys}, cut)), {_area('po', keys)}"""
+
+
+_NNE = f"""us AS (SELECT dataset, time, status, value, (rank() OVER w - 1) / count(*) OVER (PARTITION BY dataset)::DOUBLE AS place, count(*) OVER (PARTITION BY dataset)::DOUBLE AS n FROM o WINDOW w AS (PARTITION BY dataset ORDER BY value)),
+vs AS (SELECT DISTINCT dataset, value AS cut, place, n FROM us), nb AS (SELECT v.dataset, v.cut, x.time, x.status FROM vs v JOIN us x ON x.dataset = v.dataset AND abs(x.place - v.place) < 0.25 * power(v.n, -0.2)), {_km_to('nb', 'dataset, cut', 'sm')},
+si AS (SELECT us.dataset, us.value, us.n, s FROM us JOIN sm ON sm.dataset = us.dataset AND sm.cut = us.value), tt AS (SELECT dataset, avg(s) AS total FROM si GROUP BY dataset),
+jo AS (SELECT v.dataset, v.cut, v.n, coalesce(sum(x.s), 0) / v.n AS joint, count(x.s) / v.n AS above FROM vs v LEFT JOIN si x ON x.dataset = v.dataset AND x.value > v.cut GROUP BY v.dataset, v.cut, v.n), po AS (SELECT dataset, cut, joint / total AS f, (above - joint) / (1 - total) AS t FROM jo JOIN tt USING (dataset)), {_area('po', 'dataset')}"""
+_q("rc1_auc_km", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0), "auc"), f"WITH {ONE}, {_auc_km('o', 'dataset')}")
+_q("rc2_auc_nne", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"), "auc"), f"WITH {ONE}, {_NNE}")
+_q("rc3_many_genes", lambda s, d: r6(roc.auc(merged(s, d), K, 2.0), "auc"), f"WITH {M}, {_auc_km('m', 'dataset, gene')}")
 _q("cx1_univariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"], joint=False))
+_q("cx1_continuous", lambda s, d: r6(cox.cox(_scaled(s, d), ["dataset"], ["value", "balance"], joint=False), *_FIT),
+   f"WITH {ONE}, o2 AS (SELECT dataset, unnest(['value', 'balance']) AS variable, time, status, unnest([value / 10000.0::DOUBLE, balance / 1000.0::DOUBLE]) AS value FROM o), {_fits('o2', 'dataset, variable', scale=False)} SELECT dataset, variable, '' AS level, * EXCLUDE (dataset, variable, b_full, se_full) FROM fits")
+_q("cx2_two_covariates", lambda s, d: r6(cox.cox(_scaled(s, d), ["dataset"], ["value", "balance"]), *_FIT), f"WITH {ONE}, {_two_fits('o', 'value / 10000.0::DOUBLE', 'balance / 1000.0::DOUBLE')}")
 _q("cx2_multivariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"]))
 _JOINT = "jn AS (SELECT dataset, sample_id, count(DISTINCT gene) AS have FROM {m} WHERE value IS NOT NULL GROUP BY ALL), jl AS (SELECT dataset, count(DISTINCT gene) AS listed FROM {m} GROUP BY dataset), jk AS (SELECT dataset, sample_id FROM jn JOIN jl USING (dataset) WHERE have = listed), j AS (SELECT {m}.* FROM {m} JOIN jk USING (dataset, sample_id)), ja AS (SELECT DISTINCT dataset, gene FROM {m})"
 _BH = "p_adj AS (SELECT dataset, gene, least(1.0, min(p_full * mm / r) OVER (PARTITION BY {part} ORDER BY r DESC)) AS p_adj FROM (SELECT dataset, gene, {p} AS p_full, row_number() OVER (PARTITION BY {part} ORDER BY {p}) AS r, count(*) OVER (PARTITION BY {part}) AS mm FROM fits WHERE reason IS NULL) x)"
@@ -287,7 +341,8 @@ tt AS (SELECT DISTINCT dataset, unnest(quantile_cont(time, [0.2, 0.3, 0.4, 0.5,
 SELECT dataset, "group", cause, round(horizon, 6) AS horizon, coalesce(arg_min(n_risk, time) FILTER (WHERE time >= horizon), 0)::BIGINT AS n_risk, round(coalesce(arg_max(cif, time) FILTER (WHERE time <= horizon), 0), 6) AS cif, round(coalesce(arg_max(se, time) FILTER (WHERE time <= horizon), 0), 6) AS se, round(arg_max(lower, time) FILTER (WHERE time <= horizon), 6) AS lower, round(arg_max(upper, time) FILTER (WHERE time <= horizon), 6) AS upper FROM a GROUP BY dataset, "group", cause, horizon""")
 _q("cr2_group_cuts", lambda s, d: competing.group_by_cuts(cr(s, d), ["dataset"], "balance", [0.25, 0.5, 0.75]).groupBy("dataset", "group").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") == 1).cast("int")).alias("events")),
    "WITH q AS (SELECT dataset, quantile_cont(balance, [0.25, 0.5, 0.75]) AS qs, count(DISTINCT balance) AS levels FROM surv GROUP BY dataset) SELECT s.dataset, CASE WHEN levels > 20 THEN 'Q' || CAST(1 + (balance >= qs[1])::INT + (balance >= qs[2])::INT + (balance >= qs[3])::INT AS VARCHAR) ELSE CAST(balance AS VARCHAR) END AS \"group\", count(*) AS n, sum(CASE WHEN cr_status = 1 THEN 1 ELSE 0 END)::BIGINT AS events FROM surv s JOIN q ON q.dataset = s.dataset GROUP BY ALL")
-_q("cr3_cause_specific", lambda s, d: competing.cause_specific(cr(s, d), ["dataset"], 1, ["balance"]))
+_q("cr3_cause_specific", lambda s, d: r6(competing.cause_specific(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]), *_FIT),
+   f"WITH rc AS (SELECT dataset, cr_time AS time, CASE WHEN cr_status = 1 THEN 1 ELSE 0 END AS status, balance / 1000.0::DOUBLE AS value FROM surv), {_fits('rc', 'dataset', scale=False)} SELECT dataset, 'balance' AS variable, '' AS level, * EXCLUDE (dataset, b_full, se_full) FROM fits")
 _q("cr4_fine_gray", lambda s, d: competing.fine_gray(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]))
 _q("mt1_two_stage", lambda s, d: r6(cox.two_stage(one_gene(s, d))[0], *_FIT), f"WITH {ONE}, {_fits('o')} SELECT * EXCLUDE (b_full, se_full) FROM fits WHERE reason IS NULL")
 _q("mt2_pool_dl", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"]), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene')} SELECT gene, {_POOL_OUT} FROM pooled")
