@@ -129,6 +129,72 @@ def test_secrets(spark, docs, odd):
     assert secrets.scan(odd.limit(0), RANKS).count() == 0
 
 
+def slow_random_spans(text, encode):
+    """Runs character by character, and every part of an identifier on its own."""
+    key = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    taken = brute_secrets(text)
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        if j - i < 20:
+            i = max(j, i + 1)
+            continue
+        end = j
+        while end < len(text) and end < j + 2 and text[end] == "=":
+            end += 1
+        run = text[i:end]
+        parts = re.split("[-_/]", run)
+        plain = all(p and (p.isalpha() or (p.isdigit() and len(p) <= 4)) for p in parts)
+        digest = len(run) in (32, 40, 56, 64, 96, 128) and all(c in "0123456789abcdefABCDEF" for c in run)
+        uuid = [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF-" for c in run)
+        number = all(c in "0123456789/_+=-" for c in run)
+        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        if mixed and not (plain or digest or uuid or number) and not any(i < e and s < end for _, s, e in taken) and len(run) < secrets.MAX_RATIO * len(encode(run)):
+            out.append(("random", i, end))
+        i = end
+    return out
+
+
+def test_random_secrets_against_a_slow_scan(docs):
+    encode = secrets.vocabulary(RANKS).encode_ordinary
+    g = random.Random(9)
+    bits = ["ab-", "12345", "Zx9", "_", "/", "-", "key=", "deadbeef" * 4, "word", " ", "550e8400-e29b-41d4-a716-446655440000", "==", "Q7pZ2vK9mT4wB8nR3cY6dL1", "2024-01-01-", "é", "+"]
+    texts = ["".join(g.choice(bits) for _ in range(g.randint(1, 25))) for _ in range(1500)] + [r.text or "" for r in docs.collect()]
+    found = 0
+    for t in texts:
+        got = secrets.random_spans(t, encode, secrets.MAX_RATIO, secrets.base_spans(t))
+        assert got == slow_random_spans(t, encode)
+        found += len(got)
+    assert found > 50
+
+
+def test_long_identifiers_take_linear_time():
+    import time
+
+    encode = secrets.vocabulary(RANKS).encode_ordinary
+    start = time.time()
+    for run in ("ab-" * 17 + "12345", "ab-" * 10_000 + "12345", "Ab" * 20_000 + "-12345", "1-" * 10_000 + "a12345"):
+        secrets.random_spans(run, encode, secrets.MAX_RATIO, [])
+    assert time.time() - start < 10
+
+
+def test_remembered_values_stay_bounded():
+    from cohortspark.llm._memory import LONGEST_KEY, Remembered
+
+    made = []
+    known = Remembered(lambda k: made.append(k) or k.upper(), len, 5_000)
+    words = [f"w{i % 40}" for i in range(400)] + ["x" * 100] * 3
+    assert [known[w] for w in words] == [w.upper() for w in words]
+    assert len(known) * 203 <= 5_000 + 203 and len(known.older) * 203 <= 5_000 + 203 and made.count("x" * 100) == 3 and LONGEST_KEY < 100
+    enc = pieces.Encoder(pieces.load(MODEL), 100_000)
+    g = random.Random(2)
+    for _ in range(200):  # text without spaces is one chunk, seen once
+        enc.ids("".join(chr(g.randrange(0x4E00, 0x9FFF)) for _ in range(1000)))
+    assert sum(len(k) for k in enc.known) < 1000
+
+
 def test_urls(spark):
     cases = {
         "https://www.example.org/es/1": ("www.example.org", "/es/1", "example.org/es/", "block"),
