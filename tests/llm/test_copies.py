@@ -255,3 +255,33 @@ def test_pipeline_stages(spark):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     enc = pieces.Encoder(pieces.load(model_path("piece_bpe_32k.model")))
     assert {d: enc.ids(t) for d, t in safe.select("doc_id", "text").collect()} == {d: r.ids for d, r in out.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns that are named like those the stages use inside."""
+    from cohortspark.llm import leaks
+
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("text").collect()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    base = [r.text for r in text if r.text and len(r.text) > 200][:6]
+    texts = [None, "", " \n", base[0], base[0], base[0] + " more", "long " * 60_000, base[1], base[2] + " password = 'abcd1234efgh' end", base[3] + " " + item + " " + base[4], base[5]]
+    names = ["id", "hash", "_print", "print", "label", "score", "predicted", "held_out", "node", "token", "ids", "decoded", "n", "range"]
+    rows = [(None if k in (1, 7) else 5 if k in (3, 4) else k, t, None, "s", None if t is None else len(t), *([k] * len(names))) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[7], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, left, SF)
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert stage(spark, docs, SF).count() <= len(rows)
+    single = corpus_pipeline.near_duplicate(spark, docs, SF).collect()
+    kept = [r for r in single if r.text and r.text.strip()]
+    assert len(kept) == len({r.text for r in kept}) == 6 and sum(r.text.startswith(base[0]) for r in kept) == 1
+    assert sum(r.text is None for r in single) == 1
+    assert {r.text for r in corpus_pipeline.decontamination(spark, docs, SF).collect()} == {t for t in texts if t is None or item not in t}
+    safe = corpus_pipeline.secrets(spark, docs, SF).collect()
+    assert len(safe) == len(rows) and [r for r in safe if r.doc_id == 8][0].text == (base[2] + " <SECRET>' end") and all(r.text is None or r.n_chars == len(r.text) for r in safe)
+    last = corpus_pipeline.pieces(spark, docs, SF)
+    assert last.count() == len(rows) and last.where("n_tokens = 1").count() == 3
+    assert leaks.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").distinct().count() == 1
