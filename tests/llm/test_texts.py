@@ -212,6 +212,15 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df).collect()}
     assert [got[k] for k in range(len(cases))] == list(cases.values())
     assert urls.judge(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "http://x.net/" + "a-" * 100_000 + "casino"), (1, "http://x.net/win"), (1, "http://x.net/win")], "page_id long, url string")
+    assert sorted((str(r.page_id), r.verdict, r.strict_hits, r.soft_hits) for r in urls.judge(odd).collect()) == [("1", "allow", 0, 1)] * 2 + [("None", "block", 1, 0)]
+    table = spark.createDataFrame([("Win", 1.5), ("win", 0.5), ("net", 2.5), ("", 9.0), (None, 9.0), ("x", None), ("zero", 0.0)], "term string, weight double")
+    own = urls.vocabulary(table)
+    assert own == {"win": 1.5, "net": 2.5}
+    assert {(r.verdict, r.strict_hits, r.soft_hits) for r in urls.judge(odd, (), own, 4.0).where("page_id = 1").collect()} == {("block", 0, 2)}
+    assert {r.verdict for r in urls.judge(odd, (), own, 4.1).collect()} == {"allow"} and {r.verdict for r in urls.judge(odd, (), {}, 1.0).collect()} == {"allow"}
+    with pytest.raises(ValueError, match="more than 1 "):
+        urls.vocabulary(table, 1)
 
 
 def test_leaks(spark, docs, odd):
