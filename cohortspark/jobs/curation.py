@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions import clinical as fn
 from cohortspark.jobs.catalog import C as CATALOG_SQL
 from cohortspark.jobs.catalog import catalog
-from cohortspark.jobs.survival import merged, r6
+from cohortspark.jobs.survival import ONE, merged, r6
+from cohortspark.jobs.survival import _fits as fits_sql
 from cohortspark.operators import clinical, cohorts, cox, endpoints, expression
 from cohortspark.sources import readers
 from cohortspark.sources.adapters import expr, probes, surv, with_views
@@ -119,7 +120,7 @@ def _impact(s, d):
     return unit.join(cox.screen(both).select("dataset", "gene", F.col("hr").alias("hr_sd")), ["dataset", "gene"])
 
 
-_q("ex15_scale_impact", _impact)
+_q("ex15_scale_impact", lambda s, d: r6(_impact(s, d), "hr_unit", "hr_sd"), f"WITH {ONE}, two AS (SELECT dataset, unnest(['raw', 'log2']) AS gene, time, status, unnest([value, log2(value + 1)]) AS value FROM o), {fits_sql('two')} SELECT dataset, gene, round(exp(b_full / sd), 6) AS hr_unit, round(exp(b_full), 6) AS hr_sd FROM fits JOIN f2 USING (dataset, gene)")
 
 
 def _ids(s, d):

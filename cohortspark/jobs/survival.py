@@ -213,7 +213,10 @@ z AS (SELECT dataset, cand, sum(high)::BIGINT AS n_high, sum(1 - high)::BIGINT A
 r AS (SELECT dataset, cand, cut, (obs_high - exp_high) * (obs_high - exp_high) / var_high AS chisq, n_high, n_low FROM lr JOIN z USING (dataset, cand) WHERE var_high > 0),
 f AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS candidates, row_number() OVER (PARTITION BY dataset ORDER BY round(chisq, 9) DESC, cand) AS rn FROM r)
 SELECT dataset, cand, round(cut, 6) AS cut, round(chisq, 6) AS chisq, candidates, n_high, n_low FROM f WHERE rn = 1""")
-_q("km9_adjusted_p", lambda s, d: km.adjusted_cut_p(merged(s, d), K))
+_DENSITY = "exp(-max_stat * max_stat / 2) / sqrt(2 * pi())"
+_q("km9_adjusted_p", lambda s, d: r6(km.adjusted_cut_p(merged(s, d), K), "max_stat", "p_adjusted"), f"""WITH {M}, q AS (SELECT dataset, gene, quantile_cont(value, [0.1, 0.9]) AS qs FROM m GROUP BY ALL), ct AS (SELECT DISTINCT dataset, gene, value AS cut FROM m JOIN q USING (dataset, gene) WHERE value BETWEEN qs[1] AND qs[2]),
+g AS (SELECT dataset, gene, cut, time, status, CASE WHEN value > cut THEN 1 ELSE 0 END AS high FROM m JOIN ct USING (dataset, gene)), {_logrank('g', 'dataset, gene, cut')}, st AS (SELECT dataset, gene, count(*) AS cuts, coalesce(max(CASE WHEN var_high > 0 THEN abs(obs_high - exp_high) / sqrt(var_high) END), 0) AS max_stat FROM lr GROUP BY dataset, gene)
+SELECT dataset, gene, cuts, round(max_stat, 6) AS max_stat, round(CASE WHEN max_stat < 1e-9 THEN 1 ELSE least(1, greatest(0, {_DENSITY} * (max_stat - 1 / max_stat) * ln(0.9 * 0.9 / (0.1 * 0.1)) + 4 * {_DENSITY} / max_stat)) END, 6) AS p_adjusted FROM st""")
 _q("km10_pooled_ledger", lambda s, d: km.pool_ledger(km.split(one_gene(s, d), ["dataset"])),
    f"WITH {ONE}, {_split('o')} SELECT dataset, count(*) AS n, count(DISTINCT value) AS \"values\", sum(high)::BIGINT AS n_high, CASE WHEN count(*) < 10 THEN 'fewer than 10 complete rows' WHEN count(DISTINCT value) < 2 THEN 'a single marker value' WHEN sum(high) = 0 OR sum(high) = count(*) THEN 'one-sided split' END AS reason FROM g GROUP BY dataset")
 _q("km10_pooled_curve", lambda s, d: r6(km.pooled_ipd(km.split(one_gene(s, d), ["dataset"]))[1], "time", "surv", "se", "lower", "upper"),

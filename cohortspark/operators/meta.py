@@ -17,18 +17,20 @@ Z = 1.96
 
 
 def pool_sums(df: DataFrame, keys: Sequence[str], method: str = "DL") -> DataFrame:
-    """MT2 for FE and DL by sums: k, pooled estimate, error, interval, Q, df, I2, tau2. Null or non-positive errors are left out."""
-    ok = df.where("b IS NOT NULL AND se > 0").withColumn("w", 1 / F.col("se") ** 2)
-    fixed = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("sw"), F.sum(F.col("w") ** 2).alias("sw2"), F.sum(F.col("w") * F.col("b")).alias("swb"))
-    fixed = fixed.withColumn("mu", F.col("swb") / F.col("sw"))
-    q = ok.join(fixed, list(keys)).groupBy(*keys).agg(F.sum(F.col("w") * (F.col("b") - F.col("mu")) ** 2).alias("q"))
-    base = fixed.join(q, list(keys)).withColumn("q", F.when(F.col("k") > 1, F.col("q")).otherwise(0.0))
-    tau = F.when((F.col("k") > 1) & (F.col("sw") - F.col("sw2") / F.col("sw") > 0), F.greatest(F.lit(0.0), (F.col("q") - F.col("k") + 1) / (F.col("sw") - F.col("sw2") / F.col("sw"))))
-    base = base.withColumn("tau2", tau if method == "DL" else F.when(F.col("k") > 1, F.lit(0.0)))
-    re = ok.join(base.select(*keys, "tau2"), list(keys)).withColumn("v", 1 / (F.col("se") ** 2 + F.coalesce("tau2", F.lit(0.0))))
-    est = re.groupBy(*keys).agg((F.sum(F.col("v") * F.col("b")) / F.sum("v")).alias("log_hr"), F.sqrt(1 / F.sum("v")).alias("se"))
-    out = base.join(est, list(keys))
-    return out.select(
+    """MT2 for FE and DL: k, pooled estimate, error, interval, Q, df, I2, tau2. Null or non-positive errors are left out.
+
+    A key has one row per cohort: its estimates are gathered once, and all sums are taken over that short list.
+    """
+    lists = df.where("b IS NOT NULL AND se > 0").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("b").cast("double").alias("b"), F.col("se").cast("double").alias("se")))).alias("e"))
+    total = lambda f: F.aggregate("e", F.lit(0.0), lambda s, x: s + f(x["b"], x["se"]))
+    k = F.size("e").cast("long")
+    one = lists.withColumn("k", k).withColumns({"sw": total(lambda b, se: 1 / se**2), "sw2": total(lambda b, se: 1 / se**4), "swb": total(lambda b, se: b / se**2)})
+    one = one.withColumn("q", F.when(F.col("k") > 1, total(lambda b, se: (b - F.col("swb") / F.col("sw")) ** 2 / se**2)).otherwise(0.0))
+    spread = F.col("sw") - F.col("sw2") / F.col("sw")
+    tau = F.when((F.col("k") > 1) & (spread > 0), F.greatest(F.lit(0.0), (F.col("q") - F.col("k") + 1) / spread))
+    one = one.withColumn("tau2", tau if method == "DL" else F.when(F.col("k") > 1, F.lit(0.0))).withColumn("_t", F.coalesce("tau2", F.lit(0.0)))
+    one = one.withColumn("sv", total(lambda b, se: 1 / (se**2 + F.col("_t")))).withColumn("log_hr", total(lambda b, se: b / (se**2 + F.col("_t"))) / F.col("sv")).withColumn("se", F.sqrt(1 / F.col("sv")))
+    return one.select(
         *keys, "k", "log_hr", "se", F.exp("log_hr").alias("hr"), F.exp(F.col("log_hr") - Z * F.col("se")).alias("lower"), F.exp(F.col("log_hr") + Z * F.col("se")).alias("upper"),
         "q", (F.col("k") - 1).alias("df"), F.when(F.col("k") > 1, F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - F.col("k") + 1) / F.col("q"))).otherwise(0.0)).alias("i2"), "tau2",
     )
