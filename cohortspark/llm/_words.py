@@ -13,7 +13,7 @@ SHINGLE = 5
 #: Odd multipliers, one for each place in a shingle.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Texts and bytes of text that are taken at once; one longer text is taken alone.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_arrow
-from cohortspark.llm._graph import components, keep
+from cohortspark.llm._graph import components, keep, small_batches
 from cohortspark.llm._words import mix, shingle_sets, slices
 
 #: Similarity limit in hundredths.
@@ -37,7 +37,7 @@ SKETCH_BITS, RANGES = 21, 64
 SPLIT_LEVEL = 10
 #: Groups of texts at a shingle above this size are linked by rounds first, then compared in blocks of so many texts; the
 #: pairs of smaller groups are rows, which up to about this size are fewer bytes than what a block needs of each text.
-LARGE, BLOCK = 8, 1024
+LARGE, BLOCK = 32, 1024
 #: Another linking round follows one in which at least one of so many tried pairs linked (no effect on results).
 WORTH_A_ROUND = 4
 #: Number of shared prefix shingles of a pair that was drawn, not counted.
@@ -142,7 +142,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["range", "counts"])
 
     kind = "range int, counts binary"
-    rows = docs.select("text").mapInArrow(counted, kind).repartition(RANGES, "range").mapInArrow(summed, kind).collect()
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(counted, kind).repartition(RANGES, "range").mapInArrow(summed, kind).collect()
     counts = np.zeros((RANGES, width), dtype=np.int64)
     for r in rows:
         counts[r["range"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -248,54 +249,56 @@ def _small_pairs(batches):
         yield put(token, ids)
 
 
-def _streamed(df: DataFrame, keys: list[str], group, schema: str) -> DataFrame:
-    """Apply group(key, columns) to the rows of each key; rows come sorted, one group is in memory at a time."""
-    names = df.columns
+def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs of every block of postings; rows come sorted by the keys, one block is in memory at a time."""
     df = df.repartition(*keys).sortWithinPartitions(*keys)
-    outs = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+        last = None
 
         def flush():
-            cols = {n: [x for part in held for x in part[n]] for n in names}
-            held.clear()
-            got = group(tuple(cols[k][0] for k in keys), cols)
-            if len(got[outs[0]]):
-                yield pa.RecordBatch.from_arrays([pa.array(got[n], pa.int64()) for n in outs], outs)
+            out = _block_pairs(last, pa.Table.from_batches(held).combine_chunks())
+            if len(out["a"]):
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
         for b in batches:
-            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            ids = list(zip(*(cols[k] for k in keys), strict=True))
-            start = 0
-            for i in range(1, len(ids) + 1):
-                if i == len(ids) or ids[i] != ids[start]:
-                    if held and tuple(held[-1][k][-1] for k in keys) != ids[start]:
-                        yield from flush()
-                    held.append({c: cols[c][start:i] for c in names})
-                    start = i
+            if not b.num_rows:
+                continue
+            columns = [b.column(k).to_numpy() for k in keys]
+            edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            for x, y in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                key = tuple(int(c[x]) for c in columns)
+                if held and key != last:
+                    yield from flush()
+                    held = []
+                last = key
+                held.append(b.slice(x, y - x))
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, "a long, b long, seen long")
 
 
-def _block_pairs(key, cols):
+def _block_pairs(key: tuple[int, int, int], rows: pa.Table) -> dict[str, list[int]]:
     """Pairs of different components across two blocks (or within one) of a large group that bitmaps leave.
 
     A pair comes from the first large group that holds both of its texts only, with the number of those groups.
     """
     token, low, high = key
-    n = np.array(cols["n"])
+    n = rows.column("n").to_numpy()
     order = np.argsort(n, kind="stable")
     n = n[order]
-    ids, label, block = (np.array(cols[c])[order] for c in ("id", "label", "block"))
-    groups = [np.array(cols["groups"][i]) for i in order]  # ascending
+    ids, label, block = (rows.column(c).to_numpy()[order] for c in ("id", "label", "block"))
+    lists = rows.column("groups").combine_chunks()
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    groups = [flat[ends[k] : ends[k + 1]] for k in order]  # ascending
     leads = np.array([g[0] for g in groups])
-    raw = [np.frombuffer(cols["bitmap"][i], dtype=np.uint64) for i in order]
+    maps = rows.column("bitmap").to_pylist()
+    raw = [np.frombuffer(maps[k], dtype=np.uint64) for k in order]
     words = np.array([len(r) for r in raw])
     level = {w: np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw]) for w in set(words.tolist())}
-    out = {"a": [], "b": [], "seen": []}
+    out: dict[str, list[int]] = {"a": [], "b": [], "seen": []}
     for i in range(len(n)):
         end = int(np.searchsorted(n, n[i] * 100 // LIMIT, side="right"))
         at = np.arange(i + 1, end)
@@ -313,8 +316,8 @@ def _block_pairs(key, cols):
         for j in at[100 * shared >= LIMIT * (total - shared)].tolist():
             both = np.intersect1d(groups[i], groups[j], assume_unique=True)
             if both[0] == token:
-                out["a"].append(min(ids[i], ids[j]))
-                out["b"].append(max(ids[i], ids[j]))
+                out["a"].append(int(min(ids[i], ids[j])))
+                out["b"].append(int(max(ids[i], ids[j])))
                 out["seen"].append(len(both))
     return out
 
@@ -463,7 +466,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "n", "bitmap", "block", "groups")
     )
-    broad = _streamed(wide, ["token", "low", "high"], _block_pairs, "a long, b long, seen long")
+    broad = _blocks(wide, ["token", "low", "high"])
     counted = small.unionByName(broad).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
     second = keep(verified(keep(_passing(counted, texts, whole)), texts, docs))
     return rows, whole.select("id", "node", "rep", "best").join(_relabelled(texts.select("id", "label"), second), "id")
