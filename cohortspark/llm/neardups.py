@@ -407,10 +407,10 @@ def one_each(docs: DataFrame) -> DataFrame:
     best = named.groupBy("label").agg(F.min("best").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.print").alias("hash"))
     chosen = best.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("print"))).select("id", "hash", "copies")
     chosen = keep(chosen.unionByName(copies.where("blank").select(F.col("doc_id").alias("id"), F.col("print").alias("hash"), "copies")))
-    there = docs.withColumn("_print", F.xxhash64("text"))
-    of = lambda c: there.join(c.select("id", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_print") == F.col("hash")), "left_semi")
-    single = of(chosen.where("copies = 1")).select(*docs.columns)
-    repeated = of(chosen.where("copies > 1")).groupBy("doc_id", "_print").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    there = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"))
+    of = lambda c: there.join(c.select("id", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("print") == F.col("hash")), "left_semi")
+    single = of(chosen.where("copies = 1")).select("row.*")
+    repeated = of(chosen.where("copies > 1")).groupBy("doc_id", "print").agg(F.min("row").alias("row")).select("row.*")
     return single.unionByName(repeated)
 
 
