@@ -37,8 +37,8 @@ BLOCK, GRAM = 8, 5
 K1, B = 1.2, 0.75
 #: Ranges of units in the first table.
 RANGES = 64
-#: Items in an index (some 20 KB a hundred), so what is broadcast stays bounded; a larger benchmark takes a scan for each.
-SHARD_ITEMS = 100_000
+#: Items in an index (some 4 KB each), so what is broadcast stays bounded; a larger benchmark takes a scan for each.
+SHARD_ITEMS = 10_000
 #: Words that are searched at once: bounds the memory of a task, besides a single text.
 SLICE_WORDS = 500_000
 #: Allowance for sums in another order.
