@@ -16,28 +16,41 @@ from cohortspark.llm.secrets import redact
 from cohortspark.llm.tables import model_path, table
 
 
+#: Rows of a record batch that goes to Python: texts are long, and a batch is there on both sides at once.
+BATCH_ROWS = 1_000
+
+
+def _modest(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels of these documents, does not reject."""
+    _modest(spark)
     return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: one with the least id; repeated rows and rows without an id count."""
+    _modest(spark)
     return one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _modest(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their text replaced by a mark."""
+    _modest(spark)
     return redact(docs, model_path("byte_bpe_50k.tiktoken"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the text they decode to."""
+    _modest(spark)
     return encode_decode(docs, model_path("piece_bpe_32k.model"), with_ids=True).drop("decoded")
 
 
