@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_arrow
 from cohortspark.llm._graph import keep
+from cohortspark.llm._tokens import Words, kinds
 from cohortspark.llm._words import mix
 
 #: Words in a window (one less than in the longest phrase), and the mean number of words between windows that cut.
@@ -31,59 +32,8 @@ TOP = 2000
 #: Bits of the bitmap of frequent phrases, and of one row of it.
 BITS, ROW = 26, 6
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-_BASE = 0x100000001B3
-#: What a byte is: 0 of a word, 1 a blank, 2 the end of a piece; and its lower case.
-_KIND = np.zeros(256, dtype=np.uint8)
-_KIND[list(b" \t")], _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 1, 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-class Words:
-    """The words of all texts of an Arrow array: bytes, where they stand, their text and their piece."""
-
-    def __init__(self, texts: pa.Array):
-        at = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
-        data = texts.buffers()[2]
-        self.data = _LOWER[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if data is not None else np.zeros(0, dtype=np.uint8)
-        at = at - at[0]
-        kind = _KIND[self.data]
-        own = kind == 0
-        before, after = np.concatenate([[False], own])[:-1], np.concatenate([own, [False]])[1:]
-        filled = at[:-1][np.diff(at) > 0]
-        before[filled] = False
-        after[filled[1:] - 1] = False
-        self.start, self.end = np.flatnonzero(own & ~before), np.flatnonzero(own & ~after) + 1
-        self.text = np.searchsorted(at, self.start, side="right") - 1
-        breaks = np.cumsum(kind == 2)[self.start] if len(self.start) else np.zeros(0, dtype=np.int64)
-        self.joined = (self.text[1:] == self.text[:-1]) & (breaks[1:] == breaks[:-1])
-        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        self.bytes, self.size = self.data[own], self.end - self.start
-
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from its bytes."""
-        return _hash(self.bytes, np.concatenate([[0], np.cumsum(self.size)]))
-
-    def coded(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """A number for each word, the distinct words and their hashes."""
-        ends = np.concatenate([[0], np.cumsum(self.size)])
-        words = pa.Array.from_buffers(pa.large_binary(), len(self.size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self.bytes))]).dictionary_encode()
-        known = words.dictionary
-        at = np.frombuffer(known.buffers()[1], dtype=np.int64, count=len(known) + 1) if len(known) else np.zeros(1, dtype=np.int64)
-        return words.indices.to_numpy().astype(np.int64), known, _hash(np.frombuffer(known.buffers()[2], dtype=np.uint8)[: at[-1]] if len(known) else np.zeros(0, dtype=np.uint8), at)
-
-
-def _hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes between two positions (its sum of bytes times powers of its places, mixed)."""
-    if len(at) < 2:
-        return np.zeros(0, dtype=np.uint64)
-    size = np.diff(at)
-    place = np.arange(len(data)) - np.repeat(at[:-1], size)
-    power = np.ones(int(size.max(initial=1)), dtype=np.uint64)
-    power[1:] = np.uint64(_BASE)
-    term = (data.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[place]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term)])
-    return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64))
+#: Words stand between blanks, pieces between these marks.
+_KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 
 
 def phrase_hashes(words: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
@@ -96,7 +46,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """The distinct chunks of each language: lang, ends (nothing follows it in its text), chunk (bytes), n (parse frequency)."""
 
     def work(part: pa.RecordBatch) -> dict:
-        words = Words(part.column("text"))
+        words = Words(part.column("text"), _KIND)
         h, count = words.hashes(), np.diff(words.bounds)
         cut = np.zeros(len(h), dtype=bool)
         if len(h) >= WINDOW:
@@ -134,7 +84,7 @@ def counted(parsed: DataFrame, size: int, frequent: np.ndarray | None) -> DataFr
     shared = parsed.sparkSession.sparkContext.broadcast(frequent)
 
     def work(part: pa.RecordBatch) -> dict:
-        words = Words(part.column("chunk"))
+        words = Words(part.column("chunk"), _KIND)
         code, known, h = words.coded()
         if len(code) < size:
             return {"lang": [], "phrase": [], "f": []}
@@ -169,7 +119,7 @@ def bitmap(grams: DataFrame, size: int) -> np.ndarray:
     """The phrases as 2^BITS bits by their hashes, made of at most 2^(BITS - ROW) sums."""
 
     def work(part: pa.RecordBatch) -> dict:
-        words = Words(part.column("phrase"))
+        words = Words(part.column("phrase"), _KIND)
         langs = np.array([int.from_bytes(x.encode()[:8].ljust(8), "little") + len(x) for x in part.column("lang").to_pylist()], dtype=np.uint64)
         h = phrase_hashes(words.hashes(), mix(langs)[words.text], size)[::size] if len(words.size) else np.zeros(0, dtype=np.uint64)
         bit = h >> np.uint64(64 - BITS)

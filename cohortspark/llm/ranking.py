@@ -180,7 +180,7 @@ def _shard(docs: DataFrame, items: list[tuple[int | None, str]], top: int) -> Da
                 order = np.argsort(got.term, kind="stable")
                 term, first = np.unique(got.term[order], return_index=True)
                 of_term = {}
-                for t, rows in zip(term.tolist(), np.split(order, first[1:]), strict=True):
+                for t, rows in zip(term.tolist(), np.split(order, first[1:]) if len(term) else [], strict=True):
                     column = np.zeros(len(ids), dtype=np.int64)
                     column[got.doc[rows]] = gain[rows]
                     of_term[t] = column
