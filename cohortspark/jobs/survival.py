@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortspark.jobs import sql_models
 from cohortspark.operators import competing, cox, km, meta, roc
 from cohortspark.sources.adapters import expr, surv, with_views
 
@@ -109,11 +110,11 @@ fits AS (SELECT {keys}, n, events, round(b, 6) AS b, round(se, 6) AS se, round(e
 _FIT = ("b", "se", "hr", "lower", "upper", "p")
 
 
-def _two_fits(src, x, y, steps=9):
+def _two_fits(src, x, y, steps=9, nested=False):
     """Cox model of two covariates per dataset (Efron ties), on standardised values, one row per covariate."""
     by = "PARTITION BY dataset"
     terms = {"0": "1", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
-    out = f"""
+    out = f"""{'WITH ' * nested}
 g0 AS (SELECT dataset, time, status, {x} AS v, {y} AS u FROM {src}), g1 AS (SELECT dataset, count(*) AS n, sum(status)::BIGINT AS events, avg(v) AS mv, stddev_samp(v) AS sv, avg(u) AS mu, stddev_samp(u) AS su FROM g0 GROUP BY dataset),
 g2 AS (SELECT dataset, time, status, (v - mv) / sv AS x, (u - mu) / su AS y FROM g0 JOIN g1 USING (dataset)), b0 AS (SELECT dataset, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, NULL::DOUBLE AS vp, NULL::DOUBLE AS vq FROM g1)"""
     for k in range(steps):
@@ -254,11 +255,27 @@ jo AS (SELECT v.dataset, v.cut, v.n, coalesce(sum(x.s), 0) / v.n AS joint, count
 _q("rc1_auc_km", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0), "auc"), f"WITH {ONE}, {_auc_km('o', 'dataset')}")
 _q("rc2_auc_nne", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"), "auc"), f"WITH {ONE}, {_NNE}")
 _q("rc3_many_genes", lambda s, d: r6(roc.auc(merged(s, d), K, 2.0), "auc"), f"WITH {M}, {_auc_km('m', 'dataset, gene')}")
-_q("cx1_univariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"], joint=False))
+_ROUNDED = f"round(b, 6) AS b, round(se, 6) AS se, round(exp(b), 6) AS hr, round(exp(b - 1.96 * se), 6) AS lower, round(exp(b + 1.96 * se), 6) AS upper, round({_P2.format(z='(b / se)')}, 6) AS p"
+#: Two numbers and a category of four levels, which all cohorts of the tables have; the first level is the reference.
+_COLUMNS = [("value", ""), ("balance", ""), *(("nation", f"N{k}") for k in (1, 2, 3))]
+_COVARIATES = f"oc AS MATERIALIZED (SELECT dataset, time, status, value / 10000.0::DOUBLE AS value, balance / 1000.0::DOUBLE AS balance, 'N' || (nation % 4) AS nation FROM o WHERE time >= 0)"
+_DUMMIES = [f"(nation = '{lv}')::INT::DOUBLE" if lv else v for v, lv in _COLUMNS]
+
+
+def _covariates(s, d):
+    return _scaled(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4))
+
+
+_NATION = f"{sql_models.newton('oc', 'dataset', _DUMMIES[2:])}, {sql_models.terms('dataset', _COLUMNS[2:])}"
+_UNI = f"""oz AS (SELECT dataset, unnest(['value', 'balance']) AS variable, time, status, unnest([value, balance]) AS value FROM oc), {_fits('oz', 'dataset, variable', scale=False)}, {_NATION},
+uni AS (SELECT dataset, variable, '' AS level, * EXCLUDE (dataset, variable, b_full, se_full) FROM fits UNION ALL SELECT dataset, variable, level, n, events, {_ROUNDED}, NULL FROM qfit)"""
+_q("cx1_univariable", lambda s, d: r6(cox.cox(_covariates(s, d), ["dataset"], ["value", "balance"], ["nation"], joint=False), *_FIT), f"WITH {ONE}, {_COVARIATES}, {_UNI} SELECT * FROM uni")
 _q("cx1_continuous", lambda s, d: r6(cox.cox(_scaled(s, d), ["dataset"], ["value", "balance"], joint=False), *_FIT),
    f"WITH {ONE}, o2 AS (SELECT dataset, unnest(['value', 'balance']) AS variable, time, status, unnest([value / 10000.0::DOUBLE, balance / 1000.0::DOUBLE]) AS value FROM o), {_fits('o2', 'dataset, variable', scale=False)} SELECT dataset, variable, '' AS level, * EXCLUDE (dataset, variable, b_full, se_full) FROM fits")
-_q("cx2_two_covariates", lambda s, d: r6(cox.cox(_scaled(s, d), ["dataset"], ["value", "balance"]), *_FIT), f"WITH {ONE}, {_two_fits('o', 'value / 10000.0::DOUBLE', 'balance / 1000.0::DOUBLE')}")
-_q("cx2_multivariable", lambda s, d: cox.cox(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"]))
+_EPV = "CASE WHEN events / {p}::DOUBLE < 10 THEN 'fewer than 10 events per variable' END AS warning"
+_q("cx2_two_covariates", lambda s, d: r6(cox.cox(_scaled(s, d), ["dataset"], ["value", "balance"]), *_FIT, "epv"), f"WITH {ONE}, two AS ({_two_fits('o', 'value / 10000.0::DOUBLE', 'balance / 1000.0::DOUBLE', nested=True)}) SELECT *, 2 AS parameters, round(events / 2.0::DOUBLE, 6) AS epv, {_EPV.format(p=2)} FROM two")
+_q("cx2_multivariable", lambda s, d: r6(cox.cox(_covariates(s, d), ["dataset"], ["value", "balance"], ["nation"]), *_FIT, "epv"),
+   f"WITH {ONE}, {_COVARIATES}, {sql_models.newton('oc', 'dataset', _DUMMIES)}, {sql_models.terms('dataset', _COLUMNS)} SELECT dataset, variable, level, n, events, {_ROUNDED}, CAST(NULL AS VARCHAR) AS reason, 5 AS parameters, round(events / 5.0::DOUBLE, 6) AS epv, {_EPV.format(p=5)} FROM qfit")
 _JOINT = "jn AS (SELECT dataset, sample_id, count(DISTINCT gene) AS have FROM {m} WHERE value IS NOT NULL GROUP BY ALL), jl AS (SELECT dataset, count(DISTINCT gene) AS listed FROM {m} GROUP BY dataset), jk AS (SELECT dataset, sample_id FROM jn JOIN jl USING (dataset) WHERE have = listed), j AS (SELECT {m}.* FROM {m} JOIN jk USING (dataset, sample_id)), ja AS (SELECT DISTINCT dataset, gene FROM {m})"
 _BH = "p_adj AS (SELECT dataset, gene, least(1.0, min(p_full * mm / r) OVER (PARTITION BY {part} ORDER BY r DESC)) AS p_adj FROM (SELECT dataset, gene, {p} AS p_full, row_number() OVER (PARTITION BY {part} ORDER BY {p}) AS r, count(*) OVER (PARTITION BY {part}) AS mm FROM fits WHERE reason IS NULL) x)"
 _PF = _P2.format(z="(b_full / se_full)")
@@ -280,7 +297,12 @@ _q("cx3_small_panel", lambda s, d: r6(meta.adjust(cox.screen(_makers(s, d), join
 _q("cx3_screen", lambda s, d: r6(cox.screen(merged(s, d)), *_FIT), f"WITH {M}, {_fits('m')} SELECT * EXCLUDE (b_full, se_full) FROM fits")
 _q("cx4_across_cohorts", lambda s, d: r6(meta.adjust(cox.screen(one_gene(s, d).withColumn("value", F.col("value") / F.lit(10000.0)), scale=False)), *_FIT, "p_adj"),
    f"WITH {ONE}, o2 AS (SELECT * REPLACE (value / 10000.0::DOUBLE AS value) FROM o), {_fits('o2', scale=False)}, {_BH.format(part='1', p=_PF)} SELECT fits.* EXCLUDE (b_full, se_full), round(p_adj, 6) AS p_adj FROM fits LEFT JOIN p_adj USING (dataset, gene)")
-_q("cx5_screen_adjust", lambda s, d: cox.screen_adjust(one_gene(s, d).withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 4)), ["dataset"], ["value", "balance"], ["nation"], threshold=0.5))
+# covariates below the threshold differ by cohort: in SQL the columns of the others are zeros
+_q("cx5_screen_adjust", lambda s, d: r6(cox.screen_adjust(_covariates(s, d), ["dataset"], ["value", "balance"], ["nation"], threshold=0.5), "hr", "p", "hr_joint", "p_joint"),
+   f"""WITH {ONE}, {_COVARIATES}, {_UNI}, pick AS (SELECT dataset, variable, min(p) < 0.5 AS used FROM uni GROUP BY dataset, variable),
+mask AS MATERIALIZED (SELECT dataset, {', '.join(f"max(CASE WHEN used AND variable = '{v}' THEN 1 ELSE 0 END) AS on{i}" for i, (v, _) in enumerate(_COLUMNS))} FROM pick GROUP BY dataset),
+{sql_models.newton('oc', 'dataset', _DUMMIES, mask='mask', tag='j')}, {sql_models.terms('dataset', _COLUMNS, tag='j')}, both_ AS (SELECT f.dataset, f.variable, f.level, {_ROUNDED} FROM jfit f JOIN pick USING (dataset, variable) WHERE used)
+SELECT uni.dataset, uni.variable, uni.level, uni.hr, uni.p, uni.reason, t.hr AS hr_joint, t.p AS p_joint, CAST(NULL AS VARCHAR) AS reason_joint FROM uni LEFT JOIN both_ t ON t.dataset = uni.dataset AND t.variable = uni.variable AND t.level = uni.level""")
 _LEVELS = "SELECT dataset, sample_id, status, 'nation' AS variable, CASE WHEN nation % 5 = 4 THEN 'N4' ELSE 'N' || CAST(nation % 3 AS VARCHAR) END AS level FROM surv UNION ALL SELECT dataset, sample_id, status, 'rare' AS variable, CASE WHEN sample_id % 97 = 0 THEN 'rare' ELSE 'usual' END AS level FROM surv"
 
 
@@ -305,8 +327,14 @@ _q("cx7_merged_levels", lambda s, d: cox.merge_levels(levels(s, d).where("variab
 l1 AS (SELECT dataset, level, count(*) AS n, sum(status) AS e, count(*) OVER (PARTITION BY dataset) AS levels, max(count(*)) OVER (PARTITION BY dataset)::DOUBLE / sum(count(*)) OVER (PARTITION BY dataset) AS top FROM lv GROUP BY dataset, level),
 l2 AS (SELECT dataset, level, levels > 1 AND top < 0.95 AND (n < 12 OR e = 0 OR e = n) AS merged FROM l1)
 SELECT dataset, variable, CASE WHEN merged THEN 'Other' ELSE level END AS level, merged, count(*) AS n FROM lv JOIN l2 USING (dataset, level) GROUP BY ALL""")
-_q("cx8_repair", lambda s, d: cox.cox(one_gene(s, d).withColumn("copy", F.col("value") * 2).withColumn("flat", F.lit(1.0)), ["dataset"], ["value", "copy", "flat"], auto_repair=True))
-_q("cx9_ph_test", lambda s, d: cox.ph(one_gene(s, d), ["dataset"], ["value", "balance"]))
+_q("cx8_repair", lambda s, d: r6(cox.cox(_scaled(s, d).withColumn("copy", F.col("value") * 2).withColumn("flat", F.lit(1.0)), ["dataset"], ["value", "copy", "flat"], auto_repair=True).drop("warning"), *_FIT, "epv"),
+   f"""WITH {ONE}, {_COVARIATES}, cand AS (SELECT *, 2 * value AS copy, 1.0::DOUBLE AS flat FROM oc),
+gone AS (SELECT dataset, count(*) AS n, sum(status)::BIGINT AS events, unnest(['flat', 'copy']) AS variable, unnest([stddev_samp(flat) < 1e-9, abs(corr(value, copy)) > 1 - 1e-9]) AS bad FROM cand GROUP BY dataset),
+{_fits('oc', 'dataset', scale=False)}
+SELECT dataset, 'value' AS variable, '' AS level, n, events, b, se, hr, lower, upper, p, reason, 1 AS parameters, round(events::DOUBLE, 6) AS epv FROM fits
+UNION ALL SELECT dataset, variable, '', n, events, NULL, NULL, NULL, NULL, NULL, NULL, 'removed by repair', 0, NULL FROM gone WHERE bad""")
+_q("cx9_ph_test", lambda s, d: r6(cox.ph(_covariates(s, d), ["dataset"], ["value", "balance"], ["nation"]), "chisq").drop("p"),
+   f"WITH {ONE}, {_COVARIATES}, {sql_models.newton('oc', 'dataset', _DUMMIES)}, {sql_models.change_test('oc', 'dataset', 5)} SELECT dataset, coalesce([{', '.join(repr(v) for v, _ in _COLUMNS)}][j + 1], 'GLOBAL') AS term, coalesce([{', '.join(repr(lv) for _, lv in _COLUMNS)}][j + 1], '') AS level, round(chisq, 6) AS chisq, CASE WHEN j < 0 THEN 5.0 ELSE 1.0 END::DOUBLE AS df FROM ph")
 _q("cx_score_windows", lambda s, d: r6(cox.score_at_zero(merged(s, d).withColumn("value", F.col("value") / F.lit(10000.0)), K), "score", "info"),
    f"WITH {M}, a AS (SELECT dataset, gene, time, sum(status)::DOUBLE AS d, sum(status * (value / 10000.0::DOUBLE)) AS xd, count(*) AS mm, sum(value / 10000.0::DOUBLE) AS x, sum((value / 10000.0::DOUBLE) * (value / 10000.0::DOUBLE)) AS xx FROM m GROUP BY ALL), b AS (SELECT dataset, gene, d, xd, sum(mm) OVER w AS m0, sum(x) OVER w AS x1, sum(xx) OVER w AS x2 FROM a WINDOW w AS (PARTITION BY dataset, gene ORDER BY time DESC)) SELECT dataset, gene, round(sum(xd - d * x1 / m0), 6) AS score, round(sum(d * (x2 / m0 - (x1 / m0) * (x1 / m0))), 6) AS info FROM b GROUP BY ALL")
 
@@ -346,7 +374,13 @@ _q("cr2_group_cuts", lambda s, d: competing.group_by_cuts(cr(s, d), ["dataset"],
    "WITH q AS (SELECT dataset, quantile_cont(balance, [0.25, 0.5, 0.75]) AS qs, count(DISTINCT balance) AS levels FROM surv GROUP BY dataset) SELECT s.dataset, CASE WHEN levels > 20 THEN 'Q' || CAST(1 + (balance >= qs[1])::INT + (balance >= qs[2])::INT + (balance >= qs[3])::INT AS VARCHAR) ELSE CAST(balance AS VARCHAR) END AS \"group\", count(*) AS n, sum(CASE WHEN cr_status = 1 THEN 1 ELSE 0 END)::BIGINT AS events FROM surv s JOIN q ON q.dataset = s.dataset GROUP BY ALL")
 _q("cr3_cause_specific", lambda s, d: r6(competing.cause_specific(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]), *_FIT),
    f"WITH rc AS (SELECT dataset, cr_time AS time, CASE WHEN cr_status = 1 THEN 1 ELSE 0 END AS status, balance / 1000.0::DOUBLE AS value FROM surv), {_fits('rc', 'dataset', scale=False)} SELECT dataset, 'balance' AS variable, '' AS level, * EXCLUDE (dataset, b_full, se_full) FROM fits")
-_q("cr4_fine_gray", lambda s, d: competing.fine_gray(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]))
+_FG = f"""{_RAW}, r0 AS (SELECT s.dataset, cr_time AS time, cr_status AS code, (cr_status = 1)::INT AS status, balance / 1000.0::DOUBLE AS balance, nation::DOUBLE AS nation FROM surv s WHERE cr_time >= 0),
+g0 AS (SELECT dataset, time, sum((code = 0)::INT) AS c, count(*) AS m FROM r0 GROUP BY ALL), g1 AS (SELECT *, sum(m) OVER (PARTITION BY dataset ORDER BY time DESC) - (m - c) AS left_ FROM g0),
+g2 AS (SELECT dataset, time, exp(coalesce(sum(CASE WHEN left_ > 0 THEN ln(greatest(1 - c / left_::DOUBLE, 1e-300)) ELSE 0 END) OVER (PARTITION BY dataset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM g1),
+fg AS MATERIALIZED (SELECT r0.*, g, CASE WHEN code NOT IN (0, 1) THEN 1 / g ELSE 0 END AS cw FROM r0 JOIN g2 USING (dataset, time))"""
+_FGZ = _ROUNDED.replace("1.96", str(competing.Z))
+_q("cr4_fine_gray", lambda s, d: r6(competing.fine_gray(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance", "nation"]), *_FIT),
+   f"WITH {_FG}, {sql_models.newton('fg', 'dataset', ['balance', 'nation'], weighted=True)}, {sql_models.terms('dataset', [('balance', ''), ('nation', '')])}, {sql_models.robust('dataset', 2)}, ff AS (SELECT f.dataset, variable, level, n, events, b, sqrt([k0, k1][j + 1]) / [s0, s1][j + 1] AS se FROM qfit f JOIN rob USING (dataset) JOIN (SELECT dataset, s0, s1 FROM qabout) USING (dataset)) SELECT dataset, variable, level, n, events, {_FGZ}, CAST(NULL AS VARCHAR) AS reason FROM ff")
 _q("mt1_two_stage", lambda s, d: r6(cox.two_stage(one_gene(s, d))[0], *_FIT), f"WITH {ONE}, {_fits('o')} SELECT * EXCLUDE (b_full, se_full) FROM fits WHERE reason IS NULL")
 _q("mt2_pool_dl", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"]), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene')} SELECT gene, {_POOL_OUT} FROM pooled")
 _q("mt2_pool_fe", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"], "FE"), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene', dl=False)} SELECT gene, {_POOL_OUT} FROM pooled")

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions import cox_kernel as kernel
-from cohortspark.functions.stats import normal_two_sided
 from cohortspark.operators.cox import cox
+from cohortspark.operators.cox_frame import Design, censoring, judged, sandwich, without_fit
+from cohortspark.sources.shared import kept
 
 Z = 1.959963984540054
 
@@ -82,20 +80,21 @@ def cause_specific(df: DataFrame, keys: Sequence[str], cause: int, cont: Sequenc
     return cox(df.withColumn("status", (F.col("status") == cause).cast("int")), keys, cont, cate)
 
 
-def fine_gray(df: DataFrame, keys: Sequence[str], cause: int, cont: Sequence[str]) -> DataFrame:
-    """CR4: subdistribution hazard ratios with clustered errors, per cohort."""
-    keys, cont = list(keys), list(cont)
+def fine_gray(df: DataFrame, keys: Sequence[str], cause: int, cont: Sequence[str], cate: Sequence[str] = ()) -> DataFrame:
+    """CR4: subdistribution hazard ratios of one cause with patient-clustered errors; ties after Efron.
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=cont)
-        b, v, ok = kernel.fine_gray(g["time"].to_numpy(float), g["status"].to_numpy(int), g[cont].to_numpy(float), cause)
-        rows = []
-        for j, c in enumerate(cont):
-            se = float(np.sqrt(v[j, j])) if np.isfinite(v[j, j]) and v[j, j] > 0 else float("nan")
-            why = kernel.verdict(float(b[j]), se, ok)
-            good = why is None
-            rows.append([*(g[k].iloc[0] for k in keys), c, len(g), int((g["status"] == cause).sum()), *([float(b[j]), se, float(np.exp(b[j])), float(np.exp(b[j] - Z * se)), float(np.exp(b[j] + Z * se)), normal_two_sided(b[j] / se)] if good else [None] * 6), why])
-        return pd.DataFrame(rows, columns=[*keys, "variable", "n", "events", "b", "se", "hr", "lower", "upper", "p", "reason"])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", variable string, n long, events long, b double, se double, hr double, lower double, upper double, p double, reason string"
-    return df.select(*keys, "time", "status", *cont).where("time >= 0 AND status IS NOT NULL").groupBy(*keys).applyInPandas(one, schema)
+    After a competing event a patient stays at risk with weight G(t-) / G(its time-), G the Kaplan-Meier curve of censoring. No row is
+    expanded: at each event time the sums of such patients are scaled by G(t-). Rows: keys, time, status (0 censored).
+    A key may have any number of rows.
+    """
+    keys = list(keys)
+    coded = df.where("time >= 0 AND status IS NOT NULL").withColumn("code", F.col("status")).withColumn("status", (F.col("status") == cause).cast("int"))
+    d = Design(coded, keys, cont, cate, extra=["code"])
+    g = censoring(d.rows, keys, d.blocks)
+    other = (F.col("code") != 0) & (F.col("code") != cause)
+    rows = kept(d.rows.join(g, [*keys, "block", "time"]).withColumn("cw", F.when(other, 1 / F.col("g")).otherwise(0.0))).df
+    fits = kept(d.fitted(weighted=rows)).df
+    robust = sandwich(rows, fits, keys, d.p, d.blocks)
+    seen = judged(fits.join(robust, keys), keys, d.p, robust=True, z=Z)
+    out = seen.select(*keys, F.explode("rows").alias("_t")).select(*keys, "_t.*").drop("parameters", "epv")
+    return out.unionByName(without_fit(d).drop("parameters", "epv"))

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import cox_kernel as kernel
 from cohortspark.functions.stats import normal_two_sided
+from cohortspark.operators.cox_frame import Design, fit_models, residual_test
 from cohortspark.operators.meta import Z, adjust, pool_groups
+from cohortspark.sources.shared import kept
 
+COX_SCHEMA = "variable string, level string, n long, events long, b double, se double, hr double, lower double, upper double, p double, reason string"
+#: Events for each coefficient below which a joint model has a warning.
+LEAST_EPV = 10
 FIT_SCHEMA = "n long, events long, b double, se double, hr double, lower double, upper double, p double, reason string"
 
 
@@ -120,117 +125,58 @@ def merge_levels(df: DataFrame, keys: Sequence[str], min_level: int = 5) -> Data
     return df.join(bad, [*keys, "variable", "level"], "left").withColumn("merged", F.coalesce("_bad", F.lit(False))).withColumn("level", F.when(F.col("merged"), "Other").otherwise(F.col("level"))).drop("_bad")
 
 
-def _design(g: pd.DataFrame, cont: Sequence[str], cate: Sequence[str]):
-    names, cols = [], []
-    for c in cont:
-        names.append((c, ""))
-        cols.append(g[c].to_numpy(float))
-    for c in cate:
-        levels = sorted(g[c].astype(str).unique())
-        for lv in levels[1:]:
-            names.append((c, lv))
-            cols.append((g[c].astype(str) == lv).to_numpy(float))
-    return names, np.stack(cols, axis=1) if cols else np.zeros((len(g), 0))
-
-
-COX_SCHEMA = "variable string, level string, " + FIT_SCHEMA
-
-
 def cox(df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), joint: bool = True, auto_repair: bool = False) -> DataFrame:
     """CX1 (joint=False: one covariate at a time, its own complete rows), CX2 and CX8 (joint, rows complete for all).
 
     Categorical covariates take their first level in order as reference. A fit with a faulty term is not estimable as a
     whole, with the reason on every row; with ``auto_repair`` the worst covariate leaves until the rest can be estimated,
-    and its row says so. A key's rows are one cohort.
+    and its row says so. A joint model also has parameters, epv (events for each of them) and a warning below 10. A key
+    may have any number of rows.
     """
-    keys, cont, cate = list(keys), list(cont), list(cate)
-
-    def model(g, cont, cate):
-        names, x = _design(g, cont, cate)
-        t, s = g["time"].to_numpy(float), g["status"].to_numpy(float)
-        n, ev = len(g), int(s.sum())
-        if not names or n < 2 or ev == 0:
-            return [[v, lv, *_row(0, 0, n, ev, "no estimable term")] for v, lv in names or [(c, "") for c in [*cont, *cate]]], (cont + cate)[:1]
-        fit = kernel.fit_one(t, s, x)
-        with np.errstate(all="ignore"):
-            se = np.sqrt(np.diag(fit.cov))
-        why = [kernel.verdict(b, e, fit.converged) for b, e in zip(fit.beta, se, strict=True)]
-        worst = [v for (v, _), w in zip(names, why, strict=True) if w]
-        if not worst:
-            return [[v, lv, *_row(b, e, n, ev, None)] for (v, lv), b, e in zip(names, fit.beta, se, strict=True)], []
-        # what carries no information goes first: a constant term, then the last one that others determine
-        flat = [v for (v, _), c in zip(names, x.T, strict=True) if np.ptp(c) == 0]
-        rank = [int(np.linalg.matrix_rank(x[:, : j + 1] - x[:, : j + 1].mean(axis=0))) for j in range(x.shape[1])]
-        bound = [names[j][0] for j in range(x.shape[1]) if rank[j] == (rank[j - 1] if j else 0)]
-        size = [abs(b) if np.isfinite(b) else np.inf for b in fit.beta]
-        first = flat[0] if flat else bound[-1] if bound else names[int(np.argmax(size))][0] if not fit.converged else worst[0]
-        whole = "not estimable: " + "; ".join(sorted({w for w in why if w}))
-        return [[v, lv, *_row(0, 0, n, ev, whole)] for v, lv in names], [first]
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        head = [g[k].iloc[0] for k in keys]
-        rows = []
-        if not joint:
-            for c in cont:
-                rows += model(g.dropna(subset=[c]), [c], [])[0]
-            for c in cate:
-                rows += model(g.dropna(subset=[c]), [], [c])[0]
-        else:
-            g = g.dropna(subset=[*cont, *cate])
-            left = [list(cont), list(cate)]
-            while True:
-                got, drop = model(g, *left)
-                if not drop or not auto_repair or len(left[0]) + len(left[1]) <= 1:
-                    rows += got
-                    break
-                left = [[c for c in part if c not in drop] for part in left]
-                rows += [[c, "", *_row(0, 0, len(g), int(g["status"].sum()), "removed by repair")] for c in drop]
-        return pd.DataFrame([[*head, *r] for r in rows], columns=[*keys, *(c.split()[0] for c in COX_SCHEMA.split(", "))])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + COX_SCHEMA
-    rows = df.select(*keys, "time", "status", *cont, *cate).where("time >= 0 AND status IN (0, 1)")
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    keys, rows = list(keys), df.where("time >= 0 AND status IN (0, 1)")
+    if joint:
+        out = fit_models(rows, keys, cont, cate, auto_repair)
+        few = F.when(F.col("reason").isNull() & (F.col("epv") < LEAST_EPV), F.lit("fewer than 10 events per variable"))
+        return out.withColumn("warning", few)
+    parts = []
+    for names, kind, sort in ((list(cont), "double", True), (list(cate), "string", False)):
+        if names:
+            each = F.explode(F.array(*(F.struct(F.lit(c).alias("_variable"), F.col(c).cast(kind).alias("_x")) for c in names))).alias("_e")
+            one = rows.select(*keys, "time", "status", each).select(*keys, "time", "status", "_e.*")
+            fits = fit_models(one, [*keys, "_variable"], ["_x"] if sort else [], [] if sort else ["_x"])
+            parts.append(fits.withColumn("variable", F.col("_variable")).select(*keys, *(c.split()[0] for c in COX_SCHEMA.split(", "))))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def screen_adjust(df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), threshold: float = 0.05) -> DataFrame:
     """CX5: univariable fits side by side with the joint model of the covariates below the threshold in any level.
 
-    The chosen covariates differ by key, so the joint model is fitted per key on its own choice.
+    The chosen covariates differ by key; keys with the same choice are fitted together, on the rows complete for it.
     """
     keys, cont, cate = list(keys), list(cont), list(cate)
-    uni = cox(df, keys, cont, cate, joint=False)
-    chosen = uni.where(F.col("p") < threshold).groupBy(*keys).agg(F.collect_set("variable").alias("_chosen"))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        pick = set(g["_chosen"].iloc[0])
-        c1, c2 = [c for c in cont if c in pick], [c for c in cate if c in pick]
-        g = g.dropna(subset=[*c1, *c2])
-        names, x = _design(g, c1, c2)
-        fit = kernel.fit_one(g["time"].to_numpy(float), g["status"].to_numpy(float), x)
-        with np.errstate(all="ignore"):
-            se = np.sqrt(np.diag(fit.cov))
-        ev = int(g["status"].sum())
-        rows = [[*(g[k].iloc[0] for k in keys), v, lv, *_row(b, e, len(g), ev, kernel.verdict(b, e, fit.converged))] for (v, lv), b, e in zip(names, fit.beta, se, strict=True)]
-        return pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in COX_SCHEMA.split(", "))])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + COX_SCHEMA
-    rows = df.select(*keys, "time", "status", *cont, *cate).where("time >= 0 AND status IN (0, 1)").join(chosen, keys)
-    multi = rows.groupBy(*keys).applyInPandas(one, schema)
-    keep = [*keys, "variable", "level"]
-    return uni.select(*keep, "hr", "p", "reason").join(multi.select(*keep, F.col("hr").alias("hr_joint"), F.col("p").alias("p_joint"), F.col("reason").alias("reason_joint")), keep, "left")
-
-
-def ph(df: DataFrame, keys: Sequence[str], cont: Sequence[str]) -> DataFrame:
-    """CX9: proportional-hazards test per term and GLOBAL, with Kaplan-Meier time."""
-    keys, cont = list(keys), list(cont)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=cont)
-        got = kernel.ph_test(g["time"].to_numpy(float), g["status"].to_numpy(float), g[cont].to_numpy(float))
-        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), t, *x] for t, x in zip([*cont, "GLOBAL"], got, strict=True)], columns=[*keys, "term", "chisq", "df", "p"])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", term string, chisq double, df double, p double"
-    return df.select(*keys, "time", "status", *cont).where("time >= 0 AND status IN (0, 1)").groupBy(*keys).applyInPandas(one, schema)
+    uni = kept(cox(df, keys, cont, cate, joint=False)).df
+    order = [*cont, *cate]
+    chosen = uni.where(F.col("p") < threshold).groupBy(*keys).agg(F.array_sort(F.collect_set("variable")).alias("_chosen"))
+    multi = None
+    for pick in [r[0] for r in chosen.select("_chosen").distinct().collect()]:  # at most one for each set of covariates
+        mine = df.join(chosen.where(F.col("_chosen") == F.array(*map(F.lit, pick))).select(*keys), keys, "left_semi")
+        part = fit_models(mine.where("time >= 0 AND status IN (0, 1)"), keys, [c for c in order if c in pick and c in cont], [c for c in order if c in pick and c in cate])
+        multi = part if multi is None else multi.unionByName(part)
+    shown = [*keys, "variable", "level"]
+    uni = uni.select(*shown, "hr", "p", "reason")
+    if multi is None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("hr_joint", "double"), ("p_joint", "double"), ("reason_joint", "string"))]
+        return uni.select("*", *none)
+    return uni.join(multi.select(*shown, F.col("hr").alias("hr_joint"), F.col("p").alias("p_joint"), F.col("reason").alias("reason_joint")), shown, "left")
+
+
+def ph(df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = ()) -> DataFrame:
+    """CX9: proportional-hazards test per term (term, level) and GLOBAL, with Kaplan-Meier time. A key may have any number of rows."""
+    d = Design(df.where("time >= 0 AND status IN (0, 1)"), keys, cont, cate)
+    fits = kept(d.fitted()).df
+    tests = residual_test(d.rows, fits, d.keys, d.p, d.blocks)
+    named = tests.join(fits.select(*d.keys, "terms"), d.keys)
+    return named.select(*d.keys, F.when(F.col("j") < 0, "GLOBAL").otherwise(F.get("terms", F.col("j"))["variable"]).alias("term"), F.when(F.col("j") < 0, "").otherwise(F.get("terms", F.col("j"))["level"]).alias("level"), "chisq", "df", "p")
 
 
 def score_at_zero(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
     return at
+
+
+class Kept(NamedTuple):
+    """A table in the shared folder."""
+
+    df: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        """Delete its files; nothing may read the table after."""
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> Kept:
+    """The rows, written to the shared folder and read back: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Kept(spark.read.schema(df.schema).parquet(path), path)
