@@ -295,6 +295,7 @@ _MAKERS = M + ", mk AS (SELECT dataset, sample_id, gene, time, status, CASE WHEN
 _q("cx3_screen_joint", lambda s, d: r6(meta.adjust(cox.screen(merged(s, d), joint=True), "p", family=["dataset"]), *_FIT, "p_adj"), f"WITH {M}, {_joint_sql('m')}")
 _q("cx3_small_panel", lambda s, d: r6(meta.adjust(cox.screen(_makers(s, d), joint=True), "p", family=["dataset"]), *_FIT, "p_adj"), f"WITH {_MAKERS}, {_joint_sql('mk')}")
 _q("cx3_screen", lambda s, d: r6(cox.screen(merged(s, d)), *_FIT), f"WITH {M}, {_fits('m')} SELECT * EXCLUDE (b_full, se_full) FROM fits")
+_q("cx3_any_size", lambda s, d: r6(cox.screen(merged(s, d), large=0), *_FIT), f"WITH {M}, {_fits('m')} SELECT * EXCLUDE (b_full, se_full) FROM fits")
 _q("cx4_across_cohorts", lambda s, d: r6(meta.adjust(cox.screen(one_gene(s, d).withColumn("value", F.col("value") / F.lit(10000.0)), scale=False)), *_FIT, "p_adj"),
    f"WITH {ONE}, o2 AS (SELECT * REPLACE (value / 10000.0::DOUBLE AS value) FROM o), {_fits('o2', scale=False)}, {_BH.format(part='1', p=_PF)} SELECT fits.* EXCLUDE (b_full, se_full), round(p_adj, 6) AS p_adj FROM fits LEFT JOIN p_adj USING (dataset, gene)")
 # covariates below the threshold differ by cohort: in SQL the columns of the others are zeros

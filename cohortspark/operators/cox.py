@@ -27,20 +27,60 @@ def _row(b, se, n, events, reason):
     return [int(n), int(events), b, se, *([None] * 4 if bad else [float(np.exp(b)), float(np.exp(b - Z * se)), float(np.exp(b + Z * se)), normal_two_sided(b / se)]), reason]
 
 
-def screen(df: DataFrame, gene: str = "gene", buckets: int = 8, scale: bool = True, min_n: int = 10, min_events: int = 5, joint: bool = False) -> DataFrame:
+#: Cells (samples by genes) of a matrix that a task fits at once, and samples of a cohort from which its fits are sums over DataFrames.
+CELLS, LARGE = 4_000_000, 500_000
+
+
+def screen(df: DataFrame, gene: str = "gene", buckets: int | None = None, scale: bool = True, min_n: int = 10, min_events: int = 5, joint: bool = False, large: int | None = None) -> DataFrame:
     """Univariable fits of every gene in every cohort (CX3, CX4, the first stage of MT6): dataset, gene, n, events, estimate, reason.
 
     Rows: dataset, sample_id, gene, time, status, value. Only complete rows count; ``joint`` keeps the samples complete for
     all genes that the rows have for the cohort. With ``scale`` a marker has mean 0 and sample deviation 1 within its cohort. Genes
-    of a cohort are hashed into buckets; a bucket is one task's matrix of samples by genes, fitted in one batch. Failures
-    stay as rows with null estimates and a reason.
+    of a cohort are hashed into buckets (as many as its cells ask for); a bucket is one task's matrix of samples by genes, fitted in one
+    batch. A cohort with more than ``large`` samples (LARGE) is fitted by sums per distinct time instead, with the same
+    results. Failures stay as rows with null estimates and a reason.
     """
     ok = df.where(F.col("time").isNotNull() & (F.col("time") >= 0) & F.col("status").isin(0, 1) & F.col("value").isNotNull() & ~F.isnan("value"))
     if joint:
         listed = df.where(F.col(gene).isNotNull()).groupBy("dataset").agg(F.countDistinct(gene).alias("_listed"))
         whole = ok.groupBy("dataset", "sample_id").agg(F.countDistinct(gene).alias("_genes")).join(listed, "dataset").where("_genes = _listed")
         ok = ok.join(whole, ["dataset", "sample_id"], "left_semi")
-    keyed = ok.withColumn("_bucket", F.pmod(F.xxhash64(gene), F.lit(buckets)))
+    ok = ok.select("dataset", "sample_id", F.col(gene).alias("gene"), "time", "status", "value")
+    gene = "gene"
+    most = LARGE if large is None else large
+    # a gene has at most one row for each sample, so the samples of the fullest gene tell the size
+    sizes = kept(ok.groupBy("dataset", "gene").agg(F.count(F.lit(1)).alias("_n")).groupBy("dataset").agg(F.sum("_n").alias("_cells"), F.max("_n").alias("_samples"))).df
+    fits = _screen_matrices(ok.join(sizes.where(F.col("_samples") <= most), "dataset"), buckets, scale, min_n, min_events)
+    if not sizes.where(F.col("_samples") > most).isEmpty():
+        fits = fits.unionByName(_screen_sums(ok.join(sizes.where(F.col("_samples") > most).select("dataset"), "dataset"), scale, min_n, min_events))
+    if not joint:
+        return fits
+    # genes of a cohort without a complete sample
+    none = df.where(F.col(gene).isNotNull()).select("dataset", F.col(gene).alias("gene")).distinct().join(whole.select("dataset").distinct(), "dataset", "left_anti")
+    null = [F.lit(None).cast("double").alias(c) for c in ("b", "se", "hr", "lower", "upper", "p")]
+    return fits.unionByName(none.select("dataset", "gene", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("events"), *null, F.lit(f"fewer than {min_n} complete samples").alias("reason")))
+
+
+def _screen_sums(ok: DataFrame, scale: bool, min_n: int, min_events: int) -> DataFrame:
+    """The same fits by sums per distinct time: any number of samples."""
+    one = ok.groupBy("dataset", "sample_id", "gene").agg(F.max("time").alias("time"), F.max("status").alias("status"), F.max("value").alias("value"))
+    k = one.groupBy("dataset", "gene").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("status").cast("long")).alias("events"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    flat = ~F.coalesce(F.col("_s") > 1e-12 * F.greatest(F.lit(1.0), F.abs("_m")), F.lit(False))
+    why = F.when(F.col("n") < min_n, f"fewer than {min_n} complete samples").when(F.col("events") < min_events, f"fewer than {min_events} events").when(F.col("events") == F.col("n"), "no censored sample").when(flat, "constant marker")
+    k = kept(k.withColumn("reason", why)).df
+    z = one.join(k.where("reason IS NULL").select("dataset", "gene", "_m", "_s"), ["dataset", "gene"])
+    z = z.select("dataset", "gene", "time", "status", ((F.col("value") - F.col("_m")) / F.col("_s") if scale else F.col("value")).alias("value"))
+    names = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
+    fits = fit_models(z, ["dataset", "gene"], ["value"]).withColumn("reason", F.regexp_replace("reason", "^not estimable: ", "")).select("dataset", "gene", *names)
+    null = [F.lit(None).cast("double").alias(c) for c in ("b", "se", "hr", "lower", "upper", "p")]
+    return fits.unionByName(k.where("reason IS NOT NULL").select("dataset", "gene", "n", "events", *null, "reason"))
+
+
+def _screen_matrices(ok: DataFrame, buckets: int | None, scale: bool, min_n: int, min_events: int) -> DataFrame:
+    """Fits of matrices of samples by genes, one a task. Rows also have _cells, the number of rows of their cohort."""
+    share = F.lit(buckets) if buckets else F.greatest(F.lit(1), F.ceil(F.col("_cells") / F.lit(float(CELLS)))).cast("int")
+    keyed = ok.withColumn("_bucket", F.pmod(F.xxhash64("gene"), share))
+    gene = "gene"
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         wide = g.pivot_table(index="sample_id", columns=gene, values="value", aggfunc="max")
@@ -64,13 +104,7 @@ def screen(df: DataFrame, gene: str = "gene", buckets: int = 8, scale: bool = Tr
             rows.append([g["dataset"].iloc[0], name, *_row(fit.beta[j] if fit else 0, fit.se[j] if fit else 0, n[j], events[j], why)])
         return pd.DataFrame(rows, columns=["dataset", "gene", *(c.split()[0] for c in FIT_SCHEMA.split(", "))])
 
-    fits = keyed.select("dataset", "_bucket", "sample_id", gene, "time", "status", "value").groupBy("dataset", "_bucket").applyInPandas(one, "dataset string, gene string, " + FIT_SCHEMA)
-    if not joint:
-        return fits
-    # genes of a cohort without a complete sample
-    none = df.where(F.col(gene).isNotNull()).select("dataset", F.col(gene).alias("gene")).distinct().join(whole.select("dataset").distinct(), "dataset", "left_anti")
-    null = [F.lit(None).cast("double").alias(c) for c in ("b", "se", "hr", "lower", "upper", "p")]
-    return fits.unionByName(none.select("dataset", "gene", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("events"), *null, F.lit(f"fewer than {min_n} complete samples").alias("reason")))
+    return keyed.select("dataset", "_bucket", "sample_id", gene, "time", "status", "value").groupBy("dataset", "_bucket").applyInPandas(one, "dataset string, gene string, " + FIT_SCHEMA)
 
 
 def panel(df: DataFrame, method: str = "REML", pi: str = "t", fdr: str = "BH", **how) -> tuple[DataFrame, DataFrame]:
