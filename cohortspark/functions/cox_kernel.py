@@ -7,8 +7,6 @@ from typing import NamedTuple
 
 import numpy as np
 
-from cohortspark.functions.stats import chi2_sf
-
 MAX_STEPS, TOLERANCE = 20, 1e-12
 #: A fit beyond these is not estimable.
 MAX_BETA, MAX_SE = 20.0, 10.0
@@ -88,66 +86,85 @@ def fit_many(time: np.ndarray, status: np.ndarray, x: np.ndarray) -> Batch:
     return Batch(b, se, use.sum(axis=0), events, ll, score0, done)
 
 
-class Fit(NamedTuple):
+class Shared(NamedTuple):
+    """One entry per marker: the marker's coefficient and error beside covariates that all markers share."""
+
     beta: np.ndarray
-    cov: np.ndarray
-    loglik: float
-    converged: bool
+    se: np.ndarray
+    converged: np.ndarray
 
 
-def fit_one(time: np.ndarray, status: np.ndarray, x: np.ndarray, weight=None) -> Fit:
-    """Newton fit of several covariates."""
+#: Condition number of the information from which columns count as dependent.
+MOST_CONDITION = 1e12
+
+
+def fit_shared(time: np.ndarray, status: np.ndarray, x: np.ndarray, z: np.ndarray) -> Shared:
+    """Newton fits of every marker (a column of x; NaN rows weigh nothing) with the same covariates z (rows by columns).
+
+    The sums at risk are arrays of rows by markers for every pair of columns of (marker, z), so all markers move together and
+    each has its own small system to solve.
+    """
     order, first, last = _order(time)
-    x = x[order] - x.mean(axis=0)
-    s = status[order].astype(float)
-    p = x.shape[1]
-    d = np.add.reduceat(s, first)
-    rows = np.repeat(np.arange(len(first)), last - first + 1)
-    outer = x[:, :, None] * x[:, None, :]
+    x, z, s = x[order], z[order], status[order].astype(float)
+    use = np.isfinite(x)
+    x = np.where(use, x, 0.0)
+    p, wide = 1 + z.shape[1], x.shape[1]
+    column = lambda i: x if i == 0 else z[:, i - 1 : i]
+    ev = use * s[:, None]
+    d = np.add.reduceat(ev, first, axis=0)
+    most = int(d.max(initial=0))
+    total = np.stack([(ev * column(i)).sum(axis=0) for i in range(p)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
-    def evaluate(b):
-        eta = np.clip(x @ b, -500, 500)
-        r = np.exp(eta)
-        s0, s1, s2 = np.cumsum(r)[last], np.cumsum(r[:, None] * x, axis=0)[last], np.cumsum(r[:, None, None] * outer, axis=0)[last]
-        e = r * s
-        t0, t1, t2 = np.add.reduceat(e, first), np.add.reduceat(e[:, None] * x, first, axis=0), np.add.reduceat(e[:, None, None] * outer, first, axis=0)
-        ll, u, info = float((s * eta).sum()), (s[:, None] * x).sum(axis=0), np.zeros((p, p))
-        for k in range(int(d.max(initial=0))):
-            on = np.flatnonzero(d > k)
-            f = k / d[on]
-            a0, a1, a2 = s0[on] - f * t0[on], s1[on] - f[:, None] * t1[on], s2[on] - f[:, None, None] * t2[on]
-            m = a1 / a0[:, None]
-            ll -= float(np.log(a0).sum())
-            u = u - m.sum(axis=0)
-            info = info + (a2 / a0[:, None, None] - m[:, :, None] * m[:, None, :]).sum(axis=0)
+    def evaluate(b: np.ndarray):
+        eta = np.clip(x * b[0] + z @ b[1:], -500, 500)
+        r = use * np.exp(eta)
+        sums = {}
+        for key, v in [((), r), *(((i,), r * column(i)) for i in range(p)), *(((i, j), r * column(i) * column(j)) for i, j in pairs)]:
+            sums[key] = np.cumsum(v, axis=0)[last], np.add.reduceat(v * s[:, None], first, axis=0)
+        ll, u, info = (ev * eta).sum(axis=0), total.copy(), np.zeros((wide, p, p))
+        for k in range(most):
+            on = d > k
+            f = np.where(on, k / np.maximum(d, 1), 0)
+            a = {key: np.where(on, a - f * t, 0.0) for key, (a, t) in sums.items()}
+            a0 = np.where(on, a[()], 1.0)
+            m = [a[(i,)] / a0 for i in range(p)]
+            ll -= np.log(a0).sum(axis=0)
+            for i in range(p):
+                u[i] -= m[i].sum(axis=0)
+            for i, j in pairs:
+                v = (a[i, j] / a0 - m[i] * m[j]).sum(axis=0)
+                info[:, i, j] += v
+                info[:, j, i] = info[:, i, j]
         return ll, u, info
 
-    del rows
-    b = np.zeros(p)
-    ok = False
+    b = np.zeros((p, wide))
     with np.errstate(all="ignore"):
         ll, u, info = evaluate(b)
+        done, dead = np.zeros(wide, dtype=bool), np.zeros(wide, dtype=bool)
         for _ in range(MAX_STEPS):
-            try:
-                step = np.linalg.solve(info, u)
-            except np.linalg.LinAlgError:
+            dead |= ~np.isfinite(info).all(axis=(1, 2))
+            sound = np.where(dead[:, None, None], np.eye(p), info)
+            dead |= ~(np.linalg.cond(sound) < MOST_CONDITION)
+            step = np.zeros((p, wide))
+            move = ~(done | dead)
+            if not move.any():
                 break
+            step[:, move] = np.linalg.solve(info[move], u[:, move].T[:, :, None])[:, :, 0].T
             new = b + step
             ll2, u2, info2 = evaluate(new)
             for _half in range(10):
-                if ll2 >= ll - 1e-12:
+                worse = move & ~(ll2 >= ll - 1e-12)
+                if not worse.any():
                     break
-                new = (new + b) / 2
+                new = np.where(worse, (new + b) / 2, new)
                 ll2, u2, info2 = evaluate(new)
-            ok = abs(ll2 - ll) <= TOLERANCE * max(1.0, abs(ll2))
+            done |= move & (np.abs(ll2 - ll) <= TOLERANCE * np.maximum(1.0, np.abs(ll2)))
             b, ll, u, info = new, ll2, u2, info2
-            if ok:
-                break
-        try:
-            cov = np.linalg.inv(info)
-        except np.linalg.LinAlgError:
-            cov = np.full((p, p), np.nan)
-    return Fit(b, cov, ll, ok)
+        se = np.full(wide, np.nan)
+        good = np.isfinite(info).all(axis=(1, 2)) & ~dead
+        se[good] = np.sqrt(np.linalg.inv(info[good])[:, 0, 0])
+    return Shared(b[0], se, done & ~dead)
 
 
 def verdict(beta: float, se: float, converged: bool) -> str | None:
@@ -163,97 +180,3 @@ def verdict(beta: float, se: float, converged: bool) -> str | None:
     if se > MAX_SE:
         return "standard error beyond 10"
     return None
-
-
-def ph_test(time: np.ndarray, status: np.ndarray, x: np.ndarray) -> list[tuple[float, float, float]]:
-    """CX9: score test of each coefficient's change with Kaplan-Meier time, then of all: (chi-square, df, p)."""
-    fit = fit_one(time, status, x)
-    order, first, last = _order(time)
-    xs, s = x[order] - x.mean(axis=0), status[order].astype(float)
-    r = np.exp(np.clip(xs @ fit.beta, -500, 500))
-    p = x.shape[1]
-    outer = xs[:, :, None] * xs[:, None, :]
-    s0, s1, s2 = np.cumsum(r)[last], np.cumsum(r[:, None] * xs, axis=0)[last], np.cumsum(r[:, None, None] * outer, axis=0)[last]
-    e = r * s
-    t0, t1, t2 = np.add.reduceat(e, first), np.add.reduceat(e[:, None] * xs, first, axis=0), np.add.reduceat(e[:, None, None] * outer, first, axis=0)
-    d, xd = np.add.reduceat(s, first), np.add.reduceat(s[:, None] * xs, first, axis=0)
-    # transform: one minus the survival just before each time (times fall along the arrays)
-    n = last + 1.0
-    g = 1 - np.append(np.cumprod((1 - d / n)[::-1])[:-1][::-1], 1.0) if len(d) > 1 else np.zeros(1)
-    g = g - (g * d).sum() / d.sum()
-    u, v11, v12, v22 = np.zeros(p), np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
-    for i in range(len(d)):
-        for k in range(int(d[i])):
-            f = k / d[i]
-            a0, a1, a2 = s0[i] - f * t0[i], s1[i] - f * t1[i], s2[i] - f * t2[i]
-            m = a1 / a0
-            v = a2 / a0 - np.outer(m, m)
-            u += g[i] * (xd[i] / d[i] - m)
-            v11, v12, v22 = v11 + v, v12 + g[i] * v, v22 + g[i] ** 2 * v
-    try:
-        inner = v22 - v12 @ np.linalg.inv(v11) @ v12
-        out = [(float(u[j] ** 2 / inner[j, j]), 1.0) for j in range(p)]
-        out.append((float(u @ np.linalg.solve(inner, u)), float(p)))
-    except np.linalg.LinAlgError:
-        return [(math.nan, 1.0, math.nan)] * p + [(math.nan, float(p), math.nan)]
-    return [(c, df, chi2_sf(c, df)) for c, df in out]
-
-
-def fine_gray(time: np.ndarray, status: np.ndarray, x: np.ndarray, cause: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """CR4: subdistribution hazards for one cause with censoring weights; patient-clustered sandwich errors.
-
-    After a competing event at t_i a patient stays at risk with weight G(t-)/G(t_i-), G the Kaplan-Meier curve of
-    censoring. Nothing is expanded: at each event time the competing patients' sums are scaled by G(t-).
-    """
-    x = x - x.mean(axis=0)
-    n, p = x.shape
-    order = np.argsort(time, kind="stable")
-    t, s, x = time[order], status[order], x[order]
-    grid = np.unique(t)
-    risk = np.array([(t >= u).sum() for u in grid], float)
-    # deaths leave before censorings of the same time
-    gone = np.array([((t == u) & (s != 0)).sum() for u in grid], float)
-    cens = np.array([((t == u) & (s == 0)).sum() for u in grid], float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        step = np.where(risk - gone > 0, 1 - cens / (risk - gone), 1.0)
-    before = np.concatenate([[1.0], np.cumprod(step)[:-1]])
-    g_at = before[np.searchsorted(grid, t)]
-    own, other = s == cause, (s != cause) & (s != 0)
-    times = np.unique(t[own])
-    gt = before[np.searchsorted(grid, times)]
-    d = np.array([(own & (t == u)).sum() for u in times], float)
-    # weights: patients by event time (n x m) in blocks of what is a cohort
-    w = np.where(t[:, None] >= times[None], 1.0, np.where(other[:, None], gt[None] / g_at[:, None], 0.0))
-    b, ok = np.zeros(p), False
-    for _ in range(50):
-        r = np.exp(np.clip(x @ b, -500, 500))
-        wr = w * r[:, None]
-        s0 = wr.sum(axis=0)
-        m = (wr.T @ x) / s0[:, None]
-        u = x[own].sum(axis=0) - (d[:, None] * m).sum(axis=0)
-        info = np.zeros((p, p))
-        for j in range(len(times)):
-            info += d[j] * ((x * wr[:, j : j + 1]).T @ x / s0[j] - np.outer(m[j], m[j]))
-        try:
-            move = np.linalg.solve(info, u)
-        except np.linalg.LinAlgError:
-            break
-        b = b + move
-        if np.abs(move).max() < 1e-9:
-            ok = True
-            break
-    # score residuals by patient
-    r = np.exp(np.clip(x @ b, -500, 500))
-    wr = w * r[:, None]
-    s0 = wr.sum(axis=0)
-    m = (wr.T @ x) / s0[:, None]
-    res = np.zeros((n, p))
-    at = np.searchsorted(times, t[own])
-    res[own] = x[own] - m[at]
-    hazard = d / s0
-    res -= (wr * hazard).sum(axis=1)[:, None] * x - (wr * hazard) @ m
-    try:
-        inv = np.linalg.inv(info)
-    except np.linalg.LinAlgError:
-        return b, np.full((p, p), np.nan), False
-    return b, inv @ (res.T @ res) @ inv, ok

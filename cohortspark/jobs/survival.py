@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.jobs import sql_models
-from cohortspark.operators import competing, cox, km, meta, roc
+from cohortspark.operators import competing, cox, km, meta, roc, two_stage
 from cohortspark.sources.adapters import expr, surv, with_views
 
 K = ["dataset", "gene"]
@@ -382,7 +382,7 @@ fg AS MATERIALIZED (SELECT r0.*, g, CASE WHEN code NOT IN (0, 1) THEN 1 / g ELSE
 _FGZ = _ROUNDED.replace("1.96", str(competing.Z))
 _q("cr4_fine_gray", lambda s, d: r6(competing.fine_gray(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance", "nation"]), *_FIT),
    f"WITH {_FG}, {sql_models.newton('fg', 'dataset', ['balance', 'nation'], weighted=True)}, {sql_models.terms('dataset', [('balance', ''), ('nation', '')])}, {sql_models.robust('dataset', 2)}, ff AS (SELECT f.dataset, variable, level, n, events, b, sqrt([k0, k1][j + 1]) / [s0, s1][j + 1] AS se FROM qfit f JOIN rob USING (dataset) JOIN (SELECT dataset, s0, s1 FROM qabout) USING (dataset)) SELECT dataset, variable, level, n, events, {_FGZ}, CAST(NULL AS VARCHAR) AS reason FROM ff")
-_q("mt1_two_stage", lambda s, d: r6(cox.two_stage(one_gene(s, d))[0], *_FIT), f"WITH {ONE}, {_fits('o')} SELECT * EXCLUDE (b_full, se_full) FROM fits WHERE reason IS NULL")
+_q("mt1_two_stage", lambda s, d: r6(two_stage.two_stage(one_gene(s, d))[0].drop('parameters', 'epv', 'covariates_used'), *_FIT), f"WITH {ONE}, {_fits('o')} SELECT * EXCLUDE (b_full, se_full) FROM fits WHERE reason IS NULL")
 _q("mt2_pool_dl", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"]), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene')} SELECT gene, {_POOL_OUT} FROM pooled")
 _q("mt2_pool_fe", lambda s, d: r6(meta.pool_sums(peto(s, d), ["gene"], "FE"), *_POOL_ROUND), f"WITH {PETO}, {_pool('est', 'gene', dl=False)} SELECT gene, {_POOL_OUT} FROM pooled")
 _q("mt2_pool_reml", lambda s, d: r6(meta.pool_groups(peto(s, d), ["gene"]), *_META_ROUND), f"WITH RECURSIVE {{views}}, {PETO}, {_meta('est')} SELECT {_META} FROM pools")
@@ -405,7 +405,11 @@ def _pv(s, d):
 
 for _m, _e in _ADJ.items():
     _q(f"mt5_adjust_{_m.lower()}", lambda s, d, m=_m: r6(meta.adjust(_pv(s, d), "p", m, ["dataset"]), "p", "p_adj"), f"WITH {_P} SELECT dataset, gene, round(p, 6) AS p, round(least(1.0, {_e}), 6) AS p_adj FROM rk")
-_q("mt5_adjust_hommel", lambda s, d: meta.adjust(_pv(s, d), "p", "hommel", ["dataset"]))
+_q("mt5_adjust_hommel", lambda s, d: r6(meta.adjust(_pv(s, d), "p", "hommel", ["dataset"]), "p", "p_adj"), f"""WITH {_P},
+h0 AS (SELECT dataset, list(p ORDER BY r) AS ps, max(mm) AS mm FROM rk GROUP BY dataset), h1 AS (SELECT rk.dataset, gene, p, r, rk.mm, ps FROM rk JOIN h0 USING (dataset)),
+h2 AS (SELECT dataset, gene, p, r, mm, ps, unnest(range(2, mm + 1)) AS k FROM h1),
+h3 AS (SELECT *, list_min(list_transform(range(2, k + 1), lambda i: k * ps[mm - k + i] / i)) AS q FROM h2)
+SELECT dataset, gene, round(p, 6) AS p, round(least(1.0, max(least(k * ps[least(r, mm - k + 1)], q))), 6) AS p_adj FROM h3 GROUP BY dataset, gene, p""")
 
 
 def _classes(s, d):
@@ -414,12 +418,51 @@ def _classes(s, d):
 
 
 for _mode, _ok in (("family", "'Exact-equivalent', 'Clinically-related'"), ("exact", "'Exact-equivalent'")):
-    _q(f"mt8_gate_{_mode}", lambda s, d, m=_mode: cox.two_stage(one_gene(s, d), _classes(s, d), m)[1].where("stage = 'endpoint class'"),
+    _q(f"mt8_gate_{_mode}", lambda s, d, m=_mode: two_stage.two_stage(one_gene(s, d), _classes(s, d), m)[1].where("stage = 'endpoint class'"),
        f"WITH c AS (SELECT DISTINCT dataset, CASE WHEN dataset < 'C' THEN 'Exact-equivalent' WHEN dataset < 'G' THEN 'Not-poolable' ELSE 'Clinically-related' END AS pc FROM surv) SELECT dataset, 'endpoint class' AS stage, 'pooling class ' || pc AS reason FROM c WHERE pc NOT IN ({_ok})")
-_q("mt6_panel", lambda s, d: r6(cox.panel(merged(s, d))[0], *_META_ROUND, "fdr"),
+_q("mt6_panel", lambda s, d: r6(two_stage.panel(merged(s, d))[0], *_META_ROUND, "fdr"),
    f"""WITH RECURSIVE {{views}}, {M}, {_fits('m')}, fe AS (SELECT dataset, gene, b_full AS b, se_full AS se FROM fits WHERE reason IS NULL), {_meta('fe')}, fc AS (SELECT gene, count(*) AS cohorts, count(reason)::BIGINT AS n_failed FROM fits GROUP BY gene),
 fd AS (SELECT gene, least(1.0, min(p_full * mm / r) OVER (ORDER BY r DESC)) AS fdr FROM (SELECT gene, p_full, row_number() OVER (ORDER BY p_full) AS r, count(*) OVER () AS mm FROM pools) x)
 SELECT fc.gene, cohorts, n_failed, {_META.removeprefix('gene, ')}, round(fdr, 6) AS fdr FROM fc JOIN pools USING (gene) JOIN fd USING (gene)""")
+
+
+def _marker(s, d):
+    """One marker with confounders: a number, a category, and a number that one cohort lacks and that is constant in another."""
+    x = _covariates(s, d)
+    return x.withColumn("dose", F.when(F.col("dataset") == "BUILDING", F.lit(None).cast("double")).when(F.col("dataset") == "MACHINERY", 1.0).otherwise(F.pmod(F.col("sample_id"), F.lit(7)).cast("double")))
+
+
+_PER_SD = f"qsd AS (SELECT dataset, n, events, b0 AS b, sqrt(c0_0) AS se FROM qb9 JOIN qcov USING (dataset) JOIN qabout USING (dataset))"  # noqa: F541
+_q("mt1_confounders", lambda s, d: r6(two_stage.two_stage(_covariates(s, d), cont=["balance"], cate=["nation"])[0], *_FIT, "epv"),
+   f"WITH {ONE}, {_COVARIATES}, {sql_models.newton('oc', 'dataset', _DUMMIES)}, {_PER_SD} SELECT dataset, 'Brand#11' AS gene, n, events, {_ROUNDED}, 5 AS parameters, round(events / 5.0::DOUBLE, 6) AS epv, CAST(NULL AS VARCHAR) AS reason, 'balance, nation' AS covariates_used FROM qsd")
+_MASK = "mask AS (SELECT DISTINCT dataset, 1 AS on0, 1 AS on1, CASE WHEN dataset IN ('BUILDING', 'MACHINERY') THEN 0 ELSE 1 END AS on2 FROM oc)"
+_q("mt1_repaired", lambda s, d: r6(two_stage.two_stage(_marker(s, d), cont=["balance", "dose"], auto_repair=True)[0], *_FIT, "epv"),
+   f"WITH {ONE}, oc AS MATERIALIZED (SELECT dataset, time, status, value / 10000.0::DOUBLE AS value, balance / 1000.0::DOUBLE AS balance, (sample_id % 7)::DOUBLE AS dose FROM o WHERE time >= 0), {_MASK}, {sql_models.newton('oc', 'dataset', ['value', 'balance', 'dose'], mask='mask')}, {_PER_SD} SELECT dataset, 'Brand#11' AS gene, n, events, {_ROUNDED}, 2 + on2 AS parameters, round(events / (2 + on2)::DOUBLE, 6) AS epv, CAST(NULL AS VARCHAR) AS reason, CASE WHEN on2 = 1 THEN 'balance, dose' ELSE 'balance' END AS covariates_used FROM qsd JOIN mask USING (dataset)")
+
+
+def _gates(s, d):
+    """The gates of an analysis: recorded tokens, one of them in conflict; two cohorts with shared patients."""
+    pairs = s.createDataFrame([("AUTOMOBILE", "FURNITURE", 7)], "a string, b string, shared long")
+    groups = s.createDataFrame([("AUTOMOBILE", "AUTOMOBILE"), ("FURNITURE", "AUTOMOBILE")], "accession string, root string")
+    classes = _classes(s, d).withColumn("pooling_class", F.lit("Exact-equivalent"))
+    tokens = classes.select("dataset", F.when(F.col("dataset") == "HOUSEHOLD", "DFS").otherwise(F.col("token")).alias("token"))
+    return {"classes": classes, "tokens": tokens, "overlaps": (groups, pairs), "overlap": "dedupe"}
+
+
+_q("mt1_ledger", lambda s, d: two_stage.two_stage(_marker(s, d), cont=["balance", "dose"], **_gates(s, d))[1],
+   f"""WITH {ONE}, size AS (SELECT dataset, count(DISTINCT sample_id) AS n FROM o GROUP BY dataset), two AS (SELECT *, row_number() OVER (ORDER BY n DESC, dataset) AS r, first(dataset) OVER w AS best, first(n) OVER w AS most FROM size WHERE dataset IN ('AUTOMOBILE', 'FURNITURE') WINDOW w AS (ORDER BY n DESC, dataset)),
+lost AS (SELECT dataset, 'overlap' AS stage, 'shares patients with ' || best || ': ' || most || ' samples against ' || n AS reason FROM two WHERE r > 1),
+conflict AS (SELECT dataset, 'pooling' AS stage, 'endpoint token conflict: analysis uses DFS, classification records RFS' AS reason FROM size WHERE dataset = 'HOUSEHOLD'),
+conf AS (SELECT dataset, CASE WHEN dataset = 'BUILDING' THEN NULL WHEN dataset = 'MACHINERY' THEN 1 ELSE sample_id % 7 END AS dose FROM o WHERE dataset NOT IN (SELECT dataset FROM lost UNION SELECT dataset FROM conflict)),
+bad AS (SELECT dataset, 'model' AS stage, 'not estimable without repair: dose ' || CASE WHEN max(dose) IS NULL THEN 'absent from the data' ELSE 'constant in this cohort' END AS reason FROM conf GROUP BY dataset HAVING max(dose) IS NULL OR max(dose) = min(dose))
+SELECT * FROM lost UNION ALL SELECT * FROM conflict UNION ALL SELECT * FROM bad""")
+_q("mt1_ph", lambda s, d: r6(two_stage.ph_by_cohort(_covariates(s, d), ["balance"]), "chisq").drop("p"),
+   f"WITH {ONE}, {_COVARIATES}, {sql_models.newton('oc', 'dataset', ['value', 'balance'])}, {sql_models.change_test('oc', 'dataset', 2)} SELECT dataset, coalesce(['value', 'balance'][j + 1], 'GLOBAL') AS term, '' AS level, round(chisq, 6) AS chisq, CASE WHEN j < 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS df FROM ph")
+_q("mt6_confounders", lambda s, d: r6(two_stage.panel(merged(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), cont=["balance"])[0], *_META_ROUND, "fdr"),
+   f"""WITH RECURSIVE {{views}}, {M}, mb AS MATERIALIZED (SELECT dataset, gene, time, status, value, balance / 1000.0::DOUBLE AS balance FROM m WHERE time >= 0), {sql_models.newton('mb', 'dataset, gene', ['value', 'balance'])},
+fe AS (SELECT dataset, gene, b0 AS b, sqrt(c0_0) AS se FROM qb9 JOIN qcov USING (dataset, gene)), {_meta('fe')}, fc AS (SELECT gene, count(*) AS cohorts, 0::BIGINT AS n_failed FROM fe GROUP BY gene),
+fd AS (SELECT gene, least(1.0, min(p_full * mm / r) OVER (ORDER BY r DESC)) AS fdr FROM (SELECT gene, p_full, row_number() OVER (ORDER BY p_full) AS r, count(*) OVER () AS mm FROM pools) x)
+SELECT fc.gene, cohorts, n_failed, {_META.removeprefix('gene, ')}, round(fdr, 6) AS fdr FROM fc JOIN pools USING (gene) JOIN fd USING (gene)""")
 _q("mt7_leave_one_out", lambda s, d: r6(meta.leave_one_out(peto(s, d), ["gene"]), *_POOL_ROUND),
    f"WITH {PETO}, lo AS (SELECT e.gene, e.dataset, e.b, e.se, x.dataset AS left_out FROM est e JOIN est x ON x.gene = e.gene AND x.dataset <> e.dataset), {_pool('lo', 'gene, left_out')} SELECT gene, left_out, {_POOL_OUT} FROM pooled")
 _q("mt9_concordance", lambda s, d: meta.concordance(peto(s, d), ["gene"]).select("gene", "k", "same"),

@@ -1,4 +1,4 @@
-"""Cox models per cohort and marker (CX1-CX9), two-stage meta-analysis (MT1) and the gene panel (MT6)."""
+"""Cox models per cohort and marker (CX1-CX9)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import cox_kernel as kernel
 from cohortspark.functions.stats import normal_two_sided
 from cohortspark.operators.cox_frame import Design, fit_models, residual_test
-from cohortspark.operators.meta import Z, adjust, pool_groups
+from cohortspark.operators.meta import Z
 from cohortspark.sources.shared import kept
 
 COX_SCHEMA = "variable string, level string, n long, events long, b double, se double, hr double, lower double, upper double, p double, reason string"
@@ -107,35 +107,6 @@ def _screen_matrices(ok: DataFrame, buckets: int | None, scale: bool, min_n: int
     return keyed.select("dataset", "_bucket", "sample_id", gene, "time", "status", "value").groupBy("dataset", "_bucket").applyInPandas(one, "dataset string, gene string, " + FIT_SCHEMA)
 
 
-def panel(df: DataFrame, method: str = "REML", pi: str = "t", fdr: str = "BH", **how) -> tuple[DataFrame, DataFrame]:
-    """MT6: per gene the pooled estimate over cohorts, with p adjusted over genes of two cohorts at least; and the fits.
-
-    Failed fits count in n_failed. Ordered by p; a gene without any fit has null estimates.
-    """
-    fits = screen(df, **how)
-    pooled = pool_groups(fits.where("b IS NOT NULL"), ["gene"], method, pi)
-    counts = fits.groupBy("gene").agg(F.count(F.lit(1)).alias("cohorts"), F.sum(F.col("reason").isNotNull().cast("int")).alias("n_failed"))
-    table = counts.join(pooled, "gene", "left").withColumn("p_family", F.when(F.col("k") >= 2, F.col("p")))
-    return adjust(table, "p_family", fdr).drop("p_family").withColumnRenamed("p_adj", "fdr"), fits
-
-
-def two_stage(df: DataFrame, classes: DataFrame | None = None, pooling: str = "family", **how) -> tuple[DataFrame, DataFrame]:
-    """MT1/MT8: estimates per cohort of one marker and a ledger of exclusions (dataset, stage, reason).
-
-    classes: dataset, token, pooling_class. ``family`` takes exact and clinically related endpoints, ``exact`` only exact
-    ones. Rows need the column gene (one value).
-    """
-    used, ledger = df, None
-    if classes is not None:
-        allowed = ["Exact-equivalent", "Clinically-related"] if pooling == "family" else ["Exact-equivalent"]
-        ok = F.col("pooling_class").isin(allowed)
-        ledger = classes.where(~F.coalesce(ok, F.lit(False))).select("dataset", F.lit("endpoint class").alias("stage"), F.concat(F.lit("pooling class "), F.coalesce("pooling_class", F.lit("Unknown"))).alias("reason"))
-        used = df.join(classes.where(ok).select("dataset"), "dataset", "left_semi")
-    fits = screen(used, **how)
-    failed = fits.where("reason IS NOT NULL").select("dataset", F.lit("fit").alias("stage"), "reason")
-    return fits.where("b IS NOT NULL"), failed if ledger is None else ledger.unionByName(failed)
-
-
 def covariate_levels(df: DataFrame, keys: Sequence[str], min_level: int = 5, near: float = 0.95) -> DataFrame:
     """CX7: per covariate level its patients, events and what is wrong with it.
 

@@ -310,10 +310,10 @@ class Design:
     """Complete rows of a model as columns: keys, block, time, status, x0.. (numbers standardised within their key, one column for each level
     but the first in order), and per key what the columns are.
 
-    ``extra``: other columns that the rows keep.
+    ``extra``: other columns that the rows keep; ``skip_flat``: numbers that do not vary in a key are no columns of it (but for the first).
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), extra: Sequence[str] = (), block_rows: int | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), extra: Sequence[str] = (), block_rows: int | None = None, skip_flat: bool = False):
         self.keys, self.cont, self.cate = list(keys), list(cont), list(cate)
         keys = self.keys
         ok = F.col("time").isNotNull() & F.col("status").isNotNull()
@@ -335,13 +335,15 @@ class Design:
         info = rows.groupBy(*keys).agg(*about)
         # a number that does not vary is a column of zeros
         flat = [~F.coalesce(F.col(f"_s{k}") > 1e-12 * F.greatest(F.lit(1.0), F.abs(f"_m{k}")), F.lit(False)) for k in range(len(self.cont))]
+        info = info.withColumns({f"_f{k}": x for k, x in enumerate(flat)})
+        flat = [F.col(f"_f{k}") for k in range(len(self.cont))]
         info = info.withColumns({f"_s{k}": F.when(flat[k], 1.0).otherwise(F.col(f"_s{k}")) for k in range(len(self.cont))})
         self._kept = kept(info)
         info = self._kept.df
         x, on, names = [], [], []
         for k, c in enumerate(self.cont):
             x.append((F.col(c) - F.col(f"_m{k}")) / F.col(f"_s{k}"))
-            on.append(F.lit(True))
+            on.append(~F.col(f"_f{k}") if skip_flat and k else F.lit(True))
             names.append(F.struct(F.lit(c).alias("variable"), F.lit("").alias("level"), F.col(f"_s{k}").alias("unit")))
         for k, c in enumerate(self.cate):
             for j in range(widths[k]):
@@ -451,14 +453,14 @@ def without_fit(d: Design) -> DataFrame:
     return out.select(*keys, "_t.variable", "_t.level", "n", "events", *none, F.lit("no estimable term").alias("reason"), F.lit(0).alias("parameters"), F.lit(None).cast("double").alias("epv"))
 
 
-def fit_models(df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), auto_repair: bool = False, block_rows: int | None = None) -> DataFrame:
+def fit_models(df: DataFrame, keys: Sequence[str], cont: Sequence[str], cate: Sequence[str] = (), auto_repair: bool = False, block_rows: int | None = None, skip_flat: bool = False) -> DataFrame:
     """One joint model per key: keys and the columns of TERM, one row per number and per level but the first.
 
     parameters and epv: coefficients of the model and events for each. A faulty model has no estimates, its reasons stand on every row; with
     ``auto_repair`` the variable that carries least information leaves, in as many rounds as that takes, and has a row
     that says so.
     """
-    d = Design(df, keys, cont, cate, block_rows=block_rows)
+    d = Design(df, keys, cont, cate, block_rows=block_rows, skip_flat=skip_flat)
     keys = d.keys
     if not d.p:
         return without_fit(d)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,10 +66,10 @@ POOL_COLUMNS = ("k", "log_hr", "se", "hr", "lower", "upper", "p", "q", "df", "p_
 POOL_SCHEMA = "k int, " + ", ".join(f"{c} double" for c in POOL_COLUMNS[1:])
 
 
-def pool(b: Sequence[float], se: Sequence[float], method: str = "REML", pi: str = "t") -> dict[str, float | None]:
+def pool(b: Sequence[float], se: Sequence[float], method: str = "REML", pi: str = "t", tau2: float | None = None) -> dict[str, float | None]:
     """MT2-MT4 of one set of estimates: FE, DL, REML or HK, with prediction interval and Stouffer's combined z.
 
-    A single estimate passes through, with Q 0 and no tau2, I2 or prediction interval.
+    A single estimate passes through, with Q 0 and no tau2, I2 or prediction interval. tau2: where it is known already.
     """
     b, se = np.asarray(b, float), np.asarray(se, float)
     ok = np.isfinite(b) & np.isfinite(se) & (se > 0)
@@ -89,7 +89,7 @@ def pool(b: Sequence[float], se: Sequence[float], method: str = "REML", pi: str
         w = 1 / v
         fixed = (w * b).sum() / w.sum()
         q = float((w * (b - fixed) ** 2).sum())
-        tau2 = 0.0 if method == "FE" else dl_tau2(b, v) if method == "DL" else reml_tau2(b, v)
+        tau2 = 0.0 if method == "FE" else dl_tau2(b, v) if method == "DL" else reml_tau2(b, v) if tau2 is None else tau2
         w = 1 / (v + tau2)
         mu = (w * b).sum() / w.sum()
         plain = err = math.sqrt(1 / w.sum())
@@ -113,16 +113,52 @@ def pool(b: Sequence[float], se: Sequence[float], method: str = "REML", pi: str
     return out | {"log_hr": float(mu), "se": float(err), "hr": math.exp(mu), "lower": math.exp(mu - crit * err), "upper": math.exp(mu + crit * err), "p": float(p)}
 
 
+def reml_many(b: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The root of the REML equation of every row of estimates and variances (NaN: no estimate), by one bisection for all."""
+    ok = np.isfinite(b) & np.isfinite(v)
+    k = ok.sum(axis=1)
+    b, v = np.where(ok, b, 0.0), np.where(ok, v, 1.0)
+
+    def gap(t: np.ndarray) -> np.ndarray:
+        w = np.where(ok, 1 / (v + t[:, None]), 0.0)
+        mu = (w * b).sum(axis=1) / w.sum(axis=1)
+        return (w**2 * ((b - mu[:, None]) ** 2 - v)).sum(axis=1) / (w**2).sum(axis=1) + 1 / w.sum(axis=1) - t
+
+    with np.errstate(all="ignore"):
+        mean = b.sum(axis=1) / k
+        low, high = np.zeros(len(b)), np.maximum(1.0, 4 * (ok * (b - mean[:, None]) ** 2).sum(axis=1) / k)
+        high = np.where((k < 2) | ~(gap(low) > 0), 0.0, high)
+        for _ in range(200):
+            short = (high > 0) & (gap(high) > 0)
+            if not short.any():
+                break
+            high = np.where(short, 2 * high, high)
+        for _ in range(120):
+            mid = (low + high) / 2
+            up = gap(mid) > 0
+            low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return (low + high) / 2
+
+
 def pool_groups(df: DataFrame, keys: Sequence[str], method: str = "REML", pi: str = "t") -> DataFrame:
-    """MT2-MT4 for every key; a key has one row per cohort, so groups are small."""
+    """MT2-MT4 for every key; a key has one row per cohort. Estimates of a key are gathered to a list, keys go through in batches."""
     names = list(keys)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        got = pool(g["b"], g["se"], method, pi)
-        return pd.DataFrame([[*(g[n].iloc[0] for n in names), *(got[c] for c in POOL_COLUMNS)]], columns=[*names, *POOL_COLUMNS])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wide = max((len(x) for x in batch["_e"]), default=0)
+            cells = np.full((len(batch), wide, 2), np.nan)
+            for i, x in enumerate(batch["_e"]):
+                for j, e in enumerate(x):
+                    if e["b"] is not None and e["se"] is not None and e["se"] > 0:
+                        cells[i, j] = e["b"], e["se"]
+            tau2 = reml_many(cells[:, :, 0], cells[:, :, 1] ** 2) if method not in ("FE", "DL") and wide else [None] * len(batch)
+            got = [pool(c[:, 0], c[:, 1], method, pi, t) for c, t in zip(cells, tau2, strict=True)]
+            yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame([[g[c] for c in POOL_COLUMNS] for g in got], columns=POOL_COLUMNS, dtype=object)], axis=1)
 
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names) + ", " + POOL_SCHEMA
-    return df.select(*names, "b", "se").groupBy(*names).applyInPandas(one, schema)
+    listed = df.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(F.col("b").cast("double").alias("b"), F.col("se").cast("double").alias("se")))).alias("_e"))
+    return listed.mapInPandas(run, schema)
 
 
 def adjust(df: DataFrame, p: str = "p", method: str = "BH", family: Sequence[str] = ()) -> DataFrame:
