@@ -248,12 +248,18 @@ nn AS (SELECT {keys}, count(*)::DOUBLE AS n FROM us GROUP BY {keys}), sh AS (SEL
 po AS (SELECT ct.*, coalesce(sc.s, 1) * coalesce(above, 0) / n / sa.s AS f, (1 - coalesce(sc.s, 1)) * coalesce(above, 0) / n / (1 - sa.s) AS t FROM ct JOIN nn USING ({keys}) JOIN sa USING ({keys}) LEFT JOIN sh USING ({keys}, cut) LEFT JOIN sc USING ({keys}, cut)), {_area('po', keys)}"""
 
 
-_NNE = f"""us AS (SELECT dataset, time, status, value, (rank() OVER w - 1) / count(*) OVER (PARTITION BY dataset)::DOUBLE AS place, count(*) OVER (PARTITION BY dataset)::DOUBLE AS n FROM o WINDOW w AS (PARTITION BY dataset ORDER BY value)),
-vs AS (SELECT DISTINCT dataset, value AS cut, place, n FROM us), nb AS (SELECT v.dataset, v.cut, x.time, x.status FROM vs v JOIN us x ON x.dataset = v.dataset AND abs(x.place - v.place) < 0.25 * power(v.n, -0.2)), {_km_to('nb', 'dataset, cut', 'sm')},
-si AS (SELECT us.dataset, us.value, us.n, s FROM us JOIN sm ON sm.dataset = us.dataset AND sm.cut = us.value), tt AS (SELECT dataset, avg(s) AS total FROM si GROUP BY dataset),
-jo AS (SELECT v.dataset, v.cut, v.n, coalesce(sum(x.s), 0) / v.n AS joint, count(x.s) / v.n AS above FROM vs v LEFT JOIN si x ON x.dataset = v.dataset AND x.value > v.cut GROUP BY v.dataset, v.cut, v.n), po AS (SELECT dataset, cut, joint / total AS f, (above - joint) / (1 - total) AS t FROM jo JOIN tt USING (dataset)), {_area('po', 'dataset')}"""
+def _nne(src, keys):
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    of = lambda x: ", ".join(f"{x}.{k}" for k in keys.split(", "))
+    return f"""us AS MATERIALIZED (SELECT {keys}, time, status, value, (rank() OVER w - 1) / count(*) OVER (PARTITION BY {keys})::DOUBLE AS place, count(*) OVER (PARTITION BY {keys})::DOUBLE AS n FROM {src} JOIN (SELECT {keys} FROM {src} GROUP BY {keys} HAVING max(time) >= 2 AND count(CASE WHEN time <= 2 AND status = 1 THEN 1 END) > 0 AND count(CASE WHEN time > 2 THEN 1 END) > 0) USING ({keys}) WINDOW w AS (PARTITION BY {keys} ORDER BY value)),
+vs AS (SELECT DISTINCT {keys}, value AS cut, place, n FROM us), nb AS (SELECT {of('v')}, v.cut, x.time, x.status FROM vs v JOIN us x ON {same('x', 'v')} AND abs(x.place - v.place) < 0.25 * power(v.n, -0.2)), {_km_to('nb', keys + ', cut', 'sm')},
+si AS (SELECT {of('us')}, us.value, us.n, s FROM us JOIN sm ON {same('sm', 'us')} AND sm.cut = us.value), tt AS (SELECT {keys}, avg(s) AS total FROM si GROUP BY {keys}),
+jo AS (SELECT {of('v')}, v.cut, v.n, coalesce(sum(x.s), 0) / v.n AS joint, count(x.s) / v.n AS above FROM vs v LEFT JOIN si x ON {same('x', 'v')} AND x.value > v.cut GROUP BY {of('v')}, v.cut, v.n), po AS (SELECT {keys}, cut, joint / total AS f, (above - joint) / (1 - total) AS t FROM jo JOIN tt USING ({keys})), {_area('po', keys)}"""
+
+
 _q("rc1_auc_km", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0), "auc"), f"WITH {ONE}, {_auc_km('o', 'dataset')}")
-_q("rc2_auc_nne", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"), "auc"), f"WITH {ONE}, {_NNE}")
+_q("rc2_auc_nne", lambda s, d: r6(roc.auc(one_gene(s, d), ["dataset"], 2.0, "NNE"), "auc"), f"WITH {ONE}, {_nne('o', 'dataset')}")
+_q("rc2_many_genes", lambda s, d: r6(roc.auc(merged(s, d), K, 2.0, "NNE"), "auc"), f"WITH {M}, {_nne('m', 'dataset, gene')}")
 _q("rc3_many_genes", lambda s, d: r6(roc.auc(merged(s, d), K, 2.0), "auc"), f"WITH {M}, {_auc_km('m', 'dataset, gene')}")
 _ROUNDED = f"round(b, 6) AS b, round(se, 6) AS se, round(exp(b), 6) AS hr, round(exp(b - 1.96 * se), 6) AS lower, round(exp(b + 1.96 * se), 6) AS upper, round({_P2.format(z='(b / se)')}, 6) AS p"
 #: Two numbers and a category of four levels, which all cohorts of the tables have; the first level is the reference.

@@ -14,16 +14,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import cox_kernel as kernel
 from cohortspark.functions.stats import chi2_sf, normal_two_sided
 from cohortspark.operators.meta import Z
+from cohortspark.operators.ranges import ranged, running
 from cohortspark.sources.shared import kept
 
-#: Rows of a key from which it is cut into ranges of time, and the ranges at most.
-BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 1024
+#: Rows of a key from which it is cut into ranges of time.
+BLOCK_ROWS = 1_000_000
 #: Coefficients of a model at most: sums grow with their square.
 MOST_TERMS = 24
 ROUNDS, HALVINGS = 20, 10
@@ -49,33 +50,8 @@ def _product(cell: tuple[int, ...]) -> Column:
 
 def in_blocks(rows: DataFrame, keys: Sequence[str], block_rows: int | None = None) -> tuple[DataFrame, bool]:
     """The rows with a column block (later times, larger blocks), and whether any key has several."""
-    keys, limit = list(keys), block_rows or BLOCK_ROWS
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    if sizes.isEmpty():
-        return rows.withColumn("block", F.lit(0)), False
-    steps = [k / MOST_BLOCKS for k in range(1, MOST_BLOCKS)]
-    bounds = rows.join(sizes, keys).groupBy(*keys).agg(F.percentile_approx("time", steps, 10 * MOST_BLOCKS).alias("_bounds"), F.max("_n").alias("_n"))
-    blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("_n") / F.lit(float(limit))))
-    # every so many of the bounds
-    bounds = bounds.withColumn("_b", blocks.cast("int")).where("_b > 1").select(*keys, F.expr("array_distinct(transform(sequence(1, _b - 1), k -> _bounds[CAST(floor(k * size(_bounds) / _b) AS INT)]))").alias("_bounds"))
-    out = rows.join(bounds, keys, "left").withColumn("block", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("time"))), F.lit(0)))
-    return out.withColumn("block", F.when(F.col("_bounds").isNull(), 0).otherwise(F.col("block"))).drop("_bounds"), True
-
-
-def running(times: DataFrame, keys: Sequence[str], columns: Sequence[str], blocks: bool, later: bool = True, own: bool = True) -> DataFrame:
-    """Sums of the columns over the rows at later (or earlier) times, with or without the row's own, in place of the columns.
-
-    One row per key and time. Within a block a window; the sums of whole other blocks come from a table of totals.
-    """
-    keys, order = list(keys), (F.desc("time") if later else F.asc("time"))
-    w = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    rest = [c for c in times.columns if c not in columns]
-    if not blocks:
-        return times.select(*rest, *(F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in columns))
-    total = times.groupBy(*keys, "block").agg(*(F.sum(c).alias(c) for c in columns))
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("block") if later else F.asc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*keys, "block", *(F.coalesce(F.sum(c).over(beyond), F.lit(0.0)).alias("_of_" + c) for c in columns))
-    return times.join(total, [*keys, "block"]).select(*rest, *((F.coalesce(F.sum(c).over(w), F.lit(0.0)) + F.col("_of_" + c)).alias(c) for c in columns))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows or BLOCK_ROWS))).cast("int").alias("_b"))
+    return ranged(rows, keys, F.col("time"), "block", sizes)
 
 
 def _eta(p: int) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortspark.functions.stats import chi2_sf, lausen_schumacher
+from cohortspark.operators.marker_parts import greatest_logrank
+from cohortspark.operators.ranges import quantiles
 
 Z975 = 1.959963984540054
 #: Candidate cut-points: percentiles 0.20 to 0.80 by 0.05.
@@ -115,37 +117,18 @@ def best_cut(df: DataFrame, keys: Sequence[str], probs: Sequence[float] = CANDID
     return tested.withColumn("candidates", F.count(F.lit(1)).over(count)).withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
-def adjusted_cut_p(df: DataFrame, keys: Sequence[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
+def adjusted_cut_p(df: DataFrame, keys: Sequence[str], low: float = 0.1, high: float = 0.9, **how) -> DataFrame:
     """KM9: maximally selected log-rank over all cut-points between two quantiles, p by the 1992 approximation.
 
-    One group of rows per key is read by numpy: keys are cohort-sized.
+    A key may have any number of rows: its cut-points are dealt to tasks, each starting from the sums of the greater ones.
     """
+    found = greatest_logrank(df.where("value IS NOT NULL AND NOT isnan(value)"), keys, low, high, **how)
 
-    import numpy as np
-
-    names = list(keys)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        t, s, x = g["time"].to_numpy(float), g["status"].to_numpy(float), g["value"].to_numpy(float)
-        lo, hi = np.quantile(x, low), np.quantile(x, high)
-        cuts = np.unique(x[(x >= lo) & (x <= hi)])
-        order = np.argsort(-t, kind="stable")
-        t, s, x = t[order], s[order], x[order]
-        ends = np.flatnonzero(np.append(t[1:] != t[:-1], True))
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        best = 0.0
-        for block in np.array_split(cuts, max(1, len(cuts) * len(x) // 2_000_000)):
-            h = (x[:, None] > block[None]).astype(float)
-            n, n1 = (ends + 1.0)[:, None], h.cumsum(axis=0)[ends]
-            d, d1 = np.add.reduceat(s, starts)[:, None], np.add.reduceat(s[:, None] * h, starts, axis=0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                v = np.where(n > 1, d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1), 0).sum(axis=0)
-                b = np.abs((d1 - d * n1 / n).sum(axis=0)) / np.sqrt(v)
-            best = max(best, float(np.nanmax(np.where(v > 0, b, 0), initial=0)))
-        return pd.DataFrame([[*(g[k].iloc[0] for k in names), len(cuts), best, lausen_schumacher(best, low, high)]], columns=[*names, "cuts", "max_stat", "p_adjusted"])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names) + ", cuts long, max_stat double, p_adjusted double"
-    return df.select(*names, "time", "status", "value").groupBy(*names).applyInPandas(one, schema)
+    @F.pandas_udf(DoubleType())
+    def p(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: lausen_schumacher(float(v), low, high))
+
+    return found.withColumn("p_adjusted", p("max_stat"))
 
 
 def pool_ledger(df: DataFrame, min_rows: int = 10) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.marker_parts import area_km, area_nne
+
 
 def counts_at(df: DataFrame, keys: Sequence[str], horizon: float) -> DataFrame:
     """RC1: cases (event by the horizon), controls (followed past it) and censored before, and why there is no curve."""
@@ -19,96 +19,14 @@ def counts_at(df: DataFrame, keys: Sequence[str], horizon: float) -> DataFrame:
     return g.withColumn("refusal", F.when(F.col("last") < horizon, "horizon beyond follow-up").when(F.col("cases") == 0, "no case").when(F.col("controls") == 0, "no control")).drop("last")
 
 
-def km_at(time: np.ndarray, status: np.ndarray, horizon: float) -> float:
-    """Kaplan-Meier survival at a time."""
-    order = np.argsort(time)
-    t, s = time[order], status[order]
-    n = len(t) - np.searchsorted(t, t, side="left")
-    ts, first = np.unique(t, return_index=True)
-    d = np.add.reduceat(s, first) if len(t) else np.zeros(0)
-    keep = ts <= horizon
-    return float(np.prod(1 - d[keep] / n[first][keep]))
-
-
-#: Cells (cut by event time) of the risk tables held at once.
-CELLS = 1 << 20
-
+def auc(df: DataFrame, keys: Sequence[str], horizon: float, method: str = "KM", span: float | None = None, **how) -> DataFrame:
+    """RC1-RC3: area and number of cuts for every key (a cohort, or a cohort and gene) that counts_at does not refuse.
 
-def km_above(time, status, x, cuts, horizon) -> tuple[np.ndarray, np.ndarray]:
-    """Share of samples above each of falling cuts, and their Kaplan-Meier survival at the horizon (1 without any).
-
-    Deaths and samples at risk are sums per cut and distinct event time, carried from cut to cut.
+    ``KM``: shares above each cut by Kaplan-Meier estimates; ``NNE``: survival smoothed over neighbours in rank. Rows with a null value
+    count in none. A key may have any number of rows: its cuts are dealt to tasks.
     """
-    order = np.argsort(-x, kind="stable")
-    t, s = time[order], status[order]
-    size = (~np.isnan(x)).sum() - np.searchsorted(np.sort(x[~np.isnan(x)]), cuts, side="right")
-    event = np.unique(time[(time <= horizon) & (status != 0)])
-    wide = len(event) + 1
-    #: A sample is at risk at so many event times.
-    until = np.searchsorted(event, t, side="right")
-    dies = (s != 0) & (t <= horizon)
-    risk, dead = np.zeros(wide), np.zeros(wide)
-    surv = np.ones(len(cuts))
-    step, done = max(1, CELLS // wide), 0
-    for k in range(0, len(cuts), step):
-        ends = size[k : k + step]
-        rows = np.arange(done, ends[-1])
-        done = int(ends[-1])
-        at = np.searchsorted(ends, rows, side="right") * wide
-        new = np.bincount(at + until[rows], minlength=len(ends) * wide).reshape(len(ends), wide)
-        n = risk + new[:, ::-1].cumsum(axis=1)[:, ::-1].cumsum(axis=0)
-        fell = rows[dies[rows]]
-        d = dead + np.bincount(at[dies[rows]] + until[fell], weights=s[fell], minlength=len(ends) * wide).reshape(len(ends), wide).cumsum(axis=0)
-        surv[k : k + step] = np.prod(1 - d[:, 1:] / np.maximum(n[:, 1:], 1), axis=1)
-        risk, dead = n[-1], d[-1]
-    return size / len(x), surv
-
-
-def roc_km(time, status, x, horizon) -> tuple[np.ndarray, np.ndarray, float]:
-    """False and true positive shares over the cuts from the greatest down, and the area, by Kaplan-Meier estimates."""
-    s = km_at(time, status, horizon)
-    share, sc = km_above(time, status, x, np.unique(x)[::-1], horizon)
-    t = np.concatenate([[0.0], (1 - sc) * share / (1 - s), [1.0]])
-    f = np.concatenate([[0.0], sc * share / s, [1.0]])
-    return f, t, float(((t[1:] + t[:-1]) / 2 * np.diff(f)).sum())
-
-
-def roc_nne(time, status, x, horizon, span: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """The same by nearest neighbours: survival smoothed over the share ``span`` of ranks on either side of each marker value."""
-    n = len(x)
-    span = 0.25 * n**-0.2 if span is None else span
-    order = np.argsort(x, kind="stable")
-    x, t, s = x[order], time[order], status[order]
-    values = np.unique(x)
-    at = np.searchsorted(x, x, side="left") / n
-    smooth = {}
-    for v in values:
-        p = np.searchsorted(x, v, side="left") / n
-        near = np.abs(at - p) < span
-        smooth[v] = km_at(t[near], s[near], horizon)
-    si = np.array([smooth[v] for v in x])
-    total = si.mean()
-    tp, fp = [0.0], [0.0]
-    for c in values[::-1]:
-        above = x > c
-        joint = si[above].sum() / n
-        tp.append((above.mean() - joint) / (1 - total))
-        fp.append(joint / total)
-    tp.append(1.0)
-    fp.append(1.0)
-    tt, ff = np.array(tp), np.array(fp)
-    return ff, tt, float(((tt[1:] + tt[:-1]) / 2 * np.diff(ff)).sum())
-
-
-def auc(df: DataFrame, keys: Sequence[str], horizon: float, method: str = "KM", span: float | None = None) -> DataFrame:
-    """RC1-RC3: area and number of cuts for every key (a cohort, or a cohort and gene)."""
     keys = list(keys)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        args = (g["time"].to_numpy(float), g["status"].to_numpy(float), g["value"].to_numpy(float), horizon)
-        f, t, a = roc_km(*args) if method == "KM" else roc_nne(*args, span)
-        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), len(f), a]], columns=[*keys, "points", "auc"])
-
+    df = df.where("value IS NOT NULL AND NOT isnan(value)")
     usable = counts_at(df, keys, horizon).where("refusal IS NULL").select(*keys)
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", points long, auc double"
-    return df.join(usable, keys, "left_semi").select(*keys, "time", "status", "value").groupBy(*keys).applyInPandas(one, schema)
+    rows = df.join(usable, keys, "left_semi")
+    return area_km(rows, keys, horizon, **how) if method == "KM" else area_nne(rows, keys, horizon, span, **how)
