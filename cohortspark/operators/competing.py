@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.cox import cox
 from cohortspark.operators.cox_frame import Design, censoring, judged, sandwich, without_fit
+from cohortspark.operators.ranges import quantiles
 from cohortspark.sources.shared import kept
 
 Z = 1.959963984540054
@@ -44,7 +45,7 @@ def cumulative_incidence(df: DataFrame, keys: Sequence[str], causes: Sequence[in
 def event_times(df: DataFrame, keys: Sequence[str], probs: Sequence[float] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """CR1: the times at which curves are read by default: distinct positive quantiles of the event times per key."""
     keys = list(keys)
-    q = df.where("status <> 0").groupBy(*keys).agg(F.percentile("time", F.array(*map(F.lit, probs))).alias("q"))
+    q = quantiles(df.where("status <> 0"), keys, "time", probs)
     return q.select(*keys, F.explode(F.array_distinct("q")).alias("horizon")).where("horizon > 0")
 
 
@@ -70,7 +71,7 @@ def cif_at(curves: DataFrame, keys: Sequence[str], times: Sequence[float] | Data
 def group_by_cuts(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], max_levels: int = 20) -> DataFrame:
     """CR2: a numeric column with more than max_levels values per key becomes right-open bins at its quantiles."""
     probs = list(probs)
-    q = df.groupBy(*keys).agg(F.countDistinct(column).alias("levels"), F.percentile(column, F.array(*map(F.lit, probs))).alias("qs"))
+    q = df.groupBy(*keys).agg(F.countDistinct(column).alias("levels")).join(quantiles(df, keys, column, probs).withColumnRenamed("q", "qs"), list(keys))
     bins = sum(((F.col(column) >= F.col("qs")[k]).cast("int") for k in range(1, len(probs))), (F.col(column) >= F.col("qs")[0]).cast("int"))
     return df.join(q, list(keys)).withColumn("group", F.when(F.col("levels") > max_levels, F.concat(F.lit("Q"), (bins + 1).cast("string"))).otherwise(F.col(column).cast("string"))).drop("qs", "levels")
 

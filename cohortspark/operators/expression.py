@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.ranges import quantiles
+
 STAT = {"max": F.max, "min": F.min, "mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
 
@@ -109,9 +111,10 @@ def survey(df: DataFrame) -> DataFrame:
     x = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     ok = df.select("dataset", "sample_id", "probe_id", x.alias("v"))
     g = ok.groupBy("dataset").agg(
-        F.countDistinct("probe_id").alias("rows"), F.countDistinct("sample_id").alias("cols"), F.min("v").alias("min"), F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99)))).alias("q"), F.max("v").alias("max"),
+        F.countDistinct("probe_id").alias("rows"), F.countDistinct("sample_id").alias("cols"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.avg((F.col("v") == 0).cast("double")).alias("zero"), F.avg((F.col("v") < 0).cast("double")).alias("negative"), F.avg(F.when(F.col("v") != 0, (F.col("v") != F.floor("v")).cast("double"))).alias("fraction"),
     )
+    g = g.join(quantiles(ok, ["dataset"], "v", (0.25, 0.5, 0.75, 0.99)), "dataset", "left")
     return g.select("dataset", "rows", "cols", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "median", "q75", "p99"))], "max", "zero", "negative", "fraction")
 
 
@@ -211,9 +214,10 @@ def split_platforms(expr: DataFrame, members: DataFrame, platform_map: DataFrame
 def batch_diagnostics(df: DataFrame, top_pct: float = 30) -> DataFrame:
     """EX23: per dataset and gene n, missing, quartiles, spread, group sizes at median and top cut, median_z."""
     g = df.groupBy("dataset", "gene").agg(
-        F.count("value").alias("n"), F.sum(F.col("value").isNull().cast("int")).alias("missing"), F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75, 1 - top_pct / 100)))).alias("q"),
+        F.count("value").alias("n"), F.sum(F.col("value").isNull().cast("int")).alias("missing"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
     )
+    g = g.join(quantiles(df, ["dataset", "gene"], "value", (0.25, 0.5, 0.75, 1 - top_pct / 100)), ["dataset", "gene"], "left")
     g = g.select("*", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "median", "q75", "top_cut"))]).drop("q")
     sizes = df.join(g.select("dataset", "gene", "median", "top_cut"), ["dataset", "gene"]).groupBy("dataset", "gene").agg(F.sum((F.col("value") > F.col("median")).cast("int")).alias("high_median"), F.sum((F.col("value") > F.col("top_cut")).cast("int")).alias("high_top"))
     out = g.join(sizes, ["dataset", "gene"]).withColumn("iqr", F.col("q75") - F.col("q25"))

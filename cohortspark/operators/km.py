@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -27,23 +27,18 @@ def chisq_p(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else chi2_sf(float(v), 1.0))
 
 
-def cutpoint(rule: str, top_pct: float | None = None, value: float | None = None) -> Column:
-    """Aggregate giving the cut of a group: median, mean, top (the (100-x)th percentile), or a fixed value."""
-    if rule == "median":
-        return F.percentile("value", F.lit(0.5))
-    if rule == "mean":
-        return F.avg("value")
-    if rule == "top":
-        return F.percentile("value", F.lit(1 - top_pct / 100))
-    if rule == "value":
-        return F.lit(float(value))
-    raise ValueError(f"unknown cut rule {rule}")
+def cutpoints(df: DataFrame, keys: Sequence[str], rule: str, top_pct: float | None = None, value: float | None = None) -> DataFrame:
+    """The cut of each key: median, mean, top (the (100-x)th percentile), or a fixed value."""
+    if rule in ("median", "top"):
+        return quantiles(df, keys, "value", [0.5 if rule == "median" else 1 - top_pct / 100]).select(*keys, F.col("q")[0].alias("cut"))
+    if rule not in ("mean", "value"):
+        raise ValueError(f"unknown cut rule {rule}")
+    return df.groupBy(*keys).agg((F.avg("value") if rule == "mean" else F.max(F.lit(float(value)))).alias("cut"))
 
 
 def split(df: DataFrame, keys: Sequence[str], rule: str = "median", **how) -> DataFrame:
     """KM1: adds cut and high (1 if value > cut, so ties are low), with the cut of each key."""
-    cuts = df.groupBy(*keys).agg(cutpoint(rule, **how).alias("cut"))
-    return df.join(cuts, list(keys)).withColumn("high", (F.col("value") > F.col("cut")).cast("int"))
+    return df.join(cutpoints(df, keys, rule, **how), list(keys)).withColumn("high", (F.col("value") > F.col("cut")).cast("int"))
 
 
 def at_risk(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,7 +102,8 @@ def group_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def best_cut(df: DataFrame, keys: Sequence[str], probs: Sequence[float] = CANDIDATES, min_group: int = 5, min_n: int = 20, p: bool = True) -> DataFrame:
     """KM8: the candidate percentile with the greatest chi-square (the first of ties), both groups of min_group at least."""
-    cuts = df.groupBy(*keys).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("cuts"), F.count(F.lit(1)).alias("n_all")).where(F.col("n_all") >= min_n)
+    enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all")).where(F.col("n_all") >= min_n)
+    cuts = quantiles(df, keys, "value", probs).withColumnRenamed("q", "cuts").join(enough, list(keys))
     cand = df.join(cuts.select(*keys, F.posexplode("cuts").alias("cand", "cut")), list(keys)).withColumn("high", (F.col("value") > F.col("cut")).cast("int"))
     by = [*keys, "cand", "cut"]
     sizes = cand.groupBy(*by).agg(F.sum("high").alias("n_high"), F.sum(1 - F.col("high")).alias("n_low")).where((F.col("n_high") >= min_group) & (F.col("n_low") >= min_group))

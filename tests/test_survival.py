@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import slow_cox as slow
 
 from cohortspark.functions import cox_kernel as k
-from cohortspark.operators import competing, cox, km, roc
+from cohortspark.operators import competing, cox, cox_frame, km, marker_parts, ranges, roc, two_stage
 from cohortspark.sources.adapters import expr, surv
 
 SF = "/root/testdata/sf0.01"
@@ -29,7 +30,7 @@ def test_batch_fit_equals_single_fit(ties):
     t, s, x = cohort(ties=ties)
     many = k.fit_many(t, s, x)
     for j in range(2):
-        one = k.fit_one(t, s, x[:, j : j + 1])
+        one = slow.fit_one(t, s, x[:, j : j + 1])
         assert many.beta[j] == pytest.approx(one.beta[0], abs=1e-7) and many.se[j] == pytest.approx(one.cov[0, 0] ** 0.5, abs=1e-7)
     assert many.beta[0] > 0.5
 
@@ -89,62 +90,237 @@ def test_repair_leaves_one_of_equal_columns(spark):
     assert got == {"x": None, "twice": "removed by repair", "flat": "removed by repair"}
 
 
-def test_fine_gray_without_competing_events_is_cox():
-    t, s, x = cohort()
-    b, v, ok = k.fine_gray(t, s, x, 1)
-    one = k.fit_one(t, s, x)
-    assert ok and b == pytest.approx(one.beta, abs=1e-6)
-
-
-def test_ph_test_sees_a_changing_effect():
+def models(ties=True):
+    """Two cohorts with two numbers, a category and two causes."""
+    g = np.random.default_rng(1)
+    rows, ref = [], {}
+    for name, n in (("A", 160), ("B", 120)):
+        x, c = g.normal(size=(n, 2)), g.choice(list("pqr"), n)
+        t = g.exponential(np.exp(-x[:, 0] - 0.5 * (c == "q"))) + 0.05
+        t = np.round(t, 1) + 0.1 if ties else t
+        code = g.choice([0, 1, 2], n, p=[0.3, 0.4, 0.3])
+        rows += [(name, float(a), int(e), float(u), float(1000 * v), str(w)) for a, e, u, v, w in zip(t, code, x[:, 0], x[:, 1], c, strict=True)]
+        ref[name] = t, code, np.stack([x[:, 0], 1000 * x[:, 1], c == "q", c == "r"], axis=1).astype(float)
+    return rows, ref
+
+
+TERMS = [("x", ""), ("y", ""), ("c", "q"), ("c", "r")]
+MODELS = "dataset string, time double, status int, x double, y double, c string"
+
+
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_joint_models_equal_plain_loops(spark, block_rows):
+    rows, ref = models()
+    df = spark.createDataFrame(rows, MODELS).withColumn("status", (F.col("status") == 1).cast("int"))
+    odd = spark.createDataFrame([("A", 1.0, 1, None, 2.0, "p"), ("A", 1.0, 1, 1.0, float("nan"), "p"), ("A", 1.0, 1, 1.0, 2.0, None), ("none", 1.0, 0, 1.0, 2.0, "p"), ("none", 2.0, 0, 2.0, 2.0, "q")], MODELS)
+    got = {(r.dataset, r.variable, r.level): r for r in cox_frame.fit_models(df.unionByName(odd), ["dataset"], ["x", "y"], ["c"], block_rows=block_rows).collect()}
+    for name, (t, code, x) in ref.items():
+        fit = slow.fit_one(t, (code == 1).astype(int), x)
+        for j, term in enumerate(TERMS):
+            r = got[name, *term]
+            assert (r.n, r.events, r.parameters) == (len(t), (code == 1).sum(), 4) and r.epv == r.events / 4
+            assert r.b == pytest.approx(fit.beta[j], rel=1e-7) and r.se == pytest.approx(fit.cov[j, j] ** 0.5, rel=1e-7)
+    assert {r.reason for key, r in got.items() if key[0] == "none"} == {"no estimable term"}
+    assert cox_frame.fit_models(df.limit(0), ["dataset"], ["x"]).count() == 0
+
+
+def test_sums_and_matrices_give_the_same_screens(spark):
+    m = surv(spark, SF).join(expr(spark, SF), ["dataset", "sample_id"]).where("gene < 'Brand#21'")
+    for how in ({}, {"joint": True}, {"scale": False}):
+        a, b = ({(r.dataset, r.gene): r for r in cox.screen(m.withColumn("value", F.col("value") / 1e4), large=large, **how).collect()} for large in (None, 0))
+        assert set(a) == set(b)
+        for key, r in a.items():
+            assert (r.n, r.events, r.reason) == (b[key].n, b[key].events, b[key].reason) and (r.b is None or (r.b == pytest.approx(b[key].b, abs=1e-7) and r.se == pytest.approx(b[key].se, abs=1e-7)))
+    m = m.withColumn("nation", F.concat(F.lit("N"), F.col("nation") % 3)).withColumn("flat", F.lit(1.0))
+    a, b = ({(r.dataset, r.gene): r for r in two_stage.adjusted_screen(m, ["balance", "flat"], ["nation"], large=large).collect()} for large in (None, 0))
+    for key, r in a.items():
+        assert (r.n, r.events, r.parameters, r.reason) == (b[key].n, b[key].events, b[key].parameters, b[key].reason) and r.parameters == 4
+        assert r.b == pytest.approx(b[key].b, abs=1e-6) and r.se == pytest.approx(b[key].se, abs=1e-6)
+
+
+def test_shared_covariates_equal_plain_loops():
+    t, s, x = cohort(150, ties=True)
+    g = np.random.default_rng(7)
+    z = np.stack([x[:, 1], g.integers(0, 2, 150)], axis=1).astype(float)
+    markers = np.stack([x[:, 0], g.normal(size=150), np.where(g.random(150) < 0.2, np.nan, x[:, 0]), z[:, 0]], axis=1)
+    got = k.fit_shared(t, s, markers, z)
+    for j in range(3):
+        on = np.isfinite(markers[:, j])
+        one = slow.fit_one(t[on], s[on], np.column_stack([markers[on, j], z[on]]))
+        assert got.converged[j] and got.beta[j] == pytest.approx(one.beta[0], abs=1e-7) and got.se[j] == pytest.approx(one.cov[0, 0] ** 0.5, abs=1e-7)
+    assert not got.converged[3]  # the marker is one of the covariates
+
+
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_fine_gray_equals_every_patient_against_every_event(spark, monkeypatch, block_rows):
+    if block_rows:
+        monkeypatch.setattr(cox_frame, "BLOCK_ROWS", block_rows)
+    rows, ref = models()
+    got = {(r.dataset, r.variable): r for r in competing.fine_gray(spark.createDataFrame(rows, MODELS), ["dataset"], 1, ["x", "y"]).collect()}
+    for name, (t, code, x) in ref.items():
+        b, v = slow.fine_gray(t, code, x[:, :2], 1)
+        for j, c in enumerate("xy"):
+            assert got[name, c].b == pytest.approx(b[j], rel=1e-6) and got[name, c].se == pytest.approx(v[j, j] ** 0.5, rel=1e-6)
+
+
+def test_fine_gray_without_competing_events_is_cox(spark):
+    t, s, x = cohort(ties=True)
+    df = spark.createDataFrame([("A", float(a), int(b), float(c), float(d)) for a, b, (c, d) in zip(t, s, x, strict=True)], "dataset string, time double, status int, x double, y double")
+    one = slow.fit_one(t, s, x)
+    assert [r.b for r in competing.fine_gray(df, ["dataset"], 1, ["x", "y"]).orderBy("variable").collect()] == pytest.approx(list(one.beta), abs=1e-6)
+
+
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_ph_test_equals_plain_loops(spark, monkeypatch, block_rows):
+    if block_rows:
+        monkeypatch.setattr(cox_frame, "BLOCK_ROWS", block_rows)
+    rows, ref = models()
+    df = spark.createDataFrame(rows, MODELS).withColumn("status", (F.col("status") == 1).cast("int"))
+    got = {(r.dataset, r.term, r.level): r for r in cox.ph(df, ["dataset"], ["x", "y"], ["c"]).collect()}
+    for name, (t, code, x) in ref.items():
+        want = slow.ph_test(t, (code == 1).astype(int), x)
+        for term, (chisq, df_, p) in zip([*TERMS, ("GLOBAL", "")], want, strict=True):
+            r = got[name, *term]
+            assert r.chisq == pytest.approx(chisq, rel=1e-6) and r.df == df_ and r.p == pytest.approx(p, abs=1e-8)
+
+
+def test_ph_test_sees_a_changing_effect(spark):
     g = np.random.default_rng(5)
     x = g.integers(0, 2, 600).astype(float)
     t = np.where(x == 1, g.weibull(3, 600), g.weibull(0.7, 600)) + 1e-3
-    s = np.ones(600, int)
-    assert k.ph_test(t, s, x[:, None])[0][2] < 1e-4
-    same = k.ph_test(g.exponential(size=600), s, x[:, None])
-    assert same[0][2] > 1e-3 and same[0][0] == pytest.approx(same[1][0])
+    rows = [("changes", float(a), 1, float(b)) for a, b in zip(t, x, strict=True)] + [("same", float(a), 1, float(b)) for a, b in zip(g.exponential(size=600), x, strict=True)]
+    got = {(r.dataset, r.term): r for r in cox.ph(spark.createDataFrame(rows, "dataset string, time double, status int, x double"), ["dataset"], ["x"]).collect()}
+    assert got["changes", "x"].p < 1e-4 and got["same", "x"].p > 1e-3 and got["same", "x"].chisq == pytest.approx(got["same", "GLOBAL"].chisq)
 
 
-def test_roc_of_a_perfect_marker():
-    t = np.arange(1, 101, dtype=float)
-    s = np.ones(100)
-    _, _, a = roc.roc_km(t, s, -t, 50.0)
-    assert a == pytest.approx(1.0, abs=0.02)
-    _, _, b = roc.roc_nne(t, s, -t, 50.0, 0.02)
-    assert b > 0.95
+def km_to(t, s, h):
+    out = 1.0
+    for u in np.unique(t[(t <= h) & (s == 1)]):
+        out *= 1 - ((t == u) & (s == 1)).sum() / (t >= u).sum()
+    return out
 
 
-def test_curves_of_every_gene(spark):
-    got = {(r.dataset, r.gene): (r.points, r.auc) for r in entry.queries()["rc3_many_genes"](spark, SF).collect()}
+def slow_area(t, s, x, h, nne):
+    n, cuts = len(x), np.unique(x)[::-1]
+    place = np.array([(x < v).mean() for v in x])
+    si = {v: km_to(t[near], s[near], h) for v in cuts for near in [np.abs(place - (x < v).mean()) < 0.25 * n**-0.2]} if nne else {}
+    whole = np.mean([si[v] for v in x]) if nne else km_to(t, s, h)
+    tp, fp = [0.0], [0.0]
+    for c in cuts:
+        above = x > c
+        joint = sum(si[v] for v in x[above]) / n if nne else (km_to(t[above], s[above], h) if above.any() else 1.0) * above.mean()
+        tp.append((above.mean() - joint) / (1 - whole))
+        fp.append(joint / whole)
+    tp, fp = np.array([*tp, 1.0]), np.array([*fp, 1.0])
+    return len(tp), ((tp[1:] + tp[:-1]) / 2 * np.diff(fp)).sum()
+
+
+def slow_cut(t, s, x, low=0.1, high=0.9):
+    lo, hi = np.quantile(x, [low, high])
+    cuts, best = [c for c in np.unique(x) if lo <= c <= hi], 0.0
+    for c in cuts:
+        u = v = 0.0
+        for at in np.unique(t):
+            n, n1, d = (t >= at).sum(), ((t >= at) & (x > c)).sum(), ((t == at) & (s == 1)).sum()
+            u += ((t == at) & (s == 1) & (x > c)).sum() - d * n1 / n
+            v += d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) if n > 1 else 0
+        best = max(best, abs(u) / v**0.5 if v > 1e-12 else 0)
+    return len(cuts), best
+
+
+def markers(spark):
+    g = np.random.default_rng(3)
+    keys = {"a": (90, 12), "b": (60, 60), "c": (25, 2), "one value": (20, 1)}
+    data = {key: (np.round(g.exponential(2, n), 1) + 0.1, g.integers(0, 2, n), g.integers(0, levels, n).astype(float)) for key, (n, levels) in keys.items()}
+    rows = [(key, float(a), int(b), float(c)) for key, xs in data.items() for a, b, c in zip(*xs, strict=True)]
+    return data, spark.createDataFrame([*rows, ("a", 1.0, 1, None)], "dataset string, time double, status int, value double")
+
+
+@pytest.mark.parametrize("part_cells", [None, 64, 700])
+def test_areas_and_cuts_equal_plain_loops(spark, monkeypatch, part_cells):
+    monkeypatch.setattr(marker_parts, "CELLS", part_cells or 1 << 20)
+    data, df = markers(spark)
+    how = {"part_cells": part_cells, "block_rows": 20 if part_cells else None}
+    for method in ("KM", "NNE"):
+        got = {r.dataset: r for r in roc.auc(df, ["dataset"], 2.0, method, **how).collect()}
+        for key, (t, s, x) in data.items():
+            points, area = slow_area(t, s, x, 2.0, method == "NNE")
+            assert got[key].points == points and got[key].auc == pytest.approx(area, abs=1e-9)
+    got = {r.dataset: r for r in km.adjusted_cut_p(df, ["dataset"], **how).collect()}
+    for key, (t, s, x) in data.items():
+        cuts, best = slow_cut(t, s, x)
+        assert got[key].cuts == cuts and got[key].max_stat == pytest.approx(best, abs=1e-7)
+    assert roc.auc(df.limit(0), ["dataset"], 2.0).count() == 0 and km.adjusted_cut_p(df.limit(0), ["dataset"]).count() == 0
+
+
+def test_sums_over_earlier_rows_equal_all_pairs():
+    g = np.random.default_rng(2)
+    e, w, m = g.integers(0, 30, 900), g.random(900), g.integers(1, 4, 900).astype(float)
+    low, high = marker_parts.dominance(e, w, m, 32)
+    for i in range(0, 900, 7):
+        assert low[i] == pytest.approx(w[:i][e[:i] <= e[i]].sum()) and high[i] == m[:i][e[:i] > e[i]].sum()
+
+
+def test_roc_of_a_perfect_marker(spark):
+    df = spark.createDataFrame([("A", float(i), 1, float(-i)) for i in range(1, 101)], "dataset string, time double, status int, value double")
+    assert roc.auc(df, ["dataset"], 50.0).first().auc == pytest.approx(1.0, abs=0.02)
+    assert roc.auc(df, ["dataset"], 50.0, "NNE", 0.02).first().auc > 0.95
+
+
+def test_areas_of_every_gene(spark):
     m = surv(spark, SF).join(expr(spark, SF), ["dataset", "sample_id"])
+    got = {(r.dataset, r.gene): (r.points, r.auc) for r in roc.auc(m, ["dataset", "gene"], 2.0).collect()}
     want = {(r.dataset, r.gene) for r in roc.counts_at(m, ["dataset", "gene"], 2.0).where("refusal IS NULL").collect()}
     assert set(got) == want and len({g for _, g in want}) > len({g for _, g in want if g.startswith("Brand#1")})
     rows = m.toPandas()
-    for key in sorted(want):
+    for key in sorted(want)[::9]:
         g = rows[(rows["dataset"] == key[0]) & (rows["gene"] == key[1])]
-        t, s, x = (g[c].to_numpy(float) for c in ("time", "status", "value"))
-        whole, tp, fp = roc.km_at(t, s, 2.0), [0.0], [0.0]
-        for c in np.unique(x)[::-1]:
-            above = x > c
-            one = roc.km_at(t[above], s[above], 2.0) if above.any() else 1.0
-            tp.append((1 - one) * above.mean() / (1 - whole))
-            fp.append(one * above.mean() / whole)
-        tp, fp = np.array([*tp, 1.0]), np.array([*fp, 1.0])
-        assert got[key] == (len(tp), pytest.approx(((tp[1:] + tp[:-1]) / 2 * np.diff(fp)).sum(), abs=1e-9))
-
-
-@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
-def test_survival_above_cuts(monkeypatch, cells):
-    monkeypatch.setattr(roc, "CELLS", cells)
-    g = np.random.default_rng(3)
-    t, s, x = g.integers(1, 30, 80).astype(float), g.integers(0, 2, 80).astype(float), g.integers(0, 40, 80).astype(float)
-    x[::9] = np.nan
-    cuts = np.unique(x)[::-1]
-    share, sc = roc.km_above(t, s, x, cuts, 20.0)
-    for c, a, b in zip(cuts, share, sc, strict=True):
-        above = x > c
-        assert a == above.mean() and b == pytest.approx(roc.km_at(t[above], s[above], 20.0) if above.any() else 1.0)
+        points, area = slow_area(*(g[c].to_numpy(float) for c in ("time", "status", "value")), 2.0, False)
+        assert got[key] == (points, pytest.approx(area, abs=1e-9))
+
+
+@pytest.mark.parametrize("one_buffer", [None, 50, 400])
+def test_exact_quantiles(spark, one_buffer):
+    g = np.random.default_rng(6)
+    data = {"ties": g.integers(0, 5, 700).astype(float), "wide": g.normal(size=900), "few": np.array([3.0]), "hot": np.where(g.random(600) < 0.5, 1.0, g.random(600)), "two": np.array([1.0, 4.0])}
+    df = spark.createDataFrame([(key, float(v)) for key, x in data.items() for v in x] + [("few", None)], "dataset string, value double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {r.dataset: list(r.q) for r in ranges.quantiles(df, ["dataset"], "value", probs, one_buffer).collect()}
+    assert set(got) == set(data) and all(got[key] == pytest.approx(list(np.quantile(x, probs)), abs=1e-12) for key, x in data.items())
+
+
+def test_gates_of_the_two_stage_analysis(spark):
+    t, s, x = cohort(200)
+    rows = [(d, i, "g", float(t[i]), int(s[i]), float(x[i, 0]), None if d == "lacks" else 1.0 if d == "flat" else float(x[i, 1])) for d in ("fine", "lacks", "flat", "other token", "class", "small copy") for i in range(30 if d == "small copy" else 200)]
+    df = spark.createDataFrame(rows, "dataset string, sample_id int, gene string, time double, status int, value double, dose double")
+    names = ["fine", "lacks", "flat", "other token", "class", "small copy"]
+    classes = spark.createDataFrame([(d, "OS", "Not-poolable" if d == "class" else "Exact-equivalent") for d in names], "dataset string, token string, pooling_class string")
+    tokens = spark.createDataFrame([(d, "DSS" if d == "other token" else "OS") for d in names], "dataset string, token string")
+    pairs = spark.createDataFrame([("fine", "small copy", 30)], "a string, b string, shared long")
+    groups = spark.createDataFrame([("fine", "fine"), ("small copy", "fine")], "accession string, root string")
+    gates = {"classes": classes, "tokens": tokens, "overlaps": (groups, pairs)}
+    fits, ledger = two_stage.two_stage(df, cont=["dose"], overlap="dedupe", **gates)
+    assert [r.dataset for r in fits.collect()] == ["fine"]
+    assert {r.dataset: r.stage for r in ledger.collect()} == {"small copy": "overlap", "other token": "pooling", "class": "endpoint class", "lacks": "model", "flat": "model"}
+    fits, ledger = two_stage.two_stage(df, cont=["dose"], auto_repair=True, overlap="warn", **gates)
+    got = {r.dataset: r for r in fits.collect()}
+    assert {d: (r.covariates_used, r.parameters) for d, r in got.items()} == {"fine": ("dose", 2), "small copy": ("dose", 2), "lacks": ("", 1), "flat": ("", 1)}
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    assert got["fine"].b == pytest.approx(slow.fit_one(t, s, z).beta[0], abs=1e-7) and got["lacks"].b == pytest.approx(slow.fit_one(t, s, z[:, :1]).beta[0], abs=1e-7)
+    with pytest.raises(ValueError, match="share patients"):
+        two_stage.two_stage(df, overlap="refuse", **gates)
+
+
+def test_repair_takes_one_covariate_at_a_time(spark):
+    t, s, x = cohort(120)
+    rows = [("A", float(a), int(b), float(c), float(c + d), float(d), "same") for a, b, (c, d) in zip(t, s, x, strict=True)]
+    df = spark.createDataFrame(rows, "dataset string, time double, status int, x double, both double, y double, level string")
+    faulty = cox.cox(df, ["dataset"], ["x", "both", "y"]).collect()
+    assert all(r.b is None and r.reason.startswith("not estimable") for r in faulty)
+    got = {r.variable: r for r in cox.cox(df, ["dataset"], ["x", "both", "y"], auto_repair=True).collect()}
+    assert got["y"].reason == "removed by repair" and got["x"].reason is None and got["both"].reason is None and got["x"].parameters == 2
+    few = cox.cox(df.limit(15), ["dataset"], ["x", "y"]).collect()
+    assert {r.warning for r in few} == {"fewer than 10 events per variable"} and {r.warning for r in cox.cox(df, ["dataset"], ["x"]).collect()} == {None}
 
 
 def test_one_sided_split_is_excluded(spark):
