@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.sources.shared import shared_dir
+from cohortspark.sources.shared import Kept, kept
 
 
 #: Rows of a record batch that goes to Python while tables are kept: texts are long, and the batch is there on both sides.
@@ -30,26 +29,31 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 def keep(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _kept(df).df
+
+
+def _kept(df: DataFrame) -> Kept:
+    with small_batches(df.sparkSession):
+        return kept(df)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): the label is the least node that can be reached.
 
     Labels fall to the least one among the neighbours and then to that one's own label, until none changes. Each round
-    is joins and a minimum per node; a node with very many edges only adds rows to partial minima.
+    is joins and a minimum per node; a node with very many edges only adds rows to partial minima. The tables of the rounds
+    are removed, the result's stays.
     """
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    table = _kept(both.df.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        label = table.df.select("node", "label")
+        near = both.df.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = label.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         jump = label.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = keep(low.join(jump, "low").select("node", F.least("low", "next").alias("label"), "old"))
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+        new = _kept(low.join(jump, "low").select("node", F.least("low", "next").alias("label"), "old"))
+        table.remove()
+        table = new
+        if new.df.where("label <> old").isEmpty():
+            both.remove()
+            return new.df.select("node", "label")

@@ -7,8 +7,8 @@ whole lists name the pivot, the greatest impacts of the blocks there decide whet
 all that follows up to the end of a block. Units are sorted so that alike ones are neighbours, and a first table of
 greatest impacts by (term, one of at most RANGES ranges of units) leaves for each passage the ranges to walk; its sums are
 taken for all passages of a slice at once, a range at a time. What reaches the threshold is verified: shared five-word
-sequences of the question and shared words of the answer, of the whole item and around the passage, as far as the item
-reaches. An item of fewer than GRAM words names no passage: it is found where it is all of a document.
+sequences of the question (or shared pairs of neighbours, where words were changed or lost) and shared words of the answer, of
+the whole item and around the passage, as far as the item reaches. An item of fewer than GRAM words names no passage: it is found where it is all of a document.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from cohortspark.llm._words import slices
 UNIT, PASSAGE, STEP = 64, 128, 64
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6
+#: Share of the question's neighbouring words that does as well: a changed word breaks five sequences, but two pairs.
+PAIR_SHARE = 0.7
 #: Postings in a block, and words of a sequence.
 BLOCK, GRAM = 8, 5
 K1, B = 1.2, 0.75
@@ -101,6 +103,7 @@ class Unit(NamedTuple):
     #: Sequences of the question, and their length: a short question is one sequence.
     question: set
     gram: int
+    pairs: set
     answer: set
 
 
@@ -121,10 +124,10 @@ class Index:
                 continue
             q, a = question_answer(sentences)
             gram = min(GRAM, len(q))
-            question, answer = grams(q, gram), set(a)
+            question, pairs, answer = grams(q, gram), grams(q, 2), set(a)
             for start in unit_starts(len(whole)):
                 words = whole[start : start + UNIT]
-                units.append(Unit(item, words, start, len(whole) - start - len(words), question, gram, answer))
+                units.append(Unit(item, words, start, len(whole) - start - len(words), question, gram, pairs, answer))
         n, mean, df = stats or stats_of(u.words for u in units)
         units.sort(key=lambda u: (sorted(set(u.words), key=lambda w: (-df[w], w))[:3], u.item))
         self.units = units
@@ -269,17 +272,18 @@ class Index:
     def _verified(self, text: list[str], a: int, ranges: list[int], threshold: float):
         words = text[a : a + PASSAGE]
         terms = sorted(self.vocab[w] for w in set(words) if w in self.vocab)
-        near: dict[tuple[int, int, int], tuple[set, set]] = {}
+        near: dict[tuple[int, int, int], tuple[set, set, set]] = {}
         for r in ranges:
             for k, score in self.retrieve(terms, r * self.per_range, min((r + 1) * self.per_range, len(self.units)), threshold):
                 u = self.units[k]
                 around = u.gram, u.before, u.after
                 if around not in near:
                     reach = text[max(0, a - u.before) : a + PASSAGE + u.after]
-                    near[around] = grams(reach, u.gram), set(reach)
-                sequences, there = near[around]
+                    near[around] = grams(reach, u.gram), grams(reach, 2), set(reach)
+                sequences, pairs, there = near[around]
                 q, w = len(u.question & sequences) / len(u.question), len(u.answer & there) / len(u.answer)
-                if q >= QUESTION_SHARE and w >= ANSWER_SHARE:
+                same = q >= QUESTION_SHARE or (u.pairs and len(u.pairs & pairs) / len(u.pairs) >= PAIR_SHARE)
+                if same and w >= ANSWER_SHARE:
                     yield u.item, (min(score, 1.0), q, w)
 
 

@@ -8,8 +8,9 @@ show more shared shingles, min(m) of the two, before the pair is verified on the
 
 Only components are asked for, so links inside what is already one component are not looked for. Rounds first try the
 texts of each large group (texts that share a prefix shingle) against one drawn member; the exact round then takes all
-pairs of different components. There a large group is compared block by block inside tasks, by parity bitmaps of the sets,
-and a pair leaves once: from the first large group that holds both, with the number of groups that do.
+pairs of different components. There the texts of a large group that are outside its greatest component are compared with all of
+it, block by block inside tasks, by parity bitmaps of the sets, and a pair leaves once: from the first large group that holds
+both, with the number of groups that do.
 """
 
 from __future__ import annotations
@@ -281,47 +282,71 @@ def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _block_pairs(key: tuple[int, int, int], rows: pa.Table) -> dict[str, list[int]]:
-    """Pairs of different components across two blocks (or within one) of a large group that bitmaps leave.
+    """Pairs of different components that bitmaps leave, of a block of texts outside a large group's greatest component and a block of all.
 
-    A pair comes from the first large group that holds both of its texts only, with the number of those groups.
+    A pair of two texts outside comes from the one with the lesser number. A pair comes from the first large group that
+    holds both of its texts only, with the number of those groups.
     """
-    token, low, high = key
-    n = rows.column("n").to_numpy()
-    order = np.argsort(n, kind="stable")
-    n = n[order]
-    ids, label, block = (rows.column(c).to_numpy()[order] for c in ("id", "label", "block"))
-    lists = rows.column("groups").combine_chunks()
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    groups = [flat[ends[k] : ends[k + 1]] for k in order]  # ascending
-    leads = np.array([g[0] for g in groups])
-    maps = rows.column("bitmap").to_pylist()
-    raw = [np.frombuffer(maps[k], dtype=np.uint64) for k in order]
-    words = np.array([len(r) for r in raw])
-    level = {w: np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw]) for w in set(words.tolist())}
+    token, _, _ = key
+    outside = rows.column("outside").to_numpy(zero_copy_only=False)
+    sides = []
+    for side in (np.flatnonzero(outside), np.flatnonzero(~outside)):
+        part = rows.take(pa.array(side))
+        n = part.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        lists = part.column("groups").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        groups = [flat[ends[k] : ends[k + 1]] for k in order]  # ascending
+        maps = part.column("bitmap").to_pylist()
+        raw = [np.frombuffer(maps[k], dtype=np.uint64) for k in order]
+        sides.append((n[order], *(part.column(c).to_numpy(zero_copy_only=False)[order] for c in ("id", "label", "minor")), groups, np.array([g[0] for g in groups]), raw))
+    (n, ids, label, _, groups, leads, raw), (n2, ids2, label2, minor2, groups2, leads2, raw2) = sides
     out: dict[str, list[int]] = {"a": [], "b": [], "seen": []}
+    if not len(n) or not len(n2):
+        return out
+    level = {w: np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw2]) for w in {len(r) for r in raw}}
+    shorter = {w: np.array([len(r) < w for r in raw2]) for w in level}
     for i in range(len(n)):
-        end = int(np.searchsorted(n, n[i] * 100 // LIMIT, side="right"))
-        at = np.arange(i + 1, end)
-        at = at[label[at] != label[i]]
-        if low != high:
-            at = at[block[at] != block[i]]
+        first, end = int(np.searchsorted(n2, -(-n[i] * LIMIT // 100))), int(np.searchsorted(n2, n[i] * 100 // LIMIT, side="right"))
+        at = np.arange(first, end)
+        at = at[(label2[at] != label[i]) & (~minor2[at] | (ids2[at] > ids[i]))]
         if leads[i] != token:  # the same first group, before this one
-            at = at[leads[at] != leads[i]]
+            at = at[leads2[at] != leads[i]]
         if not len(at):
             continue
-        m = level[int(words[i])]
-        apart = np.bitwise_count(m[at] ^ m[i]).sum(axis=1, dtype=np.int64)
-        total = n[at] + n[i]
+        w = len(raw[i])
+        apart = np.bitwise_count(level[w][at] ^ raw[i]).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero(shorter[w][at]).tolist():  # the other text's bitmap is the shorter one
+            apart[j] = int(np.bitwise_count(raw2[at[j]] ^ folded(raw[i], len(raw2[at[j]]))).sum())
+        total = n2[at] + n[i]
         shared = (total - apart) // 2
         for j in at[100 * shared >= LIMIT * (total - shared)].tolist():
-            both = np.intersect1d(groups[i], groups[j], assume_unique=True)
+            both = np.intersect1d(groups[i], groups2[j], assume_unique=True)
             if both[0] == token:
-                out["a"].append(int(min(ids[i], ids[j])))
-                out["b"].append(int(max(ids[i], ids[j])))
+                out["a"].append(int(min(ids[i], ids2[j])))
+                out["b"].append(int(max(ids[i], ids2[j])))
                 out["seen"].append(len(both))
     return out
 
 
+def crossed(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The postings of large groups as blocks to compare: token, low, high, id, label, minor, outside.
+
+    All pairs of different components have a text outside the group's greatest component (minor). Each such text goes to every block of
+    all texts (outside), each text to every block of those: with few texts outside, rows grow with the group, not with its
+    square. Postings have token, part, parts, size, id and label.
+    """
+    counts = labelled.groupBy("token", "parts", "label").agg(F.count(F.lit(1)).alias("c"))
+    about = counts.groupBy("token", "parts").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block))).cast("int")
+    about = about.select("token", "parts", "top", blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("most")).alias("narrow"))
+    one = labelled.drop("parts").join(_by_part(about).drop("parts"), ["token", "part"]).withColumn("minor", F.col("label") != F.col("top"))
+    every = one.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("narrow") - 1))).withColumn("high", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int")).withColumn("outside", F.lit(False))
+    some = one.where("minor").withColumn("low", F.pmod(F.xxhash64("id", F.lit(1)), F.col("narrow")).cast("int")).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("outside", F.lit(True))
+    names = ["token", "low", "high", "id", "label", "minor", "outside"]
+    return every.select(*names).unionByName(some.select(*names))
+
+
 def _passing(pairs: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
     """(a, b) of pairs of different components that sizes, bitmaps and the number of shared prefix shingles (seen) do not rule out.
 
@@ -459,13 +484,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled, groups = _mixed(large, texts, turn)
     labelled = keep(labelled.join(_by_part(groups).select("token", "part"), ["token", "part"], "left_semi"))
     lists = labelled.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("groups"))  # at most a prefix
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    wide = (
-        labelled.join(whole.select("id", "n", "bitmap").join(lists, "id"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "n", "bitmap", "block", "groups")
-    )
+    wide = crossed(labelled).join(whole.select("id", "n", "bitmap").join(lists, "id"), "id")
     broad = _blocks(wide, ["token", "low", "high"])
     counted = small.unionByName(broad).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
     second = keep(verified(keep(_passing(counted, texts, whole)), texts, docs))

@@ -63,13 +63,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def random_spans(text: str, encode, max_ratio: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs that the token test finds random and that no other span touches."""
-    out = []
+    """Runs that the token test finds random and that no other span touches.
+
+    Runs and spans are read side by side in order of their starts, so time grows with their number.
+    """
+    out, order, k, far = [], sorted((s, e) for _, s, e in taken), 0, 0
     for m in _RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+        while k < len(order) and order[k][0] < b:
+            far = max(far, order[k][1])
+            k += 1
+        if far > a:
             continue
-        if any(a < e and s < b for _, s, e in taken):
+        if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
         if len(run) / len(encode(run)) < max_ratio:
             out.append(("random", a, b))

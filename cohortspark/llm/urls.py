@@ -59,11 +59,11 @@ MOST_TERMS = 1_000_000
 
 
 def vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
-    """Weights by lower-cased term from a table (term, weight); of a repeated term the largest counts.
+    """Weights by term (A-Z lower-cased, as in URLs) from a table (term, weight); of a repeated term the largest counts.
 
     Null and empty terms and weights that are null or not above 0 are left out. More terms than ``most`` are an error.
     """
-    t = terms.select(F.lower("term").alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight"))
+    t = terms.select(F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight"))
     rows = t.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a vocabulary of more than {most} terms")

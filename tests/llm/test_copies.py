@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortspark.llm import fingerprints as fp
@@ -112,27 +113,37 @@ def test_bitmaps_and_prefixes_lose_no_link():
             assert seen + len(whole) - len(first.tokens) >= len(np.intersect1d(a, b))
 
 
-def test_block_pairs_leave_once():
+def test_block_pairs_leave_once(spark):
     g = np.random.default_rng(6)
     base = g.integers(0, 2**63, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[: 180 - int(g.integers(0, 30))], g.integers(0, 2**63, int(g.integers(0, 30))).astype(np.uint64)])) for _ in range(60)]
+    sets = [np.unique(np.concatenate([base[: 180 - int(g.integers(0, 30))], g.integers(0, 2**63, int(g.integers(0, 30))).astype(np.uint64)])) for _ in range(60)] + [base[:3], base[:4], base[:5]]
+    count = len(sets)
     groups = [sorted(g.choice(9, int(g.integers(1, 6)), replace=False).tolist()) for _ in sets]
-    label = [i // 2 for i in range(60)]
+    label = [0 if i % 3 else i for i in range(count)]
     ok = lambda i, j: label[i] != label[j] and nd.may_link(len(sets[i]), nd.bitmap(sets[i]), len(sets[j]), nd.bitmap(sets[j]))
-    want = {(j, i): len(set(groups[i]) & set(groups[j])) for i in range(60) for j in range(i) if ok(i, j) and set(groups[i]) & set(groups[j])}
-    block = [i % 3 for i in range(60)]
-    got = {}
-    for token in range(9):
-        for low in range(3):
-            for high in range(low, 3):
-                at = [i for i in range(60) if block[i] in (low, high) and token in groups[i]]
-                if at:
-                    rows = pa.table({"n": [len(sets[i]) for i in at], "id": at, "label": [label[i] for i in at], "block": [block[i] for i in at], "bitmap": [nd.bitmap(sets[i]) for i in at], "groups": [groups[i] for i in at]})
-                    out = nd._block_pairs((token, low, high), rows)
-                    for a, b, n in zip(out["a"], out["b"], out["seen"], strict=True):
-                        assert (a, b) not in got
-                        got[a, b] = n
-    assert want and got == want
+    want = {(j, i): len(set(groups[i]) & set(groups[j])) for i in range(count) for j in range(i) if ok(i, j) and set(groups[i]) & set(groups[j])}
+    size = {t: sum(t in x for x in groups) for t in range(9)}
+    posts = spark.createDataFrame([(t, i % (1 + t % 2), 1 + t % 2, size[t], i, label[i]) for i in range(count) for t in groups[i]], "token long, part int, parts int, size long, id long, label long")
+    for block in (7, 1024):
+        got: dict = {}
+        blocks: dict = {}
+        for r in nd.crossed(posts, block).collect():
+            blocks.setdefault((r.token, r.low, r.high), []).append(r)
+        for key, rows in blocks.items():
+            table = pa.table({"n": [len(sets[r.id]) for r in rows], "id": [r.id for r in rows], "label": [r.label for r in rows], "minor": [r.minor for r in rows], "outside": [r.outside for r in rows], "bitmap": [nd.bitmap(sets[r.id]) for r in rows], "groups": [groups[r.id] for r in rows]})
+            out = nd._block_pairs(key, table)
+            for a, b, n in zip(out["a"], out["b"], out["seen"], strict=True):
+                assert (a, b) not in got
+                got[a, b] = n
+        assert want and got == want
+
+
+def test_rows_of_a_large_group_grow_with_it(spark):
+    """A group of 20,000 texts, all but 50 in one component: blocks of rows, not of pairs."""
+    for size in (5_000, 20_000):
+        posts = spark.range(size).select(F.lit(1).cast("long").alias("token"), F.pmod("id", F.lit(4)).cast("int").alias("part"), F.lit(4).alias("parts"), F.lit(size).cast("long").alias("size"), "id", F.when(F.col("id") < 50, F.col("id")).otherwise(99).cast("long").alias("label"))
+        rows = nd.crossed(posts)
+        assert rows.count() == size + 50 * -(-size // nd.BLOCK)
 
 
 @pytest.mark.parametrize("piece", [1, 3, 1000])

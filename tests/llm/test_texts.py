@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +222,10 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(odd, (), own, 4.1).collect()} == {"allow"} and {r.verdict for r in urls.judge(odd, (), {}, 1.0).collect()} == {"allow"}
     with pytest.raises(ValueError, match="more than 1 "):
         urls.vocabulary(table, 1)
+    accents = urls.vocabulary(spark.createDataFrame([("CAFÉ", 2.0)], "term string, weight double"))
+    assert urls.term_hits("http://x.net/CAFÉ/", urls.automaton(list(accents))) == {"cafÉ"}
+    long = "http://x.net/" + "-".join(["casino", "a", "free", "win"] * 100_000)
+    assert {(r.verdict, r.strict_hits, r.soft_hits) for r in urls.judge(spark.createDataFrame([(1, long)], "page_id long, url string")).collect()} == {("block", 1, 2)}
 
 
 def test_leaks(spark, docs, odd):
@@ -298,17 +303,39 @@ def test_block_max_wand_equals_full_scores(monkeypatch, ranges):
     assert hits > 20 and skipped > 1000
 
 
-def test_partial_copies_are_found(spark):
-    """Of copies that lost or changed up to a tenth of their words, in text of their own, at least nine in ten are found."""
+@pytest.mark.parametrize(("every", "lost"), [(25, 0.0), (10, 0.0), (10, 0.5), (10, 1.0)])
+def test_partial_copies_are_found(spark, every, lost):
+    """Of copies that changed or lost a word in every so many, up to a tenth, at least nine in ten are found; texts that only use the same words are not."""
     g = random.Random(5)
-    items = [(i, " ".join(f"{g.choice('abcdefgh')}{g.randrange(400)}" for _ in range(g.randint(20, 60))) + ". " + " ".join(f"x{g.randrange(400)}" for _ in range(4)) + ".") for i in range(150)]
+    word = lambda: f"{g.choice('abcdefgh')}{int(g.expovariate(0.02))}"
+    items = [(i, " ".join(word() for _ in range(g.randint(20, 60))) + ". " + " ".join(word() for _ in range(4)) + ".") for i in range(150)]
     docs = []
     for i, text in items:
         w = text.split()
-        for _ in range(len(w) // 25):  # away from the answer
-            w[g.randrange(len(w) - 4)] = "changed"
-        filler = [f"{g.choice('abcdefgh')}{g.randrange(400)}" for _ in range(300)]
+        for at in sorted(g.sample(range(len(w) - 4), len(w) // every), reverse=True):  # away from the answer
+            if g.random() < lost:
+                del w[at]
+            else:
+                w[at] = "changed"
+        filler = [word() for _ in range(300)]
         docs.append((i, " ".join(filler[:150] + w + filler[150:])))
-    docs += [(1000 + k, " ".join(f"{g.choice('abcdefgh')}{g.randrange(400)}" for _ in range(400))) for k in range(100)]
+    docs += [(1000 + k, " ".join(word() for _ in range(400))) for k in range(200)]
+    # the words of an item in another order
+    docs += [(2000 + i, " ".join(g.sample(text.split(), len(text.split())))) for i, text in items]
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len({(i, i) for i in range(150)} & got) >= 135 and all(d == i for d, i in got)
+
+
+def test_secrets_of_many_spans_in_linear_time():
+    """Fifty thousand spans of a text, of all sorts, beside runs that no span touches."""
+    took = []
+    encode = secrets.vocabulary(RANKS).encode_ordinary
+    for n in (12_500, 50_000):
+        g = random.Random(n)
+        text = "\n".join(f"token={g.getrandbits(92):023x}" if k % 2 else f"{g.getrandbits(140):X}z{k}" for k in range(n))
+        start = time.perf_counter()
+        base = secrets.base_spans(text)
+        spans = secrets.random_spans(text, encode, secrets.MAX_RATIO, base)
+        took.append(time.perf_counter() - start)
+        assert len(base) >= n // 2 and len(spans) > n // 4
+    assert took[1] < 8 * max(took[0], 0.05)
