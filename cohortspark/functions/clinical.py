@@ -209,10 +209,9 @@ NO_EVENT = (
     "^non[ _-]?(recur|relaps|progress|event)"
 )
 AN_EVENT = "dead|death|deceased|died|^yes|^y$|^true|positive|recur|relaps|progress|event|^1$|recurrence|metasta|decease"
-STATE_AND_TIME = (
-    "(alive|dead|deceased|died|no evidence of disease|ned|recurrence|relapse|recurred|relapsed|progression|progressed|metastasis|metastatic)[^0-9]{0,30}?"
-    "([0-9]+(?:\\.[0-9]+)?)\\s*(month|year|day|week)s?"
-)
+STATE_AND_TIME = "(alive|dead|deceased|died|no evidence of disease|ned|recurrence|relapse|recurred|relapsed|progression|progressed|metastasis|metastatic)[^0-9]{0,30}?([0-9]+(\\.[0-9]+)?)\\s*(months?|years?|days?|weeks?)"
+#: Fixed value: words in a key that hint at survival.
+SURVIVAL_HINT = "(surv|follow|vital|death|dead|die|died|recur|relaps|progress|event|status|indicator|month|year|day|dfs|rfs|pfs|dss|mfs|\\bos\\b|surtim|surind|outcome|metasta|futime|fu[ _-]?stat)"
 LONGEST_EVENT = 40
 
 
@@ -250,6 +249,7 @@ def survival_values(key: Column, value: Column) -> list[Column]:
 def combined(value: Column) -> list[Column]:
     """CL23: state, time, unit and endpoint of texts such as "Deceased after 27 months"."""
     t = F.lower(unquoted(value))
-    word, n, unit = (F.regexp_extract(t, STATE_AND_TIME, k) for k in (1, 2, 3))
+    word, n, units = (F.regexp_extract(t, STATE_AND_TIME, k) for k in (1, 2, 4))
+    unit = F.regexp_replace(units, "s$", "")
     token = F.when(word == "", None).when(word.rlike("recur|relaps"), "RFS").when(word.rlike("progress"), "PFS").when(word.rlike("metasta"), "MFS").otherwise("OS")
     return [F.when(word != "", F.when(word.rlike("alive|no evidence|ned"), 0).otherwise(1)).alias("state"), n.try_cast("double").alias("time"), F.nullif(unit, F.lit("")).alias("unit"), token.alias("token")]

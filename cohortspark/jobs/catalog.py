@@ -105,9 +105,9 @@ def _rec(s, d):
 
 
 _q("ag1_records", _rec, f"WITH {R} SELECT * FROM rec")
-_q("ag2_allocation", lambda s, d: agreement.allocate(_rec(s, d).groupBy("stratum").agg(F.count(F.lit(1)).alias("size")), 40),
-   f"WITH {R}, z AS (SELECT stratum, count(*) AS size FROM rec GROUP BY stratum), q AS (SELECT *, least(40, sum(size) OVER ())::DOUBLE * size / sum(size) OVER () AS quota FROM z), f AS (SELECT *, floor(quota) AS seats FROM q), g AS (SELECT *, 40 - sum(seats) OVER () AS l, row_number() OVER (ORDER BY round(quota - seats, 9) DESC, stratum) AS r FROM f) SELECT stratum, size, (seats + CASE WHEN r <= l THEN 1 ELSE 0 END)::BIGINT AS seats FROM g")
-_q("ag2_draw", lambda s, d: agreement.draw(_rec(s, d), 40))
+_SEATS = "z AS (SELECT stratum, count(*) AS size FROM rec GROUP BY stratum), q AS (SELECT *, least(40, sum(size) OVER ())::DOUBLE * size / sum(size) OVER () AS quota FROM z), f AS (SELECT *, floor(quota) AS seats FROM q), g AS (SELECT *, 40 - sum(seats) OVER () AS l, row_number() OVER (ORDER BY round(quota - seats, 9) DESC, stratum) AS r FROM f), seated AS (SELECT stratum, size, (seats + CASE WHEN r <= l THEN 1 ELSE 0 END)::BIGINT AS seats FROM g)"
+_q("ag2_allocation", lambda s, d: agreement.allocate(_rec(s, d).groupBy("stratum").agg(F.count(F.lit(1)).alias("size")), 40), f"WITH {R}, {_SEATS} SELECT * FROM seated")
+_q("ag2_draw", lambda s, d: agreement.draw(_rec(s, d), 40), f"WITH {R}, {_SEATS}, o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(record_id || ':1'), record_id) AS place FROM rec) SELECT record_id, accession, family, stratum FROM o JOIN seated USING (stratum) WHERE place <= seats")
 
 
 def _ratings(s, d):

@@ -314,7 +314,27 @@ def _headers(s, d):
 _q("cl23_screen", lambda s, d: clinical.screen_headers(_headers(s, d)).select("file", "sample_id", "key", "token", "role"),
    """SELECT dataset AS file, sample_id, 'overall survival months' AS key, 'OS' AS token, 'time' AS role FROM surv UNION ALL SELECT dataset, sample_id, 'overall survival months', 'OS', 'event' FROM surv WHERE round(time * 12, 1) IN (0, 1)
 UNION ALL SELECT dataset, sample_id, 'vital status', 'OS', 'event' FROM surv UNION ALL SELECT dataset, sample_id, 'relapse event', 'RFS', 'event' FROM surv WHERE sample_id % 2 = 0 AND cr_status < 2 UNION ALL SELECT dataset, sample_id, 'rfs time', 'RFS', 'time' FROM surv WHERE sample_id % 3 = 0""")
+_CELLS = (
+    ("os months", "OS", "time", "round(time * 12, 1)"), ("vital status", "OS", "event", "status"), ("last visit", None, "time", "round(time * 12, 1)"), ("annum", None, "time", "round(time, 2)"), ("survival years", None, "time", "round(time, 2)"),
+    ("relapse event", "RFS", "event", "CASE WHEN sample_id % 2 = 0 AND cr_status < 2 THEN cr_status END"), ("rfs time", "RFS", "time", "CASE WHEN sample_id % 3 = 0 THEN round(cr_time, 2) END"), ("flag", "OS", "time", "sample_id % 2"), ("pfs", "PFS", "event", "CASE WHEN dataset = 'MACHINERY' THEN 1 - status END"),
+)
+
+
+def _cells(s, d):
+    """Screened cells with keys that as many samples have: a token's own and generic ones, with and without a word that hints at survival."""
+    cells = [f"named_struct('key', '{k}', 'token', {'NULL' if t is None else repr(t)}, 'role', '{r}', 'number', CAST({x} AS DOUBLE))" for k, t, r, x in _CELLS]
+    return surv(s, d).select(F.col("dataset").alias("file"), "sample_id", F.explode(F.expr(f"array({', '.join(cells)})")).alias("x")).select("file", "sample_id", "x.*").where("number IS NOT NULL")
+
+
+_PAIRS = f"""cells AS ({' UNION ALL '.join(f"SELECT dataset AS file, sample_id, '{k}' AS key, {'NULL' if t is None else repr(t)} AS token, '{r}' AS role, ({x})::DOUBLE AS number FROM surv" for k, t, r, x in _CELLS)}),
+have AS (SELECT * FROM cells WHERE number IS NOT NULL), toks AS (SELECT DISTINCT file, token AS t FROM have WHERE token IS NOT NULL),
+bags AS (SELECT h.file, t AS token, key, role, sample_id, number, (token IS NULL)::INT AS generic FROM have h JOIN toks ON toks.file = h.file AND (token IS NULL OR token = t)),
+timely AS (SELECT file, token, key FROM bags WHERE role = 'time' GROUP BY ALL HAVING max((number NOT IN (0, 1))::INT) = 1),
+pairs AS (SELECT a.file, a.token, a.key AS time_key, b.key AS event_key, count(*) AS n, sum(b.number)::BIGINT AS events, max(a.generic + b.generic) AS generic FROM (SELECT * FROM bags JOIN timely USING (file, token, key) WHERE role = 'time') a JOIN (SELECT * FROM bags WHERE role = 'event') b USING (file, token, sample_id) GROUP BY ALL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY file, token ORDER BY n DESC, generic, regexp_matches(time_key, '{fn.SURVIVAL_HINT}')::INT + regexp_matches(event_key, '{fn.SURVIVAL_HINT}')::INT DESC, time_key, event_key) AS r FROM pairs)
+SELECT file, token, time_key, event_key, n, events, row_number() OVER (PARTITION BY file ORDER BY n DESC, events DESC, token) = 1 AS best FROM firsts WHERE r = 1"""
 _q("cl24_best_pairs", lambda s, d: clinical.best_pairs(clinical.screen_headers(_headers(s, d))), "SELECT dataset AS file, 'OS' AS token, 'overall survival months' AS time_key, 'vital status' AS event_key, count(*) AS n, sum(status)::BIGINT AS events, true AS best FROM surv GROUP BY dataset UNION ALL SELECT dataset, 'RFS', 'rfs time', 'relapse event', count(*), sum(cr_status)::BIGINT, false FROM surv WHERE sample_id % 6 = 0 AND cr_status < 2 GROUP BY dataset")
+_q("cl24_tied_pairs", lambda s, d: clinical.best_pairs(_cells(s, d)), f"WITH {_PAIRS}")
 _q("cl25_candidates", lambda s, d: clinical.candidates(catalog(s, d).select("accession", F.when(F.col("n") % 2 == 0, F.col("platform")).otherwise("GPL9").alias("platform"), F.col("n").alias("effective_n")), catalog(s, d).where("accession < 'NATION_2'"), 60), f"WITH {CATALOG_SQL}, f AS (SELECT accession, CASE WHEN n % 2 = 0 THEN platform ELSE 'GPL9' END AS platform, n AS effective_n FROM cat), k AS (SELECT accession, platform AS known FROM cat WHERE accession < 'NATION_2') SELECT accession, f.platform, effective_n, coalesce(known <> f.platform, false) AS platform_mismatch, CASE WHEN effective_n <= 60 THEN 'too few samples' WHEN known = f.platform THEN 'in catalog' END AS reason FROM f LEFT JOIN k USING (accession)")
 _TITLES = ("Breast cancer relapse", "Lung adenocarcinoma cohort", "Glioblastoma series", "Gene atlas", "Colorectal metastasis")
 _q("cl26_cancer", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", fn.cancer_of(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("type")), "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Breast' WHEN 1 THEN 'Lung' WHEN 4 THEN 'Colorectal' ELSE 'unknown' END AS type FROM part")
@@ -403,9 +423,9 @@ def _cohort_rows(s, d):
 
 
 _LT = f"lt AS (SELECT {_NAME} AS dataset, sample_id, 'OS' AS token, time, CASE WHEN sample_id % 9 <> 0 THEN status END AS status FROM surv UNION ALL SELECT dataset, sample_id, 'RFS', CASE WHEN sample_id % 11 <> 0 THEN cr_time END, CASE WHEN cr_status > 0 THEN 1 ELSE 0 END FROM surv WHERE dataset <> 'MACHINERY'), xs AS (SELECT DISTINCT {_NAME} AS dataset, sample_id FROM expr WHERE sample_id % 10 <> 0 AND dataset <> 'HOUSEHOLD')"
-_CT = f"ct AS (SELECT {_NAME} AS dataset, count(*) AS n, CASE dataset WHEN 'BUILDING' THEN 'DFS' WHEN 'FURNITURE' THEN NULL ELSE 'OS' END AS \"primary\", CASE WHEN dataset <> 'FURNITURE' THEN 'OS' END AS ep_os, CASE WHEN dataset <> 'MACHINERY' THEN 'RFS' END AS ep_dfs FROM surv GROUP BY surv.dataset UNION ALL SELECT 'GHOST', 4, 'OS', 'OS', NULL)"
+_CT = f"ct AS (SELECT {_NAME} AS dataset, count(*) AS n, CASE dataset WHEN 'BUILDING' THEN 'DFS' WHEN 'FURNITURE' THEN NULL ELSE 'OS' END AS \"primary\", CASE WHEN dataset <> 'FURNITURE' THEN 'OS' END AS ep_os, CASE WHEN dataset <> 'MACHINERY' THEN 'RFS' END AS ep_dfs FROM surv GROUP BY surv.dataset UNION ALL SELECT 'GHOST', 4, 'OS', 'OS', NULL), ft AS (SELECT dataset, min(CASE WHEN token = 'OS' THEN token END) AS t_os, min(CASE WHEN token = 'RFS' THEN token END) AS t_dfs FROM lt GROUP BY dataset), cf AS (SELECT ct.* REPLACE (coalesce(ep_os, t_os) AS ep_os, coalesce(ep_dfs, t_dfs) AS ep_dfs) FROM ct LEFT JOIN ft USING (dataset))"
 _SZ = f"""{_LT}, {_CT}, us AS (SELECT lt.*, lt.dataset LIKE 'TCGA-%' OR x.sample_id IS NOT NULL AS used FROM lt LEFT JOIN xs x ON x.dataset = lt.dataset AND x.sample_id = lt.sample_id WHERE time IS NOT NULL AND status IS NOT NULL),
-fm AS (SELECT ct.dataset, count(CASE WHEN used AND token = ep_os THEN 1 END) AS n_os, count(CASE WHEN used AND token = ep_dfs THEN 1 END) AS n_dfs, count(CASE WHEN used AND token = CASE "primary" WHEN 'OS' THEN ep_os ELSE ep_dfs END THEN 1 END) AS np, count(CASE WHEN used AND status = 1 AND token = CASE "primary" WHEN 'OS' THEN ep_os WHEN 'DFS' THEN ep_dfs END THEN 1 END) AS ne FROM ct LEFT JOIN us USING (dataset) GROUP BY ct.dataset),
+fm AS (SELECT cf.dataset, count(CASE WHEN used AND token = ep_os THEN 1 END) AS n_os, count(CASE WHEN used AND token = ep_dfs THEN 1 END) AS n_dfs, count(CASE WHEN used AND token = CASE "primary" WHEN 'OS' THEN ep_os ELSE ep_dfs END THEN 1 END) AS np, count(CASE WHEN used AND status = 1 AND token = CASE "primary" WHEN 'OS' THEN ep_os WHEN 'DFS' THEN ep_dfs END THEN 1 END) AS ne FROM cf LEFT JOIN us USING (dataset) GROUP BY cf.dataset),
 nv AS (SELECT dataset, count(DISTINCT sample_id) AS n_surv FROM lt GROUP BY dataset), nx AS (SELECT dataset, count(*) AS n_expr FROM xs GROUP BY dataset),
 sj AS (SELECT ct.dataset, ct.n AS old, "primary", n_surv, CASE WHEN ct.dataset NOT LIKE 'TCGA-%' THEN n_expr END AS n_expr, n_os, n_dfs, np, ne, n_surv IS NOT NULL AND (ct.dataset LIKE 'TCGA-%' OR n_expr IS NOT NULL) AND "primary" IS NOT NULL AS ok FROM ct LEFT JOIN nv USING (dataset) LEFT JOIN nx USING (dataset) LEFT JOIN fm USING (dataset)),
 sz AS (SELECT dataset, n_surv, n_expr, CASE WHEN ok THEN n_os ELSE 0 END AS n_os, CASE WHEN ok THEN n_dfs ELSE 0 END AS n_dfs, CASE WHEN dataset LIKE 'TCGA-%' THEN old WHEN ok AND np > 0 THEN np END AS n, CASE WHEN ok THEN ne END AS n_events, CASE WHEN n_surv IS NULL THEN 'no survival table' WHEN dataset NOT LIKE 'TCGA-%' AND n_expr IS NULL THEN 'no expression table' WHEN "primary" IS NULL THEN 'no primary endpoint' END AS note FROM sj)"""
@@ -416,6 +436,7 @@ def _sizes(s, d):
 
 
 _q("ct1_sizes", _sizes, f"WITH {_SZ} SELECT * FROM sz")
+_q("ct1_fallback", lambda s, d: cohorts.sizes(_cohort_rows(s, d).withColumns({"ep_os": F.lit(None).cast("string"), "ep_dfs": F.lit(None).cast("string")}), _long(s, d), _expressed(s, d), FAMS), f"WITH {_SZ.replace(_CT, _CT.replace('ct AS (SELECT', 'ca AS (SELECT').replace(', ft AS', ', ct AS (SELECT * REPLACE (NULL::VARCHAR AS ep_os, NULL::VARCHAR AS ep_dfs) FROM ca), ft AS'))} SELECT * FROM sz")
 _q("ct2_changes", lambda s, d: cohorts.size_changes(_cohort_rows(s, d).where("dataset <> 'GHOST'"), _sizes(s, d)), f"WITH {_SZ}, o AS (SELECT dataset, n AS old_n FROM ct WHERE dataset <> 'GHOST') SELECT dataset, old_n, n AS new_n, CASE WHEN n IS NULL THEN 'would become null' WHEN old_n IS NULL THEN 'new' WHEN old_n = n THEN 'same' WHEN old_n < n THEN 'grows' ELSE 'shrinks' END AS change FROM sz LEFT JOIN o USING (dataset)")
 
 

@@ -327,7 +327,9 @@ l2 AS (SELECT *, count(*) OVER w AS levels, sum(n) OVER w AS total, max(n) OVER
 l3 AS (SELECT dataset, variable, level, n, events, CASE WHEN levels = 1 THEN 'constant' WHEN top::DOUBLE / total >= 0.95 THEN 'near-constant' WHEN n < 5 THEN 'fewer than 5 patients' WHEN events = 0 THEN 'no events' WHEN events = n THEN 'all events' END AS verdict FROM l2)"""
 _q("cx6_estimable", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.when(F.col("dataset") == "BUILDING", F.lit(1.0)).otherwise(F.col("value"))).withColumn("status", F.when(F.col("dataset") == "MACHINERY", 1).when((F.col("dataset") == "FURNITURE") & (F.col("sample_id") % 100 != 1), 0).otherwise(F.col("status")))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"),
    f"WITH {ONE}, o2 AS (SELECT dataset, gene, time, CASE WHEN dataset = 'MACHINERY' THEN 1 WHEN dataset = 'FURNITURE' AND sample_id % 100 <> 1 THEN 0 ELSE status END AS status, CASE WHEN dataset = 'BUILDING' THEN 1.0 ELSE value END AS value FROM o), {_fits('o2', steps=1)} SELECT dataset, gene, n, events, reason IS NULL AS ok, reason FROM fits")
-_q("cx6_separated", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.col("status") * 1e6 + F.col("time"))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"))
+# a marker that is least for every event among those at risk has no finite coefficient
+_q("cx6_separated", lambda s, d: cox.screen(one_gene(s, d).withColumn("value", F.when(F.col("dataset") < "F", F.col("time")).otherwise(F.col("value")))).select("dataset", "gene", "n", "events", F.col("reason").isNull().alias("ok"), "reason"),
+   f"WITH {ONE}, sep AS (SELECT dataset, gene, status, time, CASE WHEN dataset < 'F' THEN time ELSE value END AS value FROM o), gap AS (SELECT dataset, gene, status, value - min(value) OVER (PARTITION BY dataset ORDER BY time RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM sep), h AS (SELECT dataset, gene, count(*) AS n, sum(status)::BIGINT AS events, max(CASE WHEN status = 1 THEN above END) > 0 AS ok FROM gap GROUP BY ALL) SELECT dataset, gene, n, events, ok, CASE WHEN NOT ok THEN 'did not converge' END AS reason FROM h")
 _q("cx7_covariate_screen", lambda s, d: cox.covariate_levels(levels(s, d), ["dataset"]).select("dataset", "variable", "level", "n", "events", "verdict"), f"WITH {_VERDICT} SELECT * FROM l3")
 _q("cx7_merged_levels", lambda s, d: cox.merge_levels(levels(s, d).where("variable = 'rare'").withColumn("level", F.when(F.col("sample_id") % 53 == 0, "odd").otherwise(F.when(F.col("sample_id") % 2 == 0, "even").otherwise("other half"))), ["dataset"], 12).groupBy("dataset", "variable", "level", "merged").agg(F.count(F.lit(1)).alias("n")),
    """WITH lv AS (SELECT dataset, 'rare' AS variable, status, CASE WHEN sample_id % 53 = 0 THEN 'odd' WHEN sample_id % 2 = 0 THEN 'even' ELSE 'other half' END AS level FROM surv),

@@ -33,9 +33,9 @@ def allocate(sizes: DataFrame, target: int) -> DataFrame:
 
 
 def draw(rec: DataFrame, target: int, seed: int = 1) -> DataFrame:
-    """AG2: the allocated number of records of each stratum, by a hash of record and seed."""
+    """AG2: the allocated number of records of each stratum, first by the MD5 sum of record and seed."""
     seats = allocate(rec.groupBy("stratum").agg(F.count(F.lit(1)).alias("size")), target)
-    w = Window.partitionBy("stratum").orderBy(F.xxhash64("record_id", F.lit(seed)), "record_id")
+    w = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.col("record_id"), F.lit(str(seed))).cast("binary")), "record_id")
     return rec.withColumn("_r", F.row_number().over(w)).join(seats.select("stratum", "seats"), "stratum").where("_r <= seats").drop("_r", "seats")
 
 

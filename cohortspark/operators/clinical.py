@@ -143,7 +143,8 @@ def best_pairs(screened: DataFrame) -> DataFrame:
     """CL24: per file and token the time and event keys most samples have both of; then the best token of each file.
 
     Generic keys pair with every token of their file, and give way to the token's own where numbers of samples are equal;
-    then come names. A key with only zeros and ones is no time. Of repeated cells of a sample the least counts.
+    then come keys with words that hint at survival, then names. A key with only zeros and ones is no time. Of repeated cells of a
+    sample the least counts.
     """
     one = screened.groupBy("file", "token", "role", "key", "sample_id").agg(F.min("number").alias("x"))
     tokens = screened.where("token IS NOT NULL").select("file", F.col("token").alias("t")).distinct()
@@ -152,7 +153,8 @@ def best_pairs(screened: DataFrame) -> DataFrame:
     t = bags.where("role = 'time'").join(keys, ["file", "token", "key"], "left_semi").select("file", "token", "sample_id", F.col("key").alias("time_key"), F.col("generic").alias("g1"))
     e = bags.where("role = 'event'").select("file", "token", "sample_id", F.col("key").alias("event_key"), F.col("generic").alias("g2"), F.col("x").cast("int").alias("s"))
     g = t.join(e, ["file", "token", "sample_id"]).groupBy("file", "token", "time_key", "event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("events"), F.max(F.col("g1") + F.col("g2")).alias("generic"))
-    w = Window.partitionBy("file", "token").orderBy(F.desc("n"), "generic", "time_key", "event_key")
+    hint = lambda c: F.lower(c).rlike(fn.SURVIVAL_HINT).cast("int")
+    w = Window.partitionBy("file", "token").orderBy(F.desc("n"), "generic", F.desc(hint("time_key") + hint("event_key")), "time_key", "event_key")
     v = Window.partitionBy("file").orderBy(F.desc("n"), F.desc("events"), "token")
     return g.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("best", F.row_number().over(v) == 1).drop("r", "generic")
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.sources.shared import shared_dir
+from cohortspark.operators.endpoints import family_of
+from cohortspark.sources.shared import kept
 
 
 def survival_problems(surv: DataFrame) -> DataFrame:
@@ -95,25 +95,20 @@ def overlap_groups(pairs: DataFrame) -> DataFrame:
     """OV4: (accession, root) of the connected components of pairs (a, b); the root is the least accession.
 
     Labels fall to the least among the neighbours, then to that one's own label, until none changes; each round ends in a
-    table in the shared checkpoint folder.
+    table in the shared folder, which the next one replaces.
     """
-    spark = pairs.sparkSession
-    base = shared_dir(spark)
-
-    def keep(df):
-        path = f"{base.rstrip('/')}/groups-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = keep(both.groupBy(F.col("a").alias("accession")).agg(F.min("b").alias("m")).select("accession", F.least("accession", "m").alias("root")))
+    both = kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    table = kept(both.df.groupBy(F.col("a").alias("accession")).agg(F.min("b").alias("m")).select("accession", F.least("accession", "m").alias("root")))
     while True:
-        near = both.join(label.withColumnRenamed("accession", "b"), "b").groupBy(F.col("a").alias("accession")).agg(F.min("root").alias("near"))
+        label = table.df.select("accession", "root")
+        near = both.df.join(label.withColumnRenamed("accession", "b"), "b").groupBy(F.col("a").alias("accession")).agg(F.min("root").alias("near"))
         low = label.join(near, "accession").select("accession", F.least("root", "near").alias("low"), F.col("root").alias("old"))
-        new = keep(low.join(label.select(F.col("accession").alias("low"), F.col("root").alias("next")), "low").select("accession", F.least("low", "next").alias("root"), "old"))
-        if new.where("root <> old").isEmpty():
-            return new.select("accession", "root")
-        label = new.select("accession", "root")
+        new = kept(low.join(label.select(F.col("accession").alias("low"), F.col("root").alias("next")), "low").select("accession", F.least("low", "next").alias("root"), "old"))
+        table.remove()
+        table = new
+        if new.df.where("root <> old").isEmpty():
+            both.remove()
+            return new.df.select("accession", "root")
 
 
 def group_labels(groups: DataFrame) -> DataFrame:
@@ -169,15 +164,17 @@ def _usable(surv: DataFrame) -> DataFrame:
 def sizes(catalog: DataFrame, surv: DataFrame, expr: DataFrame, families: Sequence[str], guarded: str = "TCGA-") -> DataFrame:
     """CT1: per catalog row n_surv, n_expr, n_<family>, N and events of the primary endpoint, and a note.
 
-    catalog: dataset, n (the old one), primary (a family), ep_<family> (token or null). surv is long by token: dataset,
-    sample_id, token, time, status. A sample counts for a family where it has expression and both time and status of the
+    catalog: dataset, n (the old one), primary (a family), ep_<family> (token or null: then the first token by name of that
+    family in the survival table). surv is long by token: dataset, sample_id, token, time, status. A sample counts for a family where it has expression and both time and status of the
     family's token. N is that of the primary family; null without expression or sample. Rows of guarded accessions have no
     expression table by design: n_expr stays null, the old N stays, and every survival row counts as expressed.
     """
     e = expr.select("dataset", "sample_id").distinct()
     n_expr = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_expr"))
     rows = surv.select("dataset", "sample_id").distinct().groupBy("dataset").agg(F.count(F.lit(1)).alias("n_surv"))
-    tokens = catalog.select("dataset", "primary", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"ep_{f.lower()}").alias("token")) for f in families])).alias("x")).select("dataset", "primary", "x.*").where("token IS NOT NULL")
+    tokens = catalog.select("dataset", "primary", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"ep_{f.lower()}").alias("token")) for f in families])).alias("x")).select("dataset", "primary", "x.*")
+    there_ = surv.select("dataset", "token", family_of(F.col("token")).alias("family")).where(F.col("family").isin(*families)).groupBy("dataset", "family").agg(F.min("token").alias("_first"))
+    tokens = tokens.join(there_, ["dataset", "family"], "left").withColumn("token", F.coalesce("token", "_first")).drop("_first").where("token IS NOT NULL")
     free = F.col("dataset").startswith(guarded)
     used = _usable(surv).join(tokens, ["dataset", "token"]).join(e.withColumn("_e", F.lit(True)), ["dataset", "sample_id"], "left").where(free | F.col("_e"))
     lead = F.col("family") == F.col("primary")

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortspark.functions import cox_kernel as kernel
@@ -180,10 +180,11 @@ def newton(rows: DataFrame, start: DataFrame, keys: Sequence[str], p: int, block
         open_ = table.df.where("NOT done")
         got = _evaluated(risk_sums(rows, open_, keys, p, blocks, weighted), keys, p)
         moved = open_.join(got, keys, "left").mapInPandas(_moved(keys, p), _typed(start, keys) + STATE)
-        new = kept(table.df.where("done").unionByName(moved))
+        seen = Observation()
+        new = kept(table.df.where("done").unionByName(moved).observe(seen, F.sum((~F.col("done")).cast("long")).alias("open")))
         table.remove()
         table = new
-        if table.df.where("NOT done").isEmpty():
+        if not seen.get["open"]:
             return table.df.select(*keys, "b", "cov", "ll", "on", "converged")
 
 

@@ -125,8 +125,8 @@ def test_joint_models_equal_plain_loops(spark, block_rows):
 
 
 def test_sums_and_matrices_give_the_same_screens(spark):
-    m = surv(spark, SF).join(expr(spark, SF), ["dataset", "sample_id"]).where("gene < 'Brand#21'")
-    for how in ({}, {"joint": True}, {"scale": False}):
+    m = surv(spark, SF).join(expr(spark, SF), ["dataset", "sample_id"]).where("gene IN ('Brand#11', 'Brand#12')")
+    for how in ({"joint": True}, {"scale": False}):
         a, b = ({(r.dataset, r.gene): r for r in cox.screen(m.withColumn("value", F.col("value") / 1e4), large=large, **how).collect()} for large in (None, 0))
         assert set(a) == set(b)
         for key, r in a.items():
