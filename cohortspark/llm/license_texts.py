@@ -1,4 +1,10 @@
-"""Templates of public licence texts and notices, as text with markup (see ``licenses``). Whole mandatory wording."""
+"""Templates of public licence texts and notices, as text with markup (see ``licenses``). Whole mandatory wording.
+
+Whole licences of several pages are files in ``full_texts``, from their title to the end of their terms; addresses of the
+publisher are optional in them.
+"""
+
+from importlib.resources import files
 
 _VAR = '<<var;match=".+">>'
 _COPY = f"<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> {_VAR}<<endOptional>> "
@@ -15,6 +21,15 @@ def _gnu(name: str, version: str) -> str:
     return f"<<beginOptional>>{it} <<endOptional>>is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the {name}" + _GNU.format(v=version, it=it, name=name)
 
 
+def _only(name: str, version: str) -> str:
+    """The notice of a program under one version of a GNU licence alone."""
+    return f"under the terms of the {name}<<beginOptional>>,<<endOptional>> version {version}<<beginOptional>> only<<endOptional>><<beginOptional>>,<<endOptional>> as published by the Free Software Foundation"
+
+
+def _full(name: str) -> str:
+    return (files(f"{__package__}.full_texts") / f"{name}.txt").read_text(encoding="utf-8")
+
+
 _BSD_HEAD = _COPY + (
     "<<beginOptional>>all rights reserved<<endOptional>> Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -53,6 +68,9 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
         "<<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>> mozilla.org/MPL/2.0"
     ),
+    "gpl-2.0-only": _only("GNU General Public License", "2"),
+    "gpl-3.0-only": _only("GNU General Public License", "3"),
+    "lgpl-2.1-only": _only("GNU Lesser General Public License", "2.1"),
     "gpl-2.0-or-later": _gnu("GNU General Public License", "2"),
     "gpl-3.0-or-later": _gnu("GNU General Public License", "3"),
     "lgpl-2.1-or-later": _gnu("GNU Lesser General Public License", "2.1"),
@@ -74,3 +92,5 @@ TEMPLATES = {
     "bsd-2-clause": _BSD_HEAD + _BSD_TAIL,
     "bsd-3-clause": _BSD_HEAD + _BSD_NAME + _BSD_TAIL,
 }
+#: Whole licences.
+TEMPLATES |= {f"{name}-text": _full(name) for name in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0")}
