@@ -25,6 +25,21 @@ def drawn(df: DataFrame, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*df.columns, F.lit(17)), F.lit(_SPACE)) < F.lit(int(_SPACE * rows / n))).dropDuplicates()
 
 
+def drawn_with(df: DataFrame, column: str, rows: int, least: int, most: int) -> DataFrame:
+    """``drawn``, and of each value of the column that has few rows in it about ``least`` (or all it has).
+
+    More than ``most`` such values are an error, so the sample stays bounded; the values are counted over the whole table.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    few = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * F.lit(rows / n) < least)
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rare values of {column}")
+    draw = F.pmod(F.xxhash64(*df.columns, F.lit(19)), F.lit(_SPACE)) < F.lit(float(_SPACE * least)) / F.col("_n")
+    return drawn(df, rows).unionByName(df.join(F.broadcast(few), column).where(draw).drop("_n").select(*df.columns)).dropDuplicates()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int, held: int) -> DataFrame:
     """doc_id, label, text of at most about ``rows`` labelled documents outside the held-out remainder.
 

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm._arrow import map_batches
 from cohortspark.llm._memory import LONGEST_KEY, Remembered
-from cohortspark.llm._sample import drawn, remainder
+from cohortspark.llm._sample import drawn_with, remainder
 
 MODULUS, HELD = 3, 1
-#: At most about so many rows are fitted.
-TRAIN_ROWS = 4_000
+#: At most about so many rows are fitted, and so many more of each language that is rare among them; languages of that kind at most.
+TRAIN_ROWS, RARE_ROWS, MOST_RARE = 4_000, 50, 200
 #: Hashed n-grams (1 to 4 characters of a word with its ends marked).
 FEATURES, LONGEST = 1 << 12, 4
 #: Most bits of a codeword.
@@ -100,9 +100,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], steps: int
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """The model from a bounded sample of rows with a language outside the held-out ones; None without any such row."""
+    """The model from a bounded sample of rows with a language outside the held-out ones; None without any such row.
+
+    A language with few rows in a plain sample is drawn on its own, so that it is learned however rare it is.
+    """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", MODULUS) != HELD))
-    sample = drawn(known, rows)
+    sample = drawn_with(known, "lang", rows, RARE_ROWS, MOST_RARE)
 
     def make():
         known = Remembered(grams_of, lambda g: 40 * len(g))
@@ -130,7 +133,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Language of every whole text: doc_id, held_out, lang_pred, score, ambiguous.
 
-    Null text, text without a letter and any text without a model give ``und`` with score 0, flagged as ambiguous. A null
+    Of equally near languages the first by name counts, and the text is flagged. Null text, text without a letter and any text without a model give ``und`` with score 0, flagged as ambiguous. A null
     id is not held out; repeated rows stay; an empty table gives an empty result. Row-local, no shuffle.
     """
 

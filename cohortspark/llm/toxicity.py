@@ -2,7 +2,8 @@
 
 A linear model over the presence of word and character n-gram features is fitted from confirmed toxic texts and
 unlabelled ones. The risk of the unlabelled part is corrected by the class prior; where the corrected negative risk turns
-negative, the step goes against it, so the model cannot overfit by calling every unlabelled text clean.
+negative, the step goes against it, so the model cannot overfit by calling every unlabelled text clean. Texts labelled clean are
+no part of that risk; a bounded number of them is read to estimate the class prior, and for nothing else.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortspark.llm import language, quality, toxicity
-from cohortspark.llm._sample import drawn
+from cohortspark.llm._sample import drawn, drawn_with
 from cohortspark.sources.shared import shared_dir
 
 SF = "/root/testdata/sf0.01"
@@ -112,6 +112,27 @@ def test_samples_stay_bounded(spark):
     assert 140 < got.count() < 260 and sorted(map(tuple, got.collect())) == sorted(map(tuple, drawn(hot.repartition(7).unionByName(spark.range(2000).selectExpr("id AS doc_id", "'x' AS text")), 300).collect()))
 
 
+def test_rare_values_are_drawn_on_their_own(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 30, "rare").when(F.col("id") < 500, "few").otherwise("many").alias("lang"))
+    got = {r.lang: r["count"] for r in drawn_with(rows, "lang", 1000, 50, 5).groupBy("lang").count().collect()}
+    assert got["rare"] == 30 and 40 <= got["few"] <= 120 and 850 <= got["many"] <= 1100
+    again = lambda n: {r.doc_id for r in drawn_with(rows.repartition(n), "lang", 1000, 50, 5).collect()}
+    assert again(3) == again(7)
+    assert drawn_with(rows.limit(10), "lang", 1000, 50, 5).count() == 10
+    with pytest.raises(ValueError, match="more than 1 rare"):
+        drawn_with(rows, "lang", 1000, 50, 1).count()
+
+
+def test_a_rare_language_is_learned(spark):
+    """One in ten thousand rows, which a plain sample of a few thousand would hardly hold."""
+    word = lambda c, k: F.concat(*(F.element_at(F.array(*map(F.lit, c)), (F.pmod(F.xxhash64("id", F.lit(k), F.lit(j)), F.lit(len(c))) + 1).cast("int")) for j in range(3)))
+    text = lambda c: F.concat_ws(" ", *(word(c, k) for k in range(12)))
+    rare = F.pmod("id", F.lit(2500)) == 0
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(rare, text(["žu", "čka", "řěd"])).when(F.col("id") % 2 == 0, text(["the", "ing", "or"])).otherwise(text(["der", "sch", "ung"])).alias("text"), F.when(rare, "xx").when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    got = language.predict(rows.where("doc_id % 2500 = 0 OR doc_id % 997 = 0"), language.train(rows)).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang for r in got} == {"xx", "en", "de"} and all(r.lang_pred == r.lang for r in got)
+
+
 def slow_toxic_score(model, text):
     """Word by word and n-gram by n-gram."""
     weight = dict(zip(model.features.tolist(), model.weight.tolist(), strict=True))
