@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.clinical import number
+from cohortspark.sources.shared import kept
 
 #: Gene columns of a platform table, and texts that stand for no gene.
 GENE_COLUMNS = ("ENTREZ_GENE_ID", "Entrez_Gene_ID", "GENE_ID", "Gene ID", "GENE", "ENTREZID", "gene_id", "Entrez.Gene", "Entrez Gene ID", "Entrez.ID")
@@ -34,9 +35,12 @@ def map_for(platform_map: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, line of text files without blank lines; ``at`` rises along each file, whose blocks are read apart."""
+    """file, at, line of text files without blank lines; ``at`` rises along each file, whose blocks are read apart.
+
+    The numbered lines are written once, as parts of them meet later: all parts see the same numbers.
+    """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return raw.where("trim(line) <> ''")
+    return kept(raw.where("trim(line) <> ''")).df
 
 
 def _first_lines(lines: DataFrame, rank: int = 1) -> DataFrame:
