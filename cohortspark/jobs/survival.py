@@ -381,8 +381,8 @@ tt AS (SELECT DISTINCT dataset, unnest(quantile_cont(time, [0.2, 0.3, 0.4, 0.5,
 SELECT dataset, "group", cause, round(horizon, 6) AS horizon, coalesce(arg_min(n_risk, time) FILTER (WHERE time >= horizon), 0)::BIGINT AS n_risk, round(coalesce(arg_max(cif, time) FILTER (WHERE time <= horizon), 0), 6) AS cif, round(coalesce(arg_max(se, time) FILTER (WHERE time <= horizon), 0), 6) AS se, round(arg_max(lower, time) FILTER (WHERE time <= horizon), 6) AS lower, round(arg_max(upper, time) FILTER (WHERE time <= horizon), 6) AS upper FROM a GROUP BY dataset, "group", cause, horizon""")
 _q("cr2_group_cuts", lambda s, d: competing.group_by_cuts(cr(s, d), ["dataset"], "balance", [0.25, 0.5, 0.75]).groupBy("dataset", "group").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") == 1).cast("int")).alias("events")),
    "WITH q AS (SELECT dataset, quantile_cont(balance, [0.25, 0.5, 0.75]) AS qs, count(DISTINCT balance) AS levels FROM surv GROUP BY dataset) SELECT s.dataset, CASE WHEN levels > 20 THEN 'Q' || CAST(1 + (balance >= qs[1])::INT + (balance >= qs[2])::INT + (balance >= qs[3])::INT AS VARCHAR) ELSE CAST(balance AS VARCHAR) END AS \"group\", count(*) AS n, sum(CASE WHEN cr_status = 1 THEN 1 ELSE 0 END)::BIGINT AS events FROM surv s JOIN q ON q.dataset = s.dataset GROUP BY ALL")
-_q("cr3_cause_specific", lambda s, d: r6(competing.cause_specific(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]), *_FIT),
-   f"WITH rc AS (SELECT dataset, cr_time AS time, CASE WHEN cr_status = 1 THEN 1 ELSE 0 END AS status, balance / 1000.0::DOUBLE AS value FROM surv), {_fits('rc', 'dataset', scale=False)} SELECT dataset, 'balance' AS variable, '' AS level, * EXCLUDE (dataset, b_full, se_full) FROM fits")
+_q("cr3_cause_specific", lambda s, d: r6(competing.cause_specific(cr(s, d).withColumn("balance", F.col("balance") / F.lit(1000.0)), ["dataset"], 1, ["balance"]), *_FIT, "epv"),
+   f"WITH rc AS (SELECT dataset, cr_time AS time, CASE WHEN cr_status = 1 THEN 1 ELSE 0 END AS status, balance / 1000.0::DOUBLE AS value FROM surv), {_fits('rc', 'dataset', scale=False)} SELECT dataset, 'balance' AS variable, '' AS level, * EXCLUDE (dataset, b_full, se_full), CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS parameters, round(events::DOUBLE, 6) AS epv, {_EPV.format(p=1)} FROM fits")
 _FG = f"""{_RAW}, r0 AS (SELECT s.dataset, cr_time AS time, cr_status AS code, (cr_status = 1)::INT AS status, balance / 1000.0::DOUBLE AS balance, nation::DOUBLE AS nation FROM surv s WHERE cr_time >= 0),
 g0 AS (SELECT dataset, time, sum((code = 0)::INT) AS c, count(*) AS m FROM r0 GROUP BY ALL), g1 AS (SELECT *, sum(m) OVER (PARTITION BY dataset ORDER BY time DESC) - (m - c) AS left_ FROM g0),
 g2 AS (SELECT dataset, time, exp(coalesce(sum(CASE WHEN left_ > 0 THEN ln(greatest(1 - c / left_::DOUBLE, 1e-300)) ELSE 0 END) OVER (PARTITION BY dataset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM g1),
