@@ -314,19 +314,19 @@ def _headers(s, d):
 _q("cl23_screen", lambda s, d: clinical.screen_headers(_headers(s, d)).select("file", "sample_id", "key", "token", "role"),
    """SELECT dataset AS file, sample_id, 'overall survival months' AS key, 'OS' AS token, 'time' AS role FROM surv UNION ALL SELECT dataset, sample_id, 'overall survival months', 'OS', 'event' FROM surv WHERE round(time * 12, 1) IN (0, 1)
 UNION ALL SELECT dataset, sample_id, 'vital status', 'OS', 'event' FROM surv UNION ALL SELECT dataset, sample_id, 'relapse event', 'RFS', 'event' FROM surv WHERE sample_id % 2 = 0 AND cr_status < 2 UNION ALL SELECT dataset, sample_id, 'rfs time', 'RFS', 'time' FROM surv WHERE sample_id % 3 = 0""")
-_CELLS = (
+_TIED = (
     ("os months", "OS", "time", "round(time * 12, 1)"), ("vital status", "OS", "event", "status"), ("last visit", None, "time", "round(time * 12, 1)"), ("annum", None, "time", "round(time, 2)"), ("survival years", None, "time", "round(time, 2)"),
     ("relapse event", "RFS", "event", "CASE WHEN sample_id % 2 = 0 AND cr_status < 2 THEN cr_status END"), ("rfs time", "RFS", "time", "CASE WHEN sample_id % 3 = 0 THEN round(cr_time, 2) END"), ("flag", "OS", "time", "sample_id % 2"), ("pfs", "PFS", "event", "CASE WHEN dataset = 'MACHINERY' THEN 1 - status END"),
 )
 
 
-def _cells(s, d):
+def _tied_cells(s, d):
     """Screened cells with keys that as many samples have: a token's own and generic ones, with and without a word that hints at survival."""
-    cells = [f"named_struct('key', '{k}', 'token', {'NULL' if t is None else repr(t)}, 'role', '{r}', 'number', CAST({x} AS DOUBLE))" for k, t, r, x in _CELLS]
+    cells = [f"named_struct('key', '{k}', 'token', {'NULL' if t is None else repr(t)}, 'role', '{r}', 'number', CAST({x} AS DOUBLE))" for k, t, r, x in _TIED]
     return surv(s, d).select(F.col("dataset").alias("file"), "sample_id", F.explode(F.expr(f"array({', '.join(cells)})")).alias("x")).select("file", "sample_id", "x.*").where("number IS NOT NULL")
 
 
-_PAIRS = f"""cells AS ({' UNION ALL '.join(f"SELECT dataset AS file, sample_id, '{k}' AS key, {'NULL' if t is None else repr(t)} AS token, '{r}' AS role, ({x})::DOUBLE AS number FROM surv" for k, t, r, x in _CELLS)}),
+_TIED_PAIRS = f"""cells AS ({' UNION ALL '.join(f"SELECT dataset AS file, sample_id, '{k}' AS key, {'NULL' if t is None else repr(t)} AS token, '{r}' AS role, ({x})::DOUBLE AS number FROM surv" for k, t, r, x in _TIED)}),
 have AS (SELECT * FROM cells WHERE number IS NOT NULL), toks AS (SELECT DISTINCT file, token AS t FROM have WHERE token IS NOT NULL),
 bags AS (SELECT h.file, t AS token, key, role, sample_id, number, (token IS NULL)::INT AS generic FROM have h JOIN toks ON toks.file = h.file AND (token IS NULL OR token = t)),
 timely AS (SELECT file, token, key FROM bags WHERE role = 'time' GROUP BY ALL HAVING max((number NOT IN (0, 1))::INT) = 1),
@@ -334,7 +334,7 @@ pairs AS (SELECT a.file, a.token, a.key AS time_key, b.key AS event_key, count(*
 firsts AS (SELECT *, row_number() OVER (PARTITION BY file, token ORDER BY n DESC, generic, regexp_matches(time_key, '{fn.SURVIVAL_HINT}')::INT + regexp_matches(event_key, '{fn.SURVIVAL_HINT}')::INT DESC, time_key, event_key) AS r FROM pairs)
 SELECT file, token, time_key, event_key, n, events, row_number() OVER (PARTITION BY file ORDER BY n DESC, events DESC, token) = 1 AS best FROM firsts WHERE r = 1"""
 _q("cl24_best_pairs", lambda s, d: clinical.best_pairs(clinical.screen_headers(_headers(s, d))), "SELECT dataset AS file, 'OS' AS token, 'overall survival months' AS time_key, 'vital status' AS event_key, count(*) AS n, sum(status)::BIGINT AS events, true AS best FROM surv GROUP BY dataset UNION ALL SELECT dataset, 'RFS', 'rfs time', 'relapse event', count(*), sum(cr_status)::BIGINT, false FROM surv WHERE sample_id % 6 = 0 AND cr_status < 2 GROUP BY dataset")
-_q("cl24_tied_pairs", lambda s, d: clinical.best_pairs(_cells(s, d)), f"WITH {_PAIRS}")
+_q("cl24_tied_pairs", lambda s, d: clinical.best_pairs(_tied_cells(s, d)), f"WITH {_TIED_PAIRS}")
 _q("cl25_candidates", lambda s, d: clinical.candidates(catalog(s, d).select("accession", F.when(F.col("n") % 2 == 0, F.col("platform")).otherwise("GPL9").alias("platform"), F.col("n").alias("effective_n")), catalog(s, d).where("accession < 'NATION_2'"), 60), f"WITH {CATALOG_SQL}, f AS (SELECT accession, CASE WHEN n % 2 = 0 THEN platform ELSE 'GPL9' END AS platform, n AS effective_n FROM cat), k AS (SELECT accession, platform AS known FROM cat WHERE accession < 'NATION_2') SELECT accession, f.platform, effective_n, coalesce(known <> f.platform, false) AS platform_mismatch, CASE WHEN effective_n <= 60 THEN 'too few samples' WHEN known = f.platform THEN 'in catalog' END AS reason FROM f LEFT JOIN k USING (accession)")
 _TITLES = ("Breast cancer relapse", "Lung adenocarcinoma cohort", "Glioblastoma series", "Gene atlas", "Colorectal metastasis")
 _q("cl26_cancer", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", fn.cancer_of(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("type")), "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Breast' WHEN 1 THEN 'Lung' WHEN 4 THEN 'Colorectal' ELSE 'unknown' END AS type FROM part")
