@@ -14,7 +14,7 @@ from cohortspark.jobs.survival import _fits as fits_sql
 from cohortspark.operators import clinical, cohorts, cox, endpoints, expression
 from cohortspark.sources import readers
 from cohortspark.sources.adapters import expr, probes, surv, with_views
-from cohortspark.sources.shared import shared_dir
+from cohortspark.sources.shared import kept, shared_dir
 
 Q: dict = {}
 
@@ -423,12 +423,15 @@ def _cohort_rows(s, d):
 
 
 _LT = f"lt AS (SELECT {_NAME} AS dataset, sample_id, 'OS' AS token, time, CASE WHEN sample_id % 9 <> 0 THEN status END AS status FROM surv UNION ALL SELECT dataset, sample_id, 'RFS', CASE WHEN sample_id % 11 <> 0 THEN cr_time END, CASE WHEN cr_status > 0 THEN 1 ELSE 0 END FROM surv WHERE dataset <> 'MACHINERY'), xs AS (SELECT DISTINCT {_NAME} AS dataset, sample_id FROM expr WHERE sample_id % 10 <> 0 AND dataset <> 'HOUSEHOLD')"
-_CT = f"ct AS (SELECT {_NAME} AS dataset, count(*) AS n, CASE dataset WHEN 'BUILDING' THEN 'DFS' WHEN 'FURNITURE' THEN NULL ELSE 'OS' END AS \"primary\", CASE WHEN dataset <> 'FURNITURE' THEN 'OS' END AS ep_os, CASE WHEN dataset <> 'MACHINERY' THEN 'RFS' END AS ep_dfs FROM surv GROUP BY surv.dataset UNION ALL SELECT 'GHOST', 4, 'OS', 'OS', NULL), ft AS (SELECT dataset, min(CASE WHEN token = 'OS' THEN token END) AS t_os, min(CASE WHEN token = 'RFS' THEN token END) AS t_dfs FROM lt GROUP BY dataset), cf AS (SELECT ct.* REPLACE (coalesce(ep_os, t_os) AS ep_os, coalesce(ep_dfs, t_dfs) AS ep_dfs) FROM ct LEFT JOIN ft USING (dataset))"
-_SZ = f"""{_LT}, {_CT}, us AS (SELECT lt.*, lt.dataset LIKE 'TCGA-%' OR x.sample_id IS NOT NULL AS used FROM lt LEFT JOIN xs x ON x.dataset = lt.dataset AND x.sample_id = lt.sample_id WHERE time IS NOT NULL AND status IS NOT NULL),
-fm AS (SELECT cf.dataset, count(CASE WHEN used AND token = ep_os THEN 1 END) AS n_os, count(CASE WHEN used AND token = ep_dfs THEN 1 END) AS n_dfs, count(CASE WHEN used AND token = CASE "primary" WHEN 'OS' THEN ep_os ELSE ep_dfs END THEN 1 END) AS np, count(CASE WHEN used AND status = 1 AND token = CASE "primary" WHEN 'OS' THEN ep_os WHEN 'DFS' THEN ep_dfs END THEN 1 END) AS ne FROM cf LEFT JOIN us USING (dataset) GROUP BY cf.dataset),
-nv AS (SELECT dataset, count(DISTINCT sample_id) AS n_surv FROM lt GROUP BY dataset), nx AS (SELECT dataset, count(*) AS n_expr FROM xs GROUP BY dataset),
-sj AS (SELECT ct.dataset, ct.n AS old, "primary", n_surv, CASE WHEN ct.dataset NOT LIKE 'TCGA-%' THEN n_expr END AS n_expr, n_os, n_dfs, np, ne, n_surv IS NOT NULL AND (ct.dataset LIKE 'TCGA-%' OR n_expr IS NOT NULL) AND "primary" IS NOT NULL AS ok FROM ct LEFT JOIN nv USING (dataset) LEFT JOIN nx USING (dataset) LEFT JOIN fm USING (dataset)),
-sz AS (SELECT dataset, n_surv, n_expr, CASE WHEN ok THEN n_os ELSE 0 END AS n_os, CASE WHEN ok THEN n_dfs ELSE 0 END AS n_dfs, CASE WHEN dataset LIKE 'TCGA-%' THEN old WHEN ok AND np > 0 THEN np END AS n, CASE WHEN ok THEN ne END AS n_events, CASE WHEN n_surv IS NULL THEN 'no survival table' WHEN dataset NOT LIKE 'TCGA-%' AND n_expr IS NULL THEN 'no expression table' WHEN "primary" IS NULL THEN 'no primary endpoint' END AS note FROM sj)"""
+_CT = f"ct AS (SELECT {_NAME} AS dataset, count(*) AS n, CASE dataset WHEN 'BUILDING' THEN 'DFS' WHEN 'FURNITURE' THEN NULL ELSE 'OS' END AS \"primary\", CASE WHEN dataset <> 'FURNITURE' THEN 'OS' END AS ep_os, CASE WHEN dataset <> 'MACHINERY' THEN 'RFS' END AS ep_dfs FROM surv GROUP BY surv.dataset UNION ALL SELECT 'GHOST', 4, 'OS', 'OS', NULL)"
+#: Sizes by SQL: survival rows {lt}, catalog {ct}; names end in {t}.
+_SIZED = """ft{t} AS (SELECT dataset, min(CASE WHEN token = 'OS' THEN token END) AS t_os, min(CASE WHEN token = 'RFS' THEN token END) AS t_dfs FROM {lt} GROUP BY dataset), cf{t} AS (SELECT {ct}.* REPLACE (coalesce(ep_os, t_os) AS ep_os, coalesce(ep_dfs, t_dfs) AS ep_dfs) FROM {ct} LEFT JOIN ft{t} USING (dataset)),
+us{t} AS (SELECT {lt}.*, {lt}.dataset LIKE 'TCGA-%' OR x.sample_id IS NOT NULL AS used FROM {lt} LEFT JOIN xs x ON x.dataset = {lt}.dataset AND x.sample_id = {lt}.sample_id WHERE time IS NOT NULL AND status IS NOT NULL),
+fm{t} AS (SELECT cf{t}.dataset, count(CASE WHEN used AND token = ep_os THEN 1 END) AS n_os, count(CASE WHEN used AND token = ep_dfs THEN 1 END) AS n_dfs, count(CASE WHEN used AND token = CASE "primary" WHEN 'OS' THEN ep_os ELSE ep_dfs END THEN 1 END) AS np, count(CASE WHEN used AND status = 1 AND token = CASE "primary" WHEN 'OS' THEN ep_os WHEN 'DFS' THEN ep_dfs END THEN 1 END) AS ne FROM cf{t} LEFT JOIN us{t} USING (dataset) GROUP BY cf{t}.dataset),
+nv{t} AS (SELECT dataset, count(DISTINCT sample_id) AS n_surv FROM {lt} GROUP BY dataset), nx{t} AS (SELECT dataset, count(*) AS n_expr FROM xs GROUP BY dataset),
+sj{t} AS (SELECT {ct}.dataset, {ct}.n AS old, "primary", nv{t}.n_surv, CASE WHEN {ct}.dataset NOT LIKE 'TCGA-%' THEN nx{t}.n_expr END AS n_expr, fm{t}.n_os, fm{t}.n_dfs, np, ne, nv{t}.n_surv IS NOT NULL AND ({ct}.dataset LIKE 'TCGA-%' OR nx{t}.n_expr IS NOT NULL) AND "primary" IS NOT NULL AS ok FROM {ct} LEFT JOIN nv{t} USING (dataset) LEFT JOIN nx{t} USING (dataset) LEFT JOIN fm{t} USING (dataset)),
+sz{t} AS (SELECT dataset, n_surv, n_expr, CASE WHEN ok THEN n_os ELSE 0 END AS n_os, CASE WHEN ok THEN n_dfs ELSE 0 END AS n_dfs, CASE WHEN dataset LIKE 'TCGA-%' THEN old WHEN ok AND np > 0 THEN np END AS n, CASE WHEN ok THEN ne END AS n_events, CASE WHEN n_surv IS NULL THEN 'no survival table' WHEN dataset NOT LIKE 'TCGA-%' AND n_expr IS NULL THEN 'no expression table' WHEN "primary" IS NULL THEN 'no primary endpoint' END AS note FROM sj{t})"""
+_SZ = f"{_LT}, {_CT}, {_SIZED.format(lt='lt', ct='ct', t='')}"
 
 
 def _sizes(s, d):
@@ -436,7 +439,7 @@ def _sizes(s, d):
 
 
 _q("ct1_sizes", _sizes, f"WITH {_SZ} SELECT * FROM sz")
-_q("ct1_fallback", lambda s, d: cohorts.sizes(_cohort_rows(s, d).withColumns({"ep_os": F.lit(None).cast("string"), "ep_dfs": F.lit(None).cast("string")}), _long(s, d), _expressed(s, d), FAMS), f"WITH {_SZ.replace(_CT, _CT.replace('ct AS (SELECT', 'ca AS (SELECT').replace(', ft AS', ', ct AS (SELECT * REPLACE (NULL::VARCHAR AS ep_os, NULL::VARCHAR AS ep_dfs) FROM ca), ft AS'))} SELECT * FROM sz")
+_q("ct1_fallback", lambda s, d: cohorts.sizes(_cohort_rows(s, d).withColumns({"ep_os": F.lit(None).cast("string"), "ep_dfs": F.lit(None).cast("string")}), _long(s, d), _expressed(s, d), FAMS), f"WITH {_LT}, {_CT.replace('ct AS', 'ca AS', 1)}, ct AS (SELECT * REPLACE (NULL::VARCHAR AS ep_os, NULL::VARCHAR AS ep_dfs) FROM ca), {_SIZED.format(lt='lt', ct='ct', t='')} SELECT * FROM sz")
 _q("ct2_changes", lambda s, d: cohorts.size_changes(_cohort_rows(s, d).where("dataset <> 'GHOST'"), _sizes(s, d)), f"WITH {_SZ}, o AS (SELECT dataset, n AS old_n FROM ct WHERE dataset <> 'GHOST') SELECT dataset, old_n, n AS new_n, CASE WHEN n IS NULL THEN 'would become null' WHEN old_n IS NULL THEN 'new' WHEN old_n = n THEN 'same' WHEN old_n < n THEN 'grows' ELSE 'shrinks' END AS change FROM sz LEFT JOIN o USING (dataset)")
 
 
@@ -457,6 +460,7 @@ def _consistency(s, d):
     v, e = _long(s, d), _expressed(s, d)
     c = _cohort_rows(s, d)
     good = c.drop("n").join(cohorts.sizes(c, v, e, FAMS).drop("note"), "dataset").withColumn("platform", F.when(F.col("dataset") == "BUILDING", "GPL9").otherwise("GPL1")).withColumn("survival_types", F.when(F.col("dataset") != "HOUSEHOLD", "OS,RFS"))
+    good = kept(good).df  # a catalog is a table
     b = F.col("dataset") == "BUILDING"
     bad = good.withColumn("n", F.when(b, 1_000_000).otherwise(F.col("n"))).withColumn("n_dfs", F.when(b, F.col("n_dfs") - 1).when(F.col("dataset") == "TCGA-MACHINERY", 7).otherwise(F.col("n_dfs")))
     odd = good.where("dataset = 'GHOST'").withColumns({"dataset": F.lit("ODD-GPL5"), "ep_os": F.lit(None).cast("string"), "primary": F.lit(None).cast("string")})
@@ -466,16 +470,40 @@ def _consistency(s, d):
     return cohorts.consistency(cat, v, e, grid, FAMS, s.createDataFrame([("GPL1",)], "platform string"))
 
 
-_EXPECTED = {
-    ("error", "repeated accession"): ("1", "'GHOST'"), ("error", "dash before the platform in an accession"): ("1", "'ODD-GPL5'"), ("error", "endpoint columns empty though annotated or with a survival table"): ("1", "'ODD-GPL5 (survival types OS,RFS)'"),
-    ("error", "annotated without expression table"): ("3", "'GHOST, ODD-GPL5'"), ("error", "annotated without survival table"): ("3", "'GHOST, ODD-GPL5'"), ("error", "expression table without platform table"): ("1", "'BUILDING (platform GPL9)'"),
-    ("warn", "table without catalog row"): ("1", "'HOUSEHOLD'"), ("error", "status not 0/1"): ("1", "'AUTOMOBILE.RFS'"),
-    ("error", "count differs from the tables"): ("2", "'BUILDING n 1000000!=' || CAST(z.n AS VARCHAR) || ', BUILDING n_dfs ' || CAST(z.n_dfs - 1 AS VARCHAR) || '!=' || CAST(z.n_dfs AS VARCHAR)"),
-    ("error", "N above its tables"): ("1", "'BUILDING'"), ("error", "no sample in both tables"): ("0", "''"), ("warn", "status column empty"): ("1", "'FURNITURE.OS'"), ("warn", "primary endpoint without events"): ("0", "''"),
-    ("info", "expression but no N"): ("1", "'FURNITURE'"), ("error", "token without time and status"): ("0", "''"), ("error", "count of a family that is not registered"): ("0", "''"), ("error", "cell missing in the grid"): ("4", "'FURNITURE/DFS, FURNITURE/OS, ODD-GPL5/DFS, ODD-GPL5/OS'"),
-    ("error", "grid cell without cohort"): ("2", "'HOUSEHOLD/DFS, HOUSEHOLD/OS'"), ("error", "repeated grid cell"): ("0", "''"), ("error", "pooling class blank or unknown"): ("2", "'GHOST/DFS, GHOST/OS'"), ("info", "no endpoint annotation"): ("0", "''"),
+_NOTED = "coalesce(trim(survival_types) <> '', false)"
+_FAULTY = f"""{_SZ}, gd AS (SELECT ct.* EXCLUDE (n), sz.* EXCLUDE (dataset, note), CASE ct.dataset WHEN 'BUILDING' THEN 'GPL9' ELSE 'GPL1' END AS platform, CASE WHEN ct.dataset <> 'HOUSEHOLD' THEN 'OS,RFS' END AS survival_types FROM ct JOIN sz ON sz.dataset = ct.dataset),
+bd AS (SELECT * REPLACE (CASE dataset WHEN 'BUILDING' THEN 1000000 ELSE n END AS n, CASE dataset WHEN 'BUILDING' THEN n_dfs - 1 WHEN 'TCGA-MACHINERY' THEN 7 ELSE n_dfs END AS n_dfs) FROM gd),
+cg AS (SELECT * FROM bd WHERE dataset <> 'HOUSEHOLD' UNION ALL SELECT * REPLACE ('ODD-GPL5' AS dataset, NULL::VARCHAR AS ep_os, NULL::VARCHAR AS "primary") FROM gd WHERE dataset = 'GHOST' UNION ALL SELECT * FROM bd WHERE dataset = 'GHOST'),
+lv AS (SELECT * REPLACE (CASE WHEN dataset = 'AUTOMOBILE' AND token = 'RFS' THEN status + 1 WHEN dataset = 'FURNITURE' AND token = 'OS' THEN NULL ELSE status END AS status) FROM lt),
+gr AS (SELECT dataset, unnest(['OS', 'DFS']) AS family, CASE dataset WHEN 'GHOST' THEN 'Maybe' ELSE 'Unknown' END AS pooling_class FROM ct WHERE dataset <> 'FURNITURE'), {_SIZED.format(lt='lv', ct='cg', t='_now')},
+ow AS (SELECT * FROM cg WHERE dataset NOT LIKE 'TCGA-%'), fu AS (SELECT DISTINCT dataset, unnest(['OS', 'DFS']) AS family FROM cg),
+sv AS (SELECT DISTINCT dataset FROM lv), se AS (SELECT DISTINCT dataset FROM xs), tk AS (SELECT * FROM (SELECT dataset, unnest(['OS', 'DFS']) AS family, unnest([ep_os, ep_dfs]) AS token, unnest([n_os, n_dfs]) AS k FROM ow) x),
+cn AS (SELECT ow.dataset, unnest(['n', 'n_events', 'n_surv', 'n_expr', 'n_os', 'n_dfs']) AS c, unnest([ow.n, ow.n_events, ow.n_surv, ow.n_expr, ow.n_os, ow.n_dfs]) AS said, unnest([z.n, z.n_events, z.n_surv, z.n_expr, z.n_os, z.n_dfs]) AS found FROM ow JOIN sz_now z ON z.dataset = ow.dataset)"""
+#: What each check lists, by SQL: (level, check): rows of one text.
+_LISTED = {
+    ("error", "repeated accession"): "SELECT dataset AS x FROM cg GROUP BY dataset HAVING count(*) > 1",
+    ("error", "dash before the platform in an accession"): "SELECT dataset FROM cg WHERE dataset LIKE '%-GPL%'",
+    ("error", "endpoint columns empty though annotated or with a survival table"): f"SELECT dataset || ' (survival types ' || coalesce(survival_types, 'NA') || ')' FROM cg WHERE coalesce(ep_os, ep_dfs, \"primary\") IS NULL AND ({_NOTED} OR dataset IN (FROM sv))",
+    ("error", "annotated without expression table"): f"SELECT dataset FROM ow WHERE {_NOTED} AND dataset NOT IN (FROM se)",
+    ("error", "annotated without survival table"): f"SELECT dataset FROM ow WHERE {_NOTED} AND dataset NOT IN (FROM sv)",
+    ("error", "expression table without platform table"): "SELECT dataset || ' (platform ' || coalesce(platform, 'NA') || ')' FROM ow WHERE dataset IN (FROM se) AND platform IS DISTINCT FROM 'GPL1'",
+    ("warn", "table without catalog row"): "SELECT dataset FROM (FROM se UNION FROM sv) x WHERE dataset NOT IN (SELECT dataset FROM cg)",
+    ("error", "status not 0/1"): "SELECT DISTINCT dataset || '.' || token FROM lv WHERE status NOT IN (0, 1)",
+    ("error", "count differs from the tables"): "SELECT dataset || ' ' || c || ' ' || CAST(said AS VARCHAR) || '!=' || coalesce(CAST(found AS VARCHAR), 'NA') FROM cn WHERE said IS NOT NULL AND said IS DISTINCT FROM found",
+    ("error", "N above its tables"): "SELECT ow.dataset FROM ow JOIN sz_now z ON z.dataset = ow.dataset WHERE ow.n > z.n_expr OR ow.n > z.n_surv",
+    ("error", "no sample in both tables"): "SELECT DISTINCT dataset FROM ow WHERE dataset IN (FROM sv) AND dataset IN (FROM se) AND dataset NOT IN (SELECT lv.dataset FROM lv JOIN xs ON xs.dataset = lv.dataset AND xs.sample_id = lv.sample_id)",
+    ("warn", "status column empty"): "SELECT dataset || '.' || token FROM lv GROUP BY dataset, token HAVING count(status) = 0",
+    ("warn", "primary endpoint without events"): "SELECT dataset FROM ow WHERE n IS NOT NULL AND n_events = 0",
+    ("info", "expression but no N"): "SELECT dataset FROM ow WHERE dataset IN (FROM se) AND n IS NULL",
+    ("error", "token without time and status"): "SELECT dataset || ' ' || token FROM tk WHERE token IS NOT NULL AND dataset IN (FROM sv) AND (dataset, token) NOT IN (SELECT (dataset, token) FROM lv WHERE time IS NOT NULL AND status IS NOT NULL)",
+    ("error", "count of a family that is not registered"): "SELECT dataset || '/' || family FROM tk WHERE token IS NULL AND k <> 0",
+    ("error", "cell missing in the grid"): "SELECT dataset || '/' || family FROM fu WHERE (dataset, family) NOT IN (SELECT (dataset, family) FROM gr)",
+    ("error", "grid cell without cohort"): "SELECT dataset || '/' || family FROM gr WHERE (dataset, family) NOT IN (SELECT (dataset, family) FROM fu)",
+    ("error", "repeated grid cell"): "SELECT dataset || '/' || family FROM gr GROUP BY dataset, family HAVING count(*) > 1",
+    ("error", "pooling class blank or unknown"): f"SELECT dataset || '/' || family FROM gr WHERE coalesce(trim(pooling_class), '') NOT IN ({', '.join(repr(c) for c in cohorts.POOLING_CLASSES)})",
+    ("info", "no endpoint annotation"): f"SELECT dataset FROM cg WHERE NOT {_NOTED}",
 }
-_q("ct5_consistency", _consistency, f"WITH {_SZ}, z AS (SELECT n, n_dfs FROM sz WHERE dataset = 'BUILDING') " + " UNION ALL ".join(f"SELECT '{lv}' AS level, '{c}' AS \"check\", {n}::BIGINT AS n, {text} AS detail FROM z" for (lv, c), (n, text) in _EXPECTED.items()))
+_q("ct5_consistency", _consistency, f"WITH {_FAULTY} " + " UNION ALL ".join(f"SELECT '{lv}' AS level, '{c}' AS \"check\", count(*) AS n, coalesce(array_to_string(list_sort(list(DISTINCT x))[1:10], ', '), '') AS detail FROM ({rows}) y(x)" for (lv, c), rows in _LISTED.items()))
 
 
 def _sweep(s, d):

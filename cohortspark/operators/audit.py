@@ -7,16 +7,22 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.cohorts import first_of
+
 #: Rows of a table that its line of the audit spells out; the others are counted.
 SPELLED = 6
 
 
-def _line(rows: DataFrame, field: str, text: Column, none: str = "none") -> DataFrame:
-    """One field whose value spells the first rows in order and counts the rest."""
-    g = rows.select(text.alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k")).agg(F.array_sort(F.collect_list("x")).alias("all"))
-    more = F.size("all") - SPELLED
-    value = F.concat(F.array_join(F.slice("all", 1, SPELLED), " | "), F.when(more > 0, F.concat(F.lit(" | ... (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
-    return g.select(F.lit(field).alias("field"), F.when(F.size("all") > 0, value).otherwise(none).alias("value"))
+def _lines(parts: Mapping[str, tuple[DataFrame, Column]], none: str = "none") -> DataFrame:
+    """One row for each field: its value spells the first of the distinct texts in order and counts the rest."""
+    found = None
+    for field, (rows, text) in parts.items():
+        one = rows.select(F.lit(field).alias("field"), text.alias("x")).where("x IS NOT NULL")
+        found = one if found is None else found.unionByName(one)
+    more = F.col("different") - SPELLED
+    value = F.concat(F.array_join("first", " | "), F.when(more > 0, F.concat(F.lit(" | ... (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    names = found.sparkSession.createDataFrame([(f,) for f in parts], "field string")
+    return names.join(first_of(found, ["field"], SPELLED), "field", "left").select("field", F.coalesce(value, F.lit(none)).alias("value"))
 
 
 def run_audit(
@@ -39,17 +45,17 @@ def run_audit(
     out = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in names], *plain)).alias("x")).select("x.*")
     left = n_input.join(rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("_used")), "dataset", "left").withColumn("lost", F.col("n") - F.coalesce("_used", F.lit(0))).where("lost > 0")
     used = endpoints.join(rows.select("dataset").distinct(), "dataset", "left_semi")
-    lines = [
-        _line(rows.select("dataset").distinct(), "cohorts", F.col("dataset")),
-        _line(used, "endpoint_family", F.col("family")), _line(used, "resolved_tokens_per_cohort", F.concat("dataset", F.lit("="), "token")),
-        _line(used, "token_role", F.col("token_role")), _line(used, "pooling_classes_pooled", F.col("pooling_class")),
-        _line(ledger.where("reason IS NOT NULL"), "excluded_cohorts", F.concat("dataset", F.lit(": "), "reason")),
-        _line(left, "rows_dropped", F.concat("dataset", F.lit(": "), F.col("lost").cast("string"))),
-        _line(rows.limit(0).select("dataset") if overlap is None else overlap.where("dropped_for IS NOT NULL").select(F.col("accession").alias("dataset"), "reason"), "overlap_dropped", F.col("dataset") if overlap is None else F.concat("dataset", F.lit(": "), "reason")),
-        _line(rows.limit(0).select("dataset") if dropped_covariates is None else dropped_covariates, "covariates_dropped", F.col("dataset") if dropped_covariates is None else F.concat("dataset", F.lit(" "), "variable", F.lit(": "), "reason")),
-    ]
-    for line in lines:
-        out = out.unionByName(line)
+    name, nothing = F.col("dataset"), (rows.select("dataset").limit(0), F.col("dataset"))
+    lines = _lines({
+        "cohorts": (rows.select("dataset").distinct(), name),
+        "endpoint_family": (used, F.col("family")), "resolved_tokens_per_cohort": (used, F.concat("dataset", F.lit("="), "token")),
+        "token_role": (used, F.col("token_role")), "pooling_classes_pooled": (used, F.col("pooling_class")),
+        "excluded_cohorts": (ledger.where("reason IS NOT NULL"), F.concat("dataset", F.lit(": "), "reason")),
+        "rows_dropped": (left, F.concat("dataset", F.lit(": "), F.col("lost").cast("string"))),
+        "overlap_dropped": nothing if overlap is None else (overlap.where("dropped_for IS NOT NULL"), F.concat("accession", F.lit(": "), "reason")),
+        "covariates_dropped": nothing if dropped_covariates is None else (dropped_covariates, F.concat("dataset", F.lit(" "), "variable", F.lit(": "), "reason")),
+    })
+    out = out.unionByName(lines)
     return out.select(F.lit(run_id).alias("run_id"), "field", "value")
 
 

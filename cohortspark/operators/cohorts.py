@@ -233,7 +233,8 @@ def consistency(catalog: DataFrame, surv: DataFrame, expr: DataFrame, grid: Data
 
     catalog: dataset, platform, survival_types, primary, ep_<family>, n, n_expr, n_surv, n_events, n_<family>. surv is long
     by token; grid: dataset, family, pooling_class; platforms: platform (tables that are there). Guarded accessions have no
-    tables of their own. Counts are recomputed by ``sizes`` and compared one by one.
+    tables of their own. Counts are recomputed by ``sizes`` (a row per cohort, kept as a table, as several checks read
+    them) and compared one by one. What the checks list is kept as a table too.
     """
     acc = catalog.select("dataset")
     own = catalog.where(~F.col("dataset").startswith(guarded))
@@ -241,7 +242,7 @@ def consistency(catalog: DataFrame, surv: DataFrame, expr: DataFrame, grid: Data
     noted = F.coalesce(F.trim("survival_types") != "", F.lit(False))
     there = lambda d: d.select("dataset").distinct()
     said = F.concat("dataset", F.lit(" (survival types "), F.coalesce("survival_types", F.lit("NA")), F.lit(")"))
-    now = sizes(catalog, surv, expr, families, guarded)
+    now = kept(sizes(catalog, surv, expr, families, guarded)).df
     counted = ["n", "n_events", "n_surv", "n_expr", *(f"n_{f.lower()}" for f in families)]
     pairs = own.select("dataset", *[F.col(c).cast("long").alias(f"_{c}") for c in counted]).join(now, "dataset")
     wrong = pairs.select("dataset", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("said"), F.col(c).cast("long").alias("found")) for c in counted])).alias("x")).select("dataset", "x.*").where("said IS NOT NULL AND NOT (said <=> found)")
@@ -272,12 +273,25 @@ def consistency(catalog: DataFrame, surv: DataFrame, expr: DataFrame, grid: Data
         ("error", "pooling class blank or unknown", grid.where(~F.coalesce(F.trim("pooling_class"), F.lit("")).isin(*POOLING_CLASSES)), cell),
         ("info", "no endpoint annotation", catalog.where(~noted), name),
     ]
-    out = None
-    for level, check, rows, what in checks:
-        kept = rows.select(what.alias("what"))
-        one = kept.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("what")), 1, named), ", ").alias("detail")).select(F.lit(level).alias("level"), F.lit(check).alias("check"), "n", "detail")
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = [rows.select(F.lit(at).alias("at"), what.alias("x")) for at, (_, _, rows, what) in enumerate(checks)]
+    while len(parts) > 1:  # in pairs: a plan that grows one by one is analysed anew each time
+        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+    spelled = first_of(kept(parts[0]).df, ["at"], named).select("at", "n", F.array_join("first", ", ").alias("detail"))
+    names = catalog.sparkSession.createDataFrame([(at, level, check) for at, (level, check, _, _) in enumerate(checks)], "at int, level string, check string")
+    return names.join(spelled, "at", "left").select("level", "check", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+def first_of(found: DataFrame, keys: Sequence[str], named: int) -> DataFrame:
+    """Per key: n (rows of found), different (distinct x that are not null) and the first of those, in order, at most ``named``.
+
+    Counted per x first, and only the first of each partition are sent on, so no task holds all names of a key. Both parts
+    read the same counts (nulls come last and leave after ranking), so what was found is computed once.
+    """
+    each = found.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("k"))
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("x")))).where(F.col("r") <= named)
+    top = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "x", "k"))).alias("top"))
+    first = top.select(*keys, F.transform(F.filter("top", lambda t: t["x"].isNotNull()), lambda t: t["x"]).alias("first"))
+    return each.groupBy(*keys).agg(F.sum("k").alias("n"), F.count("x").alias("different")).join(first, list(keys), "left")
 
 
 def tokens_of(catalog: DataFrame, families: Sequence[str]) -> DataFrame:

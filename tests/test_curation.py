@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical as fn
-from cohortspark.operators import agreement, clinical, cohorts, endpoints, expression
+from cohortspark.operators import agreement, audit, clinical, cohorts, endpoints, expression
 from cohortspark.sources import readers
 
 
@@ -158,3 +158,23 @@ def test_text_formats(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 1
     readers.write_curated(got.withColumn("dataset", F.lit("A")), str(tmp_path / "cur"))
     assert spark.read.parquet(str(tmp_path / "cur")).first().dataset == "A"
+
+
+def test_first_names_and_counts(spark):
+    rows = [("a", f"n{k % 25:02d}") for k in range(100)] + [("a", None), ("a", None), ("b", None), ("c", "é"), ("c", "z"), ("c", "z")]
+    df = spark.createDataFrame(rows, "key string, x string").repartition(7)
+    got = {r.key: (r.n, r.different, r.first) for r in cohorts.first_of(df, ["key"], 10).collect()}
+    assert got == {"a": (102, 25, [f"n{k:02d}" for k in range(10)]), "b": (1, 0, []), "c": (3, 2, ["z", "é"])}
+    assert cohorts.first_of(df.limit(0), ["key"], 10).count() == 0
+
+
+def test_audit_spells_the_first_rows_and_counts_the_others(spark):
+    names = [f"C{k:02d}" for k in range(9)]
+    rows = spark.createDataFrame([(n, k % 2) for n in names for k in range(3)], "dataset string, status int")
+    ledger = spark.createDataFrame([("X", "too small"), ("C00", None)], "dataset string, reason string")
+    given = spark.createDataFrame([(n, 4) for n in names] + [("X", 5)], "dataset string, n long")
+    ends = spark.createDataFrame([(n, "OS", "OS", "exact", "Exact-equivalent") for n in [*names, "X"]], "dataset string, family string, token string, token_role string, pooling_class string")
+    got = {r.field: r.value for r in audit.run_audit(rows, "r", {"analysis": "km"}, ledger, given, ends).collect()}
+    assert got["cohorts"] == "C00 | C01 | C02 | C03 | C04 | C05 | ... (+3 more)" and got["endpoint_family"] == "OS"
+    assert got["excluded_cohorts"] == "X: too small" and got["overlap_dropped"] == got["covariates_dropped"] == "none"
+    assert got["rows_dropped"] == " | ".join(f"C0{k}: 1" for k in range(6)) + " | ... (+4 more)" and (got["n_input"], got["n_analyzed"], got["n_excluded"]) == ("41", "27", "14")
