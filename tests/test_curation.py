@@ -106,6 +106,21 @@ def test_shared_pairs_with_a_title_of_5000_cohorts(spark):
     assert {(r.a, r.b) for r in cohorts.shared_pairs(wide, 3).limit(3).collect()} <= {(f"w{k}", f"w{k + 1}") for k in range(0, 5000, 2)} | {(f"w{k + 1}", f"w{k}") for k in range(0, 5000, 2)}
 
 
+def test_shared_pairs_equal_a_plain_count(spark, monkeypatch):
+    rng = random.Random(5)
+    titles = {(f"c{rng.randrange(60):03d}", f"t{min(rng.randrange(150), rng.randrange(150))}") for _ in range(1200)}
+    titles |= {(f"c{k:03d}", f"t{j}") for k in range(0, 60, 7) for j in range(6)}
+    by = {}
+    for a, t in titles:
+        by.setdefault(a, set()).add(t)
+    want = sorted((a, b, len(by[a] & by[b])) for a in by for b in by if a < b and len(by[a] & by[b]) >= 5)
+    assert want
+    df = spark.createDataFrame(sorted(titles), "accession string, title string")
+    for frequent, block in ((1000, 1024), (12, 4), (1, 7)):  # all titles; m from 1 to 5 in lists of few; m of 1
+        monkeypatch.setattr(cohorts, "BLOCK", block)
+        assert sorted(map(tuple, cohorts.shared_pairs(df, 5, frequent).collect())) == want
+
+
 def test_invalid_survival_stops(spark):
     with pytest.raises(ValueError, match="negative time"):
         cohorts.validate(spark.createDataFrame([("A", 1, -1.0, 1)], "dataset string, sample_id int, time double, status int"))
