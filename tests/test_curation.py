@@ -175,6 +175,14 @@ def test_text_formats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cur")).first().dataset == "A"
 
 
+def test_cells_of_files_are_not_broadcast(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("Hyb\tA\tB\nRef\tvalue\tvalue\n" + "p\t1\t3\n" * 500)
+    got = readers.magetab(spark, str(tmp_path), "value")
+    assert {(r.probe_id, r.sample_id, r.value) for r in got.collect()} == {("p", "A", 1.0), ("p", "B", 3.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and "strategy=broadcast" in plan
+
+
 def test_first_names_and_counts(spark):
     rows = [("a", f"n{k % 25:02d}") for k in range(100)] + [("a", None), ("a", None), ("b", None), ("c", "é"), ("c", "z"), ("c", "z")]
     df = spark.createDataFrame(rows, "key string, x string").repartition(7)
