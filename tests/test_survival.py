@@ -289,6 +289,24 @@ def test_exact_quantiles(spark, one_buffer):
     assert set(got) == set(data) and all(got[key] == pytest.approx(list(np.quantile(x, probs)), abs=1e-12) for key, x in data.items())
 
 
+def counted(df, seen):
+    """The rows, counted each time a task makes them."""
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    return df.mapInPandas(count, df.schema)
+
+
+@pytest.mark.parametrize("one_buffer", [None, 50])
+def test_quantiles_make_their_rows_once(spark, one_buffer):
+    seen = spark.sparkContext.accumulator(0)
+    df = counted(spark.range(700).selectExpr("CASE WHEN id < 30 THEN 'few' ELSE 'many' END AS dataset", "CAST(id * 37 % 701 AS DOUBLE) AS value"), seen)
+    assert ranges.quantiles(df, ["dataset"], "value", [0.25, 0.9], one_buffer).count() == 2
+    assert seen.value == 700
+
+
 def test_gates_of_the_two_stage_analysis(spark):
     t, s, x = cohort(200)
     rows = [(d, i, "g", float(t[i]), int(s[i]), float(x[i, 0]), None if d == "lacks" else 1.0 if d == "flat" else float(x[i, 1])) for d in ("fine", "lacks", "flat", "other token", "class", "small copy") for i in range(30 if d == "small copy" else 200)]
