@@ -307,6 +307,28 @@ def test_quantiles_make_their_rows_once(spark, one_buffer):
     assert seen.value == 700
 
 
+def test_screens_and_models_make_their_rows_once(spark):
+    t, s, x = cohort(60)
+    df = spark.createDataFrame([(d, i, g, float(t[i]), int(s[i]), float(x[i, k]), float(i * 5 % 7)) for d in "ab" for i in range(60) for k, g in enumerate(("g", "h"))], "dataset string, sample_id int, gene string, time double, status int, value double, dose double")
+    runs = {
+        "joint": lambda d: cox.screen(d, joint=True), "all": lambda d: cox.cox(d.where("gene = 'g'"), ["dataset"], ["value", "dose"]),
+        "ledger": lambda d: two_stage.two_stage(d.where("gene = 'g'"), cont=["dose"])[1],
+    }
+    for name, run in runs.items():
+        seen = spark.sparkContext.accumulator(0)
+        run(counted(df, seen)).collect()
+        assert (name, seen.value) == (name, 240)
+
+
+def test_no_bucket_of_genes_is_larger_than_asked(spark, monkeypatch):
+    monkeypatch.setattr(cox, "CELLS", 100)
+    df = spark.range(2000).selectExpr("IF(id < 400, 'a', 'b') AS dataset", "id div 20 AS sample_id", "concat('g', id % 20) AS gene")
+    genes = cox.dealt(df)
+    most = genes.groupBy("dataset", "_bucket").agg(F.sum("_n").alias("n")).groupBy("dataset").agg(F.max("n").alias("n"), F.count("n").alias("buckets"))
+    # 20 and 80 samples: five genes and one
+    assert {r.dataset: (r.n, r.buckets) for r in most.collect()} == {"a": (100, 4), "b": (80, 20)}
+
+
 def test_gates_of_the_two_stage_analysis(spark):
     t, s, x = cohort(200)
     rows = [(d, i, "g", float(t[i]), int(s[i]), float(x[i, 0]), None if d == "lacks" else 1.0 if d == "flat" else float(x[i, 1])) for d in ("fine", "lacks", "flat", "other token", "class", "small copy") for i in range(30 if d == "small copy" else 200)]
