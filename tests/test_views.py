@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cohortspark.jobs.survival import one_gene
+from cohortspark.operators import km, roc
 from cohortspark.sources import adapters
 
 SF = "/root/testdata/sf0.01"
@@ -50,3 +51,20 @@ def test_rows_of_patients_move_by_patient(spark, monkeypatch):
         assert one_gene(spark, SF).where(F.col("gene") != "Brand#11").isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_markers_rows_are_made_once(spark):
+    """What makes the rows of a search over cuts or of areas runs once, however many of their sums read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = [("A", "g", k, float(k % 37 + 1), k % 3 % 2, float(k * 7 % 101)) for k in range(300)]
+    schema = "dataset string, gene string, sample_id long, time double, status int, value double"
+    for run in (lambda x: km.adjusted_cut_p(x, ["dataset", "gene"]), lambda x: roc.auc(x, ["dataset", "gene"], 20.0), lambda x: roc.auc(x, ["dataset", "gene"], 20.0, "NNE")):
+        before = made.value
+        assert run(spark.createDataFrame(rows, schema).mapInPandas(count, schema)).count() == 1
+        assert made.value - before == 300
