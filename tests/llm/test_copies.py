@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicates and the pipeline against brute force."""
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cohortspark.llm import _graph as graph
 from cohortspark.llm import fingerprints as fp
 from cohortspark.llm import neardups as nd
 from cohortspark.llm._words import mix, shingle_sets, slices
@@ -92,6 +94,30 @@ def test_components_of_a_large_group(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_kept_tables_have_few_files(spark, monkeypatch):
+    """With hundreds of partitions that are not put together, the tables of a run have a file or two for each core, and the same rows."""
+    found, real = [], graph.kept
+
+    def counted(df):
+        out = real(df)
+        found.append(len(list(pathlib.Path(out.path.removeprefix("file:")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(graph, "kept", counted)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        compare(spark, chains(40, 3))
+        assert len(found) > 10 and max(found) <= 2 * spark.sparkContext.defaultParallelism
+        spark.conf.set(names[0], "1600")
+        assert graph.files(spark) == 100  # more partitions, more files
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_no_documents(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
