@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from cohortspark.jobs import curation
 from cohortspark.jobs.survival import one_gene
 from cohortspark.operators import km, roc
 from cohortspark.sources import adapters
@@ -53,6 +54,25 @@ def test_rows_of_patients_move_by_patient(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_rows_dealt_by_lines_move_no_more(spark, monkeypatch):
+    """Tables that meet the lines' rows are dealt to as many tasks as those: no join deals the rows again, nor does the matrix of probes."""
+    monkeypatch.setattr(adapters, "TASK_ROWS", 1000)
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "200"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        moves = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x]
+        again = lambda df, key: [x for x in moves(df) if f"hashpartitioning({key}" in x and "REPARTITION_BY_NUM" not in x]
+        for df in (adapters.merged(spark, SF), adapters.expr(spark, SF), adapters.probes(spark, SF), curation._matrix(spark, SF)):
+            assert again(df, "sample_id") == []
+        for df in (adapters.probes(spark, SF), curation._matrix(spark, SF)):
+            assert again(df, "probe_id") == again(df, "ID_REF") == again(df, "dataset") == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_markers_rows_are_made_once(spark):
     """What makes the rows of a search over cuts or of areas runs once, however many of their sums read them."""
     made = spark.sparkContext.accumulator(0)
